@@ -97,6 +97,41 @@ select flight_id, max(ts) as ts,
        cast(avg(duration_s) / 450.0 as double) as severity_dense,
        count(*) as n_events
 from rule_hits group by flight_id""",
+    # Hits of the rules that rule_hits leaves out: turns, returns, low flight, signal loss, landings.
+    "extra_hits": """
+select 'U' || cast(user_id as string) as flight_id,
+       cast(1704067200 + event_id * 300 as bigint) as ts,
+       cast(case event_type when 'error' then 3 when 'click' then 7 when 'view' then 10
+            when 'signup' then 9 else 12 end as int) as rule_id,
+       cast(200 + event_id % 250 as double) as turn_deg,
+       cast(30 + (event_id * 7) % 4000 as double) as duration_s,
+       cast((event_id % 60) * 0.9 as double) as outbound_nm,
+       cast(29.0 + (event_id % 50) * 0.1 as double) as lat,
+       cast(33.0 + (event_id % 40) * 0.1 as double) as lon,
+       case event_id % 4 when 0 then 'LLBG' when 1 then 'LCLK' when 2 then 'OJAI' else 'HECA' end as airport
+from events where event_id % 3 = 1""",
+    # Metadata with the remaining per-flight attributes.
+    "flight_facts": """
+select m.*, cast(substr(flight_id, 2) as bigint) as n,
+       cast(case when cast(substr(flight_id, 2) as bigint) % 3 = 0 then 1 else 0 end as int) as is_anomaly,
+       case when cast(substr(flight_id, 2) as bigint) % 7 = 0 then '["7700","2000"]'
+            when cast(substr(flight_id, 2) as bigint) % 11 = 0 then '7600, 2000' else null end as squawk_codes,
+       case cast(substr(flight_id, 2) as bigint) % 5 when 0 then 'IL,JO' when 1 then 'CY' when 2 then 'EG, IL'
+            when 3 then 'LB,SY,JO' else null end as crossed_borders,
+       cast(cast(substr(flight_id, 2) as bigint) % 4 as int) as signal_loss_events,
+       cast(cast(substr(flight_id, 2) as bigint) % 900 as double) as total_distance_nm,
+       cast(200 + cast(substr(flight_id, 2) as bigint) % 200 as double) as avg_speed_kts,
+       case cast(substr(flight_id, 2) as bigint) % 4 when 0 then 'tanker' when 1 then 'ISR'
+            when 2 then 'transport' else 'fighter' end as military_type,
+       case cast(substr(flight_id, 2) as bigint) % 3 when 0 then 'US' when 1 then 'GB' else 'RU' end as country,
+       cast(28.5 + (cast(substr(flight_id, 2) as bigint) % 60) * 0.1 as double) as dest_lat,
+       cast(32.5 + (cast(substr(flight_id, 2) as bigint) % 70) * 0.2 as double) as dest_lon
+from flight_metadata m""",
+    # Reviewer feedback: one tag per flight.
+    "feedback": """
+select flight_id, first_seen_ts, cast(1 + cast(substr(flight_id, 2) as bigint) % 6 as int) as rule_id,
+       cast(case when cast(substr(flight_id, 2) as bigint) % 5 = 0 then 0 else 1 end as int) as user_label
+from flight_metadata""",
 }
 
 
@@ -144,6 +179,18 @@ class Tables:
     def reports(self) -> DataFrame:
         return self._sql("reports", rule_hits=self.hits)
 
+    @cached_property
+    def extra(self) -> DataFrame:
+        return self._sql("extra_hits", events=self.events)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._sql("flight_facts", flight_metadata=self.meta)
+
+    @cached_property
+    def feedback(self) -> DataFrame:
+        return self._sql("feedback", flight_metadata=self.meta)
+
     @cached_property
     def vessels(self) -> DataFrame:
         return self._sql("vessel_positions", lineitem=self.base("lineitem"))
