@@ -174,35 +174,6 @@ def circle(lat, lon, radius_nm, n: int = 12) -> Column:
         (lon + r * F.sin(F.radians(i % n * (360.0 / n))) / F.cos(F.radians(lat))).alias("lon")))
 
 
-def convex_hull(points) -> Column:
-    """Monotone chain over a bounded array<struct<lon, lat>>; ring without the closing vertex.
-
-    Callers hand over extreme points per grid row (see operators.clusters), never
-    the raw members of a cluster, so the array has a fixed bound.
-    """
-    pts = F.array_sort(F.array_distinct(_c(points)))
-
-    def half(seq):
-        def step(acc, p):
-            def pop(a):
-                n = F.size(a)
-                o, q = F.element_at(a, -2), F.element_at(a, -1)
-                turn = ((q["lon"] - o["lon"]) * (p["lat"] - o["lat"])
-                        - (q["lat"] - o["lat"]) * (p["lon"] - o["lon"]))
-                return F.when((n >= 2) & (turn <= 0), F.slice(a, 1, n - 1)).otherwise(a)
-
-            # Keep popping while the last corner does not turn left: walk the kept
-            # vertices backwards, at most once per vertex.
-            kept = F.aggregate(acc, acc, lambda a, _: pop(a))
-            return F.concat(kept, F.array(p))
-
-        return F.aggregate(seq, F.slice(seq, 1, 0), step)
-
-    lower, upper = half(pts), half(F.reverse(pts))
-    return F.when(F.size(pts) < 3, pts).otherwise(
-        F.concat(F.slice(lower, 1, F.size(lower) - 1), F.slice(upper, 1, F.size(upper) - 1)))
-
-
 def expand_ring(ring, buffer_nm) -> Column:
     """Push every vertex away from the vertex mean by buffer_nm (60 nm per degree)."""
     ring, b = _c(ring), _c(buffer_nm) / 60.0

@@ -23,35 +23,50 @@ def with_slice(df: DataFrame, ts: str = "ts", width: int = C.SLICE_S) -> DataFra
 
 def with_neighbours(df: DataFrame, prev: dict[str, str | Column] | None = None,
                     nxt: dict[str, str | Column] | None = None,
+                    prev2: dict[str, str | Column] | None = None,
                     key: str = "flight_id", ts: str = "ts", width: int = C.SLICE_S) -> DataFrame:
-    """Add columns of the previous / next point of the same track.
+    """Add columns of the previous / next / second previous point of the same track.
 
-    ``prev`` and ``nxt`` map new column names to columns of the neighbour. The single
-    big shuffle is by (key, slice); border values come from one row per slice.
+    Each argument maps new column names to columns of that neighbour. The big shuffle
+    is by (key, slice); border values come from one row per slice, and a slice row is
+    the only thing that is ever ordered per whole track.
     """
-    prev, nxt = dict(prev or {}), dict(nxt or {})
+    prev, nxt, prev2 = dict(prev or {}), dict(nxt or {}), dict(prev2 or {})
     pack = lambda m: F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in m.items()])
     w = Window.partitionBy(key, SLICE).orderBy(ts)
     wk = Window.partitionBy(key).orderBy(SLICE)
     out = with_slice(df, ts, width)
-    ends, carry, picks = [], [], []
+    local, ends, carry, cols, drop = {}, [], [], {}, [SLICE, "_k", "_s"]
     if prev:
+        local["_p"] = F.lag(pack(prev)).over(w)
         ends.append(F.max_by(pack(prev), ts).alias("_last"))
         carry.append(F.lag("_last").over(wk).alias("_before"))
-        picks.append((list(prev), "_p", F.lag(pack(prev)).over(w), "_before"))
+        drop += ["_p", "_before"]
+        src = F.coalesce(F.col("_p"), F.col("_before"))
+        cols.update({n: src[n] for n in prev})
     if nxt:
+        local["_n"] = F.lead(pack(nxt)).over(w)
         ends.append(F.min_by(pack(nxt), ts).alias("_first"))
         carry.append(F.lead("_first").over(wk).alias("_after"))
-        picks.append((list(nxt), "_n", F.lead(pack(nxt)).over(w), "_after"))
-    border = (out.groupBy(key, SLICE).agg(*ends)
-              .select(F.col(key).alias("_k"), F.col(SLICE).alias("_s"), *carry))
-    local = out.withColumns({name: col for _, name, col, _ in picks})
-    joined = local.join(border, (F.col(key) == F.col("_k")) & (F.col(SLICE) == F.col("_s")), "left")
-    cols = {}
-    for names, here, _, there in picks:
-        src = F.coalesce(F.col(here), F.col(there))
-        cols.update({n: src[n] for n in names})
-    drop = [SLICE, "_k", "_s"] + [x for _, a, _, b in picks for x in (a, b)]
+        drop += ["_n", "_after"]
+        src = F.coalesce(F.col("_n"), F.col("_after"))
+        cols.update({n: src[n] for n in nxt})
+    if prev2:
+        local["_p1"] = F.lag(pack(prev2)).over(w)
+        local["_p2"] = F.lag(pack(prev2), 2).over(w)
+        drop += ["_p1", "_p2", "_b1", "_b2"]
+    joined = out.withColumns(local)
+    if prev2:
+        # The slice's last point and the one before it, where the slice has one.
+        ends += [F.max_by(pack(prev2), ts).alias("_l1"), F.max_by("_p1", ts).alias("_l2")]
+    border = (joined if prev2 else out).groupBy(key, SLICE).agg(*ends)
+    if prev2:
+        border = border.withColumn("_l2", F.coalesce("_l2", F.lag("_l1").over(wk)))
+        carry += [F.lag("_l1").over(wk).alias("_b1"), F.lag("_l2").over(wk).alias("_b2")]
+        far = F.coalesce(F.col("_p2"), F.when(F.col("_p1").isNotNull(), F.col("_b1")).otherwise(F.col("_b2")))
+        cols.update({n: far[n] for n in prev2})
+    border = border.select(F.col(key).alias("_k"), F.col(SLICE).alias("_s"), *carry)
+    joined = joined.join(border, (F.col(key) == F.col("_k")) & (F.col(SLICE) == F.col("_s")), "left")
     return joined.withColumns(cols).drop(*drop)
 
 
@@ -106,3 +121,24 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     rest = [c for c in df.columns if c not in keys]
     best = F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
+
+
+def shifted_rows(df: DataFrame, offset: int, cols: dict[str, str], key: str = "flight_id", ts: str = "ts",
+                 numbered: bool = False) -> DataFrame:
+    """Columns of the row ``offset`` places back, by an equi join on (key, row number)."""
+    n = df if numbered else sliced_row_number(with_slice(df, ts), key, SLICE, [ts], "_rn")
+    back = n.select(F.col(key).alias("_k"), (F.col("_rn") + offset).alias("_r"),
+                    *[F.col(v).alias(k) for k, v in cols.items()])
+    return n.join(back, (F.col(key) == F.col("_k")) & (F.col("_rn") == F.col("_r")), "left").drop("_k", "_r")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder the cluster names."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None:           # only where nothing is configured, as in local tests
+            import tempfile
+            named = tempfile.mkdtemp(prefix="spark-ckpt-")
+        sc.setCheckpointDir(named)
+    return df.checkpoint(eager=True)
