@@ -112,14 +112,6 @@ def segment_distance_sampled(plat, plon, a: Column, b: Column) -> Column:
         plat, plon, a["lat"] + t * (b["lat"] - a["lat"]), a["lon"] + t * (b["lon"] - a["lon"]))))
 
 
-def ring_distance(plat, plon, ring) -> Column:
-    """Sampled distance to the nearest side of a ring."""
-    ring = _c(ring)
-    shifted = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    edges = F.arrays_zip(ring.alias("p"), shifted.alias("q"))
-    return F.array_min(F.transform(edges, lambda e: segment_distance_sampled(plat, plon, e["p"], e["q"])))
-
-
 def polyline_distance(plat, plon, line) -> Column:
     """Nearest approach to a polyline: struct<distance_nm, position>.
 

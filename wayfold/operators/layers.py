@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wayfold import config as C
 from wayfold.functions import geo
 from wayfold.operators.nearest import bounded_broadcast
-from wayfold.operators.windows import SLICE, running_sum, sliced_row_number, with_neighbours, with_slice
+from wayfold.operators.windows import SLICE, cut, running_sum, sliced_row_number, with_neighbours, with_slice
 
 c = F.col
 ANY = "*"
@@ -171,7 +171,7 @@ def nearby_corridors(points: DataFrame, paths: DataFrame, max_nm: float = 30.0,
     v = v.withColumn("_y", F.explode(F.transform(near, lambda d: F.floor(c("vlat") / g) + d)))
     v = v.withColumn("_x", F.explode(F.transform(near, lambda d: F.floor(c("vlon") / wide(c("_band"))) + d)))
     j = p.join(v, ["_band", "_y", "_x"]).withColumn("nm", geo.haversine("lat", "lon", "vlat", "vlon")).where(c("nm") <= max_nm)
-    best = j.groupBy("pid", "id").agg(F.min("nm").alias("nm"))
+    best = j.groupBy("pid", "id").agg(F.round(F.min("nm"), 6).alias("nm"))
     w = Window.partitionBy("pid").orderBy("nm", "id")
     return best.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
 
@@ -190,7 +190,8 @@ def in_turn_zone(turns: DataFrame, points: DataFrame, tolerance: float = 0.0, de
     return F.exists(lits, lambda t: (F.abs(c("lat") - t["lat"]) * 59.0 <= t["r"]) & (geo.haversine("lat", "lon", t["lat"], t["lon"]) <= t["r"]))
 
 
-def _by_cells(points: DataFrame, areas: DataFrame, verts: Column, reach_nm: Column, cell: float = 0.5) -> DataFrame:
+def _by_cells(points: DataFrame, areas: DataFrame, verts: Column, reach_nm: Column, cell: float = 0.5,
+              also: tuple = ()) -> DataFrame:
     """Candidate (point, area) rows: areas are listed in every cell their widened box covers."""
     dy = reach_nm / 59.0
     # The longitude margin is taken at the widest latitude of the area.
@@ -200,21 +201,22 @@ def _by_cells(points: DataFrame, areas: DataFrame, verts: Column, reach_nm: Colu
     f = lambda x: F.floor(c(x) / cell)
     a = a.withColumn("_cy", F.explode(F.sequence(f("_s"), f("_n")))).withColumn("_cx", F.explode(F.sequence(f("_w"), f("_e"))))
     p = points.withColumns({"_cy": F.floor(c("lat") / cell), "_cx": F.floor(c("lon") / cell)})
-    return (p.join(a, ["_cy", "_cx"]).where(c("lat").between(c("_s"), c("_n")) & c("lon").between(c("_w"), c("_e")))
+    return (p.join(a, ["_cy", "_cx", *also]).where(c("lat").between(c("_s"), c("_n")) & c("lon").between(c("_w"), c("_e")))
             .drop("_cy", "_cx", "_s", "_n", "_w", "_e"))
 
 
 def points_on_procedure(points: DataFrame, procedures: DataFrame, tolerance: float = C.LAYERS["proc_tol_nm"]) -> DataFrame:
     """Keys of points within width plus tolerance of a procedure centreline."""
     pr = procedures.where(F.size("centerline") >= 2).select("centerline", (F.coalesce("width_nm", F.lit(C.LAYERS["proc_width_nm"])) + tolerance).alias("_r"))
-    j = _by_cells(points.select("flight_id", "ts", "lat", "lon"), pr, c("centerline"), c("_r"))
+    j = _by_cells(spread(points.select("flight_id", "ts", "lat", "lon")), pr, c("centerline"), c("_r"))
     return j.where(geo.polyline_distance("lat", "lon", "centerline")["distance_nm"] <= c("_r")).select("flight_id", "ts").distinct()
 
 
 def points_in_corridors(points: DataFrame, paths: DataFrame) -> DataFrame:
     """Keys of points inside the corridor polygon of a learned path."""
-    ring = paths.select(geo.corridor("centerline", "width_nm").alias("ring")).where("ring is not null")
-    j = _by_cells(points.select("flight_id", "ts", "lat", "lon"), ring, c("ring"), F.lit(0.5))
+    # Written once: left as an expression, the ring would be rebuilt at every use.
+    ring = cut(paths.select(geo.corridor("centerline", "width_nm").alias("ring")).where("ring is not null"))
+    j = _by_cells(spread(points.select("flight_id", "ts", "lat", "lon")), ring, c("ring"), F.lit(0.5))
     return j.where(geo.point_in_ring("lat", "lon", "ring")).select("flight_id", "ts").distinct()
 
 
@@ -226,14 +228,34 @@ def mark_known_places(pts: DataFrame, paths: DataFrame, procedures: DataFrame, t
             .withColumns({"in_turn": in_turn_zone(turns, pts), "known_place": F.coalesce("_k", F.lit(False)) | zone}).drop("_k"))
 
 
-def tube_membership(points: DataFrame, tubes: DataFrame, alt_tol: float = C.PATHS["tube_ft"], side_tol: float = C.PATHS["tube_nm"]) -> DataFrame:
-    """(point, tube) rows inside a tube or within the side tolerance, altitude tolerance included."""
-    t = tubes.where(F.size("ring") >= 3).select(c("id").alias("tube_id"), "ring", F.coalesce("min_alt_ft", F.lit(0.0)).alias("_lo"), F.coalesce("max_alt_ft", F.lit(50000.0)).alias("_hi"))
-    j = _by_cells(points.select("flight_id", "ts", "lat", "lon", "alt"), t, c("ring"), F.lit(side_tol))
+def tube_membership(points: DataFrame, tubes: DataFrame, alt_tol: float = C.PATHS["tube_ft"],
+                    side_tol: float = C.PATHS["tube_nm"], also: tuple = ()) -> DataFrame:
+    """(point, tube) rows inside a tube or within the side tolerance, altitude tolerance included.
+
+    ``also`` names columns of both frames that must agree as well (the route, in rule 11).
+    """
+    t = tubes.where(F.size("ring") >= 3).select(c("id").alias("tube_id"), "ring", F.coalesce("min_alt_ft", F.lit(0.0)).alias("_lo"),
+                                                F.coalesce("max_alt_ft", F.lit(50000.0)).alias("_hi"), *also)
     alt = F.coalesce(c("alt"), F.lit(0.0))
-    j = j.where(alt.between(c("_lo") - alt_tol, c("_hi") + alt_tol))
-    return (j.where(geo.point_in_ring("lat", "lon", "ring") | (geo.ring_distance("lat", "lon", "ring") <= side_tol))
-            .select("flight_id", "ts", "tube_id"))
+    pts = spread(points.select("flight_id", "ts", "lat", "lon", alt.alias("alt"), *also))
+    level = c("alt").between(c("_lo") - alt_tol, c("_hi") + alt_tol)
+    inside = _by_cells(pts, t, c("ring"), F.lit(0.5), also=also).where(level & geo.point_in_ring("lat", "lon", "ring"))
+    # Nearness is a matter of single sides: they are listed in their own, smaller cells.
+    shifted = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
+    sides = t.withColumn("_e", F.explode(F.arrays_zip(c("ring").alias("p"), shifted.alias("q")))).drop("ring")
+    sides = sides.withColumns({"p": c("_e")["p"], "q": c("_e")["q"]}).drop("_e")
+    close = _by_cells(pts, sides, F.array("p", "q"), F.lit(side_tol), cell=0.1, also=also).where(level)
+    samples = [geo.half_chord("lat", "lon", c("p.lat") + i / 10 * (c("q.lat") - c("p.lat")), c("p.lon") + i / 10 * (c("q.lon") - c("p.lon")))
+               for i in range(11)]
+    close = close.where(geo.chord_to_distance(F.least(*samples)) <= side_tol)
+    keys = ["flight_id", "ts", "tube_id"]
+    return inside.select(*keys).unionByName(close.select(*keys)).distinct()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out rows over the session's shuffle partitions before per-row geometry that costs far more than its bytes."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "flight_id", "ts")
 
 
 def heat_cells(tracks: DataFrame, cell: float = C.PATHS["cell_deg"]) -> DataFrame:
@@ -257,11 +279,11 @@ def off_course_points(pts: DataFrame, meta: DataFrame, tubes: DataFrame, paths:
     pairs = od.select("origin", "destination").distinct()
     use = (pts.where(~c("impossible") & ~c("bad") & (F.coalesce("alt", F.lit(0.0)) > C.PATHS["floor_ft"]))
            .select("flight_id", "ts", "lat", "lon", "alt").join(od, "flight_id"))
-    tube_ok = match_best_level(pairs, tubes).select(c("origin").alias("_o"), c("destination").alias("_d"), c("id").alias("tube_id"))
-    member = tube_membership(use, tubes)
-    inside = (member.join(od, "flight_id")
-              .join(tube_ok.withColumnRenamed("tube_id", "_t"), (c("tube_id") == c("_t")) & c("origin").eqNullSafe(c("_o")) & c("destination").eqNullSafe(c("_d")))
-              .groupBy("flight_id", "ts").agg(F.min("tube_id").alias("path_id")))
+    route = F.concat_ws("|", F.coalesce("origin", F.lit("-")), F.coalesce("destination", F.lit("-")))
+    tube_ok = match_best_level(pairs, tubes).withColumn("route", route)
+    use = cut(use.withColumn("route", route))
+    inside = tube_membership(use, tube_ok, also=("route",)).groupBy("flight_id", "ts").agg(F.min("tube_id").alias("path_id"))
+    inside = cut(inside)
     cand = match_paths(pairs, paths).select(c("origin").alias("_o"), c("destination").alias("_d"), "id", "centerline", "width_nm")
     out = use.join(inside.select("flight_id", "ts"), ["flight_id", "ts"], "left_anti")
     d = geo.polyline_distance("lat", "lon", "centerline")

@@ -201,16 +201,16 @@ def go_around(pts: DataFrame, airports: DataFrame) -> DataFrame:
     """Lowest aligned low point near an airport with a descent before and a climb after."""
     g = C.GO_AROUND
     near = near_airports(pts, airports, g["nm"], ["flight_id", "ts", "lat", "lon", "alt", "track", "impossible"])
-    near = near.withColumn("_k", F.concat_ws("|", "flight_id", "airport"))
-    seg = with_neighbours(near, {"p_ts": "ts", "p_alt": "alt"}, {"n_ts": "ts", "n_alt": "alt"}, key="_k")
-    seg = _max_before_after(seg, "alt", key="_k")
+    near = near.withColumn("pair", F.concat_ws("|", "flight_id", "airport"))
+    seg = with_neighbours(near, {"p_ts": "ts", "p_alt": "alt"}, {"n_ts": "ts", "n_alt": "alt"}, key="pair")
+    seg = _max_before_after(seg, "alt", key="pair")
     jump = lambda o: F.coalesce(F.abs(c("alt") - c(f"{o}_alt")) / F.abs(c("ts") - c(f"{o}_ts")) > 200, F.lit(False))
     agl = c("alt") - c("elev")
     drop, climb = c("max_before") - c("alt"), c("max_after") - c("alt")
-    enough = near.groupBy("_k").agg(F.count("*").alias("_n")).where("_n >= 3").select("_k")
+    enough = near.groupBy("pair").agg(F.count("*").alias("_n")).where("_n >= 3").select("pair")
     ok = seg.where(~c("impossible") & ~jump("p") & ~jump("n") & (agl >= g["below_ft"]) & (agl <= g["low_ft"] + g["buffer_ft"])
                    & runway_aligned() & (drop >= g["descent_ft"]) & (climb >= g["recovery_ft"]))
-    ok = ok.join(enough, "_k", "left_semi")
+    ok = ok.join(enough, "pair", "left_semi")
     best = F.min_by(F.struct("ts", "lat", "lon", c("alt").alias("min_alt_ft"), F.round(climb, 1).alias("recovered_ft"),
                              F.round(drop, 1).alias("descent_into_low_ft")), F.struct("alt", "ts"))
     return ok.groupBy("flight_id", "airport").agg(best.alias("b")).select("flight_id", "airport", "b.*")

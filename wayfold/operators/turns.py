@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo
-from wayfold.operators.windows import SLICE, first_per_key, with_halo
+from wayfold.operators.windows import SLICE, cut, first_per_key, with_halo
 
 c = F.col
 OUT = ("flight_id string, ts bigint, start_ts bigint, pattern string, duration_s bigint, turn_deg double, "
@@ -210,8 +210,8 @@ def _scan(pts: DataFrame, finder, ahead: int) -> DataFrame:
 def turn_events(pts: DataFrame) -> DataFrame:
     """All rule-3 events. ``pts`` carries in_turn (learned turn) and known_place (corridor or procedure)."""
     long_enough = pts.groupBy("flight_id").agg(F.count("*").alias("n")).where("n >= 4").select("flight_id")
-    pts = pts.join(long_enough, "flight_id", "left_semi")
-    found = abrupt_turns(pts).unionByName(_scan(pts, _holding, C.TURN["acc_window_s"]))
+    pts = cut(pts.join(long_enough, "flight_id", "left_semi"))      # three scans read it
+    found = cut(abrupt_turns(pts).unionByName(_scan(pts, _holding, C.TURN["acc_window_s"])))
     rest = pts.join(found.select("flight_id").distinct(), "flight_id", "left_anti")
     loops = _scan(rest, _loop, 240)
     cols = [x.split()[0] for x in OUT.split(", ")]

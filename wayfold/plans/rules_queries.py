@@ -15,7 +15,8 @@ c = F.col
 
 
 def enriched(t):
-    return ru.enrich(t.tracks, t.airports)
+    """The shared point frame, written once: every rule reads it, most of them more than once."""
+    return t.kept("enriched", lambda: ru.enrich(t.tracks, t.airports))
 
 
 NEIGH = ", ".join(f"lag({x}) over w as p_{x}, lead({x}) over w as n_{x}" for x in ("ts", "lat", "lon", "alt", "gspeed", "track"))
@@ -43,11 +44,11 @@ query("g01_emergency_squawk", "select flight_id, ts, trim(squawk) as squawk from
 
 # The sample steps 9000 ft in 20 s, which the physics test rules out; climb limits of the
 # test are kept and the steps are slowed instead, so that real events remain.
-SLOW = "(select * replace (ts*3 - 2*1704067200 as ts) from tracks)"
+SLOW = "(select * replace (ts*3 - 3408134400 as ts) from tracks)"
 query("g02_altitude_change", E2.replace("from tracks t", f"from {SLOW} t") + """
 select flight_id, ts, round(alt-p_alt,2) as delta_ft, round((alt-p_alt)/(ts-p_ts),2) as rate_ft_per_s from e
 where not imp and ts-p_ts > 0 and ts-p_ts <= 60 and p_alt >= 10000 and abs(alt-p_alt) >= 4000 and not (alt <= 0 and p_alt > 500) and not (alt < 200 and gspeed > 200 and ap_nm > 3)""")(
-    lambda t: ru.altitude_change(ru.enrich(t.tracks.withColumn("ts", c("ts") * 3 - 2 * 1704067200), t.airports))
+    lambda t: ru.altitude_change(t.kept("slow", lambda: ru.enrich(t.tracks.withColumn("ts", c("ts") * 3 - 3408134400), t.airports)))
     .select("flight_id", "ts", "delta_ft", "rate_ft_per_s"))
 
 PROX = E2 + f""", q as (select a.flight_id, a.ts, b.flight_id as other, b.callsign as other_callsign, b.ts as bts, {sql_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as nm, abs(a.alt-b.alt) as da
@@ -64,8 +65,8 @@ where """ + sql_hav("a.lat", "a.lon", "b.lat", "b.lon") + " <= 4 and abs(a.alt-b
     .where(geo.haversine("a_lat", "a_lon", "b_lat", "b_lon") <= 4).groupBy(c("a_flight_id").alias("flight_id")).agg(F.count("*").alias("pairs")))
 
 # A field in the middle of the sample's departures and a second pass over it, so that the rule has something to find.
-FIELD = "select 90 as ord, 'XFLD' as code, cast(29.9 as double) as lat, cast(33.6 as double) as lon, 500 as elevation_ft"
-BACK = """select flight_id, ts, lat, lon, case when ts % 1000 < 300 then 800.0 + ts % 300 else alt end as alt, gspeed, vspeed, track, squawk, callsign, source from tracks"""
+FIELD = "select 90 as ord, 'XFLD' as code, cast(29.8 as double) as lat, cast(33.25 as double) as lon, 500 as elevation_ft"
+BACK = """select flight_id, ts, lat, lon, cast(case when ts % 1000 < 300 then 900 + abs(floor((ts % 1000)/20) - 3)*500 else alt end as double) as alt, gspeed, vspeed, track, squawk, callsign, source from tracks"""
 
 
 def _field(t):
@@ -83,14 +84,14 @@ query("g05_go_around", FE2 + f""", s as (select e.flight_id, e.ts, e.alt, e.trac
   max(alt) over (partition by flight_id, airport order by ts rows between unbounded preceding and 1 preceding) as mb, max(alt) over (partition by flight_id, airport order by ts rows between 1 following and unbounded following) as ma from s window w as (partition by flight_id, airport order by ts)),
  ok as (select * from k where n >= 3 and not imp and not coalesce(abs(alt-palt)/(ts-pts) > 200, false) and not coalesce(abs(nalt-alt)/(nts-ts) > 200, false) and alt-elev between -200 and 1650 and case airport {RUN_SQL} else true end and mb-alt >= 300 and ma-alt >= 800)
 select flight_id, airport, min_by(ts, (alt, ts)) as ts, min(alt) as min_alt_ft, round(min_by(ma-alt, (alt, ts)),1) as recovered_ft, round(min_by(mb-alt, (alt, ts)),1) as descent_into_low_ft from ok group by 1, 2""")(
-    lambda t: ru.go_around(ru.enrich(_back(t), _field(t)), _field(t)).select("flight_id", "airport", "ts", "min_alt_ft", "recovered_ft", "descent_into_low_ft"))
+    lambda t: ru.go_around(t.kept("back", lambda: ru.enrich(_back(t), _field(t))), _field(t)).select("flight_id", "airport", "ts", "min_alt_ft", "recovered_ft", "descent_into_low_ft"))
 
 query("g06_return_to_field", FE2 + f""", o as (select flight_id, min_by(ap_code, ts) as airport, min_by(ap_elev, ts) as elev, min_by(ap_lat, ts) as hlat, min_by(ap_lon, ts) as hlon, min_by(ap_nm, ts) as nm from e group by 1 having count(*) >= 4),
  p as (select e.*, o.airport, o.elev, {sql_hav('e.lat', 'e.lon', 'hlat', 'hlon')} as home from e join o on o.flight_id = e.flight_id where o.nm <= 10), k as (select flight_id, min(ts) as tk from p where alt >= elev + 750 group by 1),
  q as (select p.*, tk from p join k on k.flight_id = p.flight_id), m as (select flight_id, max(home) as out from q where ts >= tk group by 1),
  b as (select flight_id, min(ts) as landing_ts, min(tk) as takeoff_ts, min(airport) as airport from q where not imp and alt < elev + 800 and home <= 10 and ts-tk between 120 and 600 group by 1)
 select b.flight_id, airport, takeoff_ts, landing_ts, landing_ts-takeoff_ts as elapsed_s, round(out,4) as max_outbound_nm from b join m on m.flight_id = b.flight_id where out >= 3""")(
-    lambda t: ru.return_to_field(ru.enrich(_back(t), _field(t))).withColumn("max_outbound_nm", r4(c("max_outbound_nm"))))
+    lambda t: ru.return_to_field(t.kept("back", lambda: ru.enrich(_back(t), _field(t)))).withColumn("max_outbound_nm", r4(c("max_outbound_nm"))))
 
 LAST = f""" l as (select flight_id, max(ts) as ts, max_by(lat, ts) as lat, max_by(lon, ts) as lon from tracks group by 1),
  d as (select l.flight_id, l.ts, min_by(code, ({sql_hav('l.lat', 'l.lon', 'a.lat', 'a.lon')}, ord)) as code, min({sql_hav('l.lat', 'l.lon', 'a.lat', 'a.lon')}) as nm from l, airports a group by 1, 2)"""
@@ -124,15 +125,15 @@ query("c34_runway_alignment", "select flight_id, ts, airport, case airport " + R
 
 # -- learned layers from the sample itself
 def layer_set(t):
-    paths = ly.learn_paths(t.tracks, t.meta)
+    paths = t.kept("paths", lambda: ly.learn_paths(t.tracks, t.meta))
     turn = (t.extra.where("rule_id = 3").groupBy(c("airport").alias("id"))
             .agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.lit(4.0).alias("radius_nm")))
-    return paths, ly.tubes_from_paths(paths), turn
+    return paths, t.kept("tubes", lambda: ly.tubes_from_paths(paths)), t.kept("turns", lambda: turn)
 
 
 def _procedures(t):
     """Departure procedures: the first two vertices of each learned path."""
-    return ly.learn_paths(t.tracks, t.meta).withColumns({"centerline": F.slice("centerline", 1, 2), "kind": F.lit("sid"), "width_nm": F.lit(3.0)})
+    return layer_set(t)[0].withColumns({"centerline": F.slice("centerline", 1, 2), "kind": F.lit("sid"), "width_nm": F.lit(3.0)})
 
 
 PATHS_SQL = """with v as (select origin_airport as o, destination_airport as d, cast(floor((ts-first_seen_ts)/200) as bigint) as b, avg(lat) as lat, avg(lon) as lon, min(alt) as lo, max(alt) as hi, count(distinct t.flight_id) as n
@@ -186,7 +187,7 @@ query("d18_direct_corridors", OD_SQL + f""", m as (select o, d, {ID} as id, case
 select o as origin, d as destination, id from k where p = b union all select o, d, {ID} from od, l where not exists (select 1 from m where p is not null and m.o is not distinct from od.o and m.d is not distinct from od.d)""")(
     lambda t: ly.match_corridors(_od(t), _layer(t)).select("origin", "destination", "id"))
 query("d17_nearby_corridors", PATHS_SQL + f""", pt as (select flight_id as pid, max_by(lat, ts) as lat, max_by(lon, ts) as lon from tracks group by 1),
- q as (select pid, 'P_'||coalesce(o,'UNK')||'_'||coalesce(d,'UNK') as id, min({sql_hav('pt.lat', 'pt.lon', 'v.lat', 'v.lon')}) as nm from pt, v group by 1, 2)
+ q as (select pid, 'P_'||coalesce(o,'UNK')||'_'||coalesce(d,'UNK') as id, round(min({sql_hav('pt.lat', 'pt.lon', 'v.lat', 'v.lon')}),6) as nm from pt, v group by 1, 2)
 select pid, id, round(nm,3) as nm, rank from (select *, row_number() over (partition by pid order by nm, id) as rank from q where nm <= 30) where rank <= 3""")(
     lambda t: ly.nearby_corridors(t.tracks.groupBy(c("flight_id").alias("pid")).agg(F.max_by("lat", "ts").alias("lat"), F.max_by("lon", "ts").alias("lon")),
                                   layer_set(t)[0]).withColumn("nm", F.round("nm", 3)))

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators.windows import sliced_row_number
+from wayfold.operators.windows import cut, sliced_row_number
 
 BASE = ("region nation customer supplier part orders lineitem events documents "
         "embeddings pages benchmark labels conversations").split()
@@ -140,6 +140,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, build) -> DataFrame:
+        """A derived frame that several branches read: built once, lineage cut by a checkpoint."""
+        if name not in self._kept:
+            self._kept[name] = cut(build())
+        return self._kept[name]
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
