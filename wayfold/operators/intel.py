@@ -88,7 +88,7 @@ def tanker_activity(facts: DataFrame, tracks: DataFrame, areas) -> DataFrame:
 
 
 def tempo_hours(facts: DataFrame, countries: list[str]) -> DataFrame:
-    n = mil(facts).groupBy(keys.hour_of("first_seen_ts").alias("hour")).pivot("country", countries).agg(F.count("*"))
+    n = mil(facts).groupBy(keys.hour_of("first_seen_ts").alias("hour")).pivot("country", countries).agg(F.count(F.lit(1)))
     return on_spine(spine(facts.sparkSession, 0, 23, "hour"), n, "hour", countries)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["core_queries", "stats_queries", "sequence_queries", "rules_queries", "intel_queries"]
+FAMILIES = ["core_queries", "stats_queries", "sequence_queries", "rules_queries", "intel_queries", "stream_queries",
+            "model_queries"]
 
 
 def load_all() -> None:

@@ -62,8 +62,8 @@ query("s25_recent_tracks", f"with f as (select flight_id, country, row_number()
 query("s26_military_patterns")(lambda t: it.military_patterns(t.tracks, t.facts, sq.flight_patterns(t.tracks)))
 query("s18_interference_correlation", ICELL + "select count(*) as cells, count(*) filter (where intensity >= 40) as severe, round(least(100, avg(intensity)*1.5),2) as score from ic")(
     lambda t: it.interference_correlation(sp.interference_cells(sp.flight_interference(t.tracks, t.airports), limit=None)))
-query("s19_operator_proximity", "with l as (select t.*, f.country from tracks t join flight_facts f on f.flight_id = t.flight_id where " + MIL + f"), p as (select a.flight_id as f1, b.flight_id as f2, a.country as c1, b.country as c2, a.ts as t1, b.ts as t2, {sql_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as nm from l a join l b on a.flight_id < b.flight_id and a.country <> b.country and b.ts between a.ts-300 and a.ts+300), k as (select f1, f2, least(min(c1),min(c2))||'-'||greatest(min(c1),min(c2)) as pair, round(min(nm),1) as min_nm, cast(floor(min_by(t1+t2, (nm, t1, t2))/2) as bigint) as ts from p where nm <= 50 group by 1, 2) select *, case when min_nm < 5 then 'critical' when min_nm < 15 then 'high' when min_nm < 30 then 'medium' else 'low' end as severity from k")(
-    lambda t: it.operator_proximity(t.tracks.select("flight_id", "ts", "lat", "lon").join(it.mil(t.facts).select("flight_id", "country"), "flight_id")))
+query("s19_operator_proximity", f"with l as (select t.*, f.country from tracks t join flight_facts f on f.flight_id = t.flight_id where airline in ('RCH','ELY')), p as (select a.flight_id as f1, b.flight_id as f2, a.country as c1, b.country as c2, a.ts as t1, b.ts as t2, {sql_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as nm from l a join l b on a.flight_id < b.flight_id and a.country <> b.country and b.ts between a.ts-300 and a.ts+300), k as (select f1, f2, least(min(c1),min(c2))||'-'||greatest(min(c1),min(c2)) as pair, round(min(nm),1) as min_nm, cast(floor(min_by(t1+t2, (nm, t1, t2))/2) as bigint) as ts from p where nm <= 50 group by 1, 2) select *, case when min_nm < 5 then 'critical' when min_nm < 15 then 'high' when min_nm < 30 then 'medium' else 'low' end as severity from k")(
+    lambda t: it.operator_proximity(t.tracks.select("flight_id", "ts", "lat", "lon").join(t.facts.where("airline in ('RCH', 'ELY')").select("flight_id", "country"), "flight_id")))
 
 
 def _similar(t):
@@ -228,9 +228,9 @@ query("d09_nearest_within_radius", f"with d as (select t.flight_id, ts, alt, rou
     .join(t.meta.where("origin_airport = 'LCLK'").select("flight_id"), "flight_id", "left_semi")
     .withColumn("km", F.round(geo.haversine("lat", "lon", 30.5, 33.6, 6371.0), 9)).where("km <= 30")
     .groupBy("flight_id").agg(F.min_by("ts", F.struct("km", "ts")).alias("ts"), r4(F.min("km")).alias("km")))
-query("d11_key_anti_join", f"with a as (select distinct substr(callsign,1,3)||origin_airport as k from flight_metadata where first_seen_ts < {T0 + 2400}), b as (select distinct substr(callsign,1,3)||origin_airport as k from flight_metadata where first_seen_ts >= {T0 + 2400}) select k, 'stopped' as side from a where k not in (select k from b) union all select k, 'started' from b where k not in (select k from a)")(
+query("d11_key_anti_join", f"with a as (select distinct substr(callsign,1,3)||origin_airport||aircraft_type||coalesce(destination_airport,'') as k from flight_metadata where first_seen_ts < {T0 + 2400}), b as (select distinct substr(callsign,1,3)||origin_airport||aircraft_type||coalesce(destination_airport,'') as k from flight_metadata where first_seen_ts >= {T0 + 2400}) select k, 'stopped' as side from a where k not in (select k from b) union all select k, 'started' from b where k not in (select k from a)")(
     lambda t: (lambda a, b: a.join(b, "k", "left_anti").withColumn("side", F.lit("stopped")).unionAll(b.join(a, "k", "left_anti").withColumn("side", F.lit("started"))))(
-        *[t.meta.where(w).select(F.concat(F.substring("callsign", 1, 3), "origin_airport").alias("k")).distinct() for w in (f"first_seen_ts < {T0 + 2400}", f"first_seen_ts >= {T0 + 2400}")]))
+        *[t.meta.where(w).select(F.concat(F.substring("callsign", 1, 3), "origin_airport", "aircraft_type", F.coalesce("destination_airport", F.lit(""))).alias("k")).distinct() for w in (f"first_seen_ts < {T0 + 2400}", f"first_seen_ts >= {T0 + 2400}")]))
 query("d12_rule_overlap", "select flight_id, count(distinct rule_id) filter (where rule_id in (1,8)) as n from rule_hits group by 1 having count(*) filter (where rule_id in (1,8)) > 0")(
     lambda t: t.hits.groupBy("flight_id").agg(F.collect_set("rule_id").alias("r")).where(F.arrays_overlap("r", F.array(F.lit(1), F.lit(8))))
     .select("flight_id", F.size(F.array_intersect("r", F.array(F.lit(1), F.lit(8)))).cast("bigint").alias("n")))
