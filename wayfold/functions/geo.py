@@ -123,24 +123,29 @@ def polyline_distance(plat, plon, line) -> Column:
     pairs = F.arrays_zip(F.slice(line, 1, F.size(line) - 1).alias("p"),
                          F.slice(line, 2, F.size(line) - 1).alias("q"))
 
-    def measure(e, i):
+    def measure(e):
         ay, ax = e["p"]["lat"] * 60.0, e["p"]["lon"] * 60.0 * k
         dy, dx = (e["q"]["lat"] - e["p"]["lat"]) * 60.0, (e["q"]["lon"] - e["p"]["lon"]) * 60.0 * k
         len2 = dy * dy + dx * dx
         t = F.when(len2 == 0, F.lit(0.0)).otherwise(
             F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((py - ay) * dy + (px - ax) * dx) / len2)))
         ey, ex = py - (ay + t * dy), px - (ax + t * dx)
-        return F.struct(F.sqrt(ey * ey + ex * ex).alias("d"), i.alias("i"),
-                        t.alias("t"), F.sqrt(len2).alias("len"))
-
-    segs = F.transform(pairs, measure)
-    best = F.array_min(segs)
-    before = F.aggregate(F.filter(segs, lambda s: s["i"] < best["i"]), F.lit(0.0),
-                         lambda acc, s: acc + s["len"])
-    total = F.aggregate(segs, F.lit(0.0), lambda acc, s: acc + s["len"])
-    pos = (before + best["t"] * best["len"]) / F.when(total == 0, F.lit(1.0)).otherwise(total)
-    return F.when(F.size(line) >= 2,
-                  F.struct(best["d"].alias("distance_nm"), pos.alias("position")))
+        return F.struct(F.sqrt(ey * ey + ex * ex).alias("d"), t.alias("t"), F.sqrt(len2).alias("len"))
+
+    # One pass over measured segments: least distance so far, where it lies, length walked.
+    start = F.struct(F.lit(float("inf")).alias("d"), F.lit(0.0).alias("at"), F.lit(0.0).alias("len"))
+
+    def walk(acc, s):
+        nearer = s["d"] < acc["d"]
+        return F.struct(F.when(nearer, s["d"]).otherwise(acc["d"]).alias("d"),
+                        F.when(nearer, acc["len"] + s["t"] * s["len"]).otherwise(acc["at"]).alias("at"),
+                        (acc["len"] + s["len"]).alias("len"))
+
+    def finish(acc):
+        return F.struct(acc["d"].alias("distance_nm"),
+                        (acc["at"] / F.when(acc["len"] == 0, F.lit(1.0)).otherwise(acc["len"])).alias("position"))
+
+    return F.when(F.size(line) >= 2, F.aggregate(F.transform(pairs, measure), start, walk, finish))
 
 
 def corridor(line, radius_nm) -> Column:

@@ -298,7 +298,7 @@ def off_course_points(pts: DataFrame, meta: DataFrame, tubes: DataFrame, paths:
     tube = (use.join(inside, ["flight_id", "ts"]).select(
         "flight_id", "ts", "lat", "lon", "path_id", F.lit(0.0).alias("distance_nm"), F.lit(0.5).alias("position"),
         F.lit(True).alias("on_path"), F.lit("tube").alias("method"), F.lit(False).alias("far")))
-    both = in_active_cell(judged.unionByName(tube), heat)
+    both = cut(in_active_cell(judged.unionByName(tube), heat))
     return both.withColumn("wrong_region", ~c("on_path") & ~c("active")).drop("active")
 
 
@@ -325,17 +325,19 @@ def emerging_paths(far: DataFrame, tracks: DataFrame, bucket: int = C.PATHS["buc
     The signature is compared through order-free sums over its bins, so no flight's bins
     are gathered. Flights count in order of their first far point.
     """
+    far = cut(far)                  # read three times below
     b = heading_bins(far)
     sig = b.groupBy("flight_id").agg(F.count("*").alias("s0"), F.sum(F.xxhash64("bin", "code").cast("decimal(38,0)")).alias("s1"),
                                      F.sum(F.xxhash64("code", "bin").cast("decimal(38,0)")).alias("s2"))
     when = far.groupBy("flight_id").agg(F.min("ts").alias("first_ts"))
     f = sig.join(when, "flight_id").withColumn("_sig", F.concat_ws(":", "s0", "s1", "s2")).withColumn("_sl", F.floor(c("first_ts") / C.SLICE_S))
     hits = sliced_row_number(f, "_sig", "_sl", ["first_ts", "flight_id"], "_n").where(c("_n") % bucket == 0).select("flight_id", c("_n").alias("num_flights"))
-    own = tracks.join(hits.select("flight_id"), "flight_id", "left_semi")
+    hits = cut(hits)
+    own = cut(tracks.join(hits.select("flight_id"), "flight_id", "left_semi"))
     way = resample_by_distance(own, n)
     # n waypoints per promoted flight: a bounded list.
     line = F.transform(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon"))), lambda s: F.struct(s["lat"].alias("lat"), s["lon"].alias("lon")))
-    paths = way.groupBy("flight_id").agg(line.alias("centerline"))
+    paths = cut(way.groupBy("flight_id").agg(line.alias("centerline")))
     width = (own.join(paths, "flight_id").withColumn("d", geo.polyline_distance("lat", "lon", "centerline")["distance_nm"])
              .groupBy("flight_id").agg(F.greatest(F.stddev_pop("d"), F.lit(2.0)).alias("width_nm")))
     return paths.join(width, "flight_id").join(hits, "flight_id")

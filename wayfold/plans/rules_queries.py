@@ -203,11 +203,10 @@ query("g17_emerging_paths")(lambda t: _g17(t))
 
 
 def _g17(t):
-    # Without tubes and with narrow paths most points are far, so signatures repeat.
+    # Far points of every flight, judged without tubes. One heading for all makes signatures repeat.
     paths, tubes, _ = layer_set(t)
     pts = ly.off_course_points(enriched(t), t.meta, tubes.where("false"), paths, None)
-    far = pts.where("far").join(t.tracks.select("flight_id", "ts", F.lit(90.0).alias("track")), ["flight_id", "ts"])
-    far = far.groupBy("flight_id").agg(F.min("ts").alias("ts"), F.first("track").alias("track"))
+    far = pts.where("far").groupBy("flight_id").agg(F.min("ts").alias("ts")).withColumn("track", F.lit(90.0))
     return ly.emerging_paths(far, t.tracks).select("flight_id", F.round("width_nm", 4).alias("width_nm"), "num_flights", F.size("centerline").alias("vertices"))
 
 
