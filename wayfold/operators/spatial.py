@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo, keys
 from wayfold.operators.nearest import within_any
 from wayfold.operators.sequence import SPOOFED_FT, burst_clusters, deltas, oscillates, signal_gaps
+from wayfold.operators.windows import cut
 
 
 def _with_max(df: DataFrame, **maxima: str) -> DataFrame:
-    """Attach global maxima of a cell frame as columns, without one global window task."""
+    """Attach global maxima of a cell frame as columns, without one global window task.
+
+    The cells (bounded by the grid) are written once, or the scan behind them would run twice.
+    """
+    df = cut(df)
     m = df.agg(*[F.max(c).alias(n) for n, c in maxima.items()]).withColumn("_k", F.lit(1))
     return df.withColumn("_k", F.lit(1)).join(F.broadcast(m), "_k").drop("_k")     # m is one row
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.operators import layers as ly, models as mo, sequence as sq
-from wayfold.plans.registry import query
+from wayfold.plans.registry import query, sql_delta, sql_hav
 
 c = F.col
 
@@ -34,3 +34,15 @@ query("k04_flow_reconstruction")(lambda t: mo.reconstruction(_flows(t))[0])
 query("k05_scored_with_flow")(lambda t: mo.reconstruction(_flows(t))[0].select("flight_id", "flow", "is_anomaly", F.round("severity", 6).alias("severity")))
 query("k06_point_errors")(lambda t: mo.map_to_points(t.tracks, mo.reconstruction(_flows(t))[1]))
 query("k07_global_reconstruction")(lambda t: mo.reconstruction(_flows(t), quantile=0.99, per_flow=False)[0])
+
+
+def _u01(t):
+    """The public functions called from plain SQL."""
+    from wayfold.functions.sql import register
+    register(t.spark)
+    return t.spark.sql("select flight_id, ts, round(haversine_nm(lat, lon, 32.011389, 34.886667), 4) as nm, heading_delta(track, 90) as delta, "
+                       "flight_phase(alt, vspeed) as phase from {x}", x=t.tracks)
+
+
+query("u01_sql_functions", f"select flight_id, ts, round({sql_hav('lat', 'lon', '32.011389', '34.886667')},4) as nm, {sql_delta('track', '90')} as delta, "
+      "case when alt < 1000 then 'ground' when vspeed > 400 then 'climb' when vspeed < -400 then 'descent' else 'cruise' end as phase from tracks")(_u01)
