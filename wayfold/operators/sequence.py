@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayfold import config as C
 from wayfold.functions import geo, keys
 from wayfold.operators.nearest import nearest_airport, within_any
-from wayfold.operators.windows import (cut, running_sum, sliced_row_number, shifted_rows, with_halo,
+from wayfold.operators.windows import (cut, exact_quantiles, running_sum, sliced_row_number, shifted_rows, with_halo,
                                        with_neighbours, with_slice, SLICE)
 
 
@@ -106,14 +106,15 @@ SERIES = ["alt", "gspeed", "vspeed", "climb_rate", "speed_accel", "vert_accel",
 
 def flight_features(features: DataFrame) -> DataFrame:
     """One row per flight: six moments of eleven series, phase shares."""
+    features = cut(features)        # read by the moments and by the quantiles
     aggs = [(F.max("ts") - F.min("ts")).alias("duration"), F.count("*").alias("num_points")]
     for c in SERIES:
-        q = F.percentile(c, F.array(F.lit(0.05), F.lit(0.95)))
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"),
-                 F.max(c).alias(f"{c}_max"), q.getItem(1).alias(f"{c}_q95"), q.getItem(0).alias(f"{c}_q05")]
+                 F.max(c).alias(f"{c}_max")]
     aggs += [F.avg(F.when(F.col("phase") == p, 1.0).otherwise(0.0)).alias(f"phase_{p}_pct")
              for p in ("ground", "climb", "descent", "cruise")]
-    return features.groupBy("flight_id").agg(*aggs)
+    moments = features.groupBy("flight_id").agg(*aggs)
+    return moments.join(exact_quantiles(features, "flight_id", SERIES, [0.05, 0.95]), "flight_id")
 
 
 def flight_summary(tracks: DataFrame, extended: bool = False) -> DataFrame:

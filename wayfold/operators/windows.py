@@ -142,3 +142,36 @@ def cut(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="spark-ckpt-")
         sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+def exact_quantiles(df: DataFrame, key: str, cols: list[str], probs: list[float], buckets: int = 256) -> DataFrame:
+    """Linear-interpolated quantiles per key as columns {col}_q{NN}, exact, without one task per key.
+
+    Values are counted first, then cut into equal-width buckets between the key's least
+    and greatest value. Ranks are the count of earlier buckets plus a running count
+    inside the bucket, so only one bucket of one key is ever ordered in one task.
+    """
+    stat = df.groupBy(key).agg(*[f(c).alias(f"{p}_{c}") for c in cols for p, f in (("lo", F.min), ("hi", F.max), ("n", F.count))])
+    per = stat.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(f"lo_{c}").cast("double").alias("lo"),
+                                                        F.col(f"hi_{c}").cast("double").alias("hi"), F.col(f"n_{c}").alias("n"))
+                                               for i, c in enumerate(cols)])).alias("x")).select(key, "x.*")
+    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(c).cast("double").alias("v"))
+                                              for i, c in enumerate(cols)])).alias("x")).select(key, "x.*").where("v is not null")
+    share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets
+    b = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(buckets - 1), F.floor(share))).otherwise(0).cast("int")
+    j = cut(long.groupBy(key, "s", "v").agg(F.count("*").alias("c")).join(per, [key, "s"]).withColumn("b", b))
+    before = F.sum("t").over(Window.partitionBy(key, "s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    base = j.groupBy(key, "s", "b").agg(F.sum("c").alias("t")).select(key, "s", "b", F.coalesce(before, F.lit(0)).alias("base"))
+    run = F.sum("c").over(Window.partitionBy(key, "s", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    r = j.withColumn("run", run).join(base, [key, "s", "b"])
+    end = F.col("base") + F.col("run")
+    at = lambda k: (end - F.col("c") <= k) & (k < end)
+    aggs, out = [], []
+    for i, c in enumerate(cols):
+        for p in probs:
+            k, name = (F.col("n") - 1) * p, f"{c}_q{round(p * 100):02d}"
+            mine = F.col("s") == i
+            aggs += [F.max(F.when(mine & at(F.floor(k)), F.col("v"))).alias(f"a_{name}"), F.max(F.when(mine & at(F.ceil(k)), F.col("v"))).alias(f"z_{name}"),
+                     F.max(F.when(mine, k - F.floor(k))).alias(f"f_{name}")]
+            out.append((F.col(f"a_{name}") + (F.col(f"z_{name}") - F.col(f"a_{name}")) * F.col(f"f_{name}")).alias(name))
+    return r.groupBy(key).agg(*aggs).select(key, *out)
