@@ -198,6 +198,9 @@ COLS = ["flight_id", "ts", "lat", "lon", "alt", "gspeed", "track", "ap_nm", "ap_
 
 def _scan(pts: DataFrame, finder, ahead: int) -> DataFrame:
     sliced = with_halo(pts.select(*COLS), before=0, after=ahead)
+    # The scan costs far more than its bytes: keep one task per shuffle partition, where
+    # AQE would merge small ones. The grouped map needs this very partitioning anyway.
+    sliced = sliced.repartition(int(pts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "flight_id", SLICE)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")

@@ -198,6 +198,18 @@ select t.flight_id, t.ts, exists (select 1 from z where {sql_hav('t.lat', 't.lon
 query("g12_tube_membership")(lambda t: ly.tube_membership(t.tracks, layer_set(t)[1]))
 query("g14_known_procedure")(lambda t: ly.points_on_procedure(t.tracks, _procedures(t)))
 query("g03_turns")(lambda t: turns.turn_events(ly.mark_known_places(enriched(t), layer_set(t)[0], _procedures(t), layer_set(t)[2])))
+CIRCLING = """select flight_id, cast(1704067200 + floor((ts - 1704067200) / 4) as bigint) as ts,
+ 30.0D + 0.019D * sin(radians(pmod(track * 5, 360))) as lat, 33.0D - 0.019D * cos(radians(pmod(track * 5, 360))) / cos(radians(30.0D)) as lon,
+ 15000.0D as alt, 220.0D as gspeed, vspeed, pmod(track * 5, 360) as track, squawk, callsign, source from {x}"""
+
+
+def _circling(t):
+    """The sample's flights set on circles of their own heading, five seconds a point, so that orbits occur."""
+    pts = ru.enrich(t.spark.sql(CIRCLING, x=t.tracks), t.airports).withColumns({"in_turn": F.lit(False), "known_place": F.lit(False)})
+    return turns.turn_events(pts)
+
+
+query("g03_circling_sample")(_circling)
 query("g11_off_course")(lambda t: ly.off_course(ly.off_course_points(enriched(t), t.meta, layer_set(t)[1], layer_set(t)[0], ly.heat_cells(t.tracks))))
 query("g17_emerging_paths")(lambda t: _g17(t))
 
