@@ -112,13 +112,17 @@ def tempo_trend(facts: DataFrame) -> DataFrame:
     return t.select("country", F.when(c("b") > c("a") * 1.3, "increasing").when(c("b") < c("a") * 0.7, "decreasing").otherwise("stable").alias("trend"))
 
 
-def readiness(tempo: DataFrame, spikes: DataFrame, trend: DataFrame) -> DataFrame:
-    """Level per country from volume, spikes and trend. ``tempo``: country, flights."""
-    s = spikes.groupBy("country").agg(F.count("*").alias("spikes"))
-    j = tempo.join(s, "country", "left").join(trend, "country", "left").withColumn("spikes", F.coalesce("spikes", F.lit(0)))
-    lvl = (F.when((c("flights") > 50) & (c("trend") == "increasing"), "high").when((c("flights") > 20) | (c("spikes") > 2), "elevated")
-           .when(c("flights") > 5, "normal").otherwise("low"))
-    return j.withColumn("level", lvl)
+def readiness(flights: DataFrame, spikes: DataFrame, trend: DataFrame, watch: str = "RU") -> DataFrame:
+    """One row: score from flight volume, number of spikes and the trend of one watched country."""
+    one = lambda d: d.withColumn("_k", F.lit(1))
+    n = flights.agg(F.count("*").alias("flights"))
+    k = spikes.agg(F.count("*").alias("spikes"))
+    t = trend.agg(F.coalesce(F.max(F.when(c("country") == watch, c("trend"))), F.lit("stable")).alias("trend"))
+    score = (F.when(c("flights") > 100, 30).when(c("flights") > 50, 20).when(c("flights") > 20, 10).otherwise(0)
+             + F.when(c("spikes") > 5, 25).when(c("spikes") > 2, 15).otherwise(0) + F.when(c("trend") == "increasing", 25).otherwise(0))
+    s = c("score")
+    level = F.when(s >= 70, "IMMINENT").when(s >= 50, "HIGH").when(s >= 35, "ELEVATED").when(s >= 20, "MODERATE").otherwise("LOW")
+    return one(n).join(one(k), "_k").join(one(t), "_k").drop("_k").withColumn("score", score).withColumn("level", level)
 
 
 def composite(interference: DataFrame, readiness_: DataFrame, conflicts: DataFrame, losses: DataFrame) -> DataFrame:
@@ -206,6 +210,22 @@ def similar_flights(tracks: DataFrame, target: DataFrame, candidates: DataFrame,
             .select("flight_id", "near_points", "similarity").orderBy(F.desc("similarity"), "flight_id").limit(k))
 
 
+def live_status(tracks: DataFrame, last: int = 10) -> DataFrame:
+    """Phase of flight from the last points: altitude band, then the change over them."""
+    w = Window.partitionBy("flight_id").orderBy(F.desc("ts"))
+    p = tracks.select("flight_id", "ts", F.coalesce("alt", F.lit(0.0)).alias("alt")).withColumn("_r", F.row_number().over(w)).where(c("_r") <= last)
+    g = p.groupBy("flight_id").agg(F.max_by("alt", "ts").alias("a"), (F.max_by("alt", "ts") - F.min_by("alt", "ts")).alias("d"), F.count("*").alias("n"))
+    a, d = c("a"), c("d")
+
+    def by_change(limit, up, down, level):
+        return F.when(d > limit, up).when(d < -limit, down).otherwise(level)
+
+    single = F.when(a > 25000, "CRUISE").when(a > 10000, "CLIMB").when(a < 3000, "APPROACH").otherwise("UNKNOWN")
+    status = (F.when(c("n") < 2, single).when(a < 1000, "GROUND").when(a < 5000, by_change(500, "TAKEOFF", "LANDING", "APPROACH"))
+              .when(a < 15000, by_change(1000, "CLIMB", "DESCENT", "APPROACH")).otherwise(by_change(500, "CLIMB", "DESCENT", "CRUISE")))
+    return g.select("flight_id", status.alias("status"))
+
+
 # -- behaviour score
 ZONES = [("Zone A", 31.0, 34.0, 10.0, "critical", "area"), ("Zone B", 30.2, 33.4, 15.0, "high", "area"), ("Field T", 32.0, 34.9, 20.0, "medium", "airport_tma")]
 

@@ -51,8 +51,11 @@ query("e78_tempo_spikes", TEMPO + " select country, date, count, round((count-m)
     lambda t: it.tempo_spikes(_tempo(t)))
 TREND = f"with d as (select country, cast(floor((first_seen_ts + (n*n%13)*(n%2)*86400)/86400) as int) as day, count(*) as k from flight_facts group by 1, 2), s as (select min(day) as d0, max(day) as d1 from d), a as (select country, coalesce(sum(k) filter (where day <= (d0+d1)/2),0)/((max(d1)-min(d0)+1)/2) as a, coalesce(sum(k) filter (where day > (d0+d1)/2),0)/((max(d1)-min(d0)+1)/2) as b from d, s group by 1), tr as (select country, case when b > a*1.3 then 'increasing' when b < a*0.7 then 'decreasing' else 'stable' end as trend from a)"
 query("e78_tempo_trend", TREND + " select * from tr")(lambda t: it.tempo_trend(_tempo(t)))
-query("s24_readiness", TREND + ", v as (select country, count(*) as flights from flight_facts group by 1), sp as (select country, count(*) as spikes from (select country, count, avg(count) over (partition by country) as m from (select country, day, sum(k) as count from d group by 1, 2)) where count >= 5 and count > m*1.5 and m >= 2 group by 1) select v.country, flights, coalesce(spikes,0) as spikes, trend, case when flights > 50 and trend = 'increasing' then 'high' when flights > 20 or coalesce(spikes,0) > 2 then 'elevated' when flights > 5 then 'normal' else 'low' end as level from v left join sp on sp.country = v.country left join tr on tr.country = v.country")(
-    lambda t: it.readiness(_tempo(t).groupBy("country").agg(F.count("*").alias("flights")), it.tempo_spikes(_tempo(t), 1000), it.tempo_trend(_tempo(t))))
+query("s24_readiness", TREND + """, sp as (select count(*) as spikes from (select country, count, avg(count) over (partition by country) as m from (select country, day, sum(k) as count from d group by 1, 2)) where count >= 5 and count > m*1.5 and m >= 2),
+ j as (select (select count(*) from flight_facts) as flights, least(spikes, 20) as spikes, coalesce((select trend from tr where country = 'RU'),'stable') as trend from sp),
+ q as (select *, case when flights > 100 then 30 when flights > 50 then 20 when flights > 20 then 10 else 0 end + case when spikes > 5 then 25 when spikes > 2 then 15 else 0 end + case when trend = 'increasing' then 25 else 0 end as score from j)
+select *, case when score >= 70 then 'IMMINENT' when score >= 50 then 'HIGH' when score >= 35 then 'ELEVATED' when score >= 20 then 'MODERATE' else 'LOW' end as level from q""")(
+    lambda t: it.readiness(it.mil(_tempo(t)), it.tempo_spikes(_tempo(t)), it.tempo_trend(_tempo(t))))
 query("e79_pattern_clusters", f"with x as (select flight_id, avg(lat) as la, avg(lon) as lo, min(rule_id) as r from rule_hits group by 1) select {sql_cell('la', 0.5)} as lat, {sql_cell('lo', 0.5)} as lon, count(*) as occurrences, string_agg(distinct cast(r as varchar), ',' order by cast(r as varchar)) as rules from x group by 1, 2 having count(*) >= 2")(
     lambda t: it.pattern_clusters(t.hits))
 query("e80_region_routes", f"with e as (select f.country, min_by(t.lat, t.ts) as a, min_by(t.lon, t.ts) as b, max_by(t.lat, t.ts) as cc, max_by(t.lon, t.ts) as d from tracks t join flight_facts f on f.flight_id = t.flight_id where {MIL} group by t.flight_id, f.country), n as (select country, {BOX_CASE('a', 'b')} as origin, {BOX_CASE('cc', 'd')} as destination, count(*) as flights from e group by 1, 2, 3) select * from (select *, row_number() over (partition by country order by flights desc, origin, destination) as rank from n) where rank <= 5")(
@@ -238,18 +241,11 @@ query("d13_exists", "select flight_id, airline from flight_metadata m where exis
     lambda t: t.meta.join(t.hits.where("rule_id = 8").select("flight_id", c("airport").alias("origin_airport")), ["flight_id", "origin_airport"], "left_semi").select("flight_id", "airline"))
 query("d14_correlated_counts", "select m.flight_id, (select count(*) from tracks t where t.flight_id = m.flight_id) as points, (select max(ts) from tracks t where t.flight_id = m.flight_id) as last_ts from flight_metadata m")(
     lambda t: t.meta.select("flight_id").join(t.tracks.groupBy("flight_id").agg(F.count("*").alias("points"), F.max("ts").alias("last_ts")), "flight_id", "left"))
-query("c33_live_status")(lambda t: _c33(t))
-
-
-def _c33(t):
-    """Status from the last ten points: altitude, its change and the vertical speed."""
-    from pyspark.sql import Window
-    p = t.tracks.withColumn("_r", F.row_number().over(Window.partitionBy("flight_id").orderBy(F.desc("ts")))).where(c("_r") <= 10)
-    g = p.groupBy("flight_id").agg(F.max_by("alt", "ts").alias("a1"), F.min_by("alt", "ts").alias("a0"), F.avg("vspeed").alias("vs"), F.max_by("gspeed", "ts").alias("sp"))
-    d = c("a1") - c("a0")
-    status = (F.when((c("a1") < 300) & (c("sp") < 50), "GROUND").when((c("a1") < 3000) & (d > 300), "TAKEOFF").when((c("a1") < 1500) & (d < -300), "LANDING")
-              .when((c("a1") < 6000) & (d < -300), "APPROACH").when(d > 500, "CLIMB").when(d < -500, "DESCENT").otherwise("CRUISE"))
-    return g.select("flight_id", status.alias("status"))
+query("c33_live_status", """
+with r as (select *, row_number() over (partition by flight_id order by ts desc) as r from tracks), g as (select flight_id, max_by(alt, ts) as a, max_by(alt, ts) - min_by(alt, ts) as d, count(*) as n from r where r <= 10 group by 1)
+select flight_id, case when n < 2 then case when a > 25000 then 'CRUISE' when a > 10000 then 'CLIMB' when a < 3000 then 'APPROACH' else 'UNKNOWN' end when a < 1000 then 'GROUND'
+ when a < 5000 then case when d > 500 then 'TAKEOFF' when d < -500 then 'LANDING' else 'APPROACH' end when a < 15000 then case when d > 1000 then 'CLIMB' when d < -1000 then 'DESCENT' else 'APPROACH' end
+ when d > 500 then 'CLIMB' when d < -500 then 'DESCENT' else 'CRUISE' end as status from g""")(lambda t: it.live_status(t.tracks))
 
 
 query("c26_report_json", "select flight_id, is_anomaly, severity_cnn as sev, n_events as events from reports")(
