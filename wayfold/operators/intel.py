@@ -103,13 +103,21 @@ def tempo_spikes(facts: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def tempo_trend(facts: DataFrame) -> DataFrame:
-    """First against second half of the observed days, per country."""
+    """First against second half of the observed days per country, checked against the last week."""
     d = mil(facts).groupBy("country", keys.day_number("first_seen_ts").alias("day")).agg(F.count("*").alias("n"))
-    span = d.agg(F.min("day").alias("d0"), F.max("day").alias("d1")).withColumn("_k", F.lit(1))
-    j = d.withColumn("_k", F.lit(1)).join(F.broadcast(span), "_k").withColumn("late", c("day") > (c("d0") + c("d1")) / 2)
-    half = lambda cond: F.coalesce(F.sum(F.when(cond, c("n"))), F.lit(0)) / ((F.max("d1") - F.min("d0") + 1) / 2)
-    t = j.groupBy("country").agg(half(~c("late")).alias("a"), half(c("late")).alias("b"))
-    return t.select("country", F.when(c("b") > c("a") * 1.3, "increasing").when(c("b") < c("a") * 0.7, "decreasing").otherwise("stable").alias("trend"))
+    # One row per observed day: numbering them is a small sort.
+    days = d.select("day").distinct().withColumns({"_r": F.row_number().over(Window.orderBy("day")), "_n": F.count("*").over(Window.partitionBy())})
+    j = d.join(days, "day")
+    n = F.max("_n")
+    mid, week = F.floor(n / 2), F.least(n, F.lit(7))
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, c("n"))), F.lit(0))
+    t = j.groupBy("country").agg(
+        n.alias("days"), F.try_divide(total(c("_r") <= F.floor(c("_n") / 2)), mid).alias("a"), (total(c("_r") > F.floor(c("_n") / 2)) / (n - mid)).alias("b"),
+        (total(c("_r") > c("_n") - F.least(c("_n"), F.lit(7))) / week).alias("last"), (total(F.lit(True)) / n).alias("mean"))
+    a, b, last = c("a"), c("b"), c("last")
+    trend = (F.when(c("days") < 4, "stable").when(b > a * 1.3, F.when(last < b * 0.5, "decreasing").otherwise("increasing"))
+             .when(b < a * 0.7, "decreasing").when(last < c("mean") * 0.5, "decreasing").otherwise("stable"))
+    return t.select("country", trend.alias("trend"))
 
 
 def readiness(flights: DataFrame, spikes: DataFrame, trend: DataFrame, watch: str = "RU") -> DataFrame:
@@ -131,7 +139,8 @@ def composite(interference: DataFrame, readiness_: DataFrame, conflicts: DataFra
     j = (one(interference, "interference").join(one(readiness_, "activity"), "_k").join(one(conflicts, "conflicts"), "_k").join(one(losses, "losses"), "_k"))
     s = F.round(c("interference") * 0.30 + c("activity") * 0.25 + c("conflicts") * 0.20 + c("losses") * 0.25, 2)
     return j.drop("_k").withColumn("score", s).withColumn(
-        "level", F.when(c("score") >= 75, "critical").when(c("score") >= 50, "high").when(c("score") >= 25, "moderate").otherwise("low"))
+        "level", F.when(c("score") >= 80, "CRITICAL").when(c("score") >= 60, "HIGH").when(c("score") >= 40, "ELEVATED")
+        .when(c("score") >= 20, "MODERATE").otherwise("LOW"))
 
 
 def interference_correlation(cells: DataFrame) -> DataFrame:

@@ -49,7 +49,11 @@ def _tempo(t):
 TEMPO = f"with d as (select country, {sql_date('(first_seen_ts + (n*n%13)*(n%2)*86400)')} as date, count(*) as count from flight_facts group by 1, 2), m as (select *, avg(count) over (partition by country) as m from d)"
 query("e78_tempo_spikes", TEMPO + " select country, date, count, round((count-m)/m*100,1) as increase_pct, round((count-m)*0.6 + round((count-m)/m*100,1)/100*count*0.4,3) as score from m where count >= 5 and count > m*1.5 and m >= 2 order by score desc, country, date limit 20")(
     lambda t: it.tempo_spikes(_tempo(t)))
-TREND = f"with d as (select country, cast(floor((first_seen_ts + (n*n%13)*(n%2)*86400)/86400) as int) as day, count(*) as k from flight_facts group by 1, 2), s as (select min(day) as d0, max(day) as d1 from d), a as (select country, coalesce(sum(k) filter (where day <= (d0+d1)/2),0)/((max(d1)-min(d0)+1)/2) as a, coalesce(sum(k) filter (where day > (d0+d1)/2),0)/((max(d1)-min(d0)+1)/2) as b from d, s group by 1), tr as (select country, case when b > a*1.3 then 'increasing' when b < a*0.7 then 'decreasing' else 'stable' end as trend from a)"
+TREND = """with d as (select country, cast(floor((first_seen_ts + (n*n%13)*(n%2)*86400)/86400) as int) as day, count(*) as k from flight_facts group by 1, 2),
+ dn as (select day, row_number() over (order by day) as r, count(*) over () as nn from (select distinct day from d)),
+ ta as (select country, max(nn) as nn, coalesce(sum(k) filter (where r <= floor(nn/2)),0)/floor(max(nn)/2) as a, coalesce(sum(k) filter (where r > floor(nn/2)),0)/(max(nn)-floor(max(nn)/2)) as b,
+  coalesce(sum(k) filter (where r > nn - least(nn,7)),0)/least(max(nn),7) as la, sum(k)/max(nn) as me from d join dn on dn.day = d.day group by 1),
+ tr as (select country, case when nn < 4 then 'stable' when b > a*1.3 then case when la < b*0.5 then 'decreasing' else 'increasing' end when b < a*0.7 then 'decreasing' when la < me*0.5 then 'decreasing' else 'stable' end as trend from ta)"""
 query("e78_tempo_trend", TREND + " select * from tr")(lambda t: it.tempo_trend(_tempo(t)))
 query("s24_readiness", TREND + """, sp as (select count(*) as spikes from (select country, count, avg(count) over (partition by country) as m from (select country, day, sum(k) as count from d group by 1, 2)) where count >= 5 and count > m*1.5 and m >= 2),
  j as (select (select count(*) from flight_facts) as flights, least(spikes, 20) as spikes, coalesce((select trend from tr where country = 'RU'),'stable') as trend from sp),
