@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold import config as C
+from wayfold.storage import shared_dir
 
 SLICE = "_slice"
 
@@ -136,11 +137,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster names."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:           # only where nothing is configured, as in local tests
-            import tempfile
-            named = tempfile.mkdtemp(prefix="spark-ckpt-")
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
