@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import language, mixing, packing, pii, simhash, token_counts
+from wayfold.llm import curves, language, mixing, packing, pii, simhash, spotsigs, token_counts, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,21 @@ def op3(docs):
     return pii.find(docs)
 
 
+OP5 = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html)) as n, sha1(html) as digest from p),
+r as (select digest, max(page_id) as response from d where n >= 1000 group by digest)
+select d.page_id, cast(d.n as bigint) as payload_bytes, d.digest as payload_digest,
+       case when d.page_id <> r.response then 'revisit' else 'response' end as record_type,
+       case when d.page_id <> r.response then r.response end as refers_to
+from d left join r on d.n >= 1000 and d.digest = r.digest"""
+
+
+@query("op5_warc", "pages", OP5)
+def op5(pages):
+    return warc.archived(pages)
+
+
 @query("op6_language", "documents")
 def op6(docs):
     return language.identify_held_out(docs)
@@ -55,3 +70,13 @@ def op7(docs):
 @query("op8_packing", "documents")
 def op8(docs):
     return packing.pack(docs, tokenizer())
+
+
+@query("op9_spotsigs", "documents")
+def op9(docs):
+    return spotsigs.compare_with_next(docs)
+
+
+@query("op10_curves", "embeddings")
+def op10(rows):
+    return curves.search(rows)
