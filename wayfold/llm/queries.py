@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import curves, language, mixing, packing, pii, simhash, spotsigs, token_counts, warc
+from wayfold.llm import curves, html_text, language, mixing, packing, pii, simhash, spotsigs, token_counts, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,11 @@ def op3(docs):
     return pii.find(docs)
 
 
+@query("op4_main_text", "pages")
+def op4(pages):
+    return html_text.extract(pages)
+
+
 OP5 = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, octet_length(encode(html)) as n, sha1(html) as digest from p),
