@@ -9,29 +9,36 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo, keys
 from wayfold.operators.windows import cut
+from wayfold.storage import written
 
 c = F.col
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: (id, component), the component named by its least id.
 
-    Each round takes the least label among the neighbours and then follows that label's
-    own label, so long chains halve. ``edges``: (src, dst), either direction. The lineage
-    is cut each round with a reliable checkpoint; one number per round reaches the driver.
+    Each round points every node that still has edges to its least neighbour, follows the pointers to their ends, and
+    replaces the ends of all edges by these. Edges inside a component vanish, and at least half of the nodes with
+    edges do, so there are few rounds over ever fewer edges. ``edges``: (src, dst), either direction. Between steps
+    tables are written to the shared folder; one flag for each step reaches the driver.
     """
-    both = cut(edges.select("src", "dst").unionByName(edges.select(c("dst").alias("src"), c("src").alias("dst"))).distinct())
-    labels = cut(nodes.select("id", c("id").alias("component")))
-    for _ in range(max_rounds):
-        near = (both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(c("src").alias("id")).agg(F.min("component").alias("_m")))
-        step = labels.join(near, "id", "left").select("id", F.least("component", "_m").alias("_l"), c("component").alias("_old"))
-        jump = labels.select(c("id").alias("_l"), c("component").alias("_j"))
-        nxt = cut(step.join(jump, "_l", "left").select("id", F.least("_l", "_j").alias("component"), "_old"))
-        moved = nxt.where(c("component") != c("_old")).limit(1).count()
-        labels = nxt.select("id", "component")
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
+    ordered = lambda df: df.where(c("src") != c("dst")).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    live = written(ordered(edges), "edges")
+    named = nodes.select("id", c("id").alias("component"))
+    while live.limit(1).count():
+        both = live.unionByName(live.select(c("dst").alias("src"), c("src").alias("dst")))
+        ends = written(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("end")), "ends")
+        while True:
+            after = ends.select(c("src").alias("end"), c("end").alias("further"))
+            ends = written(ends.join(after, "end").select("src", c("further").alias("end"), (c("further") != c("end")).alias("moved")), "ends")
+            if not ends.where("moved").limit(1).count():
+                break
+        ends = ends.select("src", "end")
+        dst = ends.select(c("src").alias("dst"), c("end").alias("dst_end"))
+        live = written(ordered(live.join(ends, "src").join(dst, "dst").select(c("end").alias("src"), c("dst_end").alias("dst"))), "edges")
+        step = ends.select(c("src").alias("component"), "end")
+        named = written(named.join(step, "component", "left").select("id", F.coalesce("end", "component").alias("component")), "named")
+    return named
 
 
 def cell_edges(points: DataFrame, nm: float) -> DataFrame:
