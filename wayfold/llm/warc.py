@@ -30,6 +30,7 @@ ARCHIVE_BYTES = 32 << 20
 TRAIN_BYTES = 4 << 20
 DICT_BYTES = 64 << 10
 SALTS = 16
+STEP = 16 << 10
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -120,11 +121,14 @@ def archive_records(content: bytes):
         if content[at:at + 4] == FRAME:
             if z is None:
                 z = zstandard.ZstdDecompressor(dict_data=d) if d is not None else zstandard.ZstdDecompressor()
-            one = z.decompressobj()
-            raw = one.decompress(view[at:])
-            if not one.eof:
-                raise ValueError("cut frame")
-            at = end - len(one.unused_data)
+            one, parts = z.decompressobj(), []
+            while not one.eof:          # in steps: what follows the frame comes back as a copy
+                if at >= end:
+                    raise ValueError("cut frame")
+                parts.append(one.decompress(view[at:at + STEP]))
+                at = min(at + STEP, end)
+            at -= len(one.unused_data)
+            raw = b"".join(parts)
             head, _, rest = raw.partition(b"\r\n\r\n")
             fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
             body = rest[:int(fields["Content-Length"])]
