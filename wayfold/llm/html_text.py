@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrow import slices, strings
+from wayfold.llm.arrow import freed, slices, strings
 
 TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?|[!?][^>]*>?)", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -365,6 +365,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """
     model = pages.sparkSession.sparkContext.broadcast(fit(labelled if labelled is not None else labelled_pages()))
 
+    @freed
     def run(batches):
         for batch in batches:
             for part in slices(batch, "html", 2 << 20):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrow import strings
+from wayfold.llm.arrow import freed, strings
 
 LONGEST = 3
 TOP = 300
@@ -62,6 +62,7 @@ def trains(doc_id: str) -> Column:
 
 def profiles(train: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP) -> dict[str, list[int]]:
     """The ``top`` n-grams of each language; ``top`` numbers for each language reach the driver."""
+    @freed
     def count(batches):
         names: dict[str, list] = {}
         held: dict[str, int] = {}
@@ -76,7 +77,7 @@ def profiles(train: DataFrame, text: str = "text", lang: str = "lang", top: int
                 got = grams(x)
                 names.setdefault(name, []).append(got)
                 held[name] = held.get(name, 0) + len(got[0])
-                if held[name] > 2_000_000:
+                if held[name] > 300_000:
                     names[name] = [joined(name)]
                     held[name] = len(names[name][0][0])
         for name in names:
@@ -101,6 +102,7 @@ def identify(docs: DataFrame, learned: dict[str, list[int]], text: str = "text",
     table = docs.sparkSession.sparkContext.broadcast(learned)
     kept = [c for c in docs.columns if c != text]
 
+    @freed
     def predict(batches):
         names = sorted(table.value)
         books = []

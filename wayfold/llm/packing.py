@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrow import slices
+from wayfold.llm.arrow import freed, slices
 from wayfold.llm.tokens import text_ids
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -74,6 +74,7 @@ def best_fit(lengths: np.ndarray, order: np.ndarray, capacity: int) -> tuple[np.
 
 def document_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048) -> DataFrame:
     """Full windows and the remainder of each document: its ids, then the end id. See ``PIECES``."""
+    @freed
     def cut(batches):
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
@@ -110,6 +111,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     """
     shards = max(1, -(-docs.count() // docs_per_shard))
 
+    @freed
     def fit(batches):
         got = [b for b in batches if b.num_rows]
         if not got:

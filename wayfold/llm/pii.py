@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrow import strings
+from wayfold.llm.arrow import freed, strings
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -228,6 +228,7 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = 4000) -> dict[
     if rows > sample_docs:
         sample = sample.sample(fraction=sample_docs / rows, seed=3)
 
+    @freed
     def label(batches):
         for batch in batches:
             names, kinds = [], []
@@ -256,6 +257,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_doc
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, text, sample_docs))
 
+    @freed
     def run(batches):
         for batch in batches:
             counts, digest, every, more = [], [], [], []
@@ -278,6 +280,7 @@ def redact(docs: DataFrame, text: str = "text", sample_docs: int = 4000) -> Data
     """The rows of ``docs`` with each span replaced by its kind in square brackets; other columns and null texts stay."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, text, sample_docs))
 
+    @freed
     def run(batches):
         for batch in batches:
             new = []

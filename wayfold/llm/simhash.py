@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrow import strings
+from wayfold.llm.arrow import freed, strings
 from wayfold.operators.clusters import components
 from wayfold.storage import written
 
@@ -48,6 +48,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(rows: DataFrame, text: str = "text") -> DataFrame:
     """``rows`` with ``fp`` (the 64 bits as a signed long) in place of the text column."""
+    @freed
     def run(batches):
         for batch in batches:
             kept = [i for i, c in enumerate(batch.schema.names) if c != text]
@@ -171,6 +172,7 @@ def links(distinct: DataFrame, bits: int = 4, shard_rows: int = SHARD_ROWS) -> D
     depth = max(0, int(np.ceil(np.log2(max(1, distinct.count()) / shard_rows))))
     trees = spark.sparkContext.broadcast([tree(part_of(seen, p), depth) for p in range(len(PARTS))])
 
+    @freed
     def route(batches):
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrow import slices, strings
+from wayfold.llm.arrow import freed, slices, strings
 from wayfold.llm.tokens import Encoder, chunks, encoder
 
 
@@ -26,6 +26,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text", sample_docs: int = 4096
     if rows > sample_docs:
         sample = sample.sample(fraction=sample_docs / rows, seed=11)
 
+    @freed
     def count(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -50,6 +51,7 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     lengths = np.fromiter((len(x) // 4 for x in Encoder(path).ids(pieces)), np.int32, len(pieces))
     table = docs.sparkSession.sparkContext.broadcast((pieces, lengths))
 
+    @freed
     def count(batches):
         known, size = table.value
         known = pa.array(known, pa.string())

@@ -32,7 +32,7 @@ def chunks(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 class Encoder:
     """The library's ids of pieces without white space, through a cache of bounded size."""
 
-    def __init__(self, path: str, kept: int = 500_000):
+    def __init__(self, path: str, kept: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 

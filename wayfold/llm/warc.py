@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.llm.arrow import freed
 from wayfold.storage import new_path
 
 # Magic numbers of a dictionary frame, of other skippable frames and of a data frame.
@@ -34,12 +35,12 @@ STEP = 16 << 10
 DATE = "1970-01-01T00:00:00Z"
 
 
-def decided(pages: DataFrame, page_id: str, url: str, html: str, least: int = LEAST_REVISIT) -> DataFrame:
+def decided(pages: DataFrame, page_id: str, url: str, html: str, archives: int, least: int = LEAST_REVISIT) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): refers_to names the response of a revisit, null for a response.
 
     Of equal payloads of at least ``least`` bytes the row with the greatest id is the response (rows that share that id
-    too); among null ids alone, all are. Payload digests that occur once need no join; those that repeat are joined
-    with salt, so copies of one page spread over tasks.
+    too); among null ids alone, all are. Pages are dealt by digest and salt into one partition for each archive, so
+    copies of one page spread over archives, and the one shuffle of payloads serves the join and the writer.
     """
     payload = F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
@@ -47,7 +48,8 @@ def decided(pages: DataFrame, page_id: str, url: str, html: str, least: int = LE
     large = rows.where(F.length("payload") >= least)
     again = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = again.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(again, ["digest", "_salt"], "left").drop("_salt")
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).repartition(archives, "digest", "_salt")
+    rows = rows.join(again.hint("shuffle_hash"), ["digest", "_salt"], "left").drop("_salt")
     other = ~F.col("response").eqNullSafe(F.col("page_id")) & F.col("response").isNotNull()
     return rows.select("page_id", "url", "payload", "digest", F.when(other, F.col("response")).alias("refers_to"))
 
@@ -78,8 +80,9 @@ def dictionary_frame(d: zstandard.ZstdCompressionDict) -> bytes:
     return struct.pack("<II", DICT_MAGIC, len(d.as_bytes())) + d.as_bytes()
 
 
-def write(rows: DataFrame, path: str, archives: int, level: int = 6) -> None:
-    """Write decided rows as ``archives`` files. A task holds its first TRAIN_BYTES of records, then streams."""
+def write(rows: DataFrame, path: str, level: int = 6) -> None:
+    """Write decided rows, one archive for each partition. A task holds its first TRAIN_BYTES of records, then streams."""
+    @freed
     def frames(batches):
         held, size, squeeze = [], 0, None
 
@@ -108,7 +111,7 @@ def write(rows: DataFrame, path: str, archives: int, level: int = 6) -> None:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(begin()[1], pa.binary())], ["frame"])
 
-    framed = rows.repartition(archives).mapInArrow(frames, "frame binary")
+    framed = rows.mapInArrow(frames, "frame binary")
     framed.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
 
 
@@ -154,6 +157,7 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives in a folder, see ``RECORDS``; bodies of responses are held against their digests."""
+    @freed
     def parse(batches):
         number = lambda x: None if x.endswith(":none>") else int(x[len("<urn:page:"):-1])
         for batch in batches:
@@ -189,5 +193,5 @@ def archived(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     spark = pages.sparkSession
     path = path or new_path(spark, f"warc-{uuid.uuid4().hex[:8]}")
     total = pages.agg(F.sum(F.octet_length(F.col(html)))).first()[0] or 0
-    write(decided(pages, page_id, url, html), path, max(1, -(-total // archive_bytes)))
+    write(decided(pages, page_id, url, html, max(1, -(-total // archive_bytes))), path)
     return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
