@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 
 # A word of Latin letters that are stable under NFC, then ASCII marks; an apostrophe could start a
 # contraction and "<" a special string, so pieces with these go to the library as they are.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([^\w\s'<\u0080-\U0010ffff]*)")
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\[-^`{-~]*)")
 LONGEST_KEPT = 64
 
 
@@ -30,9 +31,13 @@ def chunks(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """The library's ids of pieces without white space, through a cache of bounded size."""
+    """The library's ids of pieces without white space, through a cache of bounded size.
 
-    def __init__(self, path: str, kept: int = 300_000):
+    The cache has two generations of ``kept`` pieces: when the young one is full it becomes the old one, and what is
+    found there comes back.
+    """
+
+    def __init__(self, path: str, kept: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -40,57 +45,57 @@ class Encoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.word = None
-        parts = (self.whole.normalizer, self.whole.pre_tokenizer)
-        if path.endswith("word_bpe_49k.json") and all(parts):
+        if path.endswith("word_bpe_49k.json"):
             # The same model for words that are already normal: one lower-case pre-token each.
             self.word = Tokenizer(self.whole.model)
             self.word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.kept, self.cache = kept, {"": b""}
+        self.kept, self.young, self.old = kept, {}, {}
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece from the library, or put together from a plain word and the marks behind it."""
+        words, split = {"": b""}, []
+        if self.word is not None:
+            fits, young, old = PLAIN.fullmatch, self.young, self.old
+            for x in pieces:
+                m = fits(x)
+                pair = (m[1].lower(), m[2]) if m else None
+                split.append(pair)
+                for w in pair or ():
+                    if w not in words:
+                        words[w] = young.get(w) or old.get(w)
+            model = self.word.model.tokenize
+            rest = []
+            for w, known in words.items():
+                if known is None:
+                    if w.isascii():         # its bytes are its signs
+                        words[w] = array("I", [t.id for t in model(w)]).tobytes()
+                    else:
+                        rest.append(w)
+            for w, e in zip(rest, self.word.encode_batch_fast(rest, add_special_tokens=False)):
+                words[w] = array("I", e.ids).tobytes()
+        else:
+            split = [None] * len(pieces)
+        other = [x for x, pair in zip(pieces, split) if pair is None]
+        whole = {x: array("I", e.ids).tobytes() for x, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False))}
+        for w, ids in (words | whole).items():
+            if 0 < len(w) <= LONGEST_KEPT:
+                self.young[w] = ids
+        return [whole[x] if pair is None else words[pair[0]] + words[pair[1]] for x, pair in zip(pieces, split)]
 
     def ids(self, pieces: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each piece."""
-        cache = self.cache
-        found = list(map(cache.get, pieces))
+        """Native 32-bit unsigned ids of each piece."""
+        found = list(map(self.young.get, pieces))
+        for at in (i for i, x in enumerate(found) if x is None):
+            found[at] = self.old.get(pieces[at])
+            if found[at] is not None:
+                self.young[pieces[at]] = found[at]
         missed = [i for i, x in enumerate(found) if x is None]
-        if not missed:
-            return found
-        split = {}
-        words, raw = {}, {}
-        for i in missed:
-            m = PLAIN.fullmatch(pieces[i]) if self.word is not None else None
-            if m:
-                a, b = m[1].lower(), m[2]
-                split[i] = (a, b)
-                for x in (a, b):
-                    if x not in cache:
-                        words[x] = None
-            else:
-                raw[pieces[i]] = None
-        for todo, tokenizer in ((words, self.word), (raw, self.whole)):
-            names = list(todo)
-            for a in range(0, len(names), 20_000):
-                part = names[a:a + 20_000]
-                for x, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    todo[x] = np.asarray(e.ids, "<u4").tobytes()
-        if len(cache) > self.kept:
-            cache.clear()
-            cache[""] = b""
-        get = lambda x: words[x] if x in words else cache.get(x)
-        for i in missed:
-            if i in split:
-                a, b = split[i]
-                a, b = get(a), get(b)
-                if a is None or b is None:      # dropped just now with the cache
-                    found[i] = np.asarray(self.whole.encode(pieces[i], add_special_tokens=False).ids, "<u4").tobytes()
-                else:
-                    found[i] = a + b
-            else:
-                found[i] = raw[pieces[i]]
-            if len(pieces[i]) <= LONGEST_KEPT:
-                cache[pieces[i]] = found[i]
-        for x, v in words.items():
-            if len(x) <= LONGEST_KEPT:
-                cache[x] = v
+        for a in range(0, len(missed), 20_000):
+            part = missed[a:a + 20_000]
+            for i, x in zip(part, self.encoded([pieces[i] for i in part])):
+                found[i] = x
+        if len(self.young) > self.kept:
+            self.old, self.young = self.young, {}
         return found
 
 
