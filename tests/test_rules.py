@@ -97,3 +97,40 @@ def test_turn_rows_do_not_depend_on_partitions(spark):
     b = sorted(map(tuple, turn_rows(spark, rows)))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert a == b
+
+
+def test_places_of_any_number(spark):
+    """The join on cells agrees with the expression, and so do 10,000 places with brute force."""
+    import random
+    from wayfold.operators.nearest import away_from
+    r = random.Random(1)
+    pts = [(f"F{i}", T0 + i, r.uniform(-70, 70), r.uniform(-170, 170)) for i in range(1500)]
+    places = [(i, f"A{i}", r.uniform(-70, 70), r.uniform(-170, 170), 10) for i in range(10_000)]
+    df = spark.createDataFrame(pts, "flight_id string, ts bigint, lat double, lon double")
+    ap = spark.createDataFrame(places, "ord int, code string, lat double, lon double, elevation_ft int")
+    few = ap.where("ord < 60")
+    ids = lambda x: sorted(y.flight_id for y in x.select("flight_id").collect())
+    assert ids(away_from(df, few, 300)) == ids(away_from(df, few, 300, inline_rows=0))
+
+    def nm(a, b, p, q):
+        a, b, p, q = map(math.radians, (a, b, p, q))
+        return 2 * 6371.0 * 0.539957 * math.asin(math.sqrt(math.sin((p - a) / 2) ** 2 + math.cos(a) * math.cos(p) * math.sin((q - b) / 2) ** 2))
+
+    want = sorted(i for i, _, a, b in pts if not any(abs(a - p) < 1 and nm(a, b, p, q) <= 30 for _, _, p, q, _ in places))
+    assert ids(away_from(df, ap, 30)) == want and 0 < len(want) < len(pts)
+    key = lambda x: sorted((y.flight_id, y.airport) for y in x.collect())
+    got = key(ru.near_airports(df, ap, 30, ["flight_id"]))
+    assert got == sorted((i, code) for i, _, a, b in pts for _, code, p, q, _ in places if abs(a - p) < 1 and nm(a, b, p, q) <= 30)
+    assert key(ru.near_airports(df, few, 300, ["flight_id"])) == key(ru.near_airports(df, few, 300, ["flight_id"], inline_rows=0))
+
+
+def test_upsert_moves_a_key_between_partitions(spark):
+    from wayfold.sources import sinks
+    from wayfold.storage import new_path
+    path = new_path(spark, "merge-test")
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v int, part string")
+    sinks.merge_table(spark, path, rows(("f1", 1, "A"), ("f2", 1, "B"), ("f3", 1, "B")), ["k"], ["v"], "part")
+    sinks.merge_table(spark, path, rows(("f1", 2, "B")), ["k"], ["v"], "part")
+    assert sorted((r.k, r.v, r.part) for r in spark.read.parquet(path).collect()) == [("f1", 2, "B"), ("f2", 1, "B"), ("f3", 1, "B")]
+    sinks.insert_table(spark, path, rows(("f2", 9, "C"), ("f4", 1, "C")), ["k"], "part")
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == ["f1", "f2", "f3", "f4"]

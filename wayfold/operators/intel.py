@@ -92,14 +92,15 @@ def tempo_hours(facts: DataFrame, countries: list[str]) -> DataFrame:
     return on_spine(spine(facts.sparkSession, 0, 23, "hour"), n, "hour", countries)
 
 
-def tempo_spikes(facts: DataFrame, limit: int = 20) -> DataFrame:
+def tempo_spikes(facts: DataFrame, limit: int | None = 20) -> DataFrame:
     """Country days at least 5 flights and 1.5 times the country's mean over its days (mean at least 2)."""
     d = mil(facts).groupBy("country", keys.date_str("first_seen_ts").alias("date")).agg(F.count("*").alias("count"))
     m = F.avg("count").over(Window.partitionBy("country"))         # one row per day
     s = d.withColumn("_m", m).where((c("count") >= 5) & (c("count") > c("_m") * 1.5) & (c("_m") >= 2))
     inc = F.round((c("count") - c("_m")) / c("_m") * 100, 1)
-    return (s.withColumn("increase_pct", inc).withColumn("score", F.round((c("count") - c("_m")) * 0.6 + c("increase_pct") / 100 * c("count") * 0.4, 3))
-            .select("country", "date", "count", "increase_pct", "score").orderBy(F.desc("score"), "country", "date").limit(limit))
+    out = (s.withColumn("increase_pct", inc).withColumn("score", F.round((c("count") - c("_m")) * 0.6 + c("increase_pct") / 100 * c("count") * 0.4, 3))
+            .select("country", "date", "count", "increase_pct", "score"))
+    return out if limit is None else out.orderBy(F.desc("score"), "country", "date").limit(limit)
 
 
 def tempo_trend(facts: DataFrame) -> DataFrame:

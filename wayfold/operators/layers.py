@@ -70,11 +70,11 @@ def mean_waypoint_distance(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # -- layers from tracks
-def learn_paths(tracks: DataFrame, meta: DataFrame, bin_s: int = 200, bins: int = 8, width: float = C.PATHS["width_nm"]) -> DataFrame:
-    """Mean centreline per route: averages per time bin, at most ``bins`` vertices."""
-    m = meta.select("flight_id", "first_seen_ts", "origin_airport", "destination_airport")
+def learn_paths(tracks: DataFrame, meta: DataFrame, bins: int = 8, width: float = C.PATHS["width_nm"]) -> DataFrame:
+    """Mean centreline per route: averages per ``bins``-th of each flight's own time, over all of its points."""
+    m = meta.select("flight_id", "first_seen_ts", "last_seen_ts", "origin_airport", "destination_airport")
     p = tracks.select("flight_id", "ts", "lat", "lon", "alt").join(m, "flight_id").withColumn(
-        "_b", F.floor((c("ts") - c("first_seen_ts")) / bin_s)).where(c("_b") < bins)
+        "_b", F.floor((c("ts") - c("first_seen_ts")) * bins / (c("last_seen_ts") - c("first_seen_ts") + 1)))
     v = (p.groupBy("origin_airport", "destination_airport", "_b")
          .agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.min("alt").alias("lo"), F.max("alt").alias("hi"),
               F.count_distinct("flight_id").alias("n")))
@@ -177,17 +177,18 @@ def nearby_corridors(points: DataFrame, paths: DataFrame, max_nm: float = 30.0,
 
 
 # -- containment
-def in_turn_zone(turns: DataFrame, points: DataFrame, tolerance: float = 0.0, default: float = C.LAYERS["turn_radius_nm"]) -> Column:
-    """Boolean column: within the radius of a turn zone. Zones are checked to be few and matched in place."""
-    from wayfold.operators.nearest import bounded_rows
-    rows = bounded_rows(turns, 5000)
-    if rows is None:
-        raise ValueError("turn layer too large for in-place matching")
-    if not rows:
-        return F.lit(False)
-    lits = F.array(*[F.struct(F.lit(float(r["lat"])).alias("lat"), F.lit(float(r["lon"])).alias("lon"),
-                              F.lit(float(r["radius_nm"] if r["radius_nm"] is not None else default) + tolerance).alias("r")) for r in rows])
-    return F.exists(lits, lambda t: (F.abs(c("lat") - t["lat"]) * 59.0 <= t["r"]) & (geo.haversine("lat", "lon", t["lat"], t["lon"]) <= t["r"]))
+def points_in_turn_zones(points: DataFrame, turns: DataFrame, tolerance: float = 0.0, default: float = C.LAYERS["turn_radius_nm"]) -> DataFrame:
+    """Keys of points within the radius of a turn zone, for zones of any number, by cells."""
+    z = turns.select(F.array(F.struct("lat", "lon")).alias("_v"), c("lat").alias("_zlat"), c("lon").alias("_zlon"),
+                     (F.coalesce("radius_nm", F.lit(default)) + tolerance).alias("_r"))
+    j = _by_cells(points.select("flight_id", "ts", "lat", "lon"), z, c("_v"), c("_r"))
+    return j.where(geo.haversine("lat", "lon", c("_zlat"), c("_zlon")) <= c("_r")).select("flight_id", "ts").distinct()
+
+
+def mark_turn_zones(points: DataFrame, turns: DataFrame, name: str, tolerance: float = 0.0, default: float = C.LAYERS["turn_radius_nm"]) -> DataFrame:
+    """Add a boolean: the point is within the radius of a turn zone."""
+    hit = points_in_turn_zones(points, turns, tolerance, default).withColumn(name, F.lit(True))
+    return points.join(hit, ["flight_id", "ts"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def _by_cells(points: DataFrame, areas: DataFrame, verts: Column, reach_nm: Column, cell: float = 0.5,
@@ -223,9 +224,10 @@ def points_in_corridors(points: DataFrame, paths: DataFrame) -> DataFrame:
 def mark_known_places(pts: DataFrame, paths: DataFrame, procedures: DataFrame, turns: DataFrame) -> DataFrame:
     """Add in_turn (learned turn) and known_place (corridor, procedure or turn zone) for the turn rule."""
     known = points_in_corridors(pts, paths).unionByName(points_on_procedure(pts, procedures)).distinct().withColumn("_k", F.lit(True))
-    zone = in_turn_zone(turns, pts, C.LAYERS["turn_tol_nm"], C.LAYERS["zone_radius_nm"])
-    return (pts.join(known, ["flight_id", "ts"], "left")
-            .withColumns({"in_turn": in_turn_zone(turns, pts), "known_place": F.coalesce("_k", F.lit(False)) | zone}).drop("_k"))
+    zone = points_in_turn_zones(pts, turns, C.LAYERS["turn_tol_nm"], C.LAYERS["zone_radius_nm"])
+    known = known.unionByName(zone.withColumn("_k", F.lit(True))).distinct()
+    return (mark_turn_zones(pts, turns, "in_turn").join(known, ["flight_id", "ts"], "left")
+            .withColumn("known_place", F.coalesce("_k", F.lit(False))).drop("_k"))
 
 
 def tube_membership(points: DataFrame, tubes: DataFrame, alt_tol: float = C.PATHS["tube_ft"],
@@ -331,7 +333,7 @@ def emerging_paths(far: DataFrame, tracks: DataFrame, bucket: int = C.PATHS["buc
                                      F.sum(F.xxhash64("code", "bin").cast("decimal(38,0)")).alias("s2"))
     when = far.groupBy("flight_id").agg(F.min("ts").alias("first_ts"))
     f = sig.join(when, "flight_id").withColumn("_sig", F.concat_ws(":", "s0", "s1", "s2")).withColumn("_sl", F.floor(c("first_ts") / C.SLICE_S))
-    hits = sliced_row_number(f, "_sig", "_sl", ["first_ts", "flight_id"], "_n").where(c("_n") % bucket == 0).select("flight_id", c("_n").alias("num_flights"))
+    hits = sliced_row_number(f, "_sig", "_sl", ["first_ts", "flight_id"], "_n").where(c("_n") % bucket == 0).select("flight_id", F.lit(bucket).cast("long").alias("num_flights"))
     hits = cut(hits)
     own = cut(tracks.join(hits.select("flight_id"), "flight_id", "left_semi"))
     way = resample_by_distance(own, n)

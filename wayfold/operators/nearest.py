@@ -99,12 +99,35 @@ def _nearest_by_cells(df: DataFrame, airports: DataFrame, lat: str, lon: str) ->
     return out
 
 
-def within_any(df: DataFrame, airports: DataFrame, radius_nm: float, lat: str = "lat",
-               lon: str = "lon", radius: float = C.EARTH_NM) -> Column:
-    """Boolean: some airport of a small dimension lies within the radius (box test first)."""
-    rows = bounded_rows(airports, C.INLINE_DIM_ROWS)
+def near_places(points: DataFrame, places: DataFrame, nm: float, lat: str = "lat", lon: str = "lon") -> tuple[DataFrame, Column]:
+    """Places listed in every cell from which they can be within ``nm``, and the cells of a point as a join condition.
+
+    Cells are ``nm`` high and, by latitude band, at least as wide, so a place is listed in its own cell and the eight
+    around it: nine rows for each place, whatever their number.
+    """
+    g = nm / 59.0
+    width = lambda band: g / F.greatest(F.lit(0.05), F.cos(F.radians(F.least(F.lit(89.0), (F.abs(band) + 2) * g))))
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    listed = places.select(*[F.col(x).alias(f"_p_{x}") for x in places.columns])
+    listed = listed.withColumn("_by", F.explode(F.transform(around, lambda d: F.floor(F.col("_p_lat") / g) + d)))
+    listed = listed.withColumn("_bx", F.explode(F.transform(around, lambda d: F.floor(F.col("_p_lon") / width(F.col("_by"))) + d)))
+    band = F.floor(F.col(lat) / g)
+    return bounded_broadcast(listed), (band == F.col("_by")) & (F.floor(F.col(lon) / width(band)) == F.col("_bx"))
+
+
+def away_from(df: DataFrame, places: DataFrame, radius_nm: float, lat: str = "lat", lon: str = "lon", radius: float = C.EARTH_NM,
+              inline_rows: int = C.INLINE_DIM_ROWS) -> DataFrame:
+    """Rows with a position and no place within the radius. A short list becomes an expression, a longer one a join on cells."""
+    rows = bounded_rows(places, inline_rows)
     if rows is None:
-        raise ValueError("use nearest_airport for a dimension this large")
+        known = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+        listed, met = near_places(known, places.select("lat", "lon"), radius_nm, lat, lon)
+        reach = math.sin(radius_nm / radius / 2) ** 2
+        return known.join(listed, met & (geo.half_chord(lat, lon, F.col("_p_lat"), F.col("_p_lon")) <= reach), "left_anti")
+    return df.where(~_within(rows, radius_nm, lat, lon, radius))
+
+
+def _within(rows, radius_nm: float, lat: str, lon: str, radius: float) -> Column:
     dlat = radius_nm / 59.0
     reach = math.sin(radius_nm / radius / 2) ** 2
     out = F.lit(False)

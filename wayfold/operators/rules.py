@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo, keys
-from wayfold.operators.nearest import bounded_rows, nearest_airport
+from wayfold.operators.nearest import bounded_rows, nearest_airport, near_places
 from wayfold.operators.windows import SLICE, first_per_key, with_halo, with_neighbours
 
 c = F.col
@@ -177,11 +177,13 @@ def proximity(pts: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 # -- rule 6
-def near_airports(pts: DataFrame, airports: DataFrame, nm: float, keep: list[str]) -> DataFrame:
-    """(point, airport) rows within a radius; a small airport list is matched in place."""
-    rows = bounded_rows(airports, C.INLINE_DIM_ROWS)
+def near_airports(pts: DataFrame, airports: DataFrame, nm: float, keep: list[str], inline_rows: int = C.INLINE_DIM_ROWS) -> DataFrame:
+    """(point, airport) rows within a radius; a short airport list is matched in place, a longer one by a join on cells."""
+    rows = bounded_rows(airports, inline_rows)
     if rows is None:
-        raise ValueError("airport list too large for in-place matching; pre-filter it")
+        listed, met = near_places(pts, airports.select("code", "lat", "lon", "elevation_ft"), nm)
+        close = met & (geo.haversine("lat", "lon", c("_p_lat"), c("_p_lon")) <= nm)
+        return pts.join(listed, close).select(*keep, c("_p_code").alias("airport"), F.coalesce("_p_elevation_ft", F.lit(0)).alias("elev"))
     deg = nm / 59.0
     lits = F.array(*[F.struct(F.lit(r["code"]).alias("code"), F.lit(float(r["lat"])).alias("lat"), F.lit(float(r["lon"])).alias("lon"),
                               F.lit(int(r["elevation_ft"] or 0)).alias("elev")) for r in rows])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo, keys
-from wayfold.operators.nearest import nearest_airport, within_any
+from wayfold.operators.nearest import nearest_airport, away_from
 from wayfold.operators.windows import (cut, exact_quantiles, running_sum, sliced_row_number, shifted_rows, with_halo,
                                        with_neighbours, with_slice, SLICE)
 
@@ -33,7 +33,7 @@ def signal_gaps(tracks: DataFrame, gap_s: int = 300, min_alt: float | None = 500
 
 def gaps_away(tracks: DataFrame, airports: DataFrame, nm: float = 5, **kw) -> DataFrame:
     g = signal_gaps(tracks, **kw)
-    return g.where(~within_any(g, airports, nm, radius=C.EARTH_NM_STATS))
+    return away_from(g, airports, nm, radius=C.EARTH_NM_STATS)
 
 
 def gaps_by(gaps: DataFrame, key: Column, name: str) -> DataFrame:
@@ -204,8 +204,8 @@ def key_locations(tracks: DataFrame, k: int = 5) -> DataFrame:
 
 
 # Holding areas used to call a pattern offshore (name, lat, lon, radius in nm).
-HOLDING_AREAS = [("Eastern Med", 34.0, 32.0, 100.0), ("Cyprus South", 33.5, 33.5, 80.0),
-                 ("Red Sea North", 27.5, 34.5, 100.0)]
+HOLDING_AREAS = [("Eastern Med Track", 34.0, 33.0, 100.0), ("Gulf Track", 27.0, 52.0, 100.0),
+                 ("Red Sea Track", 22.0, 37.0, 100.0)]
 
 
 def flight_patterns(tracks: DataFrame, areas=None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo, keys
-from wayfold.operators.nearest import within_any
+from wayfold.operators.nearest import away_from
 from wayfold.operators.sequence import SPOOFED_FT, burst_clusters, deltas, oscillates, signal_gaps
 from wayfold.operators.windows import cut
 
@@ -26,7 +26,7 @@ def signal_loss_cells(tracks: DataFrame, airports: DataFrame, step: float = 0.25
                       limit: int | None = 50, gap_s: int = 300, min_alt: float = 5000) -> DataFrame:
     """Signal-loss cells: counts per gap class, centroid, intensity relative to the busiest cell."""
     g = signal_gaps(tracks, gap_s, min_alt)
-    g = g.where(~within_any(g, airports, airport_nm, radius=C.EARTH_NM_STATS)).withColumn("cls", keys.gap_class("gap_s"))
+    g = away_from(g, airports, airport_nm, radius=C.EARTH_NM_STATS).withColumn("cls", keys.gap_class("gap_s"))
     kinds = ("brief", "medium", "extended")
     cells = (g.groupBy(geo.cell("lat", step).alias("cy"), geo.cell("lon", step).alias("cx"))
              .agg(F.count("*").alias("count"), F.sum("gap_s").alias("_dur"), F.count_distinct("flight_id").alias("affected_flights"),
@@ -90,7 +90,7 @@ def _flags() -> dict[str, Column]:
 def flight_interference(tracks: DataFrame, airports: DataFrame, min_alt: float = 5000, airport_nm: float = 5) -> DataFrame:
     """Indicator counts and score per flight, away from airports."""
     d = deltas(tracks.where(F.col("alt") > min_alt))
-    d = d.where(~within_any(d, airports, airport_nm, radius=C.EARTH_NM_STATS))
+    d = away_from(d, airports, airport_nm, radius=C.EARTH_NM_STATS)
     n = d.groupBy("flight_id").agg(*[F.count_if(v).alias(k) for k, v in _flags().items()], F.count("*").alias("points"),
                                    F.avg("lat").alias("lat"), F.avg("lon").alias("lon"),
                                    F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
@@ -167,16 +167,16 @@ def bottleneck_cells(tracks: DataFrame, holdings: DataFrame, step: float = 0.5,
             .orderBy(F.desc("density_score"), "cy", "cx").limit(limit))
 
 
-def near_miss_map(events: DataFrame, step: float = 0.5, limit: int = 50) -> DataFrame:
+def near_miss_map(events: DataFrame, step: float = 0.5, limit: int | None = 50) -> DataFrame:
     """One event per pair and 300 s, counted per cell. ``events``: flight_id, other, ts, distance_nm, altitude_diff_ft, lat, lon."""
     e = events.where("altitude_diff_ft < 1000").withColumns({
         "p1": F.least("flight_id", "other"), "p2": F.greatest("flight_id", "other"), "bucket": F.floor(F.col("ts") / 300)})
     one = e.groupBy("p1", "p2", "bucket").agg(F.min_by(F.struct("lat", "lon", "distance_nm"), F.struct("ts", "flight_id")).alias("e"))
     one = one.select("e.*").where("lat is not null and lon is not null")
-    return (one.groupBy(geo.grid("lat", step).alias("lat"), geo.grid("lon", step).alias("lon"))
-            .agg(F.count("*").alias("count"), F.count_if(F.col("distance_nm") < 1).alias("severity_high"),
-                 F.count_if(F.col("distance_nm") >= 1).alias("severity_medium"))
-            .orderBy(F.desc("count"), "lat", "lon").limit(limit))
+    cells = (one.groupBy(geo.grid("lat", step).alias("lat"), geo.grid("lon", step).alias("lon"))
+             .agg(F.count("*").alias("count"), F.count_if(F.col("distance_nm") < 1).alias("severity_high"),
+                  F.count_if(F.col("distance_nm") >= 1).alias("severity_medium")))
+    return cells if limit is None else cells.orderBy(F.desc("count"), "lat", "lon").limit(limit)
 
 
 def signal_map(interference: DataFrame, losses: DataFrame, limit: int = 50) -> DataFrame:

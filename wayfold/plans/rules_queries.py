@@ -136,8 +136,8 @@ def _procedures(t):
     return layer_set(t)[0].withColumns({"centerline": F.slice("centerline", 1, 2), "kind": F.lit("sid"), "width_nm": F.lit(3.0)})
 
 
-PATHS_SQL = """with v as (select origin_airport as o, destination_airport as d, cast(floor((ts-first_seen_ts)/200) as bigint) as b, avg(lat) as lat, avg(lon) as lon, min(alt) as lo, max(alt) as hi, count(distinct t.flight_id) as n
- from tracks t join flight_metadata m on m.flight_id = t.flight_id where floor((ts-first_seen_ts)/200) < 8 group by 1, 2, 3)
+PATHS_SQL = """with v as (select origin_airport as o, destination_airport as d, cast(floor((ts-first_seen_ts)*8/(last_seen_ts-first_seen_ts+1)) as bigint) as b, avg(lat) as lat, avg(lon) as lon, min(alt) as lo, max(alt) as hi, count(distinct t.flight_id) as n
+ from tracks t join flight_metadata m on m.flight_id = t.flight_id group by 1, 2, 3)
 """
 query("e70_layer_statistics", PATHS_SQL + """, p as (select o, d, max(n) as m from v group by 1, 2 having count(*) >= 2)
 select l.layer, count(*) as total, count(distinct o) as unique_origins, count(distinct d) as unique_destinations, round(avg(m),2) as avg_member_count from p, (values ('paths'),('tubes'),('sids')) l(layer) group by 1""")(
@@ -194,7 +194,7 @@ select pid, id, round(nm,3) as nm, rank from (select *, row_number() over (parti
 
 query("g15_learned_turns", f"""with z as (select airport, avg(lat) as lat, avg(lon) as lon from extra_hits where rule_id = 3 group by 1)
 select t.flight_id, t.ts, exists (select 1 from z where {sql_hav('t.lat', 't.lon', 'z.lat', 'z.lon')} <= 4) as in_turn from tracks t""")(
-    lambda t: t.tracks.select("flight_id", "ts", ly.in_turn_zone(layer_set(t)[2], t.tracks).alias("in_turn")))
+    lambda t: ly.mark_turn_zones(t.tracks, layer_set(t)[2], "in_turn").select("flight_id", "ts", "in_turn"))
 query("g12_tube_membership")(lambda t: ly.tube_membership(t.tracks, layer_set(t)[1]))
 query("g14_known_procedure")(lambda t: ly.points_on_procedure(t.tracks, _procedures(t)))
 query("g03_turns")(lambda t: turns.turn_events(ly.mark_known_places(enriched(t), layer_set(t)[0], _procedures(t), layer_set(t)[2])))
@@ -289,7 +289,8 @@ def rule_frames(t):
     pts = enriched(t)
     paths, tubes, turn = layer_set(t)
     last = ru.last_airport(t.tracks, t.airports)
-    return {1: ru.emergency_squawk(t.tracks), 2: ru.altitude_change(pts), 4: ru.proximity(pts, t.tracks), 6: ru.go_around(pts, t.airports),
+    return {1: ru.emergency_squawk(t.tracks), 2: ru.altitude_change(pts),
+            3: turns.turn_events(ly.mark_known_places(pts, paths, _procedures(t), turn)), 4: ru.proximity(pts, t.tracks), 6: ru.go_around(pts, t.airports),
             7: ru.return_to_field(pts), 8: ru.diversion(last, t.meta, t.airports), 9: ru.low_altitude(pts), 10: ru.signal_loss(pts),
             11: ly.off_course(ly.off_course_points(pts, t.meta, tubes, paths, ly.heat_cells(t.tracks))).where("matched"),
             12: ru.unplanned_landing(last, t.meta), 13: ru.military(t.tracks, t.meta)}
@@ -345,7 +346,7 @@ query("s08_near_miss_clusters")(lambda t: _s08(t))
 
 def _s08(t):
     ev = t.spark.sql(NM.replace("varchar", "string").replace("rule_hits", "{h}"), h=t.hits)
-    cells = sp.near_miss_map(ev, limit=100_000).withColumn("id", F.concat_ws(":", "lat", "lon"))
+    cells = sp.near_miss_map(ev, limit=None).withColumn("id", F.concat_ws(":", "lat", "lon"))
     return (cl.chain_clusters(cells, 30).groupBy("component").agg(F.count("*").alias("cells"), F.sum("count").alias("events"),
                                                                 F.sum("severity_high").alias("high")))
 

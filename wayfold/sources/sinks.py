@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators.scans import insert_new, last_snapshots, upsert
 from wayfold.operators.windows import cut
+from wayfold.storage import remove
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -37,20 +38,27 @@ def write_tracks(df: DataFrame, path: str) -> None:
 
 
 def merge_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], order: list[str], by: str) -> None:
-    """Keyed upsert into a partitioned table; partitions without updates are not read."""
+    """Keyed upsert into a partitioned table.
+
+    Partitions of the updates, and those that hold an updated key now, are read and written again; of other partitions
+    only the key columns are read. A partition that a move leaves empty is deleted.
+    """
     if not _exists(spark, path):
         first = upsert(updates.limit(0), updates, keys, order)
         return overwrite_partitions(first, path, [by])
-    hit = updates.select(by).distinct()
-    old = spark.read.schema(updates.schema).parquet(path).join(hit, by, "left_semi")
-    overwrite_partitions(cut(upsert(old.select(updates.columns), updates, keys, order)), path, [by])
+    stored = spark.read.schema(updates.schema).parquet(path)
+    held = stored.select(*keys, by).join(updates.select(*keys).distinct(), keys, "left_semi").select(by)
+    hit = cut(updates.select(by).unionByName(held).distinct())
+    new = cut(upsert(stored.join(hit, by, "left_semi").select(updates.columns), updates, keys, order))
+    overwrite_partitions(new, path, [by])
+    for r in hit.join(new.select(by).distinct(), by, "left_anti").collect():      # names of partitions alone
+        remove(spark, f"{path}/{by}={r[0]}")
 
 
 def insert_table(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], by: str) -> None:
     """Insert rows whose key is not stored; duplicates are ignored."""
     if _exists(spark, path):
-        old = spark.read.parquet(path).join(rows.select(by).distinct(), by, "left_semi")
-        rows = insert_new(old, rows, keys)
+        rows = insert_new(spark.read.schema(rows.schema).parquet(path).select(rows.columns), rows, keys)
     else:
         rows = rows.dropDuplicates(keys)
     cut(rows).write.mode("append").partitionBy(by).parquet(path)

@@ -8,8 +8,6 @@ frames are started with a processing-time trigger.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from wayfold.functions import geo
+from wayfold.storage import new_path
 
 c = F.col
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root.rstrip('/')}/wayfold-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir."""
+    return new_path(spark, "stream")
 
 
 def as_files(df: DataFrame, files: int = 4, order: str = "ts") -> tuple[str, object]:
