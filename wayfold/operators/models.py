@@ -94,6 +94,9 @@ def reconstruction(clustered: DataFrame, k: int = 5, dims: int = 3, quantile: fl
         part = clustered.where(c("flow") == flow) if per_flow else clustered.withColumn("flow", F.lit(0))
         if size >= 2:
             parts.append(_errors(part.select("flight_id", "flow", "features"), dims))
+    alone = [flow for flow, size in n.items() if size < 2]
+    if alone:       # a flow of one flight has no model of its own: the one over all flights stands in
+        parts.append(_errors(clustered.select("flight_id", "flow", "features"), dims).where(c("flow").isin(alone)))
     errs = parts[0]
     for p in parts[1:]:
         errs = errs.unionByName(p)
