@@ -34,10 +34,12 @@ def classify(model, features: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
-    """AUC, precision and recall as one row."""
-    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score").evaluate(scored.withColumn("label", c("label").cast("double")))
+    """AUC, area under precision and recall, precision and recall as one row."""
+    asked = scored.withColumn("label", c("label").cast("double"))
+    area = lambda name: BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score", metricName=name).evaluate(asked)
+    auc, pr = area("areaUnderROC"), area("areaUnderPR")
     hit = F.count_if(c("is_anomaly") & (c("label") == 1))
-    return scored.agg(F.lit(float(auc)).alias("auc"), F.try_divide(hit, F.count_if("is_anomaly")).alias("precision"),
+    return scored.agg(F.lit(float(auc)).alias("auc"), F.lit(float(pr)).alias("pr_auc"), F.try_divide(hit, F.count_if("is_anomaly")).alias("precision"),
                       F.try_divide(hit, F.count_if(c("label") == 1)).alias("recall"), F.count("*").alias("flights"))
 
 

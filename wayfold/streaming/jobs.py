@@ -150,8 +150,15 @@ def monitor(tests: DataFrame, warm_up_s: int = 300, size: int = 15, share: float
 
 
 def ingest(messages: DataFrame, table: str, keys: list[str]) -> None:
-    """AIS or track messages into a table, once per key: each batch owns its folder, re-runs overwrite it."""
+    """AIS or track messages into a table, once per key over all batches.
+
+    Each batch owns its folder and leaves out keys that earlier batches hold, so a re-run overwrites it with the same rows.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{table}/data/batch={epoch}")
+        new = batch.dropDuplicates(keys)
+        if epoch:
+            earlier = [f"{table}/data/batch={i}" for i in range(epoch)]
+            new = new.join(batch.sparkSession.read.schema(batch.schema).parquet(*earlier).select(*keys), keys, "left_anti").select(batch.columns)
+        new.write.mode("overwrite").parquet(f"{table}/data/batch={epoch}")
 
     (messages.writeStream.foreachBatch(write).option("checkpointLocation", f"{table}/ckpt").trigger(availableNow=True).start().awaitTermination())
