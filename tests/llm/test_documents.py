@@ -264,6 +264,13 @@ def test_skip_links_carry_labels():
     assert pii.spans(text, pii.fit([]))[1] == []
 
 
+def test_one_very_long_word():
+    text = "ab%" * 100_000 + " a@b.cc 523 555-1055 x (at) b.cc " + "7 at " * 50_000
+    base = pii.base_spans(text)
+    assert base == [(0, 300_001, 300_007)]
+    assert pii.sites(text, base) == [(300_001, 300_007, 0), (300_008, 300_020, pii.NONE), (300_021, 300_032, pii.NONE)]
+
+
 def test_marginals_match_enumeration():
     r = np.random.default_rng(0)
     unary, links = r.normal(size=(4, 3)), [(0, 1), (1, 2), (1, 3)]

@@ -28,7 +28,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-LIKE = re.compile(r"[+(]?[0-9](?:[\x20().-]{0,3}[0-9]){6,}|[A-Za-z0-9._%+-]+[\x20]?(?:@|\(at\)|\[at\]|[\x20]at[\x20])[\x20]?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LIKE = re.compile(r"[+(]?[0-9](?:[\x20().-]{0,3}[0-9]){6,}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+[\x20]?(?:@|\(at\)|\[at\]|[\x20]at[\x20])[\x20]?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 SIGN = re.compile(r"[0-9]|@|[(\[]at[)\]]")
 DIGITS = re.compile(r"[^0-9]+")
 
@@ -199,8 +199,8 @@ def spans(text: str, model: dict[str, np.ndarray], least: float = 0.95) -> tuple
     if not SIGN.search(text):
         return [], []
     base = base_spans(text)
-    found = sites(text, base)
-    if not base or len(found) == len(base):         # nothing to carry, or nobody to carry it to
+    found = sites(text, base) if base else []
+    if len(found) == len(base):         # nothing to carry, or nobody to carry it to
         return base, []
     names = [text[a:b] for a, b, _ in found]
     unary = np.stack([features(s) for s in names]) @ model["unary"]
