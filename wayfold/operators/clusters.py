@@ -154,6 +154,15 @@ def cluster_table(labelled: DataFrame, min_points: int = 2) -> DataFrame:
             .where(c("point_count") >= min_points))
 
 
+def interference_clusters(cells: DataFrame, nm: float = 50.0, min_points: int = 3) -> DataFrame:
+    """Chain clusters of interference cells: (component) with centroid and totals; a cell counts one event for each flight."""
+    points = cells.withColumn("id", F.concat_ws(":", "lat", "lon"))
+    return (chain_clusters(points, nm).groupBy("component")
+            .agg(F.count("*").alias("point_count"), F.sum("affected_flights").alias("total_events"), F.sum("affected_flights").alias("affected_flights"),
+                 F.round(F.avg("intensity"), 2).alias("avg_intensity"), F.round(F.avg("lat"), 4).alias("lat"), F.round(F.avg("lon"), 4).alias("lon"))
+            .where(c("point_count") >= min_points))
+
+
 def gap_zones(gaps: DataFrame, buffer_nm: float = 10.0, merge_nm: float = 5.0, min_events: int = 2) -> DataFrame:
     """Zones of gap starts: counts, risk, buffer by gap length, outline pushed outwards."""
     z = planar_clusters(gaps.select("flight_id", "gap_start", "gap_s", "lat", "lon"), (2 * buffer_nm + merge_nm) / 60.0)

@@ -332,7 +332,7 @@ def _loss_nodes(t):
     return sp.signal_loss_cells(t.tracks, t.airports, limit=None).withColumn("id", F.concat_ws(":", "cy", "cx"))
 
 
-from wayfold.plans.sequence_queries import CELLS, NM  # noqa: E402
+from wayfold.plans.sequence_queries import CELLS, ICELL, NM  # noqa: E402
 
 REC = CELLS.replace("with p as", "with recursive p as") + """, nd as (select cy||':'||cx as id, * from c), ed as (select a.id as s, b.id as d from nd a, nd b where """ + sql_hav("a.lat", "a.lon", "b.lat", "b.lon") + """ <= {nm}),
  rc as (select id as root, id as id from nd union select rc.root, ed.d from rc join ed on ed.s = rc.id), cm as (select id, min(root) as component from rc group by 1)
@@ -340,7 +340,11 @@ REC = CELLS.replace("with p as", "with recursive p as") + """, nd as (select cy|
 CT = """select component, count(*) as point_count, sum(count)::bigint as total_events, sum(affected_flights)::bigint as affected_flights, round(avg(floor(dur/count)),3) as avg_duration, round(avg(lat),4) as lat, round(avg(lon),4) as lon
 from nd join cm on cm.id = nd.id group by 1 having count(*) >= 2"""
 query("s06_loss_clusters", REC.replace("{nm}", "15") + CT)(lambda t: cl.cluster_table(cl.chain_clusters(_loss_nodes(t), 15)))
-query("s07_interference_clusters", REC.replace("{nm}", "50") + CT)(lambda t: cl.cluster_table(cl.chain_clusters(_loss_nodes(t), 50)))
+query("s07_interference_clusters", ICELL.replace("with p as", "with recursive p as") + """, nd as (select lat||':'||lon as id, * from ic), ed as (select a.id as s, b.id as d from nd a, nd b where """ + sql_hav("a.lat", "a.lon", "b.lat", "b.lon") + """ <= 50),
+ rc as (select id as root, id as id from nd union select rc.root, ed.d from rc join ed on ed.s = rc.id), cm as (select id, min(root) as component from rc group by 1)
+select component, count(*) as point_count, sum(affected_flights)::bigint as total_events, sum(affected_flights)::bigint as affected_flights, round(avg(intensity),2) as avg_intensity, round(avg(lat),4) as lat, round(avg(lon),4) as lon
+ from nd join cm on cm.id = nd.id group by 1 having count(*) >= 3""")(
+    lambda t: cl.interference_clusters(sp.interference_cells(sp.flight_interference(t.tracks, t.airports), limit=None)))
 query("s08_near_miss_clusters")(lambda t: _s08(t))
 
 
