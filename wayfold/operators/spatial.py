@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold import config as C
@@ -10,6 +10,7 @@ from wayfold.functions import geo, keys
 from wayfold.operators.nearest import away_from
 from wayfold.operators.sequence import SPOOFED_FT, burst_clusters, deltas, oscillates, signal_gaps
 from wayfold.operators.windows import cut
+from wayfold.storage import written
 
 
 def _with_max(df: DataFrame, **maxima: str) -> DataFrame:
@@ -113,6 +114,53 @@ def interference_cells(per_flight: DataFrame, step: float = 0.25, min_score: flo
     return out.orderBy(F.desc("intensity"), "lat", "lon").limit(limit) if limit else out
 
 
+def interference_components(tracks: DataFrame, airports: DataFrame, step: float = 0.25, min_score: float = 15, gap_s: int = 300,
+                            airport_nm: float = 5, within_s: int = 1800, limit: int | None = 30) -> DataFrame:
+    """Cells with the marks of all flights of ``min_score`` whose mean position lies there, and of signal gaps that began there.
+
+    Events are a cell's distinct instants; ``correlated_events`` counts their pairs at most ``within_s`` apart. Instants are
+    compared inside time slots with the next slot's copied in, so a crowded cell is spread over tasks.
+    """
+    c, cell = F.col, ["cell_lat", "cell_lon"]
+    on_grid = lambda lat, lon: [geo.grid(lat, step).alias("cell_lat"), geo.grid(lon, step).alias("cell_lon")]
+    steps = deltas(tracks, with_previous_turn=True)
+    marks = {k: v for k, v in _flags().items() if k not in ("signal_losses", "mlat")} | {"oscillations": oscillates()}
+    d = away_from(steps, airports, airport_nm, radius=C.EARTH_NM_STATS).withColumns({k: F.coalesce(v, F.lit(False)) for k, v in marks.items()})
+    n = d.groupBy("flight_id").agg(*[F.count_if(k).alias(k) for k in marks], F.avg("lat").alias("lat"), F.avg("lon").alias("lon"),
+                                   (F.count_if(F.upper("source") == "MLAT") / F.count("*") > 0.8).alias("mlat"))
+    top = lambda most, x: F.least(F.lit(most), x)
+    score = (top(20, c("altitude_jumps") * 2) + top(15, c("spoofed_hits") * 4) + top(15, c("speed_anomalies") * 3) + top(15, c("position_teleports") * 4)
+             + F.when(c("mlat"), 8).otherwise(0) + top(12, c("impossible_turns")) + top(10, c("oscillations") * 2) + top(5, c("bearing_mismatches")))
+    flights = written(n.where(score >= min_score).select("*", *on_grid("lat", "lon")), "flights")
+    gaps = away_from(steps.where(c("dt") > gap_s), airports, airport_nm, "prev_lat", "prev_lon", radius=C.EARTH_NM_STATS)
+    gaps = written(gaps.select("flight_id", "dt", c("prev_ts").alias("ts"), c("prev_lat").alias("lat"), c("prev_lon").alias("lon"), *on_grid("prev_lat", "prev_lon")), "gaps")
+    # One flight may hold a large share of all marks, so the join is salted by time.
+    salts = 16
+    placed = flights.select("flight_id", *cell, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    marked = d.where(" or ".join(marks)).select("flight_id", "ts", F.pmod(c("ts"), F.lit(salts)).cast("int").alias("_salt"))
+    events = marked.join(placed, ["flight_id", "_salt"]).select(*cell, "ts").unionByName(gaps.select(*cell, "ts")).distinct()
+    slot = F.floor(c("ts") / within_s)
+    dealt = events.withColumn("_home", slot).withColumn("_slot", F.explode(F.array(slot, slot - 1)))
+    later = Window.partitionBy(*cell, "_slot").orderBy("ts").rangeBetween(1, within_s)
+    times = (dealt.withColumn("_later", F.count("*").over(later)).where("_slot = _home").groupBy(*cell)
+             .agg(F.count("*").alias("event_count"), F.sum("_later").alias("correlated_events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")))
+    who = (flights.select(*cell, "flight_id").unionByName(gaps.select(*cell, "flight_id")).distinct().groupBy(*cell).agg(F.count("*").alias("affected_flights")))
+    sums = flights.groupBy(*cell).agg(*[F.sum(k).alias(k) for k in marks], F.count_if("mlat").alias("mlat_only_flights"), F.sum("lat").alias("_flat"), F.sum("lon").alias("_flon"))
+    lost = gaps.groupBy(*cell).agg(F.sum("dt").alias("gap_duration"), F.sum("lat").alias("_glat"), F.sum("lon").alias("_glon"))
+    out = who.join(times, cell, "left").join(sums, cell, "left").join(lost, cell, "left").na.fill(
+        0, [*marks, "event_count", "correlated_events", "mlat_only_flights", "gap_duration", "_flat", "_flon", "_glat", "_glon"])
+    m, lat, lon = c("affected_flights"), c("_flat") + c("_glat"), c("_flon") + c("_glon")
+    total = (top(25, c("altitude_jumps") * 2 + c("spoofed_hits") * 4) + top(20, c("speed_anomalies") * 2 + c("position_teleports") * 3)
+             + top(25, c("impossible_turns") + c("oscillations") * 2 + c("bearing_mismatches")) + F.floor(c("mlat_only_flights") / m * 10)
+             + top(10, c("correlated_events") * 2) + top(10, m * 3))
+    s, summed = c("score"), (lat > 0) & (lon > 0)
+    out = (out.withColumns({"lat": F.round(F.when(summed, lat / m).otherwise(c("cell_lat")), 4), "lon": F.round(F.when(summed, lon / m).otherwise(c("cell_lon")), 4),
+                            "score": total.cast("long"), "avg_gap_s": F.floor(c("gap_duration") / F.greatest("event_count", F.lit(1)))})
+           .withColumn("confidence", F.when(s >= 60, "HIGH").when(s >= 35, "MEDIUM").when(s >= 15, "LOW").otherwise("UNLIKELY"))
+           .drop("_flat", "_flon", "_glat", "_glon"))
+    return out.orderBy(F.desc("score"), *cell).limit(limit) if limit else out
+
+
 def flight_score(tracks: DataFrame) -> DataFrame:
     """Ten indicators and a 0-100 score per flight, with a confidence word."""
     d = deltas(tracks, with_previous_turn=True).where("dt > 0")

@@ -197,8 +197,9 @@ query("s16_signal_map")(
     lambda t: sp.signal_map(sp.interference_cells(sp.flight_interference(t.tracks, t.airports), limit=None),
                             sp.signal_loss_cells(t.tracks, t.airports, limit=None)))
 
-SCORE = P + f""", d as (select *, ts-prev_ts as dt, {sql_hav('prev_lat', 'prev_lon', 'lat', 'lon', R)} as nm, {sql_delta('track', 'prev_track')} as turn, abs(alt-prev_alt) as da from p where prev_ts is not null),
- e as (select *, coalesce(lag(turn) over (partition by flight_id order by ts),0) as pt from d),
+MARKED = P + f""", d as (select *, ts-prev_ts as dt, {sql_hav('prev_lat', 'prev_lon', 'lat', 'lon', R)} as nm, {sql_delta('track', 'prev_track')} as turn, abs(alt-prev_alt) as da from p where prev_ts is not null),
+ e as (select *, coalesce(lag(turn) over (partition by flight_id order by ts),0) as pt from d)"""
+SCORE = MARKED + f""",
  m as (select flight_id, ts, source, da > 5000 as a, (alt in {tuple(sq.SPOOFED_FT)} or prev_alt in {tuple(sq.SPOOFED_FT)}) and da > 5000 as b, da/dt > 3000 as c, gspeed > 600 as d, nm/dt*3600 > 600 as e, abs(turn)/dt > 8 as f,
   (pt > 30 and turn < -30) or (pt < -30 and turn > 30) as g, nm > 0.1 and abs({sql_delta('track', sql_bearing('prev_lat', 'prev_lon', 'lat', 'lon'))}) > 90 as h from e),
  fl as (select flight_id, ts, case when ts - lag(ts) over (partition by flight_id order by ts) <= 60 then 0 else 1 end as s from m where a or b or c or d or e or f or g or h),
