@@ -31,12 +31,14 @@ def _f01(t):
 
 query("f01_ingest_positions", "select mmsi, count(distinct (ts, latitude, longitude)) as positions from vessel_positions group by 1")(_f01)
 query("f02_active_flights", f"select flight_id, count(*) as points, max(ts) as ts, max_by(lat, ts) as lat, max_by(lon, ts) as lon, max_by(alt, ts) as alt from tracks group by 1 having max(ts) >= {T0 + 6000}")(
-    lambda t: sj.drain(sj.active_flights(_tracks(t)()), "complete").where(c("ts") >= T0 + 6000))
+    lambda t: sj.active_table(sj.drain(sj.active_flights(_tracks(t)()), "update"), T0 + 6000))
 
 
 def _f03(t):
+    # Files of the sample hold years and come in any order, so nothing may count as late.
     path, schema = sj.as_files(t.vessels.select("mmsi", "ts", "latitude", "longitude"))
-    return sj.drain(sj.latest_vessels(sj.stream_of(t.spark, path, schema)), "complete").select("mmsi", "latitude", "longitude")
+    timed = sj.stream_of(t.spark, path, schema).withColumn("at", c("ts").cast("timestamp"))
+    return sj.vessel_table(sj.drain(sj.latest_vessels(timed, delay="3000 days"), "update")).select("mmsi", "latitude", "longitude")
 
 
 query("f03_latest_vessels", VL + " select mmsi, latitude, longitude from l")(_f03)
@@ -87,8 +89,7 @@ with g as (select flight_id, ts, case when ts - lag(ts) over (partition by fligh
 select flight_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as points from k group by flight_id, i""")(
     lambda t: sj.drain(sj.sessions(_tracks(t, ("flight_id", "ts"))()), "complete"))
 query("f09_heartbeat_expiry", f"select flight_id, max(ts) as last_ts, {T0 + 7200} - max(ts) > 900 as expired from tracks group by 1")(
-    lambda t: sj.drain(_tracks(t, ("flight_id", "ts"))().groupBy("flight_id").agg(F.max("ts").alias("last_ts")), "complete")
-    .withColumn("expired", T0 + 7200 - c("last_ts") > 900))
+    lambda t: sj.expiry(sj.drain(sj.heartbeats(_tracks(t, ("flight_id", "ts"))()), "update"), T0 + 7200))
 
 
 # -- sinks: written to a new folder and read back

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -40,7 +40,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming frame over all available input and return its table.
 
     Each micro-batch writes its own folder, overwriting it on a retry, so a batch counts
-    once. Complete mode keeps the newest folder, append mode all of them.
+    once. Complete mode keeps the newest folder, append and update mode all of them.
     """
     spark = stream.sparkSession
     root = scratch(spark)
@@ -66,15 +66,50 @@ def event_time(df: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame
 
 
 # -- jobs
-def active_flights(points: DataFrame) -> DataFrame:
-    """Last position per flight; filter on age when reading."""
-    best = F.max(F.struct("ts", "lat", "lon", "alt")).alias("p")
-    return points.groupBy("flight_id").agg(best, F.count("*").alias("points")).select("flight_id", "points", "p.*")
+def latest_by_window(rows: DataFrame, key: str, newest: Column, width: str = "1 hour", delay: str = "7 days") -> DataFrame:
+    """Newest row ``p`` and number of points for each key and event-time window, for update mode.
+
+    The state of a window goes once the watermark has passed it, so a key that falls silent leaves no state behind. Rows
+    later than ``delay`` are dropped if their window has gone. ``rows`` have ``at``, or epoch seconds in ``ts``.
+    """
+    timed = rows.withWatermark("at", delay) if "at" in rows.columns else event_time(rows, delay=delay)
+    return (timed.groupBy(F.window("at", width).alias("w"), key).agg(F.max(newest).alias("p"), F.count("*").alias("points"))
+            .select(key, c("w.start").alias("start"), "points", "p"))
+
+
+def latest(parts: DataFrame, key: str) -> DataFrame:
+    """One row for each key from the table that ``latest_by_window`` writes, in which a window comes again when it grows."""
+    return (parts.groupBy(key, "start").agg(F.max("p").alias("p"), F.max("points").alias("points"))
+            .groupBy(key).agg(F.max("p").alias("p"), F.sum("points").alias("points")))
+
+
+def active_flights(points: DataFrame, **times: str) -> DataFrame:
+    """Last position for each flight and window; ``active_table`` reads it."""
+    return latest_by_window(points, "flight_id", F.struct("ts", "lat", "lon", "alt"), **times)
+
+
+def active_table(parts: DataFrame, since: int) -> DataFrame:
+    """Flights seen at or after ``since`` with their last position."""
+    return latest(parts, "flight_id").select("flight_id", "points", "p.*").where(c("ts") >= since)
+
+
+def latest_vessels(pos: DataFrame, **times: str) -> DataFrame:
+    """Last position for each vessel and window; ``vessel_table`` reads it."""
+    return latest_by_window(pos, "mmsi", F.struct("ts", (-c("latitude")).alias("a"), (-c("longitude")).alias("b")), **times)
+
+
+def vessel_table(parts: DataFrame) -> DataFrame:
+    return latest(parts, "mmsi").select("mmsi", c("p.ts").alias("ts"), (-c("p.a")).alias("latitude"), (-c("p.b")).alias("longitude"))
+
+
+def heartbeats(points: DataFrame, **times: str) -> DataFrame:
+    """Last instant for each flight and window; ``expiry`` reads it."""
+    return latest_by_window(points, "flight_id", F.struct("ts"), **times)
 
 
-def latest_vessels(pos: DataFrame) -> DataFrame:
-    best = F.max(F.struct("ts", (-c("latitude")).alias("a"), (-c("longitude")).alias("b"))).alias("p")
-    return pos.groupBy("mmsi").agg(best).select("mmsi", c("p.ts").alias("ts"), (-c("p.a")).alias("latitude"), (-c("p.b")).alias("longitude"))
+def expiry(parts: DataFrame, now: int, silent_s: int = 900) -> DataFrame:
+    """Flights with their last instant, and whether they were silent for more than ``silent_s``."""
+    return latest(parts, "flight_id").select("flight_id", c("p.ts").alias("last_ts")).withColumn("expired", F.lit(now) - c("last_ts") > silent_s)
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 day", delay: str = "2 days") -> DataFrame:
