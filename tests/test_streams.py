@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tests.conftest import T0, track
 from wayfold.storage import new_path
 from wayfold.streaming import jobs as sj
 
@@ -27,3 +28,19 @@ def test_state_of_silent_flights_goes(spark):
     assert (got["f30"].points, got["f30"].lat, got["f30"].ts) == (3, 32.0, 30 * days + 2)
     late = {r.flight_id: r.expired for r in sj.expiry(sj.latest_by_window(spark.read.parquet(path), "flight_id", F.struct("ts")), 60 * days + 902).collect()}
     assert late["z"] and not late["f60"] and late["f1"]
+
+
+def test_files_are_read_in_the_order_of_event_time(spark):
+    """A track of 40 days whose oldest file takes longest to write, in four batches: the source drops what is later than the
+    watermark of the batch before the last."""
+    rows = [{"flight_id": "F1", "ts": T0 + h * 3600} for h in range(960)] + [{"flight_id": "F2", "ts": T0 + 60}, {"flight_id": "F2", "ts": T0 + 39 * 86_400}]
+    # Random text makes the rows of the first ten days slow to write.
+    slow = F.when(F.col("ts") < T0 + 10 * 86_400, F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda i: F.sha2(F.concat_ws(":", "ts", i), 256))))
+    path, schema = sj.as_files(track(spark, rows).withColumn("text", slow))
+    stream = lambda: sj.stream_of(spark, path, schema, 1)
+    got = {r.flight_id: (r.points, r.ts) for r in sj.active_table(sj.drain(sj.active_flights(stream()), "update"), 0).collect()}
+    assert got == {"F1": (960, T0 + 959 * 3600), "F2": (2, T0 + 39 * 86_400)}
+    last = {r.flight_id: r.last_ts for r in sj.expiry(sj.drain(sj.heartbeats(stream()), "update"), T0).collect()}
+    assert last == {k: ts for k, (_, ts) in got.items()}
+    pairs = sj.drain(sj.proximity_stream(stream(), stream(), seconds=60)).groupBy("a_id").count().collect()
+    assert {r.a_id: r["count"] for r in pairs} == {"F1": 2, "F2": 2}

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from wayfold.functions import geo
 from wayfold.storage import new_path
@@ -26,10 +27,20 @@ def scratch(spark: SparkSession) -> str:
 
 
 def as_files(df: DataFrame, files: int = 4, order: str = "ts") -> tuple[str, object]:
-    """Write a frame as several files ordered by time, to be streamed file by file."""
-    path = scratch(df.sparkSession) + "/in"
-    df.repartitionByRange(files, order).write.parquet(path)
-    return path, df.schema
+    """Write a frame as several files ordered by time, to be streamed file by file.
+
+    The source takes files by modification time. They are written one after another, so that it meets them in the order
+    of ``order`` and no row comes behind the watermark of a later range.
+    """
+    spark, schema = df.sparkSession, df.schema
+    root = scratch(spark)
+    path = f"{root}/in"
+    df.repartitionByRange(files, order).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(f"{root}/ranges")
+    ranges = spark.read.schema(StructType([*schema.fields, StructField("_range", IntegerType())])).parquet(f"{root}/ranges")
+    n = (ranges.agg(F.max("_range")).first()[0] or 0) + 1       # a session may make more ranges than asked for
+    for i in range(files):
+        ranges.where(F.floor(c("_range") * files / n) == i).drop("_range").coalesce(1).write.mode("append").parquet(path)
+    return path, schema
 
 
 def stream_of(spark: SparkSession, path: str, schema, per_trigger: int = 2) -> DataFrame:
