@@ -14,6 +14,8 @@ from wayfold.operators.scans import insert_new, last_snapshots, upsert
 from wayfold.operators.windows import cut
 from wayfold.storage import remove
 
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -41,18 +43,23 @@ def merge_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[s
     """Keyed upsert into a partitioned table.
 
     Partitions of the updates, and those that hold an updated key now, are read and written again; of other partitions
-    only the key columns are read. A partition that a move leaves empty is deleted.
+    only the key columns are read. A partition that a move leaves empty is deleted. Rows without a value of ``by``, or
+    with an empty text, share the null partition.
     """
+    if dict(updates.dtypes)[by] == "string":
+        updates = updates.withColumn(by, F.nullif(by, F.lit("")))
     if not _exists(spark, path):
         first = upsert(updates.limit(0), updates, keys, order)
         return overwrite_partitions(first, path, [by])
     stored = spark.read.schema(updates.schema).parquet(path)
     held = stored.select(*keys, by).join(updates.select(*keys).distinct(), keys, "left_semi").select(by)
     hit = cut(updates.select(by).unionByName(held).distinct())
-    new = cut(upsert(stored.join(hit, by, "left_semi").select(updates.columns), updates, keys, order))
+    read = stored.join(hit.select(F.col(by).alias("_by")), F.col(by).eqNullSafe(F.col("_by")), "left_semi")
+    new = cut(upsert(read.select(updates.columns), updates, keys, order))
     overwrite_partitions(new, path, [by])
-    for r in hit.join(new.select(by).distinct(), by, "left_anti").collect():      # names of partitions alone
-        remove(spark, f"{path}/{by}={r[0]}")
+    kept = new.select(F.col(by).alias("_by")).distinct()
+    for r in hit.join(kept, F.col(by).eqNullSafe(F.col("_by")), "left_anti").collect():      # names of partitions alone
+        remove(spark, f"{path}/{by}={NO_VALUE if r[0] is None else r[0]}")
 
 
 def insert_table(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], by: str) -> None:
