@@ -179,7 +179,8 @@ QUE = "select flight_id||':'||cast(ts as varchar) as qid, flight_id, ts, lat, lo
 
 
 def _queries(t):
-    return t.tracks.where("source = 'MLAT'").select(F.concat_ws(":", "flight_id", c("ts").cast("string")).alias("qid"), "flight_id", "lat", "lon", "gspeed", "vspeed")
+    """Every track point."""
+    return t.tracks.select(F.concat_ws(":", "flight_id", c("ts").cast("string")).alias("qid"), "flight_id", "lat", "lon", "gspeed", "vspeed")
 
 
 HIST = f"""with q as ({QUE}), d as (select q.qid, b.flight_id as h_flight, round({sql_hav('q.lat', 'q.lon', 'b.lat', 'b.lon', '6371.0')},9) as km, b.ts as h_ts, b.gspeed as hg, b.vspeed as hv from q join tracks b on b.flight_id <> q.flight_id and b.lat between q.lat-0.05 and q.lat+0.05),
