@@ -42,3 +42,31 @@ def test_every_point_is_tested_against_history(spark, points):
     assert got == {k: ts for k, (_, ts) in best.items()}
     tested = {r.qid: r.tracks for r in QUERIES["k17_history_test"](t).collect()}
     assert tested == {f"{p['flight_id']}:{p['ts']}": sum(k[0] == f"{p['flight_id']}:{p['ts']}" for k in best) for p in points}
+
+
+def test_approaches_of_all_airlines(spark, points):
+    country = {f"U{f}": x for f, x in enumerate(["US", "GB", "RU", "US", "GB"])}
+    facts = spark.createDataFrame([(p["flight_id"], country[p["flight_id"]], p["callsign"][:3]) for p in points[::12]], "flight_id string, country string, airline string")
+    best = {}
+    for a in points:
+        for b in points:
+            k = (a["flight_id"], b["flight_id"])
+            if k[0] < k[1] and country[k[0]] != country[k[1]] and abs(a["ts"] - b["ts"]) <= 300:
+                best[k] = min(best.get(k, 99.0), km((a["lat"], a["lon"]), (b["lat"], b["lon"])) * 0.539957)
+    got = {(r.f1, r.f2): r.min_nm for r in QUERIES["s19_operator_proximity"](SimpleNamespace(tracks=track(spark, points), facts=facts)).collect()}
+    assert len(got) == 8 and got == {k: pytest.approx(round(v, 1), abs=0.05) for k, v in best.items()}
+
+
+def test_route_passes_every_point(spark):
+    """Up and down one meridian; the track crosses a border of slices."""
+    lats = [31.0, 31.3, 31.1, 31.5, 31.2, 31.25, 31.9, 31.4, 31.6, 31.5, 31.0, 31.7]
+    pts = track(spark, [{"ts": T0 + i * 4000, "lat": x} for i, x in enumerate(lats)])
+    got = {r.t_s: r.lat for r in QUERIES["k12_interpolated_route"](SimpleNamespace(tracks=pts)).collect()}
+    ends, s = [0.0], 3600 / 250
+    for x, y in zip(lats, lats[1:]):
+        ends.append(ends[-1] + km((x, 33), (y, 33)) * 0.539957 * s)
+    want = {}
+    for k in range(math.ceil(ends[-1] / 60)):
+        i = max(j for j in range(len(lats) - 1) if ends[j] <= k * 60)
+        want[k * 60] = lats[i] + (k * 60 - ends[i]) / (ends[i + 1] - ends[i]) * (lats[i + 1] - lats[i])
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, keys
 from wayfold.operators.stats import distinct_if, in_rules
+from wayfold.operators.windows import running_sum, with_neighbours
 
 c = F.col
 
@@ -80,15 +81,16 @@ def first_conflicts(found: DataFrame) -> DataFrame:
 def interpolate_route(waypoints: DataFrame, every_s: int = 60, default_kt: float = 250.0) -> DataFrame:
     """Positions every n seconds along a waypoint list. ``waypoints``: route, seq, lat, lon, alt, speed_kt.
 
-    Route plans are short lists made by people or planners, so a window per route is small.
+    A whole track may be a route, so neighbours and times go through slices of ``seq``.
     """
-    w = Window.partitionBy("route").orderBy("seq")
-    s = waypoints.withColumns({f"n_{x}": F.lead(x).over(w) for x in ("lat", "lon", "alt", "speed_kt")}).where("n_lat is not null")
+    s = with_neighbours(waypoints, nxt={f"n_{x}": x for x in ("lat", "lon", "alt", "speed_kt")}, key="route", ts="seq").where("n_lat is not null")
     kt = (F.coalesce("speed_kt", F.lit(default_kt)) + F.coalesce("n_speed_kt", F.lit(default_kt))) / 2
     s = s.withColumns({"nm": geo.haversine("lat", "lon", "n_lat", "n_lon"), "brg": geo.bearing("lat", "lon", "n_lat", "n_lon"), "kt": kt})
     s = s.withColumn("dur", c("nm") / c("kt") * 3600)
-    s = s.withColumn("t0", F.coalesce(F.sum("dur").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    k0, k1 = F.ceil(F.round(c("t0") / every_s, 9)), F.ceil(F.round((c("t0") + c("dur")) / every_s, 9)) - 1
+    # A leg starts at the very number at which the one before ends, so that no instant falls between them.
+    s = with_neighbours(running_sum(s, {"t1": c("dur")}, key="route", ts="seq"), prev={"t0": "t1"}, key="route", ts="seq")
+    s = s.withColumn("t0", F.coalesce("t0", F.lit(0.0)))
+    k0, k1 = F.ceil(F.round(c("t0") / every_s, 9)), F.ceil(F.round(c("t1") / every_s, 9)) - 1
     p = s.where(k1 >= k0).withColumn("k", F.explode(F.sequence(k0, k1)))
     f = (c("k") * every_s - c("t0")) / c("dur")
     d = geo.destination("lat", "lon", "brg", c("nm") * f)

@@ -186,9 +186,9 @@ def military_patterns(tracks: DataFrame, facts: DataFrame, patterns: DataFrame)
 
 def operator_proximity(locations: DataFrame, nm: float = 50, seconds: int = 300) -> DataFrame:
     """Closest approach of flights of different countries. ``locations``: flight_id, ts, lat, lon, country."""
-    p = near_in_time(locations, locations, nm, seconds, c("a_country") != c("b_country"))
+    p = near_in_time(locations, locations, nm, seconds, (c("a_country") != c("b_country")) & (c("a_flight_id") < c("b_flight_id")))
     d = geo.haversine("a_lat", "a_lon", "b_lat", "b_lon")
-    p = p.where(c("a_flight_id") < c("b_flight_id")).withColumn("nm", d).where(c("nm") <= nm)
+    p = p.withColumn("nm", d).where(c("nm") <= nm)
     best = p.groupBy(c("a_flight_id").alias("f1"), c("b_flight_id").alias("f2")).agg(
         F.min_by(F.struct("a_country", "b_country", "nm", F.floor((c("a_ts") + c("b_ts")) / 2).alias("ts")), F.struct("nm", "a_ts", "b_ts")).alias("b"))
     m = c("min_nm")

@@ -70,7 +70,7 @@ query("s26_military_patterns")(lambda t: it.military_patterns(t.tracks, t.facts,
 query("s18_interference_correlation", ICELL + "select count(*) as cells, count(*) filter (where intensity >= 40) as severe, round(least(100, avg(intensity)*1.5),2) as score from ic")(
     lambda t: it.interference_correlation(sp.interference_cells(sp.flight_interference(t.tracks, t.airports), limit=None)))
 query("s19_operator_proximity", f"with l as (select t.*, f.country from tracks t join flight_facts f on f.flight_id = t.flight_id where airline in ('RCH','ELY')), p as (select a.flight_id as f1, b.flight_id as f2, a.country as c1, b.country as c2, a.ts as t1, b.ts as t2, {sql_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as nm from l a join l b on a.flight_id < b.flight_id and a.country <> b.country and b.ts between a.ts-300 and a.ts+300), k as (select f1, f2, least(min(c1),min(c2))||'-'||greatest(min(c1),min(c2)) as pair, round(min(nm),1) as min_nm, cast(floor(min_by(t1+t2, (nm, t1, t2))/2) as bigint) as ts from p where nm <= 50 group by 1, 2) select *, case when min_nm < 5 then 'critical' when min_nm < 15 then 'high' when min_nm < 30 then 'medium' else 'low' end as severity from k")(
-    lambda t: it.operator_proximity(t.tracks.select("flight_id", "ts", "lat", "lon").join(t.facts.where("airline in ('RCH', 'ELY')").select("flight_id", "country"), "flight_id")))
+    lambda t: it.operator_proximity(t.tracks.select("flight_id", "ts", "lat", "lon").join(t.facts.where("country is not null").select("flight_id", "country"), "flight_id")))
 
 
 def _similar(t):
@@ -159,7 +159,7 @@ query("k14_first_conflicts", CONFL + "select plan_id, flight_id, min(minutes) as
 query("k13_conflict_severity", "select flight_id, ts, rule_id, case when distance_nm <= 1 and altitude_diff_ft <= 300 then 'critical' when distance_nm <= 2 and altitude_diff_ft <= 600 then 'warning' when distance_nm <= 3 and altitude_diff_ft <= 900 then 'caution' end as severity from rule_hits")(
     lambda t: t.hits.select("flight_id", "ts", "rule_id", fc.severity(c("distance_nm"), c("altitude_diff_ft"), 1.0, 300.0).alias("severity")))
 query("k12_interpolated_route")(lambda t: fc.interpolate_route(
-    sq.key_locations(t.tracks, 5).select(c("flight_id").alias("route"), c("ts").alias("seq"), "lat", "lon", "alt", F.lit(None).cast("double").alias("speed_kt"))))
+    t.tracks.select(c("flight_id").alias("route"), c("ts").alias("seq"), "lat", "lon", "alt", F.lit(None).cast("double").alias("speed_kt"))))
 AS_OF = T0 + 9000
 query("k15_airspace_risk", f"""
 with t as (select count(distinct flight_id) as traffic from tracks where ts between {AS_OF - 3600} and {AS_OF}), a as (select count(distinct flight_id) filter (where ts >= {AS_OF - 3600}) as recent, count(distinct flight_id) filter (where ts >= {AS_OF - 86400}) as today, count(distinct flight_id) filter (where ts < {AS_OF - 86400}) as yesterday from rule_hits where ts between {AS_OF - 172800} and {AS_OF}),
