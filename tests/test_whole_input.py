@@ -70,3 +70,22 @@ def test_route_passes_every_point(spark):
         i = max(j for j in range(len(lats) - 1) if ends[j] <= k * 60)
         want[k * 60] = lats[i] + (k * 60 - ends[i]) / (ends[i + 1] - ends[i]) * (lats[i + 1] - lats[i])
     assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_paths_emerge_by_real_headings(spark, monkeypatch):
+    """Eleven flights of two headings and one that turns, in turns: one signature repeats five times, another six."""
+    rows = [{"flight_id": f"F{f:02d}", "ts": T0 + f * 100 + i * 10, "lat": 31.0 + i * 0.01, "lon": 33.0 + f * 0.1,
+             "track": 45.0 + 30 * i if f == 3 else 40.0 if f % 2 else 200.0} for f in range(12) for i in range(6)]
+    pts = track(spark, rows)
+    monkeypatch.setattr(rq, "layer_set", lambda t: (None, spark.range(1), None))
+    monkeypatch.setattr(rq, "enriched", lambda t: None)
+    monkeypatch.setattr(ly, "off_course_points", lambda *a: pts.select("flight_id", "ts", F.lit(True).alias("far")))
+    codes, seen, want = defaultdict(list), defaultdict(int), []
+    for r in rows:
+        codes[r["flight_id"]].append(int(r["track"] % 360 // 30))
+    for f, sig in codes.items():                    # in the order of their first points
+        seen[tuple(sig)] += 1
+        want += [f] * (seen[tuple(sig)] % 5 == 0)
+    assert want == ["F08", "F11"]
+    got = rq._g17(SimpleNamespace(tracks=pts, meta=None)).collect()
+    assert sorted(r.flight_id for r in got) == want and {r.num_flights for r in got} == {5}

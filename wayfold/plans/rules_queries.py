@@ -215,10 +215,10 @@ query("g17_emerging_paths")(lambda t: _g17(t))
 
 
 def _g17(t):
-    # Far points of every flight, judged without tubes. One heading for all makes signatures repeat.
+    # Far points of every flight with their own headings, judged without tubes.
     paths, tubes, _ = layer_set(t)
     pts = ly.off_course_points(enriched(t), t.meta, tubes.where("false"), paths, None)
-    far = pts.where("far").groupBy("flight_id").agg(F.min("ts").alias("ts")).withColumn("track", F.lit(90.0))
+    far = pts.where("far").select("flight_id", "ts").join(t.tracks.select("flight_id", "ts", "track"), ["flight_id", "ts"])
     return ly.emerging_paths(far, t.tracks).select("flight_id", F.round("width_nm", 4).alias("width_nm"), "num_flights", F.size("centerline").alias("vertices"))
 
 
