@@ -1,10 +1,13 @@
 """State of the streaming jobs ends with the watermark, and what was written stays right."""
 
+import datetime
+import random
+
 from pyspark.sql import functions as F
 
 from tests.conftest import T0, track
 from wayfold.storage import new_path
-from wayfold.streaming import jobs as sj
+from wayfold.streaming import jobs as sj, ordered as od
 
 
 def test_state_of_silent_flights_goes(spark):
@@ -44,3 +47,94 @@ def test_files_are_read_in_the_order_of_event_time(spark):
     assert last == {k: ts for k, (_, ts) in got.items()}
     pairs = sj.drain(sj.proximity_stream(stream(), stream(), seconds=60)).groupBy("a_id").count().collect()
     assert {r.a_id: r["count"] for r in pairs} == {"F1": 2, "F2": 2}
+
+
+TESTS = "flight_id string, ts long, alt double, tracks long, gspeed_warning boolean, vspeed_warning boolean"
+
+
+def monitored(rows, idle, warm_up_s=300, size=15, share=0.8):
+    """States by a plain loop over sorted points; a flight silent for longer than ``idle`` starts anew."""
+    out, s = [], None
+    for f, ts, alt, tracks, g, v in sorted(rows):
+        if s is None or s["f"] != f or ts - s["last"] > idle:
+            s = {"f": f, "g": [], "v": [], "start": None, "warned": False}
+        s["last"] = ts
+        if alt < 1000:
+            continue
+        if tracks < 3:
+            out.append((f, ts, "WARNING" if s["warned"] else "STANDBY"))
+            continue
+        s["g"], s["v"] = [*s["g"], g][-size:], [*s["v"], v][-size:]
+        s["start"] = ts if s["start"] is None else s["start"]
+        alarm = any(len(q) == size and sum(q) >= share * size for q in (s["g"], s["v"]))
+        state = "NORMAL" if not alarm else "STANDBY" if ts - s["start"] <= warm_up_s else "WARNING"
+        s["warned"] |= state == "WARNING"
+        out.append((f, ts, state))
+    return sorted(out)
+
+
+def test_monitor_ignores_batches_and_restarts(spark):
+    """Points in mixed order inside the delay, one flight owning most of them, and a restart in the middle of the stream."""
+    r = random.Random(3)
+    rows = []
+    for f, n in (("hot", 400), ("b", 60), ("c", 60)):
+        ts, bad = T0, False
+        for i in range(n):
+            ts += 30_000 if f == "b" and i == 40 else r.choice((10, 20, 60))
+            bad = r.random() < 0.9 if i % 40 > 15 else r.random() < 0.2
+            rows.append((f, ts, r.choice((500.0, 9000.0, 9000.0)), r.choice((0, 5, 5, 5, 9)), bad, r.random() < 0.3))
+    want = monitored(rows, 6 * 3600)
+    assert {x[2] for x in want} == {"NORMAL", "WARNING", "STANDBY"}
+    newest = max(x[1] for x in rows)
+    got = []
+    for seed in (1, 2):
+        path, ckpt, root = new_path(spark, "in"), new_path(spark, "ckpt"), new_path(spark, "out")
+        q = random.Random(seed)
+        order = sorted(rows, key=lambda x: x[1] + q.uniform(-250, 250))
+        cut = len(order) // 4
+        parts = [order[:cut], order[cut:2 * cut], order[2 * cut:], [(None, newest + 86_400, None, None, None, None)]]
+        for i, part in enumerate(parts):
+            spark.createDataFrame(part, TESTS).repartition(2).sortWithinPartitions("alt").coalesce(1).write.mode("append").parquet(path)
+            if i in (1, 3):     # a new run from the checkpoint
+                (od.monitor(sj.stream_of(spark, path, TESTS, 1)).writeStream.outputMode("append").option("checkpointLocation", ckpt)
+                 .foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(f"{root}/batch={e}")).trigger(availableNow=True).start().awaitTermination())
+        got.append(sorted(map(tuple, spark.read.parquet(root).select("flight_id", "ts", "state").collect())))
+    assert got == [want, want]
+
+
+def test_silence_is_an_event_and_its_state_goes(spark):
+    path = new_path(spark, "in")
+    batches = [[("a", T0), ("b", T0 + 10), ("c", T0 + 20)],
+               [("a", T0 + 800), ("b", T0 + 900)],                  # a and b return in time, c falls silent
+               [("a", T0 + 3000), ("b", T0 + 1500)],                # a returned too late; b came out of order
+               [("d", T0 + 20_000)], [("d", T0 + 40_000)]]
+    for part in batches:
+        spark.createDataFrame(part, "flight_id string, ts long").coalesce(1).write.mode("append").parquet(path)
+    root = new_path(spark, "out")
+    q = (od.expired(sj.stream_of(spark, path, "flight_id string, ts long", 1), delay="50 minutes").writeStream.outputMode("append")
+         .foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(f"{root}/batch={e}")).option("checkpointLocation", new_path(spark, "ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(root).select("flight_id", "last_ts", "expired_ts").collect()))
+    assert got == [("a", T0 + 800, T0 + 1701), ("a", T0 + 3000, T0 + 3901), ("b", T0 + 1500, T0 + 2401), ("c", T0 + 20, T0 + 921), ("d", T0 + 20_000, T0 + 20_901)]
+    # What is left is the open point of d: its waiting slice and its timer.
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 6
+
+
+def test_messages_are_written_once_and_keys_leave_the_state(spark):
+    path, table = new_path(spark, "in"), new_path(spark, "table")
+    schema = "mmsi string, ts timestamp_ntz, latitude double, longitude double"
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    for hour in range(8):
+        rows = [(f"m{i}", at(hour * 3600 + i), 1.0, 2.0) for i in range(10)] * 2 + ([(f"m{i}", at((hour - 1) * 3600 + i), 1.0, 2.0) for i in range(10)] if hour else [])
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        if hour == 4:
+            sj.ingest(sj.stream_of(spark, path, schema, 1), table, ["mmsi", "ts", "latitude", "longitude"], delay="2 hours")
+    messages = sj.stream_of(spark, path, schema, 1)
+    seen = []
+    q = (sj.once(messages, ["mmsi", "ts"], delay="2 hours").writeStream.foreachBatch(lambda b, e: seen.append(b.count()))
+         .option("checkpointLocation", new_path(spark, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sum(seen) == 80 and max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 50
+    sj.ingest(messages, table, ["mmsi", "ts", "latitude", "longitude"], delay="2 hours")      # goes on from the checkpoint
+    assert spark.read.parquet(f"{table}/data").count() == 80

@@ -69,7 +69,7 @@ query("s25_recent_tracks", f"with f as (select flight_id, country, row_number()
 query("s26_military_patterns")(lambda t: it.military_patterns(t.tracks, t.facts, sq.flight_patterns(t.tracks)))
 query("s18_interference_correlation", ICELL + "select count(*) as cells, count(*) filter (where intensity >= 40) as severe, round(least(100, avg(intensity)*1.5),2) as score from ic")(
     lambda t: it.interference_correlation(sp.interference_cells(sp.flight_interference(t.tracks, t.airports), limit=None)))
-query("s19_operator_proximity", f"with l as (select t.*, f.country from tracks t join flight_facts f on f.flight_id = t.flight_id where airline in ('RCH','ELY')), p as (select a.flight_id as f1, b.flight_id as f2, a.country as c1, b.country as c2, a.ts as t1, b.ts as t2, {sql_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as nm from l a join l b on a.flight_id < b.flight_id and a.country <> b.country and b.ts between a.ts-300 and a.ts+300), k as (select f1, f2, least(min(c1),min(c2))||'-'||greatest(min(c1),min(c2)) as pair, round(min(nm),1) as min_nm, cast(floor(min_by(t1+t2, (nm, t1, t2))/2) as bigint) as ts from p where nm <= 50 group by 1, 2) select *, case when min_nm < 5 then 'critical' when min_nm < 15 then 'high' when min_nm < 30 then 'medium' else 'low' end as severity from k")(
+query("s19_operator_proximity", f"with l as (select t.*, f.country from tracks t join flight_facts f on f.flight_id = t.flight_id where country is not null), p as (select a.flight_id as f1, b.flight_id as f2, a.country as c1, b.country as c2, a.ts as t1, b.ts as t2, {sql_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as nm from l a join l b on a.flight_id < b.flight_id and a.country <> b.country and b.ts between a.ts-300 and a.ts+300), k as (select f1, f2, least(min(c1),min(c2))||'-'||greatest(min(c1),min(c2)) as pair, round(min(nm),1) as min_nm, cast(floor(min_by(t1+t2, (nm, t1, t2))/2) as bigint) as ts from p where nm <= 50 group by 1, 2) select *, case when min_nm < 5 then 'critical' when min_nm < 15 then 'high' when min_nm < 30 then 'medium' else 'low' end as severity from k")(
     lambda t: it.operator_proximity(t.tracks.select("flight_id", "ts", "lat", "lon").join(t.facts.where("country is not null").select("flight_id", "country"), "flight_id")))
 
 
@@ -175,7 +175,7 @@ with h as (select * from rule_hits where ts between {FA - 30 * 86400} and {FA}),
 select "offset"::int as "offset", hour::int as hour, round(e,2) as expected_total, greatest(0, round_even(e*case when kinds > 0 then ga/kinds else 0.6 end,0)::int) as expected_go_arounds, greatest(0, round_even(e*case when kinds > 0 then nm/kinds else 0.3 end,0)::int) as expected_near_miss,
  greatest(0, round_even(e*case when kinds > 0 then em/kinds else 0.1 end,0)::int) as expected_emergency, case when e > base*1.5 then 'high' when e > base then 'medium' else 'low' end as risk_level, round(greatest(0.5, 1.0 - "offset"/24*0.4),2) as confidence from k""")(
     lambda t: fc.safety_forecast(t.hits, FA))
-QUE = "select flight_id||':'||cast(ts as varchar) as qid, flight_id, ts, lat, lon, gspeed, vspeed from tracks where source = 'MLAT'"
+QUE = "select flight_id||':'||cast(ts as varchar) as qid, flight_id, ts, lat, lon, gspeed, vspeed from tracks"
 
 
 def _queries(t):
@@ -183,13 +183,15 @@ def _queries(t):
     return t.tracks.select(F.concat_ws(":", "flight_id", c("ts").cast("string")).alias("qid"), "flight_id", "lat", "lon", "gspeed", "vspeed")
 
 
-HIST = f"""with q as ({QUE}), d as (select q.qid, b.flight_id as h_flight, round({sql_hav('q.lat', 'q.lon', 'b.lat', 'b.lon', '6371.0')},9) as km, b.ts as h_ts, b.gspeed as hg, b.vspeed as hv from q join tracks b on b.flight_id <> q.flight_id and b.lat between q.lat-0.05 and q.lat+0.05),
+HIST = f"""with q as ({QUE}), d as (select q.qid, b.flight_id as h_flight, round({sql_hav('q.lat', 'q.lon', 'b.lat', 'b.lon', '6371.0')},9) as km, b.ts as h_ts, b.gspeed as hg, b.vspeed as hv from q join tracks b on b.flight_id <> q.flight_id and b.lat between q.lat-0.05 and q.lat+0.05 and b.lon between q.lon-0.1 and q.lon+0.1),
  k as (select qid, h_flight, min(km) as km, min_by(h_ts, (km, h_ts)) as h_ts, min_by(hg, (km, h_ts)) as hg, min_by(hv, (km, h_ts)) as hv from d where km <= 5 group by 1, 2)
 """
 query("d08_closest_history", HIST + "select qid, h_flight, round(km,5) as km, h_ts from k")(
     lambda t: fc.closest_history(_queries(t), t.tracks).select("qid", "h_flight", F.round("km", 5).alias("km"), "h_ts"))
-query("k17_history_test", HIST + """, s as (select qid, count(*) as tracks, avg(hg) as mg, stddev_pop(hg) as sg, avg(hv) as mv, stddev_pop(hv) as sv from k group by 1)
-select q.qid, q.flight_id, coalesce(tracks,0) as tracks, case when tracks >= 3 then coalesce(sg > 1 and abs(gspeed-mg)/sg > 2.5758293, false) end as gspeed_warning, case when tracks >= 3 then coalesce(sv > 1 and abs(vspeed-mv)/sv > 2.5758293, false) end as vspeed_warning from q left join s on s.qid = q.qid""".replace("as tracks,", "as tracks,"))(
+TESTED = HIST + """, s as (select qid, count(*) as tracks, avg(hg) as mg, stddev_pop(hg) as sg, avg(hv) as mv, stddev_pop(hv) as sv from k group by 1),
+ tested as (select q.qid, q.flight_id, q.ts, coalesce(tracks,0) as tracks, case when tracks >= 3 then coalesce(sg > 1 and abs(gspeed-mg)/sg > 2.5758293, false) end as gspeed_warning, case when tracks >= 3 then coalesce(sv > 1 and abs(vspeed-mv)/sv > 2.5758293, false) end as vspeed_warning from q left join s on s.qid = q.qid)
+"""
+query("k17_history_test", TESTED + "select qid, flight_id, tracks, gspeed_warning, vspeed_warning from tested")(
     lambda t: fc.history_test(_queries(t), fc.closest_history(_queries(t), t.tracks)))
 
 # -- joins

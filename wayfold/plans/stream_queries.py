@@ -6,27 +6,28 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import forecast as fc, marine as ma
 from wayfold.plans.core_queries import T0
-from wayfold.plans.intel_queries import VL, _queries
+from wayfold.plans.intel_queries import TESTED, VL
 from wayfold.plans.registry import query, sql_hav
-from wayfold.streaming import jobs as sj
+from wayfold.streaming import jobs as sj, ordered as od
 
 c = F.col
 
 
-def _tracks(t, cols=("flight_id", "ts", "lat", "lon", "alt")):
-    path, schema = sj.as_files(t.tracks.select(*cols))
+DAY = 86_400
+
+
+def _tracks(t, cols=("flight_id", "ts", "lat", "lon", "alt"), closing_s=None):
+    path, schema = sj.as_files(t.tracks.select(*cols), closing_s=closing_s)
     return lambda: sj.stream_of(t.spark, path, schema)
 
 
 def _f01(t):
-    """Vessel messages as JSON lines, each of them twice in different files, parsed, written once per (vessel, time, place)."""
-    root = sj.scratch(t.spark)
-    v = t.vessels
-    for _ in range(2):
-        v.select(F.to_json(F.struct(*v.columns)).alias("value")).write.mode("append").text(f"{root}/json")
-    raw = t.spark.readStream.option("maxFilesPerTrigger", 4).text(f"{root}/json")
-    sj.ingest(ma.parse_messages(raw), f"{root}/table", ["mmsi", "ts", "latitude", "longitude"])
-    return t.spark.read.parquet(f"{root}/table/data").groupBy("mmsi").agg(F.count("*").alias("positions"))
+    """Vessel messages as JSON lines in the order of their time, each of them twice, parsed, written once per (vessel, time, place)."""
+    v = t.vessels.withColumn("_twice", F.explode(F.array(F.lit(1), F.lit(2))))
+    path, schema = sj.as_files(v.select("ts", F.to_json(F.struct(*t.vessels.columns)).alias("value")))
+    table = f"{sj.scratch(t.spark)}/table"
+    sj.ingest(ma.parse_messages(sj.stream_of(t.spark, path, schema)), table, ["mmsi", "ts", "latitude", "longitude"])
+    return t.spark.read.parquet(f"{table}/data").groupBy("mmsi").agg(F.count("*").alias("positions"))
 
 
 query("f01_ingest_positions", "select mmsi, count(distinct (ts, latitude, longitude)) as positions from vessel_positions group by 1")(_f01)
@@ -35,10 +36,9 @@ query("f02_active_flights", f"select flight_id, count(*) as points, max(ts) as t
 
 
 def _f03(t):
-    # Files of the sample hold years and come in any order, so nothing may count as late.
     path, schema = sj.as_files(t.vessels.select("mmsi", "ts", "latitude", "longitude"))
     timed = sj.stream_of(t.spark, path, schema).withColumn("at", c("ts").cast("timestamp"))
-    return sj.vessel_table(sj.drain(sj.latest_vessels(timed, delay="3000 days"), "update")).select("mmsi", "latitude", "longitude")
+    return sj.vessel_table(sj.drain(sj.latest_vessels(timed), "update")).select("mmsi", "latitude", "longitude")
 
 
 query("f03_latest_vessels", VL + " select mmsi, latitude, longitude from l")(_f03)
@@ -49,11 +49,17 @@ def _f04(t):
     q = t.tracks.select(F.concat_ws(":", "flight_id", c("ts").cast("string")).alias("qid"), "flight_id", "ts", "alt", "lat", "lon", "gspeed", "vspeed")
     tests = fc.history_test(q.drop("ts", "alt"), fc.closest_history(q, t.tracks)).join(q.select("qid", "ts", "alt"), "qid")
     tests = tests.select("flight_id", "ts", "alt", "tracks", *[F.coalesce(x, F.lit(False)).alias(x) for x in ("gspeed_warning", "vspeed_warning")])
-    path, schema = sj.as_files(tests)
-    return sj.drain(sj.monitor(sj.stream_of(t.spark, path, schema)))
+    path, schema = sj.as_files(tests, closing_s=DAY)
+    return sj.drain(od.monitor(sj.stream_of(t.spark, path, schema)))
 
 
-query("f04_flight_monitor")(_f04)
+query("f04_flight_monitor", TESTED + """, u as (select t.flight_id, t.ts, alt, tracks, coalesce(gspeed_warning, false) as g, coalesce(vspeed_warning, false) as v
+   from tested t join tracks p on p.flight_id = t.flight_id and p.ts = t.ts where alt >= 1000),
+ a as (select flight_id, ts, count(*) over w as n, count(*) filter (where g) over w as ng, count(*) filter (where v) over w as nv, min(ts) over (partition by flight_id) as start from u where tracks >= 3
+   window w as (partition by flight_id order by ts rows between 14 preceding and current row)),
+ b as (select flight_id, ts, n = 15 and (ng >= 12 or nv >= 12) as alarm, n = 15 and (ng >= 12 or nv >= 12) and ts - start > 300 as warned from a),
+ j as (select u.flight_id, u.ts, tracks, alarm, warned, coalesce(bool_or(warned) over (partition by u.flight_id order by u.ts rows between unbounded preceding and current row), false) as before from u left join b on b.flight_id = u.flight_id and b.ts = u.ts)
+select flight_id, ts, case when tracks < 3 then case when before then 'WARNING' else 'STANDBY' end when not alarm then 'NORMAL' when warned then 'WARNING' else 'STANDBY' end as state from j""")(_f04)
 
 
 def _f05(t):
@@ -74,12 +80,11 @@ query("f06_live_proximity", "select a.flight_id, count(*) as pairs from tracks a
 
 
 def _f07(t):
-    """Counts per day straight from the event file."""
-    e = t.events
-    s = t.spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    """Counts per day, each written once its day is over."""
     # Seconds since the epoch from wall-clock fields, so that the session zone plays no part.
     at = F.timestamp_seconds(F.unix_timestamp(c("ts").cast("timestamp")))
-    return sj.drain(sj.tumbling_counts(s.select("event_type", at.alias("at"))), "complete").select(
+    path, schema = sj.as_files(t.events.select("event_type", at.alias("at")), order="at", closing_s=4 * DAY)
+    return sj.drain(sj.tumbling_counts(sj.stream_of(t.spark, path, schema))).select(
         F.substring(c("start").cast("string"), 1, 10).alias("date"), "event_type", "n")
 
 
@@ -87,9 +92,11 @@ query("f07_tumbling_counts", "select strftime(ts, '%Y-%m-%d') as date, event_typ
 query("f08_sessions", """
 with g as (select flight_id, ts, case when ts - lag(ts) over (partition by flight_id order by ts) < 300 then 0 else 1 end as s from tracks), k as (select *, sum(s) over (partition by flight_id order by ts) as i from g)
 select flight_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as points from k group by flight_id, i""")(
-    lambda t: sj.drain(sj.sessions(_tracks(t, ("flight_id", "ts"))()), "complete"))
+    lambda t: sj.drain(sj.sessions(_tracks(t, ("flight_id", "ts"), 3 * DAY)())))
 query("f09_heartbeat_expiry", f"select flight_id, max(ts) as last_ts, {T0 + 7200} - max(ts) > 900 as expired from tracks group by 1")(
     lambda t: sj.expiry(sj.drain(sj.heartbeats(_tracks(t, ("flight_id", "ts"))()), "update"), T0 + 7200))
+query("f09_expired_events", "with g as (select flight_id, ts, lead(ts) over (partition by flight_id order by ts) as n from tracks) select flight_id, ts as last_ts, ts + 401 as expired_ts from g where n is null or n - ts > 400")(
+    lambda t: sj.drain(od.expired(_tracks(t, ("flight_id", "ts"), DAY)(), silent_s=400)))
 
 
 # -- sinks: written to a new folder and read back

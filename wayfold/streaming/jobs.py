@@ -7,12 +7,8 @@ frames are started with a processing-time trigger.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from wayfold.functions import geo
@@ -26,11 +22,12 @@ def scratch(spark: SparkSession) -> str:
     return new_path(spark, "stream")
 
 
-def as_files(df: DataFrame, files: int = 4, order: str = "ts") -> tuple[str, object]:
+def as_files(df: DataFrame, files: int = 4, order: str = "ts", closing_s: int | None = None) -> tuple[str, object]:
     """Write a frame as several files ordered by time, to be streamed file by file.
 
     The source takes files by modification time. They are written one after another, so that it meets them in the order
-    of ``order`` and no row comes behind the watermark of a later range.
+    of ``order`` and no row comes behind the watermark of a later range. With ``closing_s`` a last file holds one row that is null
+    but for ``order``, so many seconds after the newest: it carries the watermark past all others, as later traffic would.
     """
     spark, schema = df.sparkSession, df.schema
     root = scratch(spark)
@@ -40,6 +37,11 @@ def as_files(df: DataFrame, files: int = 4, order: str = "ts") -> tuple[str, obj
     n = (ranges.agg(F.max("_range")).first()[0] or 0) + 1       # a session may make more ranges than asked for
     for i in range(files):
         ranges.where(F.floor(c("_range") * files / n) == i).drop("_range").coalesce(1).write.mode("append").parquet(path)
+    if closing_s is not None:
+        kind = schema[order].dataType
+        after = F.max(order) + (F.lit(closing_s) if kind.simpleString() in ("int", "bigint") else F.make_dt_interval(secs=F.lit(closing_s)))
+        last = ranges.agg(after.cast(kind).alias(order)).where(c(order).isNotNull())
+        last.select(*[c(f.name) if f.name == order else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("append").parquet(path)
     return path, schema
 
 
@@ -124,13 +126,13 @@ def expiry(parts: DataFrame, now: int, silent_s: int = 900) -> DataFrame:
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 day", delay: str = "2 days") -> DataFrame:
-    """Events per window and type; ``at`` is the event time."""
+    """Events per window and type; ``at`` is the event time. In append mode a window comes once, when the watermark has passed it."""
     return (events.withWatermark("at", delay).groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
             .select(c("w.start").alias("start"), "event_type", "n"))
 
 
 def sessions(points: DataFrame, gap: str = "300 seconds") -> DataFrame:
-    """Runs of points closer than the gap; a point exactly one gap later opens a new run."""
+    """Runs of points closer than the gap; a point exactly one gap later opens a new run. In append mode a run comes once, when it is over."""
     return (event_time(points).groupBy(F.session_window("at", gap).alias("s"), "flight_id")
             .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("points"))
             .select("flight_id", "first_ts", "last_ts", "points"))
@@ -154,57 +156,20 @@ def proximity_stream(left: DataFrame, right: DataFrame, nm: float = 4.0, seconds
     return a.join(b, cond).select("a_id", "a_ts", "b_id", "b_ts")
 
 
-MONITOR_OUT = "flight_id string, ts bigint, state string"
-MONITOR_STATE = "doc string"
+def once(messages: DataFrame, keys: list[str], at: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Messages once per key, which must hold the event time. Keys are in state until the watermark has passed them.
 
+    A repeat that comes later than the delay is dropped as late, so a key is never written twice; a first message later than
+    that is lost, and counted in the query's progress.
+    """
+    timed = messages.withColumn("_at", c(at).cast("timestamp")).withWatermark("_at", delay)
+    return timed.dropDuplicates([*keys, "_at"]).drop("_at")
 
-def monitor(tests: DataFrame, warm_up_s: int = 300, size: int = 15, share: float = 0.8, least_tracks: int = 3, initial: int = 10) -> DataFrame:
-    """Flight monitor NORMAL / WARNING / STANDBY over a stream of point tests.
 
-    ``tests``: flight_id, ts, alt, tracks, gspeed_warning, vspeed_warning. Two queues of the
-    last results, a warm-up after the first usable point, and a warning that stays while
-    there is nothing to decide on. State per flight is two short lists and three numbers.
-    """
-    def step(s: dict, r) -> str | None:
-        if r.alt < 1000:
-            return None
-        if r.tracks < least_tracks:
-            return "WARNING" if s["warned"] else "STANDBY"
-        alarm = False
-        for name in ("gspeed", "vspeed"):
-            queue = s[name]
-            queue.append(bool(getattr(r, f"{name}_warning")))
-            del queue[:-size]
-            alarm = alarm or (len(queue) == size and sum(queue) >= share * size)
-        if s["start"] is None:
-            s["start"], s["initial"] = int(r.ts), int(r.tracks)
-        if not alarm:
-            return "NORMAL"
-        if r.ts - s["start"] <= warm_up_s:
-            return "STANDBY"
-        s["warned"] = True
-        return "WARNING"
-
-    def run(key, batches, state):
-        s = json.loads(state.get[0]) if state.exists else {"gspeed": [], "vspeed": [], "start": None, "initial": 0, "warned": False}
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out = [(key[0], int(r.ts), v) for r in rows.itertuples() if (v := step(s, r)) is not None]
-        state.update((json.dumps(s),))
-        yield pd.DataFrame(out, columns=["flight_id", "ts", "state"])
-
-    return tests.groupBy("flight_id").applyInPandasWithState(run, MONITOR_OUT, MONITOR_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def ingest(messages: DataFrame, table: str, keys: list[str]) -> None:
-    """AIS or track messages into a table, once per key over all batches.
-
-    Each batch owns its folder and leaves out keys that earlier batches hold, so a re-run overwrites it with the same rows.
-    """
+def ingest(messages: DataFrame, table: str, keys: list[str], at: str = "ts", delay: str = "1 hour") -> None:
+    """AIS or track messages into a table, once per key over all batches; a batch owns its folder, so a re-run replaces it."""
     def write(batch: DataFrame, epoch: int) -> None:
-        new = batch.dropDuplicates(keys)
-        if epoch:
-            earlier = [f"{table}/data/batch={i}" for i in range(epoch)]
-            new = new.join(batch.sparkSession.read.schema(batch.schema).parquet(*earlier).select(*keys), keys, "left_anti").select(batch.columns)
-        new.write.mode("overwrite").parquet(f"{table}/data/batch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{table}/data/batch={epoch}")
 
-    (messages.writeStream.foreachBatch(write).option("checkpointLocation", f"{table}/ckpt").trigger(availableNow=True).start().awaitTermination())
+    (once(messages, keys, at, delay).writeStream.foreachBatch(write).option("checkpointLocation", f"{table}/ckpt").trigger(availableNow=True).start()
+     .awaitTermination())
