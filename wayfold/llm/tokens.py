@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 # A word of Latin letters that are stable under NFC, then ASCII marks; an apostrophe could start a
 # contraction and "<" a special string, so pieces with these go to the library as they are.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\[-^`{-~]*)")
+# The same in Arrow's syntax.
+SPLIT = r"\A(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:;=-@\[-^`{-~]*)\z"
 LONGEST_KEPT = 64
 
 
@@ -94,10 +96,51 @@ class Encoder:
             part = missed[a:a + 20_000]
             for i, x in zip(part, self.encoded([pieces[i] for i in part])):
                 found[i] = x
+        self.turn()
+        return found
+
+    def turn(self) -> None:
         if len(self.young) > self.kept:
             self.old, self.young = self.young, {}
+
+    def plain_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of lower-case letters alone or of marks alone."""
+        young, old, model = self.young, self.old, self.word.model.tokenize
+        found = [young.get(w) or old.get(w) for w in words]
+        wide = []
+        for i, (w, known) in enumerate(zip(words, found)):
+            if known is None and w.isascii():
+                found[i] = array("I", [t.id for t in model(w)]).tobytes() if w else b""
+            elif known is None:
+                wide.append(i)
+        for i, e in zip(wide, self.word.encode_batch_fast([words[i] for i in wide], add_special_tokens=False)):
+            found[i] = array("I", e.ids).tobytes()
+        young.update((w, x) for w, x in zip(words, found) if len(w) <= LONGEST_KEPT)
+        self.turn()
         return found
 
+    def segments(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Ids of each piece as two segments: their numbers, and the ids of all segments.
+
+        Plain pieces fall into a word and marks, of which there are far fewer different ones than pieces; they are told apart
+        in Arrow. Other pieces are one segment and an empty one.
+        """
+        if self.word is None:
+            whole = np.arange(len(names))
+            return whole, np.full(len(names), len(names)), [*self.ids(names.to_pylist()), b""]
+        parts = pc.extract_regex(names, SPLIT)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        kept = parts.drop_null()
+        words, marks = pc.utf8_lower(kept.field("word")).dictionary_encode(), kept.field("marks").dictionary_encode()
+        coded = [b"", *self.plain_ids(words.dictionary.to_pylist())]
+        first, second = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        first[plain] = words.indices.to_numpy() + 1
+        second[plain] = marks.indices.to_numpy() + len(coded)
+        coded += self.plain_ids(marks.dictionary.to_pylist())
+        first[~plain] = np.arange(int((~plain).sum())) + len(coded)
+        coded += self.ids(names.filter(pa.array(~plain)).to_pylist())
+        return first, second, coded
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -112,11 +155,15 @@ def encoder(path: str) -> Encoder:
 def text_ids(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in one array, and where each text's ids start (and the end)."""
     names, codes, offsets = chunks(text)
-    coded = encoder(path).ids(names.to_pylist())
+    first, second, coded = encoder(path).segments(names)
     flat = np.frombuffer(b"".join(coded), "<u4")
     size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    each = size[codes]
-    ends = np.concatenate([[0], np.cumsum(each)])
-    at = np.arange(ends[-1]) + np.repeat(begin[codes] - ends[:-1], each)
+    seg = np.empty(2 * len(codes), np.int64)
+    seg[::2], seg[1::2] = first[codes], second[codes]
+    each = size[seg]
+    seg, each = seg[each > 0], each[each > 0]
+    ends = np.concatenate([[0], np.cumsum(size[first][codes] + size[second][codes])])
+    starts = np.cumsum(each) - each
+    at = np.arange(ends[-1]) + np.repeat(begin[seg] - starts, each)
     return flat[at], ends[offsets]
