@@ -12,10 +12,11 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from wayfold.llm import language, mixing, packing, pii, simhash, spotsigs, token_counts, tokens
+from wayfold.llm import language, mixing, names, packing, pii, simhash, spotsigs, token_counts, tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -362,7 +363,8 @@ def test_spotsigs_pairs(spark):
 
 
 def test_pipeline_on_a_small_table(spark, docs, tmp_path):
-    frame = table(spark, docs).select("doc_id", "text", "lang", "source", "n_chars")
+    clashing = {x: F.lit(7) for x in ("score", "lang_pred", "_row", "shard", "fp", "_unit", "_left", "_copies", "start", "length", "row", "n")}
+    frame = table(spark, docs).select("doc_id", "text", "lang", "source", "n_chars").withColumns(clashing)
     frame.write.parquet(str(tmp_path / "documents.parquet"))
     now = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
@@ -370,10 +372,89 @@ def test_pipeline_on_a_small_table(spark, docs, tmp_path):
         out.write.parquet(str(tmp_path / f"s{k}"))
         now = spark.read.parquet(str(tmp_path / f"s{k}"))
         if k < 4:
-            assert now.columns == frame.columns
+            assert now.columns == frame.columns and now.where(" and ".join(f"{x} = 7" for x in clashing)).count() == now.count()
         if k == 0:
             assert {None, *range(120), 300} <= {r.doc_id for r in now.collect()} and not {200, 201, 202, 207} & {r.doc_id for r in now.collect()}
         if k == 3:
             words = sum(len(ids_of(r.text)) + 1 for r in now.collect())
     assert sum(r.length for r in now.collect()) == words
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_mix_of_repeated_rows(spark):
+    """Units of one to eight exact repeats, and one that holds a third of its source: each source comes within a document of its target."""
+    r = random.Random(12)
+    rows, i = [], 0
+    for s in ("a", "b", "c", None):
+        for _ in range(60):
+            i += 1
+            rows += [(i, f"d{i} " + "w " * r.randint(1, 90), "en", s)] * r.choice((1, 1, 2, 3, 5, 8))
+        rows += [(9000 + i, "hot row " * 20, "en", s)] * 90
+    got = mixing.mix(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    want = collections.Counter((k, len(t.split())) for k, t, _, _ in rows)
+    assert collections.Counter((x.doc_id, x["size"]) for x in got) == want
+    taken, target, largest = collections.Counter(), {}, collections.Counter()
+    source = {k: s for k, _, _, s in rows}
+    for x in got:
+        s = source[x.doc_id]
+        taken[s] += x.taken
+        target[s] = x.target
+        largest[s] = max(largest[s], x["size"])
+        assert x.taken % x["size"] == 0 and x.taken <= 2 * x["size"]
+    for s in target:
+        assert abs(taken[s] - target[s]) <= largest[s], (s, taken[s], target[s])
+    again = mixing.mix(table(spark, rows).repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert sum(len(x.text.split()) for x in mixing.mixed_documents(table(spark, rows)).collect()) == sum(taken.values())
+
+
+def test_pieces_of_a_document_are_disjoint(spark, docs):
+    rows = [(i, t, la, s) for i, (_, t, la, s) in enumerate(docs)] + [(900, "many words " * 9000, "en", "a")]
+    got = collections.defaultdict(list)
+    for r in packing.pack(table(spark, rows), PATH, capacity=256).collect():
+        got[r.doc_id].append((r.start, r.length, r.doc_tokens))
+    for i, t, _, _ in rows:
+        n = len(ids_of(t)) + 1
+        at = 0
+        for start, length, total in sorted(got[i]):
+            assert start == at and length > 0 and total == n
+            at += length
+        assert at == n
+
+
+def test_language_of_tables_with_clashing_columns(spark, docs):
+    wide = table(spark, docs).withColumns({x: F.lit(1) for x in ("score", "lang_pred", "Score2")})
+    learned = language.profiles(wide)
+    with pytest.raises(ValueError):
+        language.identify(wide, learned)
+    name = names.free_name("score", wide)
+    out = language.identify(wide, learned, pred=names.free_name("lang_pred", wide), score_as=name)
+    assert name == "_score" and out.columns == [*wide.columns, "_lang_pred", "_score"]
+    assert out.where("score = 1 and lang_pred = 1").count() == len(docs)
+
+
+def brute_language(text, learned, top):
+    """Prediction and score by plain counting of n-grams over letters and boundary signs."""
+    flat = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    flat = re.sub(" +", " ", flat)
+    if not flat.strip():
+        return "und", 0.0
+    code = lambda g: sum((0 if c == " " else ord(c)) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))     # a leading boundary weighs nothing
+    n = collections.Counter(code(flat[i:i + k]) for k in (1, 2, 3) for i in range(len(flat) - k + 1) if flat[i:i + k] != " ")
+    mine = sorted(n, key=lambda g: (-n[g], g))[:top]
+    far = {}
+    for la, codes in learned.items():
+        rank = {c: i for i, c in enumerate(codes)}
+        far[la] = sum(min(abs(rank[g] - i), top) if g in rank else top for i, g in enumerate(mine))
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (top * len(mine))
+
+
+def test_language_predictions_match_brute_force(spark, docs):
+    learned = language.profiles(table(spark, docs), top=60)
+    got = language.identify(table(spark, docs).select("doc_id", "text"), learned, top=60).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        pred, score = brute_language(r.text, learned, 60)
+        assert (r.lang_pred, round(r.score, 9)) == (pred, round(score, 9)), r.text

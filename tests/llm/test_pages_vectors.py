@@ -1,12 +1,13 @@
 """Pages and vectors: exact round trips, brute force, held-out pages."""
 
 import hashlib
-import re
-import zstandard
 import random
+import re
+import time
 
 import numpy as np
 import pytest
+import zstandard
 
 from wayfold.llm import curves, html_text, warc
 from wayfold.storage import new_path
@@ -137,3 +138,19 @@ def test_neighbours(spark):
     few = curves.search(rows.where("vec_id in (0, 1, 2)")).collect()
     assert sorted((g.query_id, g.vec_id) for g in few) == [(0, 1), (0, 2)]
     assert curves.search(rows.limit(0)).collect() == []
+
+
+def test_nesting_is_linear(model):
+    n = 200_000
+    for page in ("<div>" * n + "deep text of the page", "<div>" * n + "</p>" * n, "<ul>" + "<li>" * n, "<svg>" * n + "x", "<td>" * n, "<iframe><object>" * (n // 2), "<p>" * n + "</div>" * n):
+        start = time.process_time()
+        html_text.main_texts([page], model)
+        assert time.process_time() - start < 15      # seconds; a scan of the stack for each element takes hours
+
+
+def test_deep_pages_by_node(model):
+    """Messages node by node give what messages by level give."""
+    page = "<body>" + "".join(f"<div class='{r}'><p>some words {i}</p>" for i, r in enumerate(["content", "ad", "", "menu"] * 150))
+    forest = html_text.Forest([html_text.Page(page), html_text.Page("<p>short</p>")])
+    assert len(forest.levels) > html_text.DEEP
+    assert np.allclose(forest.marginals(*model), forest.pass_messages(*model)[0], atol=1e-9)

@@ -10,6 +10,7 @@ by the exact gradient of their likelihood, which the same messages give.
 from __future__ import annotations
 
 import html as references
+import math
 import random
 import re
 
@@ -37,6 +38,10 @@ CLOSED_BY = {
     "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "head": frozenset(["body"]),
 }
 SCOPES = frozenset("ul ol dl table select body html".split())
+END_OF = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+# For each element, the open ones further out that it ends, up to the next scope.
+ENDS = {tag: [x for x, by in CLOSED_BY.items() if tag in by and x != "p"] for tag in BLOCKS}
+DEEP = 500      # levels above which messages go node by node
 
 # Words in class, id and role that tell what an element is for.
 HINTS = {
@@ -84,6 +89,9 @@ class Page:
     def __init__(self, source: str, gold: bool = False):
         self.parent, self.depth, self.active, self.edge, self.label, self.text = [], [], [], [], [], []
         self.stack: list[tuple[int, str, int]] = []
+        self.open_at: dict[str, list[int]] = {}     # places in the stack of the open elements of each name
+        self.scopes: list[int] = []
+        self.unended: set[str] = set()              # names of raw elements that nothing further on ends
         self.parts: list[str] = []
         self.linked = self.chars = self.in_link = 0
         self.gold = gold
@@ -119,18 +127,23 @@ class Page:
             self.linked += len(raw) if self.in_link else 0
 
     def close(self, at: int) -> None:
-        del self.stack[at:]
+        while len(self.stack) > at:
+            name = self.stack.pop()[1]
+            self.open_at[name].pop()
+            if name in SCOPES:
+                self.scopes.pop()
+
+    def nearest(self, name: str) -> int:
+        places = self.open_at.get(name)
+        return places[-1] if places else -1
 
     def open(self, tag: str, attributes: str) -> None:
         while self.stack and tag in CLOSED_BY.get(self.stack[-1][1], ()):
-            self.stack.pop()
-        for i in range(len(self.stack) - 1, -1, -1):       # an open li (p, td ...) further out that this one ends
-            name = self.stack[i][1]
-            if tag in CLOSED_BY.get(name, ()) and name != "p":
-                self.close(i)
-                break
-            if name in SCOPES:
-                break
+            self.close(len(self.stack) - 1)
+        # An open li (td, tr ...) further out that this one ends, if no scope lies between.
+        at = max((self.nearest(x) for x in ENDS.get(tag, ())), default=-1)
+        if at > (self.scopes[-1] if self.scopes else -1):
+            self.close(at)
         hints, label = set(), self.stack[-1][2] if self.stack else 0
         if "=" in attributes:
             for m in ATTRIBUTE.finditer(attributes):
@@ -144,6 +157,9 @@ class Page:
         names = [feature("element"), feature(f"tag {tag}"), *(feature(f"hint {h}") for h in sorted(hints))]
         if self.stack and self.stack[-1][1] == "body":
             names.append(feature("under body"))
+        self.open_at.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
         self.stack.append((self.add(names, 1 if tag in TEXTUAL else 2, label), tag, label))
 
     def read(self, source: str) -> None:
@@ -159,7 +175,9 @@ class Page:
                 continue
             tag = m[2].lower()
             if tag in RAW and not m[1]:
-                done = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
+                done = None if tag in self.unended else END_OF[tag].search(source, at)
+                if not done:
+                    self.unended.add(tag)
                 self.run()
                 at = done.end() if done else (end if tag in ("script", "style") else at)
                 continue
@@ -173,10 +191,8 @@ class Page:
                     if tag not in VOID:
                         self.open(tag, m[3])
                 else:
-                    for i in range(len(self.stack) - 1, -1, -1):
-                        if self.stack[i][1] == tag:
-                            self.close(i)
-                            break
+                    if self.nearest(tag) >= 0:
+                        self.close(self.nearest(tag))
                     self.in_link = 0
         self.run()
 
@@ -222,6 +238,34 @@ class Forest:
         return one, joint / joint.sum(axis=(1, 2), keepdims=True)
 
 
+    def marginals(self, weights: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """Marginal of content for every node; node by node where pages are so deep that levels hold few nodes."""
+        if len(self.levels) <= DEEP:
+            return self.pass_messages(weights, ties)[0]
+        table, edge, parent = ties.tolist(), self.edge.tolist(), self.parent.tolist()
+        one = np.bincount(self.row, weights[self.col] * self.value, self.n).tolist()
+        none, order = [0.0] * self.n, np.concatenate(self.levels).tolist()
+        up = [(0.0, 0.0)] * self.n
+        for i in reversed(order):
+            p = parent[i]
+            if p >= 0:
+                t, a, b = table[edge[i]], none[i], one[i]
+                up[i] = (log_sum(t[0][0] + a, t[0][1] + b), log_sum(t[1][0] + a, t[1][1] + b))
+                none[p] += up[i][0]
+                one[p] += up[i][1]
+        for i in order:
+            p = parent[i]
+            if p >= 0:      # parents come first and hold their belief by now
+                t, a, b = table[edge[i]], none[p] - up[i][0], one[p] - up[i][1]
+                none[i] += log_sum(t[0][0] + a, t[1][0] + b)
+                one[i] += log_sum(t[0][1] + a, t[1][1] + b)
+        return 1 / (1 + np.exp(np.clip(np.subtract(none, one), -60, 60)))
+
+
+def log_sum(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
 def fit(labelled: list[str], rounds: int = 200, rate: float = 0.15, ridge: float = 0.0005) -> tuple[np.ndarray, np.ndarray]:
     """Weights from pages whose elements carry the attribute data-gold (1 content, 0 not; inherited)."""
     forest = Forest([Page(x, gold=True) for x in labelled])
@@ -350,7 +394,7 @@ def main_texts(sources: list[str], model: tuple[np.ndarray, np.ndarray]) -> list
     forest = Forest(pages)
     if not forest.n:
         return [""] * len(pages)
-    p, _ = forest.pass_messages(*model)
+    p = forest.marginals(*model)
     starts = forest.starts.tolist()
     return ["\n".join(t for t, q in zip(page.text, p[a:b]) if t is not None and q > 0.5) for page, a, b in zip(pages, starts, starts[1:])]
 

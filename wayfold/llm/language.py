@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from wayfold.llm.arrow import freed, strings
 
@@ -93,14 +94,17 @@ def profiles(train: DataFrame, text: str = "text", lang: str = "lang", top: int
     return out
 
 
-def identify(docs: DataFrame, learned: dict[str, list[int]], text: str = "text", top: int = TOP) -> DataFrame:
-    """Every row of ``docs`` with lang_pred and score (0 to 1: one minus the nearest profile's share of the greatest distance).
+def identify(docs: DataFrame, learned: dict[str, list[int]], text: str = "text", top: int = TOP, pred: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """Every row of ``docs`` with ``pred`` and ``score_as`` (0 to 1: one minus the nearest profile's share of the greatest distance).
+
+    Both names must not be columns of ``docs``.
 
     ``und`` with score 0 for a null text, one without letters, or if nothing was learned. Ties go to the
     first language in code point order.
     """
+    if {pred.lower(), score_as.lower()} & {x.lower() for x in docs.columns}:
+        raise ValueError(f"{pred} or {score_as} is a column already: name the results otherwise")
     table = docs.sparkSession.sparkContext.broadcast(learned)
-    kept = [c for c in docs.columns if c != text]
 
     @freed
     def predict(batches):
@@ -111,12 +115,12 @@ def identify(docs: DataFrame, learned: dict[str, list[int]], text: str = "text",
             order = np.argsort(codes)
             books.append((codes[order], order))
         for batch in batches:
-            pred, score = [], []
+            said, share = [], []
             for x in strings(batch.column(text)):
                 mine = ranked(*grams(x), top) if x else np.zeros(0, np.int64)
                 if not len(mine) or not books:
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
+                    said.append(UNKNOWN)
+                    share.append(0.0)
                     continue
                 rank, far = np.arange(len(mine)), []
                 for codes, place in books:
@@ -124,14 +128,12 @@ def identify(docs: DataFrame, learned: dict[str, list[int]], text: str = "text",
                     off = np.where(codes[at] == mine, np.minimum(np.abs(place[at] - rank), top), top)
                     far.append(int(off.sum()))
                 i = int(np.argmin(far))
-                pred.append(names[i])
-                score.append(1.0 - far[i] / (top * len(mine)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                                             [*batch.schema.names, "lang_pred", "score"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    del kept
-    return docs.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+                said.append(names[i])
+                share.append(1.0 - far[i] / (top * len(mine)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), pa.array(said, pa.string()), pa.array(share, pa.float64())],
+                                             [*batch.schema.names, pred, score_as])
+
+    return docs.mapInArrow(predict, StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score_as, DoubleType())]))
 
 
 def identify_held_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", top: int = TOP) -> DataFrame:

@@ -31,7 +31,11 @@ def source_key(source: str) -> list[Column]:
 def unit(doc_id: str, text: str, seed: int) -> list[Column]:
     """Two hashes that stand for a document; the first also gives its random number in (0, 1)."""
     h = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    return [h.alias("_unit"), ((F.pmod(h, F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("_u")]
+    return [h.alias("_unit"), random_number(h).alias("_u")]
+
+
+def random_number(h: Column) -> Column:
+    return (F.pmod(h, F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
 def near(df: DataFrame, params: DataFrame) -> DataFrame:
@@ -65,19 +69,19 @@ def targets(sources: DataFrame, share: float, most: float) -> DataFrame:
 def plan(rows: DataFrame, share: float, most: float) -> tuple[DataFrame, DataFrame]:
     """One row for each source that decides every document, and the few documents taken besides.
 
-    ``rows``: _none, _name, size, _unit, _u. Rows of one unit are exact repeats and are decided together.
+    ``rows``: _none, _name, size, _unit, _u, one unit for each row.
     """
     sizes = rows.groupBy(*KEY).agg(F.sum("size").alias("source_size"))
     t = targets(sizes, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     t = written(t.withColumn("_whole", whole).withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size"))
                 .select(*KEY, "source_size", "target", "_whole", "_left"), "targets")
-    units = near(rows.where("size > 0").groupBy(*KEY, "_unit", "_u").agg(F.sum("size").alias("size")), t.where("_left > 0"))
+    units = near(rows.where("size > 0"), t.where("_left > 0"))
     units = written(units.select(*KEY, "_unit", "_u", "size", "_left"), "units")
-    small = units.where(F.col("size") <= F.col("_left"))
-    squares = small.groupBy(*KEY).agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("_q"))
+    fitting = units.where(F.col("size") <= F.col("_left"))
+    squares = fitting.groupBy(*KEY).agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("_q"))
     t2 = written(t.join(squares, KEY, "left"), "targets")
-    ranked = written(near(small.drop("_left"), t2.where("_left > 0")).withColumn("_rankv", pareto()).withColumn("_b", bucket())
+    ranked = written(near(fitting.drop("_left"), t2.where("_left > 0")).withColumn("_rankv", pareto()).withColumn("_b", bucket())
                      .select(*KEY, "_unit", "_rankv", "_b", "size", "_left"), "ranked")
     run = Window.partitionBy(*KEY).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     cum = ranked.groupBy(*KEY, "_b").agg(F.sum("size").alias("_n"), F.first("_left").alias("_left")).withColumn("_run", F.sum("_n").over(run))
@@ -95,14 +99,14 @@ def plan(rows: DataFrame, share: float, most: float) -> tuple[DataFrame, DataFra
     rest = near(units.drop("_left"), t4).where(~taken_by_rank()).select(*KEY, "_unit", "size")
     extra = None
     for _ in range(FILLS):
-        free = rest if extra is None else rest.join(F.broadcast(extra), [*KEY, "_unit"], "left_anti")
+        free = rest if extra is None else rest.join(small(extra), [*KEY, "_unit"], "left_anti")
         off = F.abs(F.col("size") - F.col("_gap"))
         best = (near(free, gaps.where("_gap >= 0.5")).where(off < F.col("_gap")).groupBy(*KEY)
                 .agg(F.min_by(F.struct("_unit", "size"), F.struct(off, F.col("_unit"))).alias("_best")))
         picked = written(best.select(*KEY, "_best.*"), "fills")
         gaps = written(gaps.join(picked.select(*KEY, "size"), KEY, "left").select(*KEY, (F.col("_gap") - F.coalesce("size", F.lit(0))).alias("_gap")), "gaps")
         picked = picked.select(*KEY, "_unit")
-        extra = picked if extra is None else extra.unionByName(picked)
+        extra = picked if extra is None else written(extra.unionByName(picked), "fills")
     return t4, written(extra, "fills")
 
 
@@ -133,15 +137,40 @@ def decided(docs: DataFrame, doc_id: str, text: str, source: str, share: float,
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), *source_key(source), size.alias("size"), *unit(doc_id, text, seed))
     slim = written(keyed.drop("_row"), "sizes")
+    again = written(slim.where("size > 0").groupBy(*KEY, "_unit").agg(F.count("*").alias("_n")).where("_n > 1").select(*KEY, "_unit"), "repeats")
+    n = again.count()
+    if n:
+        keyed = told_apart(keyed, F.broadcast(again) if n <= BROADCAST_SOURCES else again, seed)
+        slim = written(keyed.drop("_row"), "sizes")
     params, extra = plan(slim, share, most)
     sides = near(keyed, params).join(on_units(extra), [*KEY, "_unit"], "left")
     copies = F.when(F.col("size") > 0, F.col("_whole") + taken_by_rank().cast("long") + F.coalesce("_more", F.lit(0))).otherwise(0)
     return sides.select("_row", "size", "source_size", "target", copies.cast("long").alias("_copies"))
 
 
+def told_apart(keyed: DataFrame, again: DataFrame, seed: int) -> DataFrame:
+    """Exact repeats (``again`` has their units) become units of their own, by their number among their like.
+
+    Which repeat gets which number doesn't matter, as repeats are equal; the numbers come from a rank over all repeats, so
+    a unit of many is not gathered.
+    """
+    on = [*KEY, "_unit"]
+    at = written(keyed.join(again, on, "left_semi").withColumn("_place", F.monotonically_increasing_id()), "repeated")
+    ranked = numbered(at, [*on, "_place"], "_rank")
+    first = written(ranked.groupBy(*on).agg(F.min("_rank").alias("_first")), "repeats")
+    first = F.broadcast(first) if first.count() <= BROADCAST_SOURCES else first
+    h = F.xxhash64(F.lit(seed), F.col("_unit"), F.col("_rank") - F.col("_first"))
+    apart = ranked.join(first, on).withColumn("_unit", h).withColumn("_u", random_number(h)).select(keyed.columns)
+    return keyed.join(again, on, "left_anti").select(keyed.columns).unionByName(written(apart, "repeated"))
+
+
 def on_units(extra: DataFrame) -> DataFrame:
-    marked = extra.withColumn("_more", F.lit(1))
-    return F.broadcast(marked) if extra.count() <= BROADCAST_SOURCES else marked
+    return small(extra.withColumn("_more", F.lit(1)))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its checked size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, most: float = 2.0,
@@ -152,7 +181,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     code point order with null last; a target stops at ``most`` times its source. A document is taken ``taken / size``
     times: floor(target / source size) times for certain, and once more if it is sampled. Reruns agree, as the random
     numbers are hashes of id and text. Null and blank texts have size 0 and are not taken; null ids are allowed; exact
-    repeats are taken together; an empty table gives no rows; other columns are ignored.
+    repeats are rows like others; an empty table gives no rows; other columns are ignored.
     """
     d = decided(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")), "doc_id", "text", "source",
                 share, most, seed)

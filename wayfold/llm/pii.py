@@ -221,8 +221,11 @@ def spans(text: str, model: dict[str, np.ndarray], least: float = 0.95) -> tuple
     return base, added
 
 
-def train(docs: DataFrame, text: str = "text", sample_docs: int = 4000) -> dict[str, np.ndarray]:
-    """Weights from at most about ``sample_docs`` documents, labelled by the patterns."""
+def train(docs: DataFrame, text: str = "text", sample_docs: int = 4000, sample_sites: int = 200) -> dict[str, np.ndarray]:
+    """Weights from at most about ``sample_docs`` documents, labelled by the patterns, and the first ``sample_sites`` sites of each.
+
+    Both bound what reaches the driver for the fit alone; ``spans`` looks at every site of every document.
+    """
     rows = docs.count()
     sample = docs.select(F.col(text).cast("string").alias("text"))
     if rows > sample_docs:
@@ -234,7 +237,7 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = 4000) -> dict[
             names, kinds = [], []
             for x in strings(batch.column("text")):
                 if x and SIGN.search(x):
-                    found = sites(x, base_spans(x))[:200]
+                    found = sites(x, base_spans(x))[:sample_sites]
                     if found:
                         names.append([x[a:b] for a, b, _ in found])
                         kinds.append([k for _, _, k in found])

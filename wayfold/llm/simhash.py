@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.arrow import freed, strings
+from wayfold.llm.names import free_name
 from wayfold.operators.clusters import components
 from wayfold.storage import written
 
@@ -238,8 +239,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bi
     best = linked.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("first"))
     alone = distinct.join(linked, "fp", "left_anti")
     keep = written(best.select("first.row").unionByName(alone.select("first.row")).distinct(), "kept")
-    kept = docs.withColumn("_row", own).join(keep.select(F.col("row").alias("_row")).hint("shuffle_hash"), "_row", "left_semi")
+    name = free_name("_row", docs)
+    kept = docs.withColumn(name, own).join(keep.select(F.col("row").alias(name)).hint("shuffle_hash"), name, "left_semi")
     again = rows.join(keep, "row", "left_semi").groupBy("row").count().where("count > 1").limit(1).count()
     if again:           # exact repeats of a row: keep one
-        kept = kept.dropDuplicates(["_row"])
+        kept = kept.dropDuplicates([name])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
