@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import language, mixing, packing, pii, simhash
+from wayfold.llm.names import free_name
 from wayfold.storage import written
 
 #: Documents whose nearest profile is further off than this are in none of the languages.
@@ -16,8 +17,9 @@ LEAST_SCORE = 0.2
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters or near no language profile. The rest keep their columns as they are."""
     learned = language.profiles(docs.where(language.trains("doc_id")))
-    seen = language.identify(docs, learned)
-    return seen.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    pred, score = (free_name(x, docs) for x in ("lang_pred", "score"))
+    seen = language.identify(docs, learned, pred=pred, score_as=score)
+    return seen.where((F.col(pred) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +28,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind; n_chars follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Replaces personal data by its kind; n_chars, where there is one, follows the text."""
+    clean = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
