@@ -3,14 +3,15 @@
 The abrupt-turn part is plain expressions. The accumulation restarts at every point and
 carries direction and reference through glitches, which no window expresses, so it runs
 as a grouped map. Groups are time slices of a track with the look-ahead copied in, not
-whole tracks, so their size is bounded.
+whole tracks, so their size is bounded. Only slices with a point from which the heading turns
+enough reach it, and there all such points are followed at once.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold import config as C
@@ -67,7 +68,6 @@ class _Track:
         self.nm, self.elev = g("ap_nm", np.inf), g("ap_elev", 0.0)
         self.skip = pdf["impossible"].to_numpy(bool)
         self.quiet = pdf["known_place"].to_numpy(bool)
-        self.core = pdf["_core"].to_numpy(bool)
         self.p_ts, self.p_spd, self.p_hdg = g("prev_ts", np.nan), g("prev_gspeed", 0.0), g("prev_track", np.nan)
         step = _hav(self.lat[:-1], self.lon[:-1], self.lat[1:], self.lon[1:]) if len(pdf) > 1 else np.array([])
         self.cum = np.concatenate([[0.0], np.cumsum(step)])
@@ -80,143 +80,166 @@ class _Track:
                 round(float(self.cum[j] - self.cum[i]), 2), round(disp, 2), float(self.lat[j]), float(self.lon[j]))
 
 
-def _anchor_ok(t: _Track, i: int) -> bool:
-    if np.isnan(t.hdg[i]) or t.spd[i] < 80 or t.alt[i] < 1500:
-        return False
+def _anchors_ok(t: _Track, i: np.ndarray) -> np.ndarray:
+    ok = ~np.isnan(t.hdg[i]) & (t.spd[i] >= 80) & (t.alt[i] >= 1500)
     gap = t.ts[i] - t.p_ts[i]
-    if gap > 0 and gap < C.TURN["acc_window_s"] and not np.isnan(t.p_hdg[i]):
-        return abs(_signed(t.hdg[i], t.p_hdg[i])) / gap <= 12.0 and abs(t.spd[i] - t.p_spd[i]) / gap <= 10.0
-    return True
-
-
-def _grow(t: _Track, i: int):
-    """Yield (end, turned) for each accepted turning point after anchor i; stops when the turn reverses."""
-    ref, turned, way = i, 0.0, 0
-    for e in range(i + 1, len(t.ts)):
-        if t.skip[e]:
-            continue
-        if t.ts[e] - t.ts[i] > C.TURN["acc_window_s"]:
-            return
-        if np.isnan(t.hdg[e]) or not 80 <= t.spd[e] <= 600 or t.alt[e] < 1500:
-            continue
-        dt = t.ts[e] - t.ts[ref]
-        if dt <= 0 or (t.nm[e] < 5.0 and t.alt[e] < t.alt[ref]):
-            continue
-        moved = _hav(t.lat[ref], t.lon[ref], t.lat[e], t.lon[e])
-        room = max(t.spd[e], t.spd[ref], 300.0) * dt / 3600.0 * 2.5
-        if dt >= 10 or abs(t.spd[e] - t.spd[ref]) / dt > 10.0 or moved > room:
-            ref = e                              # start measuring afresh from here
-            continue
-        dh = _signed(t.hdg[e], t.hdg[ref])
-        if abs(dh) / dt > 12.0:
-            continue
-        if dt > 2 and abs(_signed(t.hdg[e], _course(t.lat[ref], t.lon[ref], t.lat[e], t.lon[e]))) > 90:
-            continue
-        ref = e
-        side = int(np.sign(dh))
-        if side == 0:
-            continue
-        if way and side != way:
-            if abs(dh) <= 10:
-                continue
+    judged = (gap > 0) & (gap < C.TURN["acc_window_s"]) & ~np.isnan(t.p_hdg[i])
+    calm = (np.abs(_signed(t.hdg[i], t.p_hdg[i])) / gap <= 12.0) & (np.abs(t.spd[i] - t.p_spd[i]) / gap <= 10.0)
+    return ok & (~judged | calm)
+
+
+def _holdings(fid: str, t: _Track, anchors: np.ndarray):
+    """Orbits and half turns: all anchors take a step further in each round, until each has ended.
+
+    An anchor follows accepted turning points while the turn keeps its direction, from a reference that starts afresh
+    behind gaps and glitches. The first end that qualifies counts.
+    """
+    i = anchors[_anchors_ok(t, anchors)]
+    n, most = len(t.ts), C.TURN["acc_window_s"]
+    end, orbit, amount = np.full(len(i), -1), np.zeros(len(i), bool), np.zeros(len(i))
+    ref, way, turned = i.copy(), np.zeros(len(i)), np.zeros(len(i))
+    live, step = np.arange(len(i)), 0
+    while len(live):
+        step += 1
+        live = live[i[live] + step < n]
+        e = i[live] + step
+        seen = ~t.skip[e]
+        over = seen & (t.ts[e] - t.ts[i[live]] > most)
+        live, e, seen = live[~over], e[~over], seen[~over]
+        r = ref[live]
+        dt = t.ts[e] - t.ts[r]
+        on = seen & ~np.isnan(t.hdg[e]) & (t.spd[e] >= 80) & (t.spd[e] <= 600) & (t.alt[e] >= 1500) & (dt > 0) & ~((t.nm[e] < 5.0) & (t.alt[e] < t.alt[r]))
+        w, e, r, dt = live[on], e[on], r[on], dt[on]
+        moved = _hav(t.lat[r], t.lon[r], t.lat[e], t.lon[e])
+        room = np.maximum(np.maximum(t.spd[e], t.spd[r]), 300.0) * dt / 3600.0 * 2.5
+        afresh = (dt >= 10) | (np.abs(t.spd[e] - t.spd[r]) / dt > 10.0) | (moved > room)
+        ref[w[afresh]] = e[afresh]
+        w, e, r, dt = w[~afresh], e[~afresh], r[~afresh], dt[~afresh]
+        dh = _signed(t.hdg[e], t.hdg[r])
+        off = np.abs(_signed(t.hdg[e], _course(t.lat[r], t.lon[r], t.lat[e], t.lon[e])))
+        calm = (np.abs(dh) / dt <= 12.0) & ~((dt > 2) & (off > 90))
+        w, e, dh = w[calm], e[calm], dh[calm]
+        ref[w] = e
+        bent = dh != 0
+        w, e, dh = w[bent], e[bent], dh[bent]
+        back = (way[w] != 0) & (np.sign(dh) != way[w])
+        ended = w[back & (np.abs(dh) > 10)]
+        w, e, dh = w[~back], e[~back], dh[~back]
+        way[w] = np.sign(dh)
+        turned[w] += np.abs(dh)
+        a = i[w]
+        dur, path, disp = t.ts[e] - t.ts[a], t.cum[e] - t.cum[a], _hav(t.lat[a], t.lon[a], t.lat[e], t.lon[e])
+        full = (turned[w] >= 320) & (dur >= 60)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            shaped = full & ~((path / dur * 3600 > 650) | (disp > 10.0) | ((disp > 0) & (path / disp < 2.0)))
+        told = shaped & (t.nm[e] >= 6.0) & (t.low[e + 1] == t.low[a])
+        half = ~full & (turned[w] >= 220) & (dur >= 70) & ~t.quiet[e] & (t.nm[e] >= 6.0)
+        hit = told | half
+        end[w[hit]], orbit[w[hit]], amount[w[hit]] = e[hit], told[hit], turned[w[hit]]
+        live = np.setdiff1d(live, np.concatenate([ended, w[shaped | half]]), assume_unique=True)
+    for k in np.flatnonzero(end >= 0):
+        yield t.row(fid, i[k], end[k], "orbit" if orbit[k] else "half_turn", amount[k])
+
+
+def _loops(fid: str, t: _Track, anchors: np.ndarray, at_once: int = 512):
+    """Looser scan for one loop of 70 to 240 s: path against displacement and signed heading. The first anchor's first end counts."""
+    anchors = anchors[(t.spd[anchors] >= 80) & (t.alt[anchors] >= 1500)]
+    for a in range(0, len(anchors), at_once):
+        yielded = _first_loop(t, anchors[a:a + at_once])
+        if yielded:
+            yield t.row(fid, *yielded[:2], "loop", yielded[2])
             return
-        way = side
-        turned += abs(dh)
-        yield e, turned
 
 
-def _holding(fid: str, t: _Track):
-    for i in np.flatnonzero(t.core):
-        if not _anchor_ok(t, i):
-            continue
-        for e, turned in _grow(t, i):
-            dur = t.ts[e] - t.ts[i]
-            if turned >= 320 and dur >= 60:
-                path = t.cum[e] - t.cum[i]
-                disp = _hav(t.lat[i], t.lon[i], t.lat[e], t.lon[e])
-                if path / dur * 3600 > 650 or disp > 10.0 or (disp > 0 and path / disp < 2.0):
-                    continue
-                if t.nm[e] >= 6.0 and t.low[e + 1] == t.low[i]:
-                    yield t.row(fid, i, e, "orbit", turned)
-                break
-            if turned >= 220 and dur >= 70 and not t.quiet[e] and t.nm[e] >= 6.0:
-                yield t.row(fid, i, e, "half_turn", turned)
-                break
-
-
-def _loop(fid: str, t: _Track):
-    """Looser scan for one loop of 70 to 240 s: path against displacement and signed heading."""
+def _first_loop(t: _Track, i: np.ndarray) -> tuple[int, int, float] | None:
     n = len(t.ts)
-    for i in np.flatnonzero(t.core):
-        if t.spd[i] < 80 or t.alt[i] < 1500:
+    zero = lambda: np.zeros(len(i))
+    faults, flips, acc, last = zero(), zero(), zero(), zero()
+    live, step, best = np.arange(len(i)), 0, None
+    while len(live):
+        step += 1
+        live = live[i[live] + step < n]
+        live = live[t.ts[i[live] + step] - t.ts[i[live]] <= 240]
+        if best:                        # only an earlier anchor can still matter
+            live = live[live < best[3]]
+        a, j = i[live], i[live] + step
+        dt, dur = t.ts[j] - t.ts[j - 1], t.ts[j] - t.ts[a]
+        dh = _signed(t.hdg[j], t.hdg[j - 1])            # NaN when a heading is missing
+        known = ~np.isnan(dh)
+        acc[live] += np.where(known, dh, 0.0)
+        moved = t.cum[j] - t.cum[j - 1]
+        spd = np.maximum(t.spd[j], t.spd[j - 1])
+        later = dt > 0
+        fast = later & ((spd > 600) | (moved > np.maximum(spd, 300.0) * dt / 3600.0 * 2.5))
+        faults[live] += fast
+        fair = later & ~fast
+        with np.errstate(divide="ignore", invalid="ignore"):
+            faults[live] += fair & known & (np.abs(dh) / dt > 8.0)
+        flips[live] += fair & known & (last[live] * np.where(known, dh, 0.0) < 0) & (np.minimum(np.abs(last[live]), np.abs(dh)) > 20)
+        last[live] = np.where(fair & known, dh, last[live])
+        off = np.abs(_signed(t.hdg[j], _course(t.lat[j - 1], t.lon[j - 1], t.lat[j], t.lon[j])))
+        faults[live] += fair & ~np.isnan(t.hdg[j]) & (moved > 0.1) & (off > 120)
+        if step < 2:
             continue
-        faults = flips = 0
-        acc, last = 0.0, 0.0
-        for j in range(i + 1, n):
-            dt = t.ts[j] - t.ts[j - 1]
-            dur = t.ts[j] - t.ts[i]
-            if dur > 240:
-                break
-            dh = _signed(t.hdg[j], t.hdg[j - 1])            # NaN when a heading is missing
-            acc += 0.0 if np.isnan(dh) else dh
-            if dt > 0:
-                moved = t.cum[j] - t.cum[j - 1]
-                fast = max(t.spd[j], t.spd[j - 1]) > 600
-                if fast or moved > max(t.spd[j], t.spd[j - 1], 300.0) * dt / 3600.0 * 2.5:
-                    faults += 1
-                else:
-                    if not np.isnan(dh):
-                        faults += abs(dh) / dt > 8.0
-                        flips += last * dh < 0 and min(abs(last), abs(dh)) > 20
-                        last = dh
-                    if not np.isnan(t.hdg[j]) and moved > 0.1:
-                        off = _signed(t.hdg[j], _course(t.lat[j - 1], t.lon[j - 1], t.lat[j], t.lon[j]))
-                        faults += abs(off) > 120
-            if j < i + 2 or dur < 70 or t.spd[j] < 80 or t.alt[j] < 1500:
-                continue
-            steps = j - i
-            if faults / steps > 0.05 or flips / steps > 0.08 or (faults and flips / steps > 0.05):
-                continue
-            path = t.cum[j] - t.cum[i]
-            disp = _hav(t.lat[i], t.lon[i], t.lat[j], t.lon[j])
-            if not 0 < disp <= 10.0 or path / disp < 1.35 or path > 300.0 * dur / 3600.0 * 1.5:
-                continue
-            closed = abs(_signed(t.hdg[j], t.hdg[i])) <= 90 or abs(acc) >= 640
-            if abs(acc) < 320 or np.isnan(t.hdg[i]) or np.isnan(t.hdg[j]) or not closed or abs(acc) / dur > 6.0:
-                continue
-            if min(t.nm[i], t.nm[j]) < 6.0:
-                continue
-            if not (path / disp >= 2.0 and disp >= 3.0) and t.quiet[j]:
-                continue
-            yield t.row(fid, i, j, "loop", abs(acc))
-            return
+        f, g, x = faults[live] / step, flips[live] / step, np.abs(acc[live])
+        path, disp = t.cum[j] - t.cum[a], _hav(t.lat[a], t.lon[a], t.lat[j], t.lon[j])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = path / disp
+            hit = (dur >= 70) & (t.spd[j] >= 80) & (t.alt[j] >= 1500) & ~((f > 0.05) | (g > 0.08) | ((faults[live] > 0) & (g > 0.05)))
+            hit &= (disp > 0) & (disp <= 10.0) & (ratio >= 1.35) & (path <= 300.0 * dur / 3600.0 * 1.5)
+            closed = (np.abs(_signed(t.hdg[j], t.hdg[a])) <= 90) | (x >= 640)
+            hit &= (x >= 320) & ~np.isnan(t.hdg[a]) & ~np.isnan(t.hdg[j]) & closed & (x / dur <= 6.0) & (np.minimum(t.nm[a], t.nm[j]) >= 6.0)
+            hit &= ((ratio >= 2.0) & (disp >= 3.0)) | ~t.quiet[j]
+        if hit.any():
+            k = int(np.flatnonzero(hit)[0])
+            best = (int(a[k]), int(j[k]), float(x[k]), int(live[k]))
+    return best[:3] if best else None
 
 
 COLS = ["flight_id", "ts", "lat", "lon", "alt", "gspeed", "track", "ap_nm", "ap_elev", "impossible", "known_place",
         "prev_ts", "prev_gspeed", "prev_track"]
 
 
-def _scan(pts: DataFrame, finder, ahead: int) -> DataFrame:
+def bounded_anchors(sliced: DataFrame, ahead: int, least: float) -> DataFrame:
+    """Mark as ``_anchor`` the points from which the heading can turn by ``least`` degrees within ``ahead`` seconds; slices without one go.
+
+    Whatever points a scan accepts or skips, what it adds up is at most the sum of the absolute steps between all known headings: a
+    step over skipped points is no longer than the steps that make it up. Those sums are prefix sums, so the greatest turn of
+    a point is one difference.
+    """
+    w = Window.partitionBy("flight_id", SLICE).orderBy("ts")
+    known = F.last("track", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    s = sliced.withColumn("_step", F.coalesce(F.abs(geo.heading_delta("track", known)), F.lit(0.0)))
+    s = s.withColumn("_turned", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("_room", F.last("_turned").over(w.rangeBetween(0, ahead)) - c("_turned"))
+    s = s.withColumn("_anchor", c("_core") & c("track").isNotNull() & (c("_room") >= least - 1e-6)).drop("_step", "_turned", "_room")
+    return s.withColumn("_any", F.max("_anchor").over(Window.partitionBy("flight_id", SLICE))).where("_any").drop("_any")
+
+
+def _scan(pts: DataFrame, finder, ahead: int, least: float, bounded: bool = True) -> DataFrame:
     sliced = with_halo(pts.select(*COLS), before=0, after=ahead)
-    # The scan costs far more than its bytes: keep one task per shuffle partition, where
-    # AQE would merge small ones. The grouped map needs this very partitioning anyway.
+    # Windows and the grouped map share one partitioning. AQE would merge small tasks, although a scan costs more than its bytes.
     sliced = sliced.repartition(int(pts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "flight_id", SLICE)
+    sliced = bounded_anchors(sliced, ahead, least) if bounded else sliced.withColumn("_anchor", c("_core"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
-        rows = list(finder(pdf["flight_id"].iloc[0], _Track(pdf))) if len(pdf) > 1 else []
+        rows = list(finder(pdf["flight_id"].iloc[0], _Track(pdf), np.flatnonzero(pdf["_anchor"].to_numpy(bool)))) if len(pdf) > 1 else []
         return pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
 
     return sliced.groupBy("flight_id", SLICE).applyInPandas(run, OUT)
 
 
-def turn_events(pts: DataFrame) -> DataFrame:
-    """All rule-3 events. ``pts`` carries in_turn (learned turn) and known_place (corridor or procedure)."""
+def turn_events(pts: DataFrame, bounded: bool = True) -> DataFrame:
+    """All rule-3 events. ``pts`` carries in_turn (learned turn) and known_place (corridor or procedure).
+
+    ``bounded`` leaves out anchors that can't turn enough; events are the same without.
+    """
     long_enough = pts.groupBy("flight_id").agg(F.count("*").alias("n")).where("n >= 4").select("flight_id")
     pts = cut(pts.join(long_enough, "flight_id", "left_semi"))      # three scans read it
-    found = cut(abrupt_turns(pts).unionByName(_scan(pts, _holding, C.TURN["acc_window_s"])))
+    found = cut(abrupt_turns(pts).unionByName(_scan(pts, _holdings, C.TURN["acc_window_s"], 220.0, bounded)))
     rest = pts.join(found.select("flight_id").distinct(), "flight_id", "left_anti")
-    loops = _scan(rest, _loop, 240)
+    loops = _scan(rest, _loops, 240, 320.0, bounded)
     cols = [x.split()[0] for x in OUT.split(", ")]
     first = first_per_key(loops, ["flight_id"], [c("start_ts"), c("ts")]).select(*cols)
     return found.unionByName(first)
