@@ -1,12 +1,12 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo
-from wayfold.operators import clusters, nearest
-from wayfold.operators.rules import near_in_time
+from wayfold.operators import clusters, nearest, sweep
 from tests.conftest import T0, airports
 
 
@@ -69,15 +69,36 @@ def test_nearest_by_cells_equals_inline(spark):
     assert a == b
 
 
-def test_near_in_time_equals_brute_force_with_and_without_salt(spark):
+@pytest.mark.parametrize("hot, chunk, pairs", [(20_000, 131_072, 1 << 20), (3, 50, 7), (20_000, 1, 1)])
+def test_sweep_equals_brute_force(spark, monkeypatch, hot, chunk, pairs):
+    """Half of all points in one cell, groups split, and chunks that cut groups apart."""
+    monkeypatch.setattr(sweep, "CHUNK", chunk)
+    monkeypatch.setattr(sweep, "PAIRS", pairs)
     r = random.Random(6)
-    rows = [(f"F{i % 7}", T0 + r.randint(0, 60), 31 + r.uniform(0, 0.3), 34 + r.uniform(0, 0.3)) for i in range(150)]
-    df = spark.createDataFrame(sorted(set(rows)), "flight_id string, ts bigint, lat double, lon double")
-    want = sorted((a[0], a[1], b[0], b[1]) for a in set(rows) for b in set(rows)
-                  if a[0] != b[0] and abs(a[1] - b[1]) <= 5 and hav(a[2], a[3], b[2], b[3]) <= 4)
-    for hot in (20_000, 3):
-        got = near_in_time(df, df, 4, 5, hot=hot).select("a_flight_id", "a_ts", "b_flight_id", "b_ts").collect()
-        assert sorted(map(tuple, got)) == want
+    spread = [(f"F{i % 7}", T0 + r.randint(0, 200), r.choice((-50, 0, 31, 70)) + r.uniform(-0.5, 0.5), 34 + r.uniform(-0.8, 0.8)) for i in range(200)]
+    tight = [(f"F{i % 9}", T0 + r.randint(0, 60), 31 + r.uniform(0, 0.1), 34 + r.uniform(0, 0.1)) for i in range(200)]
+    rows = [(*x, r.choice((9000.0, 9500.0, 12_000.0)), "AB"[int(x[0][1]) % 2]) for x in sorted(set(spread + tight))]
+    null = [(None, T0, 31.0, 34.0, 1.0, "A"), ("F1", T0 + 1, None, 34.0, 1.0, "A")]
+    df = spark.createDataFrame(rows + null, "flight_id string, ts bigint, lat double, lon double, alt double, country string")
+    near = [(a, b) for a in rows for b in rows if a[0] != b[0] and abs(a[1] - b[1]) <= 5 and hav(a[2], a[3], b[2], b[3]) <= 4]
+    ids = ["a_flight_id", "a_ts", "a_lat", "b_flight_id", "b_ts", "b_lat"]
+    got = sweep.near_swept(df, df, 4, 5, hot=hot)
+    assert got.columns == [*(f"{s}_{x}" for s in "ab" for x in df.columns), "nm"]
+    assert sorted(map(tuple, got.select(*ids).collect())) == sorted((*a[:3], *b[:3]) for a, b in near) and len(near) > 500
+    low = [(a, b) for a, b in near if abs(a[4] - b[4]) <= 999]
+    first = {}
+    for a, b in sorted(low, key=lambda p: (p[0][1], p[0][0], p[0][2], p[1][1], p[1][0])):
+        first.setdefault(a, (b[1], b[0]))
+    got = sweep.near_swept(df, df, 4, 5, 999, best="point", hot=hot).collect()
+    assert sorted((x.a_flight_id, x.a_ts, x.a_lat, x.b_ts, x.b_flight_id) for x in got) == sorted((*a[:3], *v) for a, v in first.items())
+    pair = {}
+    for a, b in near:
+        if a[0] < b[0] and a[5] != b[5]:
+            k = (a[0], b[0])
+            pair[k] = min(pair.get(k, 99), hav(a[2], a[3], b[2], b[3]))
+    got = sweep.near_swept(df, df, 4, 5, differ="country", ordered=True, best="flights", hot=hot).groupBy("a_flight_id", "b_flight_id").min("nm").collect()
+    assert {(x[0], x[1]): round(x[2], 6) for x in got} == {k: round(v, 6) for k, v in pair.items()}
+    assert sweep.near_swept(df.limit(0), df, 4, 5).collect() == []
 
 
 def test_components_and_planar_clusters(spark):

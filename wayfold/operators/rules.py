@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wayfold import config as C
 from wayfold.functions import geo, keys
 from wayfold.operators.nearest import bounded_rows, nearest_airport, near_places
+from wayfold.operators.sweep import near_swept
 from wayfold.operators.windows import SLICE, first_per_key, with_halo, with_neighbours
 
 c = F.col
@@ -109,71 +110,16 @@ def _noise_runs(p: DataFrame, low: Column, usable: Column, cruise: float) -> Dat
     return runs.withColumn("_pos", pos).where(c("_pos") % 2 == 1).select("flight_id", "run_ts", "after_ts")
 
 
-# -- rule 5 of the joins: near in space and time
-def near_in_time(left: DataFrame, right: DataFrame, nm: float, seconds: int, extra: Column | None = None,
-                 hot: int = 20_000) -> DataFrame:
-    """Pairs (a, b) of different flights within a distance and a time span.
-
-    Both frames carry flight_id, ts, lat, lon (prefixed a_ / b_ in the result). Rows meet
-    in buckets of (time bin, cell); the right side visits the neighbouring bins. Buckets
-    with more than ``hot`` rows are split: the left rows get a random-looking salt and
-    the right rows are copied to each salt, so no bucket is one task.
-    """
-    dlat = nm / 59.5
-    bin_ = lambda x: F.floor(c(x) / max(seconds, 1))
-    # Longitude cells widen toward the poles: one width per whole degree of latitude band.
-    width = lambda lat: dlat / F.cos(F.radians(F.least(F.abs(F.floor(lat)) + 2, F.lit(88))))
-    a = left.select(*[c(x).alias(f"a_{x}") for x in left.columns]).withColumns({
-        "_t": bin_("a_ts"), "_y": F.floor(c("a_lat") / dlat), "_band": F.floor("a_lat")})
-    a = a.withColumn("_x", F.floor(c("a_lon") / width(c("a_lat"))))
-    size = a.groupBy("_t", "_y", "_band", "_x").agg(F.count("*").alias("_n")).where(c("_n") > hot)
-    size = size.select("_t", "_y", "_band", "_x", F.ceil(c("_n") / hot).cast("int").alias("_s"))
-    bucket = ["_t", "_y", "_band", "_x"]
-    a = a.join(size, bucket, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64("a_flight_id", "a_ts"), F.coalesce("_s", F.lit(1))).cast("int")).drop("_s")
-    b = right.select(*[c(x).alias(f"b_{x}") for x in right.columns])
-    # A right row visits the bands and cells whose left rows it can reach.
-    reach = F.array_distinct(F.array(F.floor(c("b_lat") - dlat), F.floor("b_lat"), F.floor(c("b_lat") + dlat)))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    b = (b.withColumn("_band", F.explode(reach)).withColumn("_t", F.explode(F.transform(around, lambda d: bin_("b_ts") + d)))
-         .withColumn("_y", F.explode(F.transform(around, lambda d: F.floor(c("b_lat") / dlat) + d))))
-    wb = dlat / F.cos(F.radians(F.least(F.abs(c("_band")) + 2, F.lit(88))))
-    b = b.withColumn("_x", F.explode(F.transform(around, lambda d: F.floor(c("b_lon") / wb) + d)))
-    b = (b.join(size, bucket, "left")
-         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1))).drop("_s"))
-    cond = ((c("a_flight_id") != c("b_flight_id")) & (F.abs(c("a_ts") - c("b_ts")) <= seconds)
-            & (F.abs(c("a_lat") - c("b_lat")) <= dlat)
-            & (geo.half_chord("a_lat", "a_lon", "b_lat", "b_lon") <= _reach(nm)))
-    if extra is not None:
-        cond = cond & extra
-    eq = None
-    bb = b.select(*[c(k).alias(f"r{k}") for k in bucket + ["_salt"]], *[x for x in b.columns if x.startswith("b_")])
-    for k in bucket + ["_salt"]:
-        e = c(k) == c(f"r{k}")
-        eq = e if eq is None else eq & e
-    return a.join(bb, eq & cond).drop(*bucket, "_salt", *[f"r{k}" for k in bucket + ["_salt"]])
-
-
-def _reach(nm: float) -> float:
-    import math
-    # A hair of slack: callers test the exact distance again.
-    return math.sin(nm * (1 + 1e-9) / C.EARTH_NM / 2) ** 2
-
-
+# -- rule 4
 def proximity(pts: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Rule 4: one event per own point, the first other point in time order that is too close."""
+    """One event per own point, the first other point in time order that is too close."""
     p = C.PROXIMITY
     own = pts.where(~c("impossible") & (c("alt") >= p["min_alt_ft"]) & (c("ap_nm") > p["airport_nm"])).select("flight_id", "ts", "lat", "lon", "alt")
     other = tracks.where(c("alt") >= p["min_alt_ft"]).select("flight_id", "ts", "lat", "lon", "alt", "callsign")
-    pairs = near_in_time(own, other, p["nm"], p["sync_s"], F.abs(c("a_alt") - c("b_alt")) <= p["alt_ft"])
-    d = geo.haversine("a_lat", "a_lon", "b_lat", "b_lon")
-    pairs = pairs.withColumn("_d", d).where(c("_d") <= p["nm"])
-    best = F.min_by(F.struct(c("b_flight_id").alias("other"), c("b_callsign").alias("other_callsign"), F.round("_d", 2).alias("distance_nm"),
-                             F.round(F.abs(c("a_alt") - c("b_alt")), 1).alias("altitude_diff_ft")), F.struct("b_ts", "b_flight_id"))
-    # min_by keeps one row per own point on the map side; pairs are never shuffled.
-    return (pairs.groupBy(c("a_flight_id").alias("flight_id"), c("a_ts").alias("ts"))
-            .agg(best.alias("b"), F.first("a_lat").alias("lat"), F.first("a_lon").alias("lon"), F.first("a_alt").alias("alt"))
-            .select("flight_id", "ts", "lat", "lon", "alt", "b.*"))
+    found = near_swept(own, other, p["nm"], p["sync_s"], p["alt_ft"], best="point")
+    return found.select(c("a_flight_id").alias("flight_id"), c("a_ts").alias("ts"), c("a_lat").alias("lat"), c("a_lon").alias("lon"), c("a_alt").alias("alt"),
+                        c("b_flight_id").alias("other"), c("b_callsign").alias("other_callsign"), F.round("nm", 2).alias("distance_nm"),
+                        F.round(F.abs(c("a_alt") - c("b_alt")), 1).alias("altitude_diff_ft"))
 
 
 # -- rule 6
