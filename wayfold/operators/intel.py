@@ -134,12 +134,47 @@ def readiness(flights: DataFrame, spikes: DataFrame, trend: DataFrame, watch: st
     return one(n).join(one(k), "_k").join(one(t), "_k").drop("_k").withColumn("score", score).withColumn("level", level)
 
 
-def composite(interference: DataFrame, readiness_: DataFrame, conflicts: DataFrame, losses: DataFrame) -> DataFrame:
-    """Weighted composite of four 0-100 parts: .30, .25, .20, .25. Inputs are one-row frames with column v."""
-    one = lambda d, n: d.select(F.least(F.lit(100.0), F.coalesce(c("v"), F.lit(0.0)).cast("double")).alias(n), F.lit(1).alias("_k"))
-    j = (one(interference, "interference").join(one(readiness_, "activity"), "_k").join(one(conflicts, "conflicts"), "_k").join(one(losses, "losses"), "_k"))
-    s = F.round(c("interference") * 0.30 + c("activity") * 0.25 + c("conflicts") * 0.20 + c("losses") * 0.25, 2)
-    return j.drop("_k").withColumn("score", s).withColumn(
+SYRIA = (32.0, 37.0, 35.0, 42.0)        # fixed values: south, north, west, east
+
+
+def anomaly_clusters(reports: DataFrame, least: int = 3) -> DataFrame:
+    """Cells of a tenth of a degree with enough anomalous reports. ``reports``: lat, lon, is_anomaly."""
+    tenth = lambda x: F.round(c(x) * 10) / 10
+    return (reports.where("is_anomaly = 1 and lat is not null and lon is not null").groupBy(tenth("lat").alias("lat"), tenth("lon").alias("lon"))
+            .agg(F.count("*").alias("n")).where(c("n") >= least))
+
+
+def conflict_flights(tracks: DataFrame, military: DataFrame, hostile=("RU", "IR"), box=SYRIA) -> DataFrame:
+    """Military flights with a point in the box: how many, and how many of them by operators of the named countries."""
+    inside = tracks.where(geo.in_box("lat", "lon", *box)).select("flight_id").distinct()
+    return (inside.join(military.select("flight_id", "country"), "flight_id")
+            .agg(F.count("*").alias("syria_flights"), F.count_if(c("country").isin(*hostile)).alias("from_east")))
+
+
+def composite(cells: DataFrame, military: DataFrame, clusters: DataFrame, conflict: DataFrame, hostile=("RU", "IR")) -> DataFrame:
+    """Combined threat: interference .30, military activity .25, unusual patterns .20, conflict zone .25, as one row.
+
+    ``cells``: confidence (HIGH, MEDIUM or other) and affected_flights of interference cells; ``military``: one row with country for
+    each military flight; ``clusters``: anomaly clusters; ``conflict``: one row of ``conflict_flights``.
+    """
+    most = lambda limit, x: F.least(F.lit(limit), x)
+    g = cells.agg(F.count("*").alias("gps_count"), F.lit(1).alias("_k"),
+                  most(100, F.count_if(c("confidence") == "HIGH") * 15 + F.count_if(c("confidence") == "MEDIUM") * 8 + most(30, F.count("*") * 3)
+                       + most(25, F.floor(F.coalesce(F.sum("affected_flights"), F.lit(0)) / 2))).cast("long").alias("gps_score"))
+    m = military.agg(F.count("*").alias("military_flights"), F.lit(1).alias("_k"),
+                     most(100, most(40, F.count("*") * 2) + most(40, F.count_if(c("country").isin(*hostile)) * 10) + most(20, F.floor(F.count("*") / 5)))
+                     .cast("long").alias("military_score"))
+    u = clusters.agg(F.count("*").alias("cluster_count"), most(100, F.count("*") * 10).cast("long").alias("pattern_score"), F.lit(1).alias("_k"))
+    z = conflict.select("syria_flights", "from_east", F.lit(1).alias("_k"), most(100, c("syria_flights") * 15 + c("from_east") * 25).cast("long").alias("conflict_score"))
+    j = g.join(m, "_k").join(u, "_k").join(z, "_k").drop("_k")      # rows of one aggregate each
+    # Whole percent, so that the floor is exact.
+    score = F.floor((c("gps_score") * 30 + c("military_score") * 25 + c("pattern_score") * 20 + c("conflict_score") * 25) / 100)
+    named = [("Active GPS Jamming", "gps_score", c("gps_score") >= 50), ("High Military Presence", "military_score", c("military_score") >= 40),
+             ("Anomaly Clusters Detected", "pattern_score", c("pattern_score") >= 30), ("Conflict Zone Activity", "conflict_score", c("syria_flights") > 0)]
+    concerns = F.filter(F.array(*[F.when(on, F.struct((-c(x)).alias("s"), F.lit(i).alias("i"), F.lit(name).alias("name"))) for i, (name, x, on) in enumerate(named)]),
+                        lambda x: x.isNotNull())
+    names = F.array_join(F.transform(F.array_sort(concerns), lambda x: x["name"]), ", ")
+    return j.withColumn("score", score).withColumn("concerns", names).withColumn(
         "level", F.when(c("score") >= 80, "CRITICAL").when(c("score") >= 60, "HIGH").when(c("score") >= 40, "ELEVATED")
         .when(c("score") >= 20, "MODERATE").otherwise("LOW"))
 
@@ -236,7 +271,16 @@ def live_status(tracks: DataFrame, last: int = 10) -> DataFrame:
 
 
 # -- behaviour score
-ZONES = [("Zone A", 31.0, 34.0, 10.0, "critical", "area"), ("Zone B", 30.2, 33.4, 15.0, "high", "area"), ("Field T", 32.0, 34.9, 20.0, "medium", "airport_tma")]
+# Sensitive zones (name, latitude, longitude, radius in nm, severity, kind).
+ZONES = [
+    ("Ben Gurion TMA", 32.011389, 34.886667, 25, "medium", "airport_tma"),
+    ("Northern Border Zone", 33.1, 35.5, 15, "high", "border"),
+    ("Eastern Border Zone", 31.5, 35.5, 10, "high", "border"),
+    ("Dimona Restricted", 31.0, 35.15, 20, "critical", "restricted"),
+    ("Gaza Buffer Zone", 31.4, 34.4, 15, "critical", "conflict"),
+    ("Lebanon FIR Border", 33.3, 35.5, 10, "high", "fir_boundary"),
+    ("Syria FIR Border", 32.8, 36.0, 15, "high", "fir_boundary"),
+]
 
 
 def zone_factor(tracks: DataFrame, zones=None, last: int = 10) -> DataFrame:

@@ -91,23 +91,41 @@ with tg as (select flight_id from tracks group by 1 order by count(*) desc, flig
   and exists (select 1 from rule_hits a join rule_hits b on a.rule_id = b.rule_id where a.flight_id = m.flight_id and b.flight_id in (select flight_id from tg))),
  own as (select ts, lat, lon from tracks where flight_id in (select flight_id from tg)), h as (select b.flight_id, count(distinct own.ts) as near_points from own join tracks b on {sql_hav('own.lat', 'own.lon', 'b.lat', 'b.lon')} <= 15 and b.flight_id in (select flight_id from cd) group by 1)
 select flight_id, near_points, round(near_points/(select count(*) from own),4) as similarity from h where round(near_points/(select count(*) from own),4) >= 0.2 order by similarity desc, flight_id limit 15""")(lambda t: _similar(t))
-query("s23_composite")(lambda t: it.composite(
-    sp.interference_cells(sp.flight_interference(t.tracks, t.airports), limit=None).agg(F.max("intensity").alias("v")),
-    it.mil(t.facts).agg((F.count("*") * 2).alias("v")),
-    t.hits.where("rule_id = 4").agg((F.count_distinct("flight_id") * 5).alias("v")),
-    sq.signal_gaps(t.tracks).agg((F.count("*") / 2).alias("v"))))
+CONF = "case when score >= 60 then 'HIGH' when score >= 35 then 'MEDIUM' else 'LOW' end"
+
+
+def _s23(t):
+    cells = sp.interference_cells(sp.flight_interference(t.tracks, t.airports), limit=None)
+    graded = cells.select("affected_flights", F.when(c("score") >= 60, "HIGH").when(c("score") >= 35, "MEDIUM").otherwise("LOW").alias("confidence"))
+    placed = t.hits.groupBy("flight_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")).join(t.reports.select("flight_id", "is_anomaly"), "flight_id")
+    military = it.mil(t.facts)
+    return it.composite(graded, military, it.anomaly_clusters(placed), it.conflict_flights(t.tracks, military))
+
+
+query("s23_composite", ICELL + f"""
+, g as (select count(*) as gps_count, least(100, count(*) filter (where {CONF} = 'HIGH') * 15 + count(*) filter (where {CONF} = 'MEDIUM') * 8 + least(30, count(*) * 3) + least(25, floor(coalesce(sum(affected_flights), 0) / 2)))::bigint as gps_score from ic),
+ mm as (select flight_id, country from {MF}), m as (select count(*) as military_flights, least(100, least(40, count(*) * 2) + least(40, count(*) filter (where country in ('RU', 'IR')) * 10) + least(20, count(*) // 5))::bigint as military_score from mm),
+ a as (select flight_id, avg(lat) as la, avg(lon) as lo from rule_hits group by 1), b as (select round(la * 10) / 10 as la, round(lo * 10) / 10 as lo from a join reports r on r.flight_id = a.flight_id where is_anomaly = 1 group by 1, 2 having count(*) >= 3),
+ u as (select count(*) as cluster_count, least(100, count(*) * 10)::bigint as pattern_score from b),
+ z as (select count(*) as syria_flights, count(*) filter (where country in ('RU', 'IR')) as from_east from mm where flight_id in (select flight_id from tracks where lat between 32 and 37 and lon between 35 and 42)),
+ j as (select gps_count, gps_score, military_flights, military_score, cluster_count, pattern_score, syria_flights, from_east, least(100, syria_flights * 15 + from_east * 25)::bigint as conflict_score from g, m, u, z),
+ k as (select *, (gps_score * 30 + military_score * 25 + pattern_score * 20 + conflict_score * 25) // 100 as score from j),
+ n as (select 'Active GPS Jamming' as name, gps_score as s, 0 as i from k where gps_score >= 50 union all select 'High Military Presence', military_score, 1 from k where military_score >= 40
+   union all select 'Anomaly Clusters Detected', pattern_score, 2 from k where pattern_score >= 30 union all select 'Conflict Zone Activity', conflict_score, 3 from k where syria_flights > 0)
+select *, coalesce((select string_agg(name, ', ' order by s desc, i) from n), '') as concerns, case when score >= 80 then 'CRITICAL' when score >= 60 then 'HIGH' when score >= 40 then 'ELEVATED' when score >= 20 then 'MODERATE' else 'LOW' end as level from k""")(_s23)
 
 # -- behaviour factors
-Z = it.ZONES
-ZD = lambda la, lo: "least(" + ",".join(sql_hav(la, lo, str(z[1]), str(z[2])) for z in Z) + ")"
-G22 = f"select flight_id, case when bool_or({sql_hav('lat', 'lon', str(Z[0][1]), str(Z[0][2]))} < {Z[0][3] * 1.5}) then 30 when min({ZD('lat', 'lon')}) < 10 then 25 when min({ZD('lat', 'lon')}) < 25 then 15 when min({ZD('lat', 'lon')}) < 50 then 5 else 0 end as zone_score from (select *, row_number() over (partition by flight_id order by ts desc) as r from tracks) where r <= 10 group by 1"
+ZT = ("(values (32.011389, 34.886667, 25, 'medium', 'airport_tma'), (33.1, 35.5, 15, 'high', 'border'), (31.5, 35.5, 10, 'high', 'border'), (31.0, 35.15, 20, 'critical', 'restricted'), "
+      "(31.4, 34.4, 15, 'critical', 'conflict'), (33.3, 35.5, 10, 'high', 'fir_boundary'), (32.8, 36.0, 15, 'high', 'fir_boundary')) z(zlat, zlon, radius, severity, kind)")
+G22 = f"""with l as (select *, row_number() over (partition by flight_id order by ts desc) as r from tracks), d as (select flight_id, {sql_hav('lat', 'lon', 'zlat', 'zlon')} as nm, radius, severity from l, {ZT} where r <= 10)
+select flight_id, case when bool_or(severity = 'critical' and nm < radius * 1.5) then 30 when min(nm) < 10 then 25 when min(nm) < 25 then 15 when min(nm) < 50 then 5 else 0 end as zone_score from d group by 1"""
 query("g22_zone_factor", G22)(lambda t: it.zone_factor(t.tracks))
-TOW = " or ".join(f"abs({sql_delta('track', sql_bearing('lat', 'lon', str(z[1]), str(z[2])))}) < 30" for z in Z[:2])
+TOW = f"exists (select 1 from {ZT} where severity in ('critical', 'high') and abs({sql_delta('track', sql_bearing('lat', 'lon', 'zlat', 'zlon'))}) < 30)"
 G23 = P + f", k as (select flight_id, count(*) as n, count(*) filter (where ts-prev_ts > 0 and ts-prev_ts < 60 and abs({sql_delta('track', 'prev_track')}) > 30) as s, count(*) filter (where ts-prev_ts > 0 and ts-prev_ts < 60 and abs({sql_delta('track', 'prev_track')}) > 30 and ({TOW})) as t from p group by 1) select flight_id, case when n < 3 then 0 when t >= 2 then 25 when t = 1 then 15 when s >= 3 then 10 when s >= 1 then 5 else 0 end as heading_score from k"
 query("g23_heading_factor", G23.replace("from tracks window", "from (select * replace ((track*7+vspeed) - 360*floor((track*7+vspeed)/360) as track) from tracks) window"))(
     lambda t: it.heading_factor(t.tracks.withColumn("track", F.pmod(c("track") * 7 + c("vspeed"), F.lit(360.0)))))
 G24 = f"""with a as (select flight_id, ts, alt, lag(alt) over (partition by flight_id order by ts) as pa, row_number() over (partition by flight_id order by ts desc) as r from tracks where alt <> 0), k as (select flight_id, count(*) filter (where pa-alt > 2000) as drops, min(alt) filter (where r <= 5) as low from a group by 1),
- l as (select flight_id, count(*) as n, {sql_hav('max_by(lat,ts)', 'max_by(lon,ts)', str(Z[2][1]), str(Z[2][2]))} < {Z[2][3]} as near from tracks group by 1)
+ q as (select flight_id, count(*) as n, max_by(lat, ts) as la, max_by(lon, ts) as lo from tracks group by 1), l as (select flight_id, n, bool_or({sql_hav('la', 'lo', 'zlat', 'zlon')} < radius) as near from q, {ZT} where kind = 'airport_tma' group by 1, 2)
 select l.flight_id, case when n < 3 or low is null then 0 when low < 3000 and not near then 20 when drops >= 2 then 15 when drops = 1 then 8 when low < 5000 and not near then 5 else 0 end as altitude_score from l left join k on k.flight_id = l.flight_id"""
 query("g24_altitude_factor", G24)(lambda t: it.altitude_factor(t.tracks))
 G25 = P + ", k as (select flight_id, avg(gspeed) as a, max(gspeed) as hi, min(gspeed) as lo, count(*) as n, count(*) filter (where abs(gspeed-prev_gspeed) > 50) as ch from p group by 1) select flight_id, case when hi > 500 and lo < 150 then 15 when ch >= 3 then 10 when a < 100 and n > 20 then 8 when ch >= 1 then 3 else 0 end as speed_score from k"
@@ -121,7 +139,12 @@ def _oprep(t):
 
 
 query("g26_operator_factor", G26)(lambda t: it.operator_factor(t.tracks, _oprep(t)))
-query("g21_behaviour_score")(lambda t: it.behaviour_score(t.tracks, _oprep(t)))
+G21 = f"""select n.flight_id, n.points, coalesce(zone_score, 0) as zone_score, coalesce(heading_score, 0) as heading_score, coalesce(altitude_score, 0) as altitude_score, coalesce(speed_score, 0) as speed_score, coalesce(operator_score, 0) as operator_score,
+ case when points >= 5 then least(100, coalesce(zone_score, 0) + coalesce(heading_score, 0) + coalesce(altitude_score, 0) + coalesce(speed_score, 0) + coalesce(operator_score, 0)) else 0 end as score
+from (select flight_id, count(*) as points from tracks group by 1) n left join ({G22}) a on a.flight_id = n.flight_id left join ({G23}) b on b.flight_id = n.flight_id left join ({G24}) d on d.flight_id = n.flight_id
+ left join ({G25}) e on e.flight_id = n.flight_id left join ({G26}) f on f.flight_id = n.flight_id"""
+query("g21_behaviour_score", f"""select *, case when points < 5 then 'unknown' when score >= 70 then 'critical' when score >= 50 then 'high' when score >= 30 then 'medium' else 'low' end as level,
+ case when points >= 5 then round(least(0.95, 0.5 + points / 100 * 0.3), 2) else 0.0 end as confidence from ({G21})""")(lambda t: it.behaviour_score(t.tracks, _oprep(t)))
 
 # -- forecasts
 LATEST = "with l as (select flight_id, max_by(lat, ts) as lat, max_by(lon, ts) as lon, max_by(alt, ts) as alt, max_by(gspeed, ts) as gspeed, max_by(track, ts) as track from tracks group by 1)"
