@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators.isolation import flagged, isolation_scores
 from wayfold.operators.windows import cut
 
 c = F.col
@@ -44,17 +45,15 @@ def evaluate(scored: DataFrame) -> DataFrame:
 
 
 def outlier_layer(features: DataFrame, contamination: float = 0.01, sigma: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Distance from the mean in standard units; the top share is flagged. Also (flight, feature, z) above two sigma."""
+    """Scores by isolation trees, the top share flagged. Also (flight, feature, z) above two sigma."""
     names = [x for x in feature_names(features)]
     stats = features.agg(*[F.avg(x).alias(f"m_{x}") for x in names], *[F.stddev_pop(x).alias(f"s_{x}") for x in names]).withColumn("_k", F.lit(1))
     j = features.withColumn("_k", F.lit(1)).join(F.broadcast(stats), "_k")      # one row
     z = {x: F.when(c(f"s_{x}") > 0, (c(x) - c(f"m_{x}")) / c(f"s_{x}")).otherwise(F.lit(0.0)) for x in names}
     zz = cut(j.select("flight_id", *[v.alias(k) for k, v in z.items()]))
-    d = zz.select("flight_id", F.sqrt(sum((c(x) * c(x) for x in names[1:]), c(names[0]) * c(names[0]))).alias("distance"))
-    limit = d.approxQuantile("distance", [1.0 - contamination], 0.0005)[0]
     pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), c(x).alias("z")) for x in names]))
     why = zz.select("flight_id", pairs.alias("p")).select("flight_id", "p.*").where(F.abs("z") > sigma)
-    return d.withColumn("is_anomaly", c("distance") >= limit), why
+    return flagged(isolation_scores(features, names), contamination), why
 
 
 def trajectory_vectors(resampled: DataFrame) -> DataFrame:
