@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo
+from wayfold.operators.places import nearest_place
+from wayfold.operators.windows import cut
+
+DENSE_BLOCK = 256       # airports of a block that are packed into one row
 
 
 def bounded_rows(dim: DataFrame, limit: int):
@@ -61,42 +65,47 @@ def _literal(r) -> Column:
                     F.lit(float(r["lat"])).alias("lat"), F.lit(float(r["lon"])).alias("lon"))
 
 
-def _nearest_by_cells(df: DataFrame, airports: DataFrame, lat: str, lon: str) -> DataFrame:
-    """Exact nearest for a large dimension, by equi joins on ever coarser cells.
+def _nearest_by_cells(df: DataFrame, airports: DataFrame, lat: str, lon: str, dense: int = DENSE_BLOCK) -> DataFrame:
+    """Exact nearest for a large dimension: equi joins on cells of 1, 5 and 20 degrees, then the tree of cells.
 
     At each level an airport is listed in its cell and the eight around it, so a point
     whose best listed distance is below the way out of that block has its true nearest.
-    Points not settled go on to the next level; the last one lists the whole dimension.
+    Blocks of more than ``dense`` airports are not listed. Points in these, and points far
+    from all airports, are settled by ``places.nearest_place``, once for each position.
     """
-    ap = airports.select("ord", "code", F.coalesce("elevation_ft", F.lit(0)).alias("elev"),
-                         F.col("lat").alias("alat"), F.col("lon").alias("alon"))
+    ap = airports.where("lat is not null and lon is not null").select(
+        "ord", "code", F.coalesce("elevation_ft", F.lit(0)).alias("elev"), F.col("lat").alias("alat"), F.col("lon").alias("alon"))
     best_type = "struct<a:double,ord:int,code:string,elev:int,lat:double,lon:double>"
     out = df.withColumn("_b", F.lit(None).cast(best_type))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    for g in (1, 5, 20, 360):
+    for g in (1, 5, 20):
         n = 360 // g
         cy = lambda c: F.floor(F.col(c) / g).cast("int")
         cx = lambda c: F.pmod(F.floor((F.col(c) + 180.0) / g), F.lit(n)).cast("int")
         listed = (ap.withColumns({"_ay": cy("alat"), "_ax": cx("alon")})
                   .withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near)))
         listed = listed.select(
-            (F.col("_ay") + F.col("_dy")).alias("_ky") if n > 1 else F.lit(0).alias("_ky"),
-            F.pmod(F.col("_ax") + F.col("_dx"), F.lit(n)).alias("_kx"),
+            (F.col("_ay") + F.col("_dy")).alias("_ky"), F.pmod(F.col("_ax") + F.col("_dx"), F.lit(n)).alias("_kx"),
             F.struct("ord", "code", "elev", "alat", "alon").alias("_c"))
-        packed = listed.groupBy("_ky", "_kx").agg(F.collect_set("_c").alias("_cand"))
-        py = cy(lat) if n > 1 else F.lit(0)
+        few = listed.groupBy("_ky", "_kx").count().where(F.col("count") <= dense).drop("count")
+        packed = listed.join(few, ["_ky", "_kx"]).groupBy("_ky", "_kx").agg(F.collect_list("_c").alias("_cand"))
         found = F.array_min(F.transform("_cand", lambda c: F.struct(
             geo.half_chord(lat, lon, c["alat"], c["alon"]).alias("a"), c["ord"].alias("ord"),
             c["code"].alias("code"), c["elev"].alias("elev"), c["alat"].alias("lat"), c["alon"].alias("lon"))))
-        way_out = F.lit(1e9) if n == 1 else 0.99 * C.EARTH_NM * F.least(
+        way_out = 0.99 * C.EARTH_NM * F.least(
             F.lit(math.radians(g)), F.asin(math.sin(math.radians(g)) * F.cos(F.radians(F.col(lat)))))
         hit = F.when(geo.chord_to_distance(F.col("_f")["a"]) <= way_out, F.col("_f"))
-        out = (out.withColumns({"_py": py, "_px": cx(lon)})
+        out = (out.withColumns({"_py": cy(lat), "_px": cx(lon)})
                .join(packed, (F.col("_py") == F.col("_ky")) & (F.col("_px") == F.col("_kx"))
                      & F.col("_b").isNull(), "left")
                .withColumn("_f", found).withColumn("_b", F.coalesce("_b", hit))
                .drop("_py", "_px", "_ky", "_kx", "_cand", "_f"))
-    return out
+    out = cut(out)                  # read twice below
+    rest = nearest_place(out.where("_b is null").select(F.col(lat).alias("lat"), F.col(lon).alias("lon")), ap.select(
+        "ord", "code", "elev", F.col("alat").alias("lat"), F.col("alon").alias("lon")))
+    rest = rest.select(F.col("lat").alias("_rlat"), F.col("lon").alias("_rlon"), F.col("best").alias("_r"))
+    return (out.join(rest, F.col("_b").isNull() & (F.col(lat) == F.col("_rlat")) & (F.col(lon) == F.col("_rlon")), "left")
+            .withColumn("_b", F.coalesce("_b", "_r")).drop("_rlat", "_rlon", "_r"))
 
 
 def near_places(points: DataFrame, places: DataFrame, nm: float, lat: str = "lat", lon: str = "lon") -> tuple[DataFrame, Column]:
