@@ -6,13 +6,15 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators import principal
 from wayfold.operators.isolation import flagged, isolation_scores
-from wayfold.operators.windows import cut
+from wayfold.operators.nearest import bounded_broadcast
+from wayfold.operators.windows import cut, exact_quantiles
 
 c = F.col
 KEYS = ("flight_id", "label", "duration", "num_points")
@@ -73,38 +75,21 @@ def flow_clusters(vectors: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="flow").fit(s).transform(s)
 
 
-def _errors(part: DataFrame, dims: int) -> DataFrame:
-    """Squared error of a PCA with few components, per flight and per resampled point."""
-    model = PCA(k=dims, inputCol="features", outputCol="p").fit(part)
-    pc = model.pc.toArray().tolist()                                # features x dims, small
-    back = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in pc])
-    feat, proj = vector_to_array("features"), vector_to_array("p")
-    d = model.transform(part).select("flight_id", "flow", feat.alias("x"), proj.alias("y"), back.alias("b"))
-    diff = F.transform("x", lambda v, i: F.pow(v - F.aggregate(F.zip_with("y", F.get(c("b"), i), lambda a, w: a * w), F.lit(0.0), lambda s, q: s + q), F.lit(2.0)))
-    return d.select("flight_id", "flow", diff.alias("e"))
-
-
-def reconstruction(clustered: DataFrame, k: int = 5, dims: int = 3, quantile: float = 0.995, per_flow: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Reconstruction error per flight against its flow's threshold quantile; severity is loss over threshold.
+def reconstruction(clustered: DataFrame, dims: int = 3, quantile: float = 0.995, per_flow: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Reconstruction error per flight against its flow's exact threshold quantile; severity is loss over threshold.
 
+    The models of all flows come from one pass; a flow of one flight has none of its own and takes that of all flights.
     Second result: squared error per (flight, idx).
     """
-    parts = []
-    n = {r["flow"]: r["count"] for r in clustered.groupBy("flow").count().collect()} if per_flow else {0: 2}     # k rows
-    for flow, size in n.items():
-        part = clustered.where(c("flow") == flow) if per_flow else clustered.withColumn("flow", F.lit(0))
-        if size >= 2:
-            parts.append(_errors(part.select("flight_id", "flow", "features"), dims))
-    alone = [flow for flow, size in n.items() if size < 2]
-    if alone:       # a flow of one flight has no model of its own: the one over all flights stands in
-        parts.append(_errors(clustered.select("flight_id", "flow", "features"), dims).where(c("flow").isin(alone)))
-    errs = parts[0]
-    for p in parts[1:]:
-        errs = errs.unionByName(p)
-    errs = cut(errs)
+    x = clustered.select("flight_id", c("flow") if per_flow else F.lit(0).alias("flow"), vector_to_array("features").alias("x"))
+    j = x.join(bounded_broadcast(principal.models(x, "flow", dims)), "flow")
+    j = j.withColumn("y", F.transform("axes", lambda a: F.aggregate(F.zip_with("x", a, lambda v, w: v * w), F.lit(0.0), lambda s, q: s + q)))
+    # What the components say of value i, taken from the value.
+    said = lambda i: F.aggregate(F.zip_with("axes", "y", lambda a, y: F.get(a, i) * y), F.lit(0.0), lambda s, q: s + q)
+    errs = cut(cut(j).select("flight_id", "flow", F.transform("x", lambda v, i: F.pow(v - said(i), F.lit(2.0))).alias("e")))
     loss = errs.select("flight_id", "flow", (F.aggregate("e", F.lit(0.0), lambda s, x: s + x) / F.size("e")).alias("loss"))
-    limit = loss.groupBy("flow").agg(F.percentile_approx("loss", quantile, 100_000).alias("threshold"))
-    scored = loss.join(F.broadcast(limit), "flow").withColumns({"severity": c("loss") / c("threshold"), "is_anomaly": c("loss") > c("threshold")})
+    limit = exact_quantiles(loss, "flow", ["loss"], [quantile]).withColumnRenamed(f"loss_q{round(quantile * 100):02d}", "threshold")
+    scored = loss.join(bounded_broadcast(limit), "flow").withColumns({"severity": c("loss") / c("threshold"), "is_anomaly": c("loss") > c("threshold")})
     point = errs.select("flight_id", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("e") / 4 - 1).cast("int")), lambda i: F.aggregate(
         F.slice("e", (i * 4 + 1).cast("int"), 4), F.lit(0.0), lambda s, x: s + x) / 4)).alias("idx", "error"))
     return scored, point
