@@ -187,22 +187,3 @@ def gap_zones(gaps: DataFrame, buffer_nm: float = 10.0, merge_nm: float = 5.0, m
     return (j.withColumn("outline", outline).select(
         "component", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "event_count", "affected_flights", F.floor("_g").alias("avg_gap_s"), "max_gap_s",
         F.round(risk, 1).alias("risk_score"), keys.gap_class(F.floor("_g")).alias("gap_type"), "first_seen", "last_seen", F.round(area, 1).alias("area_sq_nm"), "outline"))
-
-
-def split_wide(cells: DataFrame, spread_deg: float = 2.0, parts: int = 3, seed: int = 42) -> DataFrame:
-    """Clusters wider than the limit are split by k-means on position, all in one model run each.
-
-    ``cells``: component, lat, lon. The number of wide clusters is small; each run is distributed.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-    ext = cells.groupBy("component").agg((F.max("lat") - F.min("lat")).alias("a"), (F.max("lon") - F.min("lon")).alias("o"), F.count("*").alias("n"))
-    wide = ext.where(((c("a") > spread_deg) | (c("o") > spread_deg)) & (c("n") > parts)).select("component")
-    names = [r["component"] for r in wide.collect()]      # one name for each cluster that spans degrees
-    out = cells.join(wide, "component", "left_anti").withColumn("part", F.lit(0))
-    v = VectorAssembler(inputCols=["lat", "lon"], outputCol="features")
-    for name in names:
-        one = v.transform(cells.where(c("component") == name))
-        model = KMeans(k=parts, seed=seed, featuresCol="features", predictionCol="part").fit(one)
-        out = out.unionByName(model.transform(one).drop("features"))
-    return out

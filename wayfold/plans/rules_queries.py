@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo, keys
-from wayfold.operators import clusters as cl, layers as ly, rules as ru, sequence as sq, spatial as sp, turns
+from wayfold.operators import clusters as cl, layers as ly, rules as ru, sequence as sq, spatial as sp, turns, zones as zo
 from wayfold.operators.sweep import near_swept
 from wayfold.operators.windows import first_per_key
 from wayfold.plans.core_queries import r4, ring_lit, first_zone
@@ -355,21 +355,6 @@ def _s08(t):
 
 
 query("s09_gap_zones")(lambda t: cl.gap_zones(sq.gaps_away(t.tracks, t.airports, 8)).withColumn("outline", F.to_json("outline")))
-query("s10_interference_zones")(lambda t: _s10(t))
-
-
-def _s10(t):
-    """Interference cells, chained at 50 nm, wide chains split; type by the leading indicator."""
-    cells = sp.interference_cells(sp.flight_interference(t.tracks, t.airports), min_score=5, limit=None).withColumn("id", F.concat_ws(":", "lat", "lon"))
-    lab = cl.split_wide(cl.chain_clusters(cells, 50).select("component", "id", "lat", "lon", "score", "affected_flights", "altitude_jumps", "spoofed_hits",
-                                                            "position_teleports", "signal_losses"))
-    spoof, deny = c("spoof"), c("deny")
-    return (lab.groupBy("component", "part").agg(
-        F.count("*").alias("cells"), F.sum("affected_flights").alias("flights"), F.round(F.avg("score"), 3).alias("avg_score"),
-        F.sum(c("spoofed_hits") + c("altitude_jumps") + c("position_teleports")).alias("spoof"), F.sum("signal_losses").alias("deny"))
-        .withColumn("type", F.when((spoof > 0) & (deny > 0), "mixed").when(spoof > 0, "spoofing").when(deny > 0, "denial").otherwise("unknown")))
-
-
 query("s11_cluster_hulls")(lambda t: cl.hulls(cl.chain_clusters(_loss_nodes(t), 50), "component").select("component", F.size("ring").alias("vertices"), F.to_json("ring").alias("ring")))
 MARKS = ("altitude_jumps", "spoofed_hits", "speed_anomalies", "position_teleports", "impossible_turns", "oscillations", "bearing_mismatches")
 S03 = MARKED + f""", e3 as (select * from e where {AWAY(5, 'e')}),
@@ -394,3 +379,18 @@ S03 = MARKED + f""", e3 as (select * from e where {AWAY(5, 'e')}),
 select * exclude (la, lo), round(case when la > 0 and lo > 0 then la/affected_flights else cell_lat end,4) as lat, round(case when la > 0 and lo > 0 then lo/affected_flights else cell_lon end,4) as lon,
  floor(gap_duration/greatest(event_count,1))::bigint as avg_gap_s, case when score >= 60 then 'HIGH' when score >= 35 then 'MEDIUM' when score >= 15 then 'LOW' else 'UNLIKELY' end as confidence from p3"""
 query("s03_interference_components", S03)(lambda t: sp.interference_components(t.tracks, t.airports, limit=None))
+
+
+# -- zones over the cells of s03, those of low scores included
+S10 = S03.replace("with p as", "with recursive p as", 1).replace(") >= 15)", ") >= 5)").rsplit("\nselect * exclude", 1)
+query("s10_zone_chains", S10[0] + ", z3 as (select * exclude" + S10[1] + """), nd as (select row_number() over (order by lat, lon) as id, * from z3),
+ ed as (select a.id as s, b.id as d from nd a, nd b where (a.lat-b.lat)*(a.lat-b.lat)+(a.lon-b.lon)*(a.lon-b.lon) <= 25/60.0*25/60.0),
+ rc as (select id as root, id as id from nd union select rc.root, ed.d from rc join ed on ed.s = rc.id), cm as (select id, min(root) as component from rc group by 1),
+ zc as (select component, count(*) as cells, greatest(max(lat)-min(lat), max(lon)-min(lon)) as span, min(lat) as south, min(lon) as west from nd join cm using (id) group by 1 having count(*) >= 3)
+select cells, round(span,4) as span_deg, south, west, (case when span > 200/60.0 and cells // 3 >= 2 then least(cells // 3, greatest(2, floor(span/(100/60.0)))) else 1 end)::int as parts from zc""")(
+    lambda t: zo.chains(_zone_cells(t))[1].select("cells", F.round("span_deg", 4).alias("span_deg"), "south", "west", "parts"))
+query("s10_interference_zones")(lambda t: zo.interference_zones(_zone_cells(t)).withColumn("outline", F.to_json("outline")))
+
+
+def _zone_cells(t):
+    return t.kept("zone_cells", lambda: sp.interference_components(t.tracks, t.airports, min_score=5, limit=None))
