@@ -187,8 +187,11 @@ def expand_ring(ring, buffer_nm) -> Column:
     return F.transform(ring, push)
 
 
-def frechet_nm(path_a, path_b) -> Column:
-    """Discrete Fréchet distance of two short waypoint arrays, one DP row at a time."""
+def frechet_nm(path_a, path_b, limit: float | None = None) -> Column:
+    """Discrete Fréchet distance of two short waypoint arrays, one DP row at a time.
+
+    With a limit, rows after one that exceeds it throughout are not computed; the result is then some value above the limit.
+    """
     a, b = _c(path_a), _c(path_b)
 
     def row(prev, p):
@@ -201,8 +204,9 @@ def frechet_nm(path_a, path_b) -> Column:
             reach = F.least(up, diag, left)
             return F.concat(acc, F.array(F.greatest(d, F.coalesce(reach, d))))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1),
-                           F.array().cast("array<double>"), cell_)
+        whole = F.aggregate(F.sequence(F.lit(0), F.size(b) - 1),
+                            F.array().cast("array<double>"), cell_)
+        return whole if limit is None else F.when(F.array_min(prev) > limit, prev).otherwise(whole)
 
     last = F.aggregate(a, F.array().cast("array<double>"), row)
     return F.element_at(last, -1)

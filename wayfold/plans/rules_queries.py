@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayfold import config as C
 from wayfold.functions import geo, keys
 from wayfold.operators import clusters as cl, layers as ly, rules as ru, sequence as sq, spatial as sp, turns, zones as zo
+from wayfold.operators.paths import similar_paths
 from wayfold.operators.sweep import near_swept
 from wayfold.operators.windows import first_per_key
 from wayfold.plans.core_queries import r4, ring_lit, first_zone
@@ -274,6 +275,7 @@ def _c15(t):
     return (p.join(q, "origin").where("id < id2").select("id", "id2", r4(geo.frechet_nm("centerline", "line2")).alias("nm")))
 
 
+query("c15_similar_paths")(lambda t: similar_paths(layer_set(t)[0], 30.0).select("id", "id2", r4("nm").alias("nm")))
 query("c29_circles", "select airport, i::int as pos, round(lat + 5/60.0*cos(radians(i%12*30)),5) as lat, round(lon + 5/60.0*sin(radians(i%12*30))/cos(radians(lat)),5) as lon from (select airport, avg(lat) as lat, avg(lon) as lon from rule_hits group by 1), range(13) r(i)")(
     lambda t: t.hits.groupBy("airport").agg(F.avg("lat").alias("clat"), F.avg("lon").alias("clon"))
     .select("airport", F.posexplode(geo.circle("clat", "clon", F.lit(5.0), 12)).alias("pos", "p"))
