@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, keys
+from wayfold.operators.hotkeys import join_hot
 from wayfold.operators.stats import distinct_if, in_rules
 from wayfold.operators.windows import running_sum, with_neighbours
 
@@ -65,7 +66,7 @@ def conflicts(plans: DataFrame, traffic: DataFrame) -> DataFrame:
     b = b.withColumn("_y", F.explode(F.transform(near, lambda d: F.floor(c("blat") / g) + d)))
     b = b.withColumn("_x", F.explode(F.transform(near, lambda d: F.floor(c("blon") / wide(c("_b"))) + d)))
     ft = F.abs(c("alt") - c("balt"))
-    j = a.join(b, ["minutes", "_b", "_y", "_x"]).where((c("plan_id") != c("flight_id")) & (ft <= 2000))
+    j = join_hot(a, b, ["minutes", "_b", "_y", "_x"]).where((c("plan_id") != c("flight_id")) & (ft <= 2000))
     j = j.withColumns({"nm": geo.haversine("lat", "lon", "blat", "blon"), "ft": ft}).where(c("nm") <= nm)
     kind = F.when((c("nm") <= 2.5) & (c("ft") <= 500), "critical").when((c("nm") <= 5) & (c("ft") <= 1000), "conflict").otherwise("warning")
     return j.select("plan_id", "flight_id", "minutes", "nm", "ft", kind.alias("kind"))
@@ -149,7 +150,7 @@ def closest_history(queries: DataFrame, history: DataFrame, km: float = 5.0) ->
     b = b.withColumn("_y", F.explode(F.transform(near, lambda d: F.floor(c("hlat") / g) + d)))
     b = b.withColumn("_x", F.explode(F.transform(near, lambda d: F.floor(c("hlon") / wide(c("_b"))) + d)))
     d = F.round(geo.haversine("lat", "lon", "hlat", "hlon", 6371.0), 9)
-    j = a.join(b, ["_b", "_y", "_x"]).where(c("flight_id") != c("h_flight")).withColumn("km", d).where(c("km") <= km)
+    j = join_hot(a, b, ["_b", "_y", "_x"]).where(c("flight_id") != c("h_flight")).withColumn("km", d).where(c("km") <= km)
     # min_by per (query, flight) is combined before the shuffle.
     best = j.groupBy("qid", "h_flight").agg(F.min_by(F.struct("km", "h_ts", "h_gspeed", "h_vspeed"), F.struct("km", "h_ts")).alias("b"))
     return best.select("qid", "h_flight", "b.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo, keys
+from wayfold.operators.hotkeys import join_hot
 from wayfold.operators.sweep import near_swept
 from wayfold.operators.stats import military_flag, on_spine, spine
 from wayfold.operators.windows import with_neighbours
@@ -246,7 +247,7 @@ def similar_flights(tracks: DataFrame, target: DataFrame, candidates: DataFrame,
     b = other.withColumn("_b", F.explode(F.array_distinct(F.array(F.floor(c("blat") - g), F.floor("blat"), F.floor(c("blat") + g)))))
     b = b.withColumn("_y", F.explode(F.transform(near, lambda d: F.floor(c("blat") / g) + d)))
     b = b.withColumn("_x", F.explode(F.transform(near, lambda d: F.floor(c("blon") / wide(c("_b"))) + d)))
-    hit = (a.join(b, ["_b", "_y", "_x"]).where(geo.haversine("lat", "lon", "blat", "blon") <= nm)
+    hit = (join_hot(a, b, ["_b", "_y", "_x"]).where(geo.haversine("lat", "lon", "blat", "blon") <= nm)
            .groupBy("flight_id").agg(F.count_distinct("pid").alias("near_points")))
     n = own.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
     s = F.round(c("near_points") / c("n"), 4)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo
-from wayfold.operators.nearest import bounded_broadcast
+from wayfold.operators.hotkeys import PARTS_SETTING, hot_keys, join_by_slice, join_dealt, join_hot
+from wayfold.operators.segments import nearest_line
 from wayfold.operators.windows import SLICE, cut, running_sum, sliced_row_number, with_neighbours, with_slice
 
 c = F.col
@@ -30,7 +31,7 @@ def resample_by_distance(tracks: DataFrame, n: int = 80) -> DataFrame:
     step = F.coalesce(geo.haversine("plat", "plon", "lat", "lon"), F.lit(0.0))
     s = running_sum(p.withColumn("step", step), {"cum": c("step")})
     total = s.groupBy("flight_id").agg(F.max("cum").alias("total")).where("total > 0")
-    j = s.join(total, "flight_id")
+    j = join_by_slice(s, total, C.SLICE_S, slices_of=tracks)
     first = c("plat").isNull()
     # Rounded, so that a border waypoint is seen the same from both of its segments.
     pos = lambda x: F.round(x / c("total") * (n - 1), 9)
@@ -50,7 +51,7 @@ def resample_by_time(tracks: DataFrame, n: int = 50) -> DataFrame:
                         {f"p_{x}": x for x in ("ts", "lat", "lon", "alt", "track")})
     u = running_sum(p.withColumn("turn", F.coalesce(geo.heading_delta("track", "p_track"), c("track"))), {"hdg": c("turn")})
     span = tracks.groupBy("flight_id").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")).where("t1 > t0")
-    j = u.join(span, "flight_id")
+    j = join_by_slice(u, span, C.SLICE_S, slices_of=tracks)
     pos = lambda t: (t - c("t0")) * (n - 1) / (c("t1") - c("t0"))
     first = c("p_ts").isNull()
     j = j.withColumns({"_lo": F.when(first, 0).otherwise(F.floor(pos(c("p_ts"))) + 1).cast("int"),
@@ -73,7 +74,7 @@ def mean_waypoint_distance(a: DataFrame, b: DataFrame) -> DataFrame:
 def learn_paths(tracks: DataFrame, meta: DataFrame, bins: int = 8, width: float = C.PATHS["width_nm"]) -> DataFrame:
     """Mean centreline per route: averages per ``bins``-th of each flight's own time, over all of its points."""
     m = meta.select("flight_id", "first_seen_ts", "last_seen_ts", "origin_airport", "destination_airport")
-    p = tracks.select("flight_id", "ts", "lat", "lon", "alt").join(m, "flight_id").withColumn(
+    p = join_by_slice(tracks.select("flight_id", "ts", "lat", "lon", "alt"), m, C.SLICE_S).withColumn(
         "_b", F.floor((c("ts") - c("first_seen_ts")) * bins / (c("last_seen_ts") - c("first_seen_ts") + 1)))
     v = (p.groupBy("origin_airport", "destination_airport", "_b")
          .agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.min("alt").alias("lo"), F.max("alt").alias("hi"),
@@ -116,31 +117,41 @@ def _od_candidates(od: DataFrame, layer: DataFrame) -> DataFrame:
 
 
 def _with_fallback(od: DataFrame, matched: DataFrame, layer: DataFrame) -> DataFrame:
-    """Pairs without a match get the whole layer."""
+    """Pairs without a match get the whole layer. Layer rows meet them in as many parts as the session has partitions."""
     rest = od.join(matched.select("origin", "destination").distinct().withColumnsRenamed({"origin": "_o", "destination": "_d"}),
                    c("origin").eqNullSafe(c("_o")) & c("destination").eqNullSafe(c("_d")), "left_anti")
-    every = layer.drop("origin", "destination").withColumn("_k", F.lit(1))
+    parts = int(od.sparkSession.conf.get(PARTS_SETTING))
+    every = layer.drop("origin", "destination").withColumn("_k", F.pmod(F.xxhash64("id"), F.lit(parts)))
     return matched.withColumn("od_filter", F.lit(True)).unionByName(
-        rest.withColumn("_k", F.lit(1)).join(every, "_k").drop("_k").withColumn("od_filter", F.lit(False)))
+        rest.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))).join(every, "_k").drop("_k").withColumn("od_filter", F.lit(False)))
 
 
-def match_best_level(od: DataFrame, layer: DataFrame) -> DataFrame:
-    """Layer rows of the best level only: exact, one side, generic; none or unknown pair: all. ``od``: distinct pairs."""
+def best_level(od: DataFrame, layer: DataFrame) -> DataFrame:
+    """Layer rows of the best level only: exact, one side, generic. Pairs without any have no row. ``od``: distinct pairs."""
     m = _od_candidates(od.where("origin is not null or destination is not null"), layer)
     eo, ed = c("_lo").eqNullSafe(c("origin")), c("_ld").eqNullSafe(c("destination"))
     m = m.withColumn("_p", F.when(eo & ed, 0).when(eo | ed, 1).otherwise(2))
     best = m.groupBy("origin", "destination").agg(F.min("_p").alias("_b")).withColumnsRenamed({"origin": "_o", "destination": "_d"})
-    m = m.join(best, c("origin").eqNullSafe(c("_o")) & c("destination").eqNullSafe(c("_d")) & (c("_p") == c("_b"))).drop("_o", "_d", "_p", "_b", "_lo", "_ld")
-    return _with_fallback(od, m, layer)
+    return m.join(best, c("origin").eqNullSafe(c("_o")) & c("destination").eqNullSafe(c("_d")) & (c("_p") == c("_b"))).drop("_o", "_d", "_p", "_b", "_lo", "_ld")
 
 
-def match_paths(od: DataFrame, paths: DataFrame) -> DataFrame:
-    """Paths of the pair, or with one side known and the other null; none: all."""
+def match_best_level(od: DataFrame, layer: DataFrame) -> DataFrame:
+    """``best_level``, and the whole layer for pairs without a match."""
+    return _with_fallback(od, best_level(od, layer), layer)
+
+
+def route_paths(od: DataFrame, paths: DataFrame) -> DataFrame:
+    """Paths of the pair, or with one side known and the other null. Pairs without any have no row."""
     m = _od_candidates(od.where("origin is not null or destination is not null"), paths)
     o, d, po, pd_ = c("origin"), c("destination"), c("_lo"), c("_ld")
     both = (po.eqNullSafe(o) & pd_.eqNullSafe(d)) | (po.eqNullSafe(o) & pd_.isNull()) | (po.isNull() & pd_.eqNullSafe(d))
     ok = F.when(o.isNotNull() & d.isNotNull(), both).when(o.isNotNull(), po.eqNullSafe(o)).otherwise(pd_.eqNullSafe(d))
-    return _with_fallback(od, m.where(ok).drop("_lo", "_ld"), paths)
+    return m.where(ok).drop("_lo", "_ld")
+
+
+def match_paths(od: DataFrame, paths: DataFrame) -> DataFrame:
+    """``route_paths``, and all paths for pairs without a match."""
+    return _with_fallback(od, route_paths(od, paths), paths)
 
 
 def match_corridors(od: DataFrame, paths: DataFrame) -> DataFrame:
@@ -170,7 +181,7 @@ def nearby_corridors(points: DataFrame, paths: DataFrame, max_nm: float = 30.0,
     v = v.withColumn("_band", F.explode(F.array_distinct(F.array(F.floor(c("vlat") - g), F.floor("vlat"), F.floor(c("vlat") + g)))))
     v = v.withColumn("_y", F.explode(F.transform(near, lambda d: F.floor(c("vlat") / g) + d)))
     v = v.withColumn("_x", F.explode(F.transform(near, lambda d: F.floor(c("vlon") / wide(c("_band"))) + d)))
-    j = p.join(v, ["_band", "_y", "_x"]).withColumn("nm", geo.haversine("lat", "lon", "vlat", "vlon")).where(c("nm") <= max_nm)
+    j = join_hot(p, v, ["_band", "_y", "_x"]).withColumn("nm", geo.haversine("lat", "lon", "vlat", "vlon")).where(c("nm") <= max_nm)
     best = j.groupBy("pid", "id").agg(F.round(F.min("nm"), 6).alias("nm"))
     w = Window.partitionBy("pid").orderBy("nm", "id")
     return best.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
@@ -192,8 +203,11 @@ def mark_turn_zones(points: DataFrame, turns: DataFrame, name: str, tolerance: f
 
 
 def _by_cells(points: DataFrame, areas: DataFrame, verts: Column, reach_nm: Column, cell: float = 0.5,
-              also: tuple = ()) -> DataFrame:
-    """Candidate (point, area) rows: areas are listed in every cell their widened box covers."""
+              also: tuple = (), even: bool = False) -> DataFrame:
+    """Candidate (point, area) rows: areas are listed in every cell their widened box covers.
+
+    Points of a crowded cell are dealt over several tasks. ``even``: spread all points before costly geometry.
+    """
     dy = reach_nm / 59.0
     # The longitude margin is taken at the widest latitude of the area.
     a = areas.withColumns({"_s": F.array_min(F.transform(verts, lambda p: p["lat"])) - dy, "_n": F.array_max(F.transform(verts, lambda p: p["lat"])) + dy})
@@ -202,14 +216,15 @@ def _by_cells(points: DataFrame, areas: DataFrame, verts: Column, reach_nm: Colu
     f = lambda x: F.floor(c(x) / cell)
     a = a.withColumn("_cy", F.explode(F.sequence(f("_s"), f("_n")))).withColumn("_cx", F.explode(F.sequence(f("_w"), f("_e"))))
     p = points.withColumns({"_cy": F.floor(c("lat") / cell), "_cx": F.floor(c("lon") / cell)})
-    return (p.join(a, ["_cy", "_cx", *also]).where(c("lat").between(c("_s"), c("_n")) & c("lon").between(c("_w"), c("_e")))
+    on = ["_cy", "_cx", *also]
+    return (join_dealt(spread(p) if even else p, a, on, hot_keys(p, on)).where(c("lat").between(c("_s"), c("_n")) & c("lon").between(c("_w"), c("_e")))
             .drop("_cy", "_cx", "_s", "_n", "_w", "_e"))
 
 
 def points_on_procedure(points: DataFrame, procedures: DataFrame, tolerance: float = C.LAYERS["proc_tol_nm"]) -> DataFrame:
     """Keys of points within width plus tolerance of a procedure centreline."""
     pr = procedures.where(F.size("centerline") >= 2).select("centerline", (F.coalesce("width_nm", F.lit(C.LAYERS["proc_width_nm"])) + tolerance).alias("_r"))
-    j = _by_cells(spread(points.select("flight_id", "ts", "lat", "lon")), pr, c("centerline"), c("_r"))
+    j = _by_cells(points.select("flight_id", "ts", "lat", "lon"), pr, c("centerline"), c("_r"), even=True)
     return j.where(geo.polyline_distance("lat", "lon", "centerline")["distance_nm"] <= c("_r")).select("flight_id", "ts").distinct()
 
 
@@ -217,7 +232,7 @@ def points_in_corridors(points: DataFrame, paths: DataFrame) -> DataFrame:
     """Keys of points inside the corridor polygon of a learned path."""
     # Written once: left as an expression, the ring would be rebuilt at every use.
     ring = cut(paths.select(geo.corridor("centerline", "width_nm").alias("ring")).where("ring is not null"))
-    j = _by_cells(spread(points.select("flight_id", "ts", "lat", "lon")), ring, c("ring"), F.lit(0.5))
+    j = _by_cells(points.select("flight_id", "ts", "lat", "lon"), ring, c("ring"), F.lit(0.5), even=True)
     return j.where(geo.point_in_ring("lat", "lon", "ring")).select("flight_id", "ts").distinct()
 
 
@@ -239,14 +254,14 @@ def tube_membership(points: DataFrame, tubes: DataFrame, alt_tol: float = C.PATH
     t = tubes.where(F.size("ring") >= 3).select(c("id").alias("tube_id"), "ring", F.coalesce("min_alt_ft", F.lit(0.0)).alias("_lo"),
                                                 F.coalesce("max_alt_ft", F.lit(50000.0)).alias("_hi"), *also)
     alt = F.coalesce(c("alt"), F.lit(0.0))
-    pts = spread(points.select("flight_id", "ts", "lat", "lon", alt.alias("alt"), *also))
+    pts = points.select("flight_id", "ts", "lat", "lon", alt.alias("alt"), *also)
     level = c("alt").between(c("_lo") - alt_tol, c("_hi") + alt_tol)
-    inside = _by_cells(pts, t, c("ring"), F.lit(0.5), also=also).where(level & geo.point_in_ring("lat", "lon", "ring"))
+    inside = _by_cells(pts, t, c("ring"), F.lit(0.5), also=also, even=True).where(level & geo.point_in_ring("lat", "lon", "ring"))
     # Nearness is a matter of single sides: they are listed in their own, smaller cells.
     shifted = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
     sides = t.withColumn("_e", F.explode(F.arrays_zip(c("ring").alias("p"), shifted.alias("q")))).drop("ring")
     sides = sides.withColumns({"p": c("_e")["p"], "q": c("_e")["q"]}).drop("_e")
-    close = _by_cells(pts, sides, F.array("p", "q"), F.lit(side_tol), cell=0.1, also=also).where(level)
+    close = _by_cells(pts, sides, F.array("p", "q"), F.lit(side_tol), cell=0.1, also=also, even=True).where(level)
     samples = [geo.half_chord("lat", "lon", c("p.lat") + i / 10 * (c("q.lat") - c("p.lat")), c("p.lon") + i / 10 * (c("q.lon") - c("p.lon")))
                for i in range(11)]
     close = close.where(geo.chord_to_distance(F.least(*samples)) <= side_tol)
@@ -275,24 +290,37 @@ def in_active_cell(points: DataFrame, heat: DataFrame | None, cell: float = C.PA
 
 # -- rule 11
 def off_course_points(pts: DataFrame, meta: DataFrame, tubes: DataFrame, paths: DataFrame, heat: DataFrame | None) -> DataFrame:
-    """Judged points above 9000 ft with on/off, nearest path and region flag."""
+    """Judged points above 9000 ft with on/off, nearest path and region flag.
+
+    Points of a route with tubes or paths of its own meet those alone. The others, which may be on any, find tubes by
+    cell and their nearest path through the segment index, so no point meets a whole layer.
+    """
     od = meta.select("flight_id", F.nullif("origin_airport", F.lit("")).alias("origin"), F.nullif("destination_airport", F.lit("")).alias("destination"))
     od = od.where("origin is not null or destination is not null")
     pairs = od.select("origin", "destination").distinct()
-    use = (pts.where(~c("impossible") & ~c("bad") & (F.coalesce("alt", F.lit(0.0)) > C.PATHS["floor_ft"]))
-           .select("flight_id", "ts", "lat", "lon", "alt").join(od, "flight_id"))
     route = F.concat_ws("|", F.coalesce("origin", F.lit("-")), F.coalesce("destination", F.lit("-")))
-    tube_ok = match_best_level(pairs, tubes).withColumn("route", route)
-    use = cut(use.withColumn("route", route))
-    inside = tube_membership(use, tube_ok, also=("route",)).groupBy("flight_id", "ts").agg(F.min("tube_id").alias("path_id"))
+    tube_ok = cut(best_level(pairs, tubes).withColumn("route", route))
+    cand = cut(route_paths(pairs, paths).withColumn("route", route).select("route", "id", "centerline", "width_nm"))
+    # Whether a route has layers of its own is settled for each flight, before its points.
+    own = lambda layer, flag: layer.select("route").distinct().withColumn(flag, F.lit(True))
+    od = (od.withColumn("route", route).join(own(tube_ok, "own_tubes"), "route", "left").join(own(cand, "own_paths"), "route", "left")
+          .select("flight_id", "route", *[F.coalesce(x, F.lit(False)).alias(x) for x in ("own_tubes", "own_paths")]))
+    use = (pts.where(~c("impossible") & ~c("bad") & (F.coalesce("alt", F.lit(0.0)) > C.PATHS["floor_ft"]))
+           .select("flight_id", "ts", "lat", "lon", "alt"))
+    use = cut(join_by_slice(use, od, C.SLICE_S))
+    inside = (tube_membership(use.where("own_tubes"), tube_ok, also=("route",)).unionByName(tube_membership(use.where("not own_tubes"), tubes))
+              .groupBy("flight_id", "ts").agg(F.min("tube_id").alias("path_id")))
     inside = cut(inside)
-    cand = match_paths(pairs, paths).select(c("origin").alias("_o"), c("destination").alias("_d"), "id", "centerline", "width_nm")
-    out = use.join(inside.select("flight_id", "ts"), ["flight_id", "ts"], "left_anti")
+    keys = ["flight_id", "ts"]
+    out = cut(use.join(inside.select(*keys), keys, "left_anti"))
     d = geo.polyline_distance("lat", "lon", "centerline")
-    near = (out.join(cand, c("origin").eqNullSafe(c("_o")) & c("destination").eqNullSafe(c("_d")), "left").withColumn("_m", d)
-            .groupBy("flight_id", "ts")
-            .agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"),
-                 F.min(F.struct(F.coalesce(c("_m")["distance_nm"], F.lit(999.0)).alias("d"), "id", "width_nm", c("_m")["position"].alias("pos"))).alias("b")))
+    routed = (join_hot(out.where("own_paths"), cand, ["route"]).withColumn("_m", d)
+              .groupBy(*keys).agg(F.min(F.struct(F.coalesce(c("_m")["distance_nm"], F.lit(999.0)).alias("d"), "id", "width_nm",
+                                                 c("_m")["position"].alias("pos"))).alias("b")))
+    free = nearest_line(out.where("not own_paths"), paths, keys).select(*keys, F.struct("d", "id", "width_nm", "pos").alias("b"))
+    near = (out.select(*keys, "lat", "lon").join(routed.unionByName(free), keys, "left")
+            .withColumn("b", F.coalesce("b", F.struct(F.lit(999.0).alias("d"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("width_nm"),
+                                                      F.lit(None).cast("double").alias("pos")))))
     judged = near.select("flight_id", "ts", "lat", "lon", c("b.id").alias("path_id"), F.round("b.d", 2).alias("distance_nm"),
                          F.round("b.pos", 3).alias("position"), c("b.d").alias("_d"),
                          F.coalesce(c("b.d") <= c("b.width_nm"), F.lit(False)).alias("on_path"), F.lit("path").alias("method"))
@@ -316,7 +344,7 @@ def off_course(points: DataFrame) -> DataFrame:
 def heading_bins(points: DataFrame, bin_s: int = 10, deg: int = C.PATHS["sig_deg"]) -> DataFrame:
     """Mean heading per 10 s bin from the first point, in 30-degree classes: (flight_id, bin, code)."""
     t0 = points.groupBy("flight_id").agg(F.min("ts").alias("t0"))
-    p = points.join(t0, "flight_id").withColumn("bin", F.floor((c("ts") - c("t0")) / bin_s))
+    p = join_by_slice(points, t0, C.SLICE_S).withColumn("bin", F.floor((c("ts") - c("t0")) / bin_s))
     return (p.groupBy("flight_id", "bin").agg(F.avg(F.pmod("track", F.lit(360.0))).alias("h"))
             .select("flight_id", "bin", F.floor(c("h") / deg).cast("int").alias("code")))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo, keys
+from wayfold.operators.hotkeys import join_by_slice
 from wayfold.operators.nearest import bounded_rows, nearest_airport, near_places
 from wayfold.operators.sweep import near_swept
 from wayfold.operators.windows import SLICE, first_per_key, with_halo, with_neighbours
@@ -185,10 +186,11 @@ def return_to_field(pts: DataFrame) -> DataFrame:
     first = (pts.groupBy("flight_id").agg(F.min_by(F.struct("ap_code", "ap_nm", "ap_elev", "ap_lat", "ap_lon"), "ts").alias("o"), F.count("*").alias("n"))
              .where((c("n") >= 4) & (c("o.ap_nm") <= r["nm"]))
              .select("flight_id", c("o.ap_code").alias("airport"), c("o.ap_elev").alias("elev"), c("o.ap_lat").alias("hlat"), c("o.ap_lon").alias("hlon")))
-    p = pts.select("flight_id", "ts", "lat", "lon", "alt", "impossible").join(first, "flight_id")
+    p = pts.select("flight_id", "ts", "lat", "lon", "alt", "impossible")
+    p = join_by_slice(p, first, C.SLICE_S)
     p = p.withColumn("home_nm", geo.haversine("lat", "lon", "hlat", "hlon"))
     take = p.where(z("alt") >= c("elev") + r["takeoff_ft"]).groupBy("flight_id").agg(F.min("ts").alias("takeoff_ts"))
-    q = p.join(take, "flight_id")
+    q = join_by_slice(p, take, C.SLICE_S, slices_of=pts)
     out = q.where(c("ts") >= c("takeoff_ts")).groupBy("flight_id").agg(F.max("home_nm").alias("max_outbound_nm"))
     dt = c("ts") - c("takeoff_ts")
     back = q.where(~c("impossible") & (z("alt") < c("elev") + r["landing_ft"]) & (c("home_nm") <= r["nm"]) & dt.between(r["min_s"], r["max_s"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo, keys
+from wayfold.operators.hotkeys import join_by_slice
 from wayfold.operators.nearest import nearest_airport, away_from
 from wayfold.operators.windows import (cut, exact_quantiles, running_sum, sliced_row_number, shifted_rows, with_halo,
                                        with_neighbours, with_slice, SLICE)
@@ -144,6 +145,7 @@ RUNWAY_BANDS = {
     "LLER": {"03": (20, 40), "21": (200, 220)}, "LLHA": {"16": (150, 170), "34": (330, 350)},
     "LLOV": {"02": (10, 30), "20": (190, 210)}, "LLSD": {"08": (70, 90), "26": (250, 270)},
     "LLET": {"01": (0, 20), "19": (180, 200)}, "LLRD": {"15": (140, 160), "33": (320, 340)},
+    "LLMZ": {"03": (20, 40), "21": (200, 220)},
 }
 
 
@@ -196,7 +198,7 @@ def key_locations(tracks: DataFrame, k: int = 5) -> DataFrame:
     """k evenly spaced points of each track (all of them if fewer)."""
     n = sliced_row_number(with_slice(tracks.select("flight_id", "ts", "lat", "lon", "alt")), "flight_id", SLICE, ["ts"], "_rn")
     total = tracks.groupBy("flight_id").agg(F.count("*").alias("_n"))
-    j = n.join(total, "flight_id").withColumn("_i", F.col("_rn") - 1)
+    j = join_by_slice(n, total, C.SLICE_S, slices_of=tracks).withColumn("_i", F.col("_rn") - 1)
     # Row i is kept when it is floor(m * n / k) for some m below k.
     m = F.ceil(F.col("_i") * k / F.col("_n"))
     hit = (F.col("_n") <= k) | ((m < k) & (F.floor(m * F.col("_n") / k) == F.col("_i")))
@@ -228,7 +230,7 @@ def flight_patterns(tracks: DataFrame, areas=None) -> DataFrame:
         geo.haversine(F.min_by("lat", "ts"), F.min_by("lon", "ts"), F.max_by("lat", "ts"), F.max_by("lon", "ts")).alias("disp"))
     cross = s.groupBy("flight_id").agg(F.lit(-1).cast("bigint").alias("_t"), F.lit(0.0).alias("_c"), F.lit(0).alias("turns"))
     for _ in range(3):
-        hit = (s.select("flight_id", "ts", "cum").join(cross, "flight_id")
+        hit = (join_by_slice(s.select("flight_id", "ts", "cum"), cross, C.SLICE_S)
                .where((F.col("ts") > F.col("_t")) & (F.abs(F.col("cum") - F.col("_c")) >= 45))
                .groupBy("flight_id").agg(F.min("ts").alias("_nt"), F.min_by("cum", "ts").alias("_nc")))
         cross = (cross.join(hit, "flight_id", "left").select(
@@ -295,11 +297,12 @@ def path_chunk(tracks: DataFrame, lat: float, lon: float, radius_nm: float, half
     near = F.round(geo.haversine("lat", "lon", lat, lon), 9)
     close = (tracks.select("flight_id", "ts", near.alias("nm")).where(F.col("nm") <= radius_nm)
              .groupBy("flight_id").agg(F.min_by("ts", F.struct("nm", "ts")).alias("_ct")))
-    centre = (c.select("flight_id", "ts", "cum_km").join(close, "flight_id").where(F.col("ts") == F.col("_ct"))
+    # The closest point is one row: it is found by its own time, not among all points of its flight.
+    centre = (c.select("flight_id", "ts", "cum_km").join(close.withColumn("ts", F.col("_ct")), ["flight_id", "ts"])
               .select("flight_id", F.col("cum_km").alias("_cc")))
-    part = c.join(centre, "flight_id").where(F.abs(F.col("cum_km") - F.col("_cc")) <= half_km)
+    part = join_by_slice(c, centre, C.SLICE_S, slices_of=tracks).where(F.abs(F.col("cum_km") - F.col("_cc")) <= half_km)
     lo = part.groupBy("flight_id").agg(F.min("ts").alias("_lo"))
-    part = part.join(lo, "flight_id").withColumns({
+    part = join_by_slice(part, lo, C.SLICE_S).withColumns({
         "_v": F.col("km") * 3600 / (F.col("ts") - F.col("prev_ts")),
         "_v0": km("prev2_", "prev_") * 3600 / (F.col("prev_ts") - F.col("prev2_ts")),
         "_z": (F.col("alt") - F.col("prev_alt")) * 60 / (F.col("ts") - F.col("prev_ts")),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wayfold import config as C
 from wayfold.functions import geo, keys
 from wayfold.operators import forecast as fc, intel as it, marine as ma, scans, sequence as sq, spatial as sp, stats as st
+from wayfold.operators.hotkeys import join_windows
 from wayfold.plans.core_queries import T0, T1, r4
 from wayfold.plans.registry import query, sql_bearing, sql_cell, sql_date, sql_delta, sql_hav, sql_hour
 from wayfold.plans.sequence_queries import ICELL, P
@@ -254,8 +256,8 @@ def _d05(t):
 
 
 query("d06_range_join", "select h.flight_id, h.ts as center_ts, p.ts, p.lat from (select flight_id, min_by(ts, alt) as ts from tracks group by 1) h join tracks p on p.flight_id = h.flight_id and p.ts between h.ts - 120 and h.ts + 120")(
-    lambda t: t.tracks.select("flight_id", "ts", "lat").join(t.tracks.groupBy("flight_id").agg(F.min_by("ts", "alt").alias("center_ts")), "flight_id")
-    .where(c("ts").between(c("center_ts") - 120, c("center_ts") + 120)).select("flight_id", "center_ts", "ts", "lat"))
+    lambda t: join_windows(t.tracks.select("flight_id", "ts", "lat"), t.tracks.groupBy("flight_id").agg(F.min_by("ts", "alt").alias("center_ts")), 120, C.SLICE_S)
+    .select("flight_id", "center_ts", "ts", "lat"))
 query("d09_nearest_within_radius", f"with d as (select t.flight_id, ts, alt, round({sql_hav('lat', 'lon', '30.5', '33.6', '6371.0')},9) as km from tracks t join flight_metadata m on m.flight_id = t.flight_id where origin_airport = 'LCLK' and alt between 10000 and 12000) select flight_id, min_by(ts, (km, ts)) as ts, round(min(km),4) as km from d where km <= 30 group by 1")(
     lambda t: t.tracks.where(geo.in_box("lat", "lon", 30.0, 31.0, 33.0, 34.2) & c("alt").between(10000, 12000))
     .join(t.meta.where("origin_airport = 'LCLK'").select("flight_id"), "flight_id", "left_semi")
