@@ -232,6 +232,31 @@ def operator_proximity(locations: DataFrame, nm: float = 50, seconds: int = 300)
             .withColumn("severity", F.when(m < 5, "critical").when(m < 15, "high").when(m < 30, "medium").otherwise("low")))
 
 
+def similar_candidates(tracks: DataFrame, meta: DataFrame, target: DataFrame, rules: DataFrame | None = None, margin: float = 0.5) -> DataFrame:
+    """Flights to hold against ``target`` (one flight): of its known route, or through its extent where no such flight is.
+
+    With both ends known a candidate has both; with one end known, that one. Without any candidate of the route, flights with
+    a point within the target's box, widened by ``margin`` degrees, are taken. ``rules`` (flight_id, rule_id): keep those with a
+    rule of the target's, if it has any.
+    """
+    known = lambda x: F.nullif(F.nullif(c(x), F.lit("")), F.lit("UNKNOWN"))
+    m = meta.select("flight_id", known("origin_airport").alias("o"), known("destination_airport").alias("d"))
+    mine = m.join(target, "flight_id", "left_semi").select(c("o").alias("_o"), c("d").alias("_d")).limit(1)     # one row
+    same = F.when(c("_o").isNotNull() & c("_d").isNotNull(), (c("o") == c("_o")) & (c("d") == c("_d"))).otherwise((c("o") == c("_o")) | (c("d") == c("_d")))
+    found = m.join(F.broadcast(mine), F.coalesce(same, F.lit(False))).join(target, "flight_id", "left_anti").select("flight_id").distinct()
+    if not found.limit(1).count():
+        box = tracks.join(target, "flight_id", "left_semi").agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+        if box[0] is None:
+            return found
+        south, north, west, east = box[0] - margin, box[1] + margin, box[2] - margin, box[3] + margin
+        found = tracks.where(geo.in_box("lat", "lon", south, north, west, east)).select("flight_id").distinct().join(target, "flight_id", "left_anti")
+    if rules is not None:
+        asked = rules.join(target, "flight_id", "left_semi").select("rule_id").distinct()
+        if asked.limit(1).count():
+            found = found.join(rules.join(asked, "rule_id", "left_semi").select("flight_id").distinct(), "flight_id", "left_semi")
+    return found
+
+
 def similar_flights(tracks: DataFrame, target: DataFrame, candidates: DataFrame, nm: float = 5.0, share: float = 0.8, k: int = 15) -> DataFrame:
     """Share of a flight's points that have a candidate's point within nm. ``target``/``candidates``: flight_id.
 

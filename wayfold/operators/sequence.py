@@ -147,6 +147,11 @@ RUNWAY_BANDS = {
     "LLET": {"01": (0, 20), "19": (180, 200)}, "LLRD": {"15": (140, 160), "33": (320, 340)},
     "LLMZ": {"03": (20, 40), "21": (200, 220)},
 }
+# Position (latitude, longitude) of those airports.
+RUNWAY_AIRPORTS = {
+    "LLBG": (32.0114, 34.8867), "LLER": (29.7255, 35.0119), "LLHA": (32.8094, 35.0431), "LLOV": (29.9403, 34.9358),
+    "LLSD": (32.1147, 34.7822), "LLET": (29.5613, 34.9601), "LLRD": (32.9810, 35.5718), "LLMZ": (30.7761, 34.8067),
+}
 
 
 def runway_usage(tracks: DataFrame, lat: float, lon: float, bands: dict, nm: float = 10,
@@ -255,6 +260,34 @@ def flight_patterns(tracks: DataFrame, areas=None) -> DataFrame:
         "flight_id", F.col("kind").alias("pattern"), "role", "length_nm", "loiter_min", "offshore")
 
 
+def runway_usage_at(tracks: DataFrame, airport: str) -> DataFrame:
+    """``runway_usage`` of an airport by its code; an airport without known runways has no rows."""
+    known = airport in RUNWAY_BANDS
+    lat, lon = RUNWAY_AIRPORTS.get(airport, (0.0, 0.0))
+    use = runway_usage(tracks, lat, lon, RUNWAY_BANDS.get(airport, {"": (0, 0)}))
+    return use.select(F.lit(airport).alias("airport"), *use.columns) if known else use.select(F.lit(airport).alias("airport"), *use.columns).limit(0)
+
+
+def smooth_track(tracks: DataFrame, window: int = 5, block: int = 4096) -> DataFrame:
+    """Centred moving average of positions over ``window`` points (one more if even), fewer at the ends of a track.
+
+    Tracks with fewer points than the window stay as they are. Rows are averaged in numbered blocks with the neighbouring
+    rows copied in, so a long track is never ordered in one task. Points without a position count for nothing.
+    """
+    half = window // 2
+    if block <= 2 * max(window, half):
+        raise ValueError("block must be wider than two windows")
+    n = sliced_row_number(with_slice(tracks.select("flight_id", "ts", "lat", "lon")), "flight_id", SLICE, ["ts"], "_rn")
+    of = lambda x: F.floor(x / block)
+    n = n.withColumn("_own", of(F.col("_rn"))).withColumn("_b", F.explode(F.sequence(of(F.col("_rn") - half), of(F.col("_rn") + half))))
+    w = Window.partitionBy("flight_id", "_b")
+    near = w.orderBy("_rn").rowsBetween(-half, half)
+    # Only a track's first block can hold fewer rows than a window: then these are all there are.
+    short = (F.col("_b") == 0) & (F.max("_rn").over(w) < window)
+    out = n.withColumns({f"_{x}": F.when(short, F.col(x)).otherwise(F.avg(x).over(near)) for x in ("lat", "lon")})
+    return out.where("_b = _own").select("flight_id", "ts", F.col("_lat").alias("lat"), F.col("_lon").alias("lon"))
+
+
 def od_by_ends(tracks: DataFrame, airports: DataFrame, n: int = C.OD["points"], alt: float = C.OD["alt_ft"],
                nm: float = C.OD["nm"]) -> DataFrame:
     """Origin and destination from the first and last n points: low and near an airport.

@@ -93,6 +93,22 @@ with tg as (select flight_id from tracks group by 1 order by count(*) desc, flig
   and exists (select 1 from rule_hits a join rule_hits b on a.rule_id = b.rule_id where a.flight_id = m.flight_id and b.flight_id in (select flight_id from tg))),
  own as (select ts, lat, lon from tracks where flight_id in (select flight_id from tg)), h as (select b.flight_id, count(distinct own.ts) as near_points from own join tracks b on {sql_hav('own.lat', 'own.lon', 'b.lat', 'b.lon')} <= 15 and b.flight_id in (select flight_id from cd) group by 1)
 select flight_id, near_points, round(near_points/(select count(*) from own),4) as similarity from h where round(near_points/(select count(*) from own),4) >= 0.2 order by similarity desc, flight_id limit 15""")(lambda t: _similar(t))
+
+
+@query("s20_similar_by_area", f"""
+with tg as (select flight_id from tracks group by 1 order by count(*) desc, flight_id limit 1), bx as (select min(lat)-0.5 as s, max(lat)+0.5 as n, min(lon)-0.5 as w, max(lon)+0.5 as e, count(*) as own from tracks where flight_id in (select flight_id from tg)),
+ cd as (select distinct flight_id from tracks, bx where lat between s and n and lon between w and e and flight_id not in (select flight_id from tg)
+  and flight_id in (select a.flight_id from rule_hits a where a.rule_id in (select rule_id from rule_hits where flight_id in (select flight_id from tg)))),
+ own as (select ts, lat, lon from tracks where flight_id in (select flight_id from tg)), h as (select b.flight_id, count(distinct own.ts) as near_points from own join tracks b on {sql_hav('own.lat', 'own.lon', 'b.lat', 'b.lon')} <= 15 and b.flight_id in (select flight_id from cd) group by 1)
+select flight_id, near_points, round(near_points/(select own from bx),4) as similarity from h where round(near_points/(select own from bx),4) >= 0.2 order by similarity desc, flight_id limit 15""")
+def _s20_area(t):
+    """The busiest flight taken as one whose route nobody knows."""
+    target = scans.flight_list(t.tracks, limit=1).select("flight_id")
+    blank = t.meta.select("flight_id", F.lit("UNKNOWN").alias("origin_airport"), F.lit("").alias("destination_airport"))
+    cand = it.similar_candidates(t.tracks, blank, target, t.hits.select("flight_id", "rule_id"))
+    return it.similar_flights(t.tracks, target, cand, nm=15.0, share=0.2)
+
+
 CONF = "case when score >= 60 then 'HIGH' when score >= 35 then 'MEDIUM' else 'LOW' end"
 
 

@@ -195,8 +195,28 @@ select pid, id, round(nm,3) as nm, rank from (select *, row_number() over (parti
 query("g15_learned_turns", f"""with z as (select airport, avg(lat) as lat, avg(lon) as lon from extra_hits where rule_id = 3 group by 1)
 select t.flight_id, t.ts, exists (select 1 from z where {sql_hav('t.lat', 't.lon', 'z.lat', 'z.lon')} <= 4) as in_turn from tracks t""")(
     lambda t: ly.mark_turn_zones(t.tracks, layer_set(t)[2], "in_turn").select("flight_id", "ts", "in_turn"))
-query("g12_tube_membership")(lambda t: ly.tube_membership(t.tracks, layer_set(t)[1]))
-query("g14_known_procedure")(lambda t: ly.points_on_procedure(t.tracks, _procedures(t)))
+D5 = f"({5.0}/{C.NM_PER_KM}/{C.EARTH_KM})"
+# Sides of the learned tubes: two rails of vertices five miles off each path, joined at their ends.
+TUBE_SIDES = PATHS_SQL + f""", tr as (select *, row_number() over w as i, count(*) over (partition by o, d) as m, lead(lat) over w as qla, lead(lon) over w as qlo, lag(lat) over w as pla, lag(lon) over w as plo,
+  min(lo) over (partition by o, d) as a0, max(hi) over (partition by o, d) as a1 from v window w as (partition by o, d order by b)),
+ th as (select *, case when i < m then {sql_bearing('lat', 'lon', 'qla', 'qlo')} else {sql_bearing('pla', 'plo', 'lat', 'lon')} end as hd from tr where m >= 2),
+ tk as (select *, radians(hd + side) as brg from th, (values (-90.0), (90.0)) s(side)),
+ tp0 as (select *, asin(sin(radians(lat))*cos({D5})+cos(radians(lat))*sin({D5})*cos(brg)) as la2 from tk),
+ tp as (select o, d, i, m, side, a0, a1, degrees(la2) as y, degrees(radians(lon)+atan2(sin(brg)*sin({D5})*cos(radians(lat)), cos({D5})-sin(radians(lat))*sin(la2))) as x from tp0),
+ te as (select o, d, a0, a1, y as py, x as px, lead(y) over (partition by o, d, side order by i) as qy, lead(x) over (partition by o, d, side order by i) as qx from tp
+  union all select p.o, p.d, p.a0, p.a1, p.y, p.x, q.y, q.x from tp p join tp q on p.o is not distinct from q.o and p.d is not distinct from q.d and p.i = q.i and p.side < q.side where p.i in (1, p.m))
+"""
+SAMPLED = "least(" + ", ".join(sql_hav("t.lat", "t.lon", f"(py+{i / 10}*(qy-py))", f"(px+{i / 10}*(qx-px))") for i in range(11)) + ")"
+CROSSED = "t.lon > least(px,qx) and t.lon <= greatest(px,qx) and t.lat <= greatest(py,qy) and px <> qx and (py = qy or t.lat <= (t.lon-px)*(qy-py)/(qx-px)+py)"
+query("g12_tube_membership", TUBE_SIDES + f""", tm as (select t.flight_id, t.ts, 'TP_'||coalesce(o,'UNK')||'_'||coalesce(d,'UNK') as tube_id, count(*) filter (where {CROSSED}) % 2 = 1 as inside, min({SAMPLED}) <= {C.PATHS['tube_nm']} as close
+ from tracks t join te on te.qy is not null and coalesce(t.alt,0) between a0 - {C.PATHS['tube_ft']} and a1 + {C.PATHS['tube_ft']} group by 1, 2, 3)
+select flight_id, ts, tube_id from tm where inside or close""")(lambda t: ly.tube_membership(t.tracks, layer_set(t)[1]))
+SID_K = "cos(radians(ay))"
+SID_T = f"greatest(0,least(1,((t.lat-ay)*60*(by_-ay)*60+(t.lon-ax)*60*{SID_K}*(bx-ax)*60*{SID_K})/(pow((by_-ay)*60,2)+pow((bx-ax)*60*{SID_K},2))))"
+query("g14_known_procedure", PATHS_SQL + f""", pr as (select *, row_number() over (partition by o, d order by b) as i from v),
+ ps as (select p.lat as ay, p.lon as ax, q.lat as by_, q.lon as bx from pr p join pr q on p.o is not distinct from q.o and p.d is not distinct from q.d and p.i = 1 and q.i = 2)
+select distinct flight_id, ts from tracks t join ps on sqrt(pow((t.lat-ay)*60-{SID_T}*(by_-ay)*60,2)+pow((t.lon-ax)*60*{SID_K}-{SID_T}*(bx-ax)*60*{SID_K},2)) <= {3.0 + C.LAYERS['proc_tol_nm']}""")(
+    lambda t: ly.points_on_procedure(t.tracks, _procedures(t)))
 query("g03_turns")(lambda t: turns.turn_events(ly.mark_known_places(enriched(t), layer_set(t)[0], _procedures(t), layer_set(t)[2])))
 CIRCLING = """select flight_id, cast(1704067200 + floor((ts - 1704067200) / 4) as bigint) as ts,
  30.0D + 0.019D * sin(radians(pmod(track * 5, 360))) as lat, 33.0D - 0.019D * cos(radians(pmod(track * 5, 360))) / cos(radians(30.0D)) as lon,

@@ -118,6 +118,11 @@ select flight_id, ts, round(avg(lat) over w,6) as lat, round(avg(lon) over w,6)
                                          / (1 + F.col(f"p{c}").isNotNull().cast("int") + F.col(f"n{c}").isNotNull().cast("int")), 6).alias(c)
                                  for c in ("lat", "lon")]))
 
+query("c10_smoothed_polyline", """
+select flight_id, ts, round(case when count(*) over (partition by flight_id) < 5 then lat else avg(lat) over w end,6) as lat, round(case when count(*) over (partition by flight_id) < 5 then lon else avg(lon) over w end,6) as lon
+from tracks window w as (partition by flight_id order by ts rows between 2 preceding and 2 following)""")(
+    lambda t: sq.smooth_track(t.tracks).select("flight_id", "ts", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")))
+
 # -- summaries
 SUMM = P + f"""
 select flight_id, min(ts) as flight_start_ts, max(ts) as flight_end_ts, max(ts)-min(ts) as flight_duration_sec, count(*) as total_points,
@@ -143,6 +148,28 @@ select r.runway, count(*) filter (where a0 > a1) as landings, count(*) filter (w
     # The busiest area of the sample stands in for an airport, with six heading bands.
     lambda t: sq.runway_usage(t.tracks, 29.4, 33.2, BANDS, nm=60, max_alt=12000))
 
+
+
+def _runways_sql():
+    """Each airport of the list with its own box and bands."""
+    boxes = ",".join(f"('{k}',{la},{lo})" for k, (la, lo) in sq.RUNWAY_AIRPORTS.items())
+    bands = ",".join(f"('{k}','{n}',{lo},{hi})" for k, v in sq.RUNWAY_BANDS.items() for n, (lo, hi) in v.items())
+    return f"""with x(airport, la, lo) as (values {boxes}), b(airport, runway, lo, hi) as (values {bands}),
+ p as (select airport, flight_id, min_by(alt,ts) as a0, max_by(alt,ts) as a1, min(alt) as low, min_by(track,(alt,ts)) as hdg from tracks, x
+  where tracks.lat between x.la - 10/60.0 and x.la + 10/60.0 and tracks.lon between x.lo - 10/60.0 and x.lo + 10/60.0 and alt between 0 and 5000 and track is not null group by 1, 2 having count(*) >= 3)
+select b.airport, b.runway, count(*) filter (where a0 > a1) as landings, count(*) filter (where a0 < a1) as takeoffs, count(a0) as total
+from b left join p on p.airport = b.airport and hdg between b.lo and b.hi and low < 1500 and a0 <> a1 group by 1, 2"""
+
+
+@query("e14_runways_by_airport", _runways_sql())
+def _e14(t):
+    out = None
+    for airport in sq.RUNWAY_AIRPORTS:
+        one = sq.runway_usage_at(t.tracks, airport)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # -- gaps by time
 for name, key, sqlkey in (("e19_signal_loss_monthly", keys.month_str, sql_month), ("e20_signal_loss_hourly", keys.hour_of, sql_hour)):
     col = "month" if "month" in name else "hour"

@@ -73,12 +73,21 @@ select origin_airport, destination_airport, count(*) as flights, round(avg(fligh
  round(avg(total_distance_nm),1) as avg_distance_nm from flight_facts where destination_airport is not null group by 1,2
 order by flights desc, 1, 2 limit 20""")(lambda t: st.busiest_routes(t.facts))
 
+
+# Tagged flights are those that a reviewer confirmed.
+TAGGED = "flight_id in (select flight_id from feedback where user_label = 1)"
+
+
+def _confirmed(t, df):
+    return df.join(t.feedback.where("user_label = 1").select("flight_id"), "flight_id", "left_semi")
+
+
 EFF = """
 select airline, count(*) as flights, round(avg(flight_duration_sec)/60,1) as avg_duration_min, round(avg(total_distance_nm),1) as avg_distance_nm,
  round(avg(avg_speed_kts),1) as avg_speed_kts, round(100.0*avg(is_anomaly),1) as anomaly_rate from flight_facts group by 1
 having count(*) >= {k} order by flights desc, airline limit 20"""
 query("e10_airline_efficiency", EFF.replace("{k}", "5"))(lambda t: st.airline_efficiency(t.facts, 5))
-query("e61_tagged_airlines", EFF.replace("{k}", "2"))(lambda t: st.airline_efficiency(t.facts, 2))
+query("e61_tagged_airlines", EFF.replace("{k}", "2").replace("from flight_facts", "from flight_facts where " + TAGGED))(lambda t: st.airline_efficiency(_confirmed(t, t.facts), 2))
 
 ROUTED = "from flight_facts where origin_airport <> '' and destination_airport is not null and destination_airport <> ''"
 query("e11_available_routes", f"select origin_airport||'-'||destination_airport as route, count(*) as flights {ROUTED} group by 1 having count(*) >= 5")(
@@ -89,8 +98,8 @@ select origin_airport||'-'||destination_airport as route, count(*) as flight_cou
     lambda t: st.top_routes(t.facts))
 query("e62_tagged_routes", f"""
 select origin_airport||'-'||destination_airport as route, count(*) as flight_count, round(avg(flight_duration_sec)/60,1) as avg_duration_min,
- round(100.0*avg(is_anomaly),1) as anomaly_rate, count(distinct substr(callsign,1,3)) as airline_count {ROUTED} group by 1 order by 2 desc, 1 limit 20""")(
-    lambda t: st.top_routes(t.facts, 20))
+ round(100.0*avg(is_anomaly),1) as anomaly_rate, count(distinct substr(callsign,1,3)) as airline_count {ROUTED} and {TAGGED} group by 1 order by 2 desc, 1 limit 20""")(
+    lambda t: st.top_routes(_confirmed(t, t.facts), 20))
 
 query("e13_route_comparison", """
 with dev as (select flight_id, max(distance_nm) as dev from rule_hits where rule_id in (5,11) group by 1),
@@ -377,16 +386,16 @@ def _e56(t):
     return st.events_by_rule(lists)
 
 
-query("e57_tagged_emergencies", """
-select code, airline, count(distinct flight_id) as flights from (select flight_id, airline, unnest(string_split(regexp_replace(squawk_codes, '[^0-9,]', '', 'g'), ',')) as code from flight_facts where squawk_codes is not null)
-where code in ('7500','7600','7700') group by 1, 2""")(lambda t: st.tagged_emergencies(t.facts))
-query("e59_tagged_signal_loss", """
+query("e57_tagged_emergencies", f"""
+select code, airline, count(distinct flight_id) as flights from (select flight_id, airline, unnest(string_split(regexp_replace(squawk_codes, '[^0-9,]', '', 'g'), ',')) as code from flight_facts where squawk_codes is not null and {TAGGED})
+where code in ('7500','7600','7700') group by 1, 2""")(lambda t: st.tagged_emergencies(_confirmed(t, t.facts)))
+query("e59_tagged_signal_loss", f"""
 select sum(signal_loss_events)::bigint as total_events, count(*) filter (where signal_loss_events > 0) as affected_flights,
- round(avg(case when signal_loss_events > 0 then signal_loss_events end),2) as avg_events_per_flight from flight_facts""")(lambda t: st.tagged_signal_loss(t.facts))
-query("e60_severity_histogram", """
-with r as (select case when severity_cnn >= 0.8 then 'critical' when severity_cnn >= 0.6 then 'high' when severity_cnn >= 0.4 then 'medium' when severity_cnn >= 0.2 then 'low' else 'minimal' end as s, * from reports)
+ round(avg(case when signal_loss_events > 0 then signal_loss_events end),2) as avg_events_per_flight from flight_facts where {TAGGED}""")(lambda t: st.tagged_signal_loss(_confirmed(t, t.facts)))
+query("e60_severity_histogram", f"""
+with r as (select case when severity_cnn >= 0.8 then 'critical' when severity_cnn >= 0.6 then 'high' when severity_cnn >= 0.4 then 'medium' when severity_cnn >= 0.2 then 'low' else 'minimal' end as s, * from reports where {TAGGED})
 select v.s as severity_range, count(r.flight_id) as count, round(avg(severity_cnn),3) as avg_cnn, round(max(severity_dense),3) as max_dense
-from (values ('minimal'),('low'),('medium'),('high'),('critical')) v(s) left join r on r.s = v.s group by 1""")(lambda t: st.severity_histogram(t.reports))
+from (values ('minimal'),('low'),('medium'),('high'),('critical')) v(s) left join r on r.s = v.s group by 1""")(lambda t: st.severity_histogram(_confirmed(t, t.reports)))
 query("e63_tagged_returns", """
 select f.flight_id, coalesce(callsign,'UNKNOWN') as callsign, f.first_seen_ts as tag_ts, round(flight_duration_sec/60,1) as duration_min, coalesce(origin_airport,'UNKNOWN') as airport, round(total_distance_nm,1) as max_outbound_nm
 from feedback f left join flight_facts m on m.flight_id = f.flight_id where rule_id = 6 and user_label = 1 order by tag_ts desc, f.flight_id limit 50""")(
