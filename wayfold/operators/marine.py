@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 c = F.col
@@ -53,3 +53,40 @@ def statistics(pos: DataFrame, meta: DataFrame) -> DataFrame:
 def parse_messages(raw: DataFrame, col: str = "value") -> DataFrame:
     """AIS position messages from JSON text with a declared schema; rows without a vessel are dropped."""
     return raw.select(F.from_json(c(col).cast("string"), AIS).alias("m")).select("m.*").where("mmsi is not null and ts is not null")
+
+
+# -- messages as the receiver sends them: positions and static data share one envelope
+AIS_MESSAGE = ("MessageType string, MetaData struct<MMSI:string,ShipName:string>, Message struct<"
+               "PositionReport:struct<Latitude:double,Longitude:double,Sog:double,Cog:double,TrueHeading:int,NavigationalStatus:int,Timestamp:timestamp>,"
+               "ShipStaticData:struct<Name:string,CallSign:string,ImoNumber:bigint,Type:int,Dimension:struct<A:int,B:int,C:int,D:int>,Draught:double,Destination:string>>")
+
+
+def ship_type(code: Column) -> Column:
+    """Class of the two-digit ship type."""
+    tens = F.floor(code / 10)
+    return (F.when(code == 30, "Fishing").when(tens == 6, "Passenger").when(tens == 7, "Cargo").when(tens == 8, "Tanker")
+            .when(code.isNotNull(), "Other"))
+
+
+def ais_envelopes(raw: DataFrame, col: str = "value", at: str = "received") -> DataFrame:
+    """(mmsi, received, kind, name, position, static) of JSON texts; texts without a vessel or not to be parsed are dropped."""
+    m = raw.select(F.from_json(c(col).cast("string"), AIS_MESSAGE).alias("m"), c(at).alias("received"))
+    text = lambda x: F.nullif(F.trim(x), F.lit(""))
+    return m.select(text(c("m.MetaData.MMSI")).alias("mmsi"), "received", c("m.MessageType").alias("kind"), text(c("m.MetaData.ShipName")).alias("name"),
+                    c("m.Message.PositionReport").alias("position"), c("m.Message.ShipStaticData").alias("static")).where("mmsi is not null")
+
+
+def position_reports(envelopes: DataFrame) -> DataFrame:
+    p = envelopes.where("kind = 'PositionReport' and position.Latitude is not null and position.Longitude is not null")
+    return p.select("mmsi", F.coalesce(c("position.Timestamp"), c("received").cast("timestamp")).alias("ts"), c("position.Latitude").alias("latitude"),
+                    c("position.Longitude").alias("longitude"), c("position.Sog").alias("speed_over_ground"), c("position.NavigationalStatus").alias("status_code"))
+
+
+def static_reports(envelopes: DataFrame) -> DataFrame:
+    """Register rows of static messages; length and width are the sums of the distances from the antenna."""
+    s = envelopes.where("kind = 'ShipStaticData' and static is not null")
+    text = lambda x: F.nullif(F.trim(c(f"static.{x}")), F.lit(""))
+    return s.select("mmsi", F.coalesce(text("Name"), "name").alias("vessel_name"), text("CallSign").alias("call_sign"), c("static.ImoNumber").alias("imo_number"),
+                    c("static.Type").alias("vessel_type"), ship_type(c("static.Type")).alias("vessel_type_description"),
+                    (c("static.Dimension.A") + c("static.Dimension.B")).alias("length_m"), (c("static.Dimension.C") + c("static.Dimension.D")).alias("width_m"),
+                    c("static.Draught").alias("draught_m"), text("Destination").alias("destination"), c("received").alias("last_updated"))

@@ -8,6 +8,7 @@ from wayfold.operators import forecast as fc, marine as ma
 from wayfold.plans.core_queries import T0
 from wayfold.plans.intel_queries import TESTED, VL
 from wayfold.plans.registry import query, sql_hav
+from wayfold.sources import sinks
 from wayfold.streaming import jobs as sj, ordered as od
 
 c = F.col
@@ -35,6 +36,36 @@ query("f02_active_flights", f"select flight_id, count(*) as points, max(ts) as t
     lambda t: sj.active_table(sj.drain(sj.active_flights(_tracks(t)()), "update"), T0 + 6000))
 
 
+def _a18(t):
+    """Every vessel's static data twice, an older version and its own, among all position messages."""
+    v = t.vessel_meta
+    kind = F.when(c("vessel_type_description") == "Cargo", 70).when(c("vessel_type_description") == "Tanker", 80).when(c("vessel_type_description") == "Passenger", 60).otherwise(30)
+    static = lambda name, code, at: v.select(at.cast("bigint").alias("received"), F.to_json(F.struct(
+        F.lit("ShipStaticData").alias("MessageType"), F.struct(c("mmsi").alias("MMSI")).alias("MetaData"),
+        F.struct(F.struct(name.alias("Name"), code.alias("Type"), F.struct(F.lit(20).alias("A"), F.lit(5).alias("B"), F.lit(3).alias("C"), F.lit(4).alias("D")).alias("Dimension"))
+                 .alias("ShipStaticData")).alias("Message"))).alias("value"))
+    pos = t.vessels.select(F.unix_timestamp(c("ts").cast("timestamp")).alias("received"), F.to_json(F.struct(
+        F.lit("PositionReport").alias("MessageType"), F.struct(c("mmsi").alias("MMSI")).alias("MetaData"),
+        F.struct(F.struct(c("latitude").alias("Latitude"), c("longitude").alias("Longitude"), c("speed_over_ground").alias("Sog")).alias("PositionReport")).alias("Message"))).alias("value"))
+    # Half of the vessels send their own data first and the older version, with its earlier time, later in the stream.
+    late = F.pmod(F.xxhash64("mmsi"), F.lit(2)) * 400_000_000
+    sent = static(F.lit("BEFORE"), F.lit(30), F.lit(700_000_000)).withColumn("seq", c("received"))
+    own = static(c("vessel_name"), kind, F.lit(900_000_000))
+    swap = v.select("mmsi", late.alias("late"))
+    sent = sent.withColumn("mmsi", F.get_json_object("value", "$.MetaData.MMSI")).join(swap, "mmsi").withColumn("seq", c("seq") + c("late")).drop("mmsi", "late")
+    every = sent.unionByName(own.withColumn("seq", c("received"))).unionByName(pos.withColumn("seq", c("received")))
+    path, schema = sj.as_files(every, order="seq")
+    root = sj.scratch(t.spark)
+    sj.ingest_vessels(sj.stream_of(t.spark, path, schema), root)
+    n = t.spark.read.parquet(f"{root}/positions").groupBy("mmsi").agg(F.count("*").alias("positions"))
+    return (sinks.read_table(t.spark, f"{root}/register").join(n, "mmsi", "left")
+            .select("mmsi", "vessel_name", "vessel_type_description", "length_m", "width_m", F.coalesce("positions", F.lit(0)).alias("positions")))
+
+
+query("a18_vessel_register", """select m.mmsi, vessel_name, vessel_type_description, 25 as length_m, 7 as width_m, coalesce(n, 0) as positions
+from vessel_metadata m left join (select mmsi, count(*) as n from vessel_positions group by 1) p on p.mmsi = m.mmsi""")(_a18)
+
+
 def _f03(t):
     path, schema = sj.as_files(t.vessels.select("mmsi", "ts", "latitude", "longitude"))
     timed = sj.stream_of(t.spark, path, schema).withColumn("at", c("ts").cast("timestamp"))

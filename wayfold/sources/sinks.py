@@ -22,7 +22,7 @@ JOURNAL = "_journal.json"
 STAGED = "_staged-"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -142,7 +142,7 @@ def merge_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[s
     if dict(updates.dtypes)[by] == "string":
         updates = updates.withColumn(by, F.nullif(by, F.lit("")))
     recover(spark, path)
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return replace_files(upsert(updates.limit(0), updates, keys, order), path, [by], [])
     stored = spark.read.schema(updates.schema).parquet(path)
     held = stored.select(*keys, by).join(updates.select(*keys).distinct(), keys, "left_semi").select(by)
@@ -163,7 +163,7 @@ def files_of(rows: DataFrame, path: str) -> list[str]:
 def insert_table(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], by: str) -> None:
     """Insert rows whose key is not stored; duplicates are ignored."""
     recover(spark, path)
-    if _exists(spark, path):
+    if exists(spark, path):
         rows = insert_new(spark.read.schema(rows.schema).parquet(path).select(rows.columns), rows, keys)
     else:
         rows = rows.dropDuplicates(keys)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from wayfold.functions import geo
+from wayfold.operators import marine as ma
+from wayfold.operators.windows import cut
+from wayfold.sources import sinks
 from wayfold.storage import new_path
 
 c = F.col
@@ -173,3 +176,27 @@ def ingest(messages: DataFrame, table: str, keys: list[str], at: str = "ts", del
 
     (once(messages, keys, at, delay).writeStream.foreachBatch(write).option("checkpointLocation", f"{table}/ckpt").trigger(availableNow=True).start()
      .awaitTermination())
+
+
+def ingest_vessels(messages: DataFrame, root: str, buckets: int = 16) -> None:
+    """Vessel messages (value, received): positions are added below ``root``/positions, static data update ``root``/register.
+
+    The register keeps the newest message of a vessel by ``received``, in whatever order batches bring them, ties by its texts.
+    Only buckets with a vessel of the batch are written again. A batch that is run again gives the same tables.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        read = cut(ma.ais_envelopes(batch))         # two tables come from it
+        ma.position_reports(read).write.mode("overwrite").parquet(f"{root}/positions/batch={epoch}")
+        new = ma.static_reports(read).withColumn("bucket", F.pmod(F.xxhash64("mmsi"), F.lit(buckets)).cast("int"))
+        if not new.limit(1).count():
+            return
+        if sinks.exists(spark, f"{root}/register"):
+            touched = [r[0] for r in new.select("bucket").distinct().collect()]       # one number for each bucket at most
+            held = sinks.read_table(spark, f"{root}/register", new.schema).where(c("bucket").isin(touched))
+            new = cut(new.unionByName(held.select(new.columns).join(new.select("mmsi").distinct(), "mmsi", "left_semi").select(new.columns)))
+        order = ["last_updated", *[F.coalesce(x, F.lit("")).alias(x) for x in ("vessel_name", "call_sign", "destination")], F.coalesce("vessel_type", F.lit(-1)).alias("vessel_type")]
+        best = new.groupBy("mmsi").agg(F.max_by(F.struct(*[x for x in new.columns if x != "mmsi"]), F.struct(*order)).alias("r")).select("mmsi", "r.*")
+        sinks.merge_table(spark, f"{root}/register", best, ["mmsi"], ["last_updated"], "bucket")
+
+    (messages.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start().awaitTermination())
