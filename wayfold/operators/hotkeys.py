@@ -48,6 +48,11 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], least: int = LEAS
     return join_dealt(left, right, on, hot_keys(left, on, least))
 
 
+def spread(df: DataFrame, keys: tuple = ("flight_id", "ts")) -> DataFrame:
+    """Even out rows over the session's shuffle partitions before per-row geometry that costs far more than its bytes."""
+    return df.repartition(int(df.sparkSession.conf.get(PARTS_SETTING)), *keys)
+
+
 def join_by_slice(points: DataFrame, per_key: DataFrame, width: int, key: str = "flight_id", ts: str = "ts",
                   slices_of: DataFrame | None = None) -> DataFrame:
     """Inner join of points with a frame of one row per key, on (key, time slice).

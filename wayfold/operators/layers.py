@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo
-from wayfold.operators.hotkeys import PARTS_SETTING, hot_keys, join_by_slice, join_dealt, join_hot
+from wayfold.operators.hotkeys import PARTS_SETTING, hot_keys, join_by_slice, join_dealt, join_hot, spread
 from wayfold.operators.segments import nearest_line
 from wayfold.operators.windows import SLICE, cut, running_sum, sliced_row_number, with_neighbours, with_slice
 
@@ -269,12 +269,6 @@ def tube_membership(points: DataFrame, tubes: DataFrame, alt_tol: float = C.PATH
     return inside.select(*keys).unionByName(close.select(*keys)).distinct()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even out rows over the session's shuffle partitions before per-row geometry that costs far more than its bytes."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "flight_id", "ts")
-
-
 def heat_cells(tracks: DataFrame, cell: float = C.PATHS["cell_deg"]) -> DataFrame:
     """Activity grid: points per cell with truncating indices."""
     return tracks.groupBy((c("lat") / cell).cast("int").alias("r"), (c("lon") / cell).cast("int").alias("q")).agg(F.count("*").alias("n"))
@@ -314,7 +308,8 @@ def off_course_points(pts: DataFrame, meta: DataFrame, tubes: DataFrame, paths:
     keys = ["flight_id", "ts"]
     out = cut(use.join(inside.select(*keys), keys, "left_anti"))
     d = geo.polyline_distance("lat", "lon", "centerline")
-    routed = (join_hot(out.where("own_paths"), cand, ["route"]).withColumn("_m", d)
+    mine = out.where("own_paths")
+    routed = (join_dealt(spread(mine), cand, ["route"], hot_keys(mine, ["route"])).withColumn("_m", d)
               .groupBy(*keys).agg(F.min(F.struct(F.coalesce(c("_m")["distance_nm"], F.lit(999.0)).alias("d"), "id", "width_nm",
                                                  c("_m")["position"].alias("pos"))).alias("b")))
     free = nearest_line(out.where("not own_paths"), paths, keys).select(*keys, F.struct("d", "id", "width_nm", "pos").alias("b"))
