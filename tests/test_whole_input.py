@@ -1,14 +1,16 @@
 """Queries take all their input: compared with brute force over small tables."""
 
+import functools
 import math
+import random
 from collections import defaultdict
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import T0, track
-from wayfold.operators import layers as ly
+from tests.conftest import T0, airports, track
+from wayfold.operators import intel as it, layers as ly, spatial as sp
 from wayfold.plans import load_all, rules_queries as rq
 from wayfold.plans.registry import QUERIES
 
@@ -97,3 +99,21 @@ def test_severities_of_all_reports(spark):
     feedback = spark.createDataFrame([("U5", 0), ("U6", 1)], "flight_id string, user_label int")
     got = {r.severity_range: r["count"] for r in QUERIES["e60_severity_histogram"](SimpleNamespace(reports=reports, feedback=feedback)).collect()}
     assert got == {"minimal": 1, "low": 0, "medium": 0, "high": 0, "critical": 2}
+
+
+BORDER = [31.04, 31.83, 30.01, 31.07, 31.73, 30.55, 32.27, 32.16, 30.07, 30.06, 31.3, 32.91]        # their mean is 31.25, a border of cells
+
+
+def _orders(n=18):
+    """Some orders of them; added up as doubles they come out above the border in some."""
+    r = random.Random(7)
+    lists = [r.sample(BORDER, len(BORDER)) for _ in range(n)]
+    assert {functools.reduce(lambda a, b: a + b, p) / len(p) > 31.25 for p in lists} == {True, False}
+    return lists
+
+
+def test_means_on_a_cell_border_do_not_hang_on_the_order_of_rows(spark):
+    rows = [(f"U{i}", x, 33.0, 1) for i, p in enumerate(_orders()) for x in p]
+    hits = spark.createDataFrame(rows, "flight_id string, lat double, lon double, rule_id int").coalesce(1)
+    got = [(r.lat, r.lon, r.occurrences) for r in it.pattern_clusters(hits).collect()]
+    assert got == [(31.0, 33.0, 18)]

@@ -69,6 +69,16 @@ def heading_diff(h1, h2) -> Column:
     return F.least(d, 360.0 - d)
 
 
+def fixed(x) -> Column:
+    """Degrees as a whole number of ten-millionths, whose sums don't depend on the order of rows."""
+    return F.floor(_c(x) * 1e7 + 0.5)
+
+
+def mean(x) -> Column:
+    """Mean of degrees over a group, the same however its rows are dealt: an exact sum of ``fixed`` values, divided once."""
+    return F.sum(fixed(x)) / F.count(_c(x)) / 1e7
+
+
 def grid(x, step: float) -> Column:
     """Grid centre, halves to even."""
     return F.bround(_c(x) / step) * step

@@ -188,7 +188,7 @@ def interference_correlation(cells: DataFrame) -> DataFrame:
 
 def pattern_clusters(reports: DataFrame, step: float = 0.5, least: int = 2) -> DataFrame:
     """Report centroids on a grid. ``reports``: flight_id, lat, lon, rule_id."""
-    cen = reports.groupBy("flight_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.min("rule_id").alias("rule_id"))
+    cen = reports.groupBy("flight_id").agg(geo.mean("lat").alias("lat"), geo.mean("lon").alias("lon"), F.min("rule_id").alias("rule_id"))
     return (cen.groupBy(geo.grid("lat", step).alias("lat"), geo.grid("lon", step).alias("lon"))
             .agg(F.count("*").alias("occurrences"), F.array_join(F.array_sort(F.collect_set("rule_id")).cast("array<string>"), ",").alias("rules"))
             .where(c("occurrences") >= least))
