@@ -93,7 +93,7 @@ def flight_interference(tracks: DataFrame, airports: DataFrame, min_alt: float =
     d = deltas(tracks.where(F.col("alt") > min_alt))
     d = away_from(d, airports, airport_nm, radius=C.EARTH_NM_STATS)
     n = d.groupBy("flight_id").agg(*[F.count_if(v).alias(k) for k, v in _flags().items()], F.count("*").alias("points"),
-                                   F.avg("lat").alias("lat"), F.avg("lon").alias("lon"),
+                                   geo.mean("lat").alias("lat"), geo.mean("lon").alias("lon"),
                                    F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     cap = lambda c, k, top: F.least(F.lit(top), F.col(c) * k)
     score = (cap("altitude_jumps", 2, 20) + cap("spoofed_hits", 4, 15) + cap("speed_anomalies", 3, 15)

@@ -8,7 +8,7 @@ from wayfold.functions import geo, keys
 from wayfold.operators import sequence as sq, spatial as sp
 from wayfold.operators.windows import with_neighbours
 from wayfold.plans.core_queries import ZONE_SQL, first_zone, r4
-from wayfold.plans.registry import query, sql_bearing, sql_cell, sql_delta, sql_hav, sql_hour, sql_month
+from wayfold.plans.registry import query, sql_bearing, sql_cell, sql_delta, sql_hav, sql_hour, sql_mean, sql_month
 
 R = "3440.065"
 LAGS = ", ".join(f"lag({c}) over w as prev_{c}" for c in ("ts", "lat", "lon", "alt", "gspeed", "vspeed", "track"))
@@ -214,7 +214,8 @@ ICELL = INTF + """, c as (select round_even(lat/0.25,0)*0.25 as lat, round_even(
  sum(position_teleports)::bigint as position_teleports, sum(impossible_turns)::bigint as impossible_turns, sum(bearing_mismatches)::bigint as bearing_mismatches, sum(signal_losses)::bigint as signal_losses, min(first_seen) as first_seen, max(last_seen) as last_seen from s where score >= 15 group by 1, 2),
  ic as (select *, least(100, affected_flights/(select max(affected_flights) from c)*50 + score/100*50) as intensity from c)
 """
-query("s04_interference_cells", ICELL + "select * replace (round(score,4) as score, round(intensity,4) as intensity) from ic order by ic.intensity desc, lat, lon limit 30")(
+EXACT = ICELL.replace("avg(lat) as lat, avg(lon) as lon, min(ts)", f"{sql_mean('lat')} as lat, {sql_mean('lon')} as lon, min(ts)")
+query("s04_interference_cells", EXACT + "select * replace (round(score,4) as score, round(intensity,4) as intensity) from ic order by ic.intensity desc, lat, lon limit 30")(
     lambda t: sp.interference_cells(sp.flight_interference(t.tracks, t.airports)).withColumns(
         {c: r4(F.col(c)) for c in ("score", "intensity")}))
 query("s17_source_estimate", ICELL + """select round_even(lat/0.5,0)*0.5 as cell_lat, round_even(lon/0.5,0)*0.5 as cell_lon, count(*) as points, round(sum(lat*intensity)/sum(intensity),4) as est_lat,
