@@ -117,3 +117,13 @@ def test_means_on_a_cell_border_do_not_hang_on_the_order_of_rows(spark):
     hits = spark.createDataFrame(rows, "flight_id string, lat double, lon double, rule_id int").coalesce(1)
     got = [(r.lat, r.lon, r.occurrences) for r in it.pattern_clusters(hits).collect()]
     assert got == [(31.0, 33.0, 18)]
+
+
+def test_flights_and_cells_of_interference_take_exact_means(spark):
+    rows = [{"flight_id": f"U{i}", "ts": T0 + k * 20, "lat": x, "track": 90.0 * (k % 2), "gspeed": 700.0, "alt": 30000.0 + 10000 * (k % 2)}
+            for i, p in enumerate(_orders()) for k, x in enumerate((31.25, *p))]
+    far = airports(spark, (("LLBG", 0.0, 0.0, 0),))
+    per = sp.flight_interference(track(spark, rows), far).collect()
+    assert len(per) == 18 and {r.lat for r in per} == {31.25}
+    got = sp.interference_components(track(spark, rows), far, step=0.5, limit=None).collect()
+    assert [(r.cell_lat, r.lat, r.affected_flights) for r in got] == [(31.0, 31.25, 18)]

@@ -119,14 +119,15 @@ def interference_components(tracks: DataFrame, airports: DataFrame, step: float
     """Cells with the marks of all flights of ``min_score`` whose mean position lies there, and of signal gaps that began there.
 
     Events are a cell's distinct instants; ``correlated_events`` counts their pairs at most ``within_s`` apart. Instants are
-    compared inside time slots with the next slot's copied in, so a crowded cell is spread over tasks.
+    compared inside time slots with the next slot's copied in, so a crowded cell is spread over tasks. Means are of ``geo.fixed``
+    degrees, so that neither cells nor positions hang on the order of rows.
     """
     c, cell = F.col, ["cell_lat", "cell_lon"]
     on_grid = lambda lat, lon: [geo.grid(lat, step).alias("cell_lat"), geo.grid(lon, step).alias("cell_lon")]
     steps = deltas(tracks, with_previous_turn=True)
     marks = {k: v for k, v in _flags().items() if k not in ("signal_losses", "mlat")} | {"oscillations": oscillates()}
     d = away_from(steps, airports, airport_nm, radius=C.EARTH_NM_STATS).withColumns({k: F.coalesce(v, F.lit(False)) for k, v in marks.items()})
-    n = d.groupBy("flight_id").agg(*[F.count_if(k).alias(k) for k in marks], F.avg("lat").alias("lat"), F.avg("lon").alias("lon"),
+    n = d.groupBy("flight_id").agg(*[F.count_if(k).alias(k) for k in marks], geo.mean("lat").alias("lat"), geo.mean("lon").alias("lon"),
                                    (F.count_if(F.upper("source") == "MLAT") / F.count("*") > 0.8).alias("mlat"))
     top = lambda most, x: F.least(F.lit(most), x)
     score = (top(20, c("altitude_jumps") * 2) + top(15, c("spoofed_hits") * 4) + top(15, c("speed_anomalies") * 3) + top(15, c("position_teleports") * 4)
@@ -145,8 +146,8 @@ def interference_components(tracks: DataFrame, airports: DataFrame, step: float
     times = (dealt.withColumn("_later", F.count("*").over(later)).where("_slot = _home").groupBy(*cell)
              .agg(F.count("*").alias("event_count"), F.sum("_later").alias("correlated_events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")))
     who = (flights.select(*cell, "flight_id").unionByName(gaps.select(*cell, "flight_id")).distinct().groupBy(*cell).agg(F.count("*").alias("affected_flights")))
-    sums = flights.groupBy(*cell).agg(*[F.sum(k).alias(k) for k in marks], F.count_if("mlat").alias("mlat_only_flights"), F.sum("lat").alias("_flat"), F.sum("lon").alias("_flon"))
-    lost = gaps.groupBy(*cell).agg(F.sum("dt").alias("gap_duration"), F.sum("lat").alias("_glat"), F.sum("lon").alias("_glon"))
+    sums = flights.groupBy(*cell).agg(*[F.sum(k).alias(k) for k in marks], F.count_if("mlat").alias("mlat_only_flights"), F.sum(geo.fixed("lat")).alias("_flat"), F.sum(geo.fixed("lon")).alias("_flon"))
+    lost = gaps.groupBy(*cell).agg(F.sum("dt").alias("gap_duration"), F.sum(geo.fixed("lat")).alias("_glat"), F.sum(geo.fixed("lon")).alias("_glon"))
     out = who.join(times, cell, "left").join(sums, cell, "left").join(lost, cell, "left").na.fill(
         0, [*marks, "event_count", "correlated_events", "mlat_only_flights", "gap_duration", "_flat", "_flon", "_glat", "_glon"])
     m, lat, lon = c("affected_flights"), c("_flat") + c("_glat"), c("_flon") + c("_glon")
@@ -154,7 +155,7 @@ def interference_components(tracks: DataFrame, airports: DataFrame, step: float
              + top(25, c("impossible_turns") + c("oscillations") * 2 + c("bearing_mismatches")) + F.floor(c("mlat_only_flights") / m * 10)
              + top(10, c("correlated_events") * 2) + top(10, m * 3))
     s, summed = c("score"), (lat > 0) & (lon > 0)
-    out = (out.withColumns({"lat": F.round(F.when(summed, lat / m).otherwise(c("cell_lat")), 4), "lon": F.round(F.when(summed, lon / m).otherwise(c("cell_lon")), 4),
+    out = (out.withColumns({"lat": F.round(F.when(summed, lat / m / 1e7).otherwise(c("cell_lat")), 4), "lon": F.round(F.when(summed, lon / m / 1e7).otherwise(c("cell_lon")), 4),
                             "score": total.cast("long"), "avg_gap_s": F.floor(c("gap_duration") / F.greatest("event_count", F.lit(1)))})
            .withColumn("confidence", F.when(s >= 60, "HIGH").when(s >= 35, "MEDIUM").when(s >= 15, "LOW").otherwise("UNLIKELY"))
            .drop("_flat", "_flon", "_glat", "_glon"))
