@@ -11,7 +11,7 @@ from wayfold.operators.paths import similar_paths
 from wayfold.operators.sweep import near_swept
 from wayfold.operators.windows import first_per_key
 from wayfold.plans.core_queries import r4, ring_lit, first_zone
-from wayfold.plans.registry import query, sql_bearing, sql_cell, sql_delta, sql_hav
+from wayfold.plans.registry import query, sql_bearing, sql_cell, sql_delta, sql_fixed, sql_hav, sql_mean
 
 c = F.col
 
@@ -382,7 +382,7 @@ MARKS = ("altitude_jumps", "spoofed_hits", "speed_anomalies", "position_teleport
 S03 = MARKED + f""", e3 as (select * from e where {AWAY(5, 'e')}),
  w3 as (select flight_id, ts, lat, lon, source, da/dt > 3000 as altitude_jumps, (alt in {tuple(sq.SPOOFED_FT)} or prev_alt in {tuple(sq.SPOOFED_FT)}) and da > 5000 as spoofed_hits, gspeed > 600 as speed_anomalies, nm/dt*3600 > 600 as position_teleports,
   abs(turn)/dt > 8 as impossible_turns, (pt > 30 and turn < -30) or (pt < -30 and turn > 30) as oscillations, nm > 0.1 and abs({sql_delta('track', sql_bearing('prev_lat', 'prev_lon', 'lat', 'lon'))}) > 90 as bearing_mismatches from e3),
- n3 as (select flight_id, {', '.join(f'count(*) filter (where {x}) as {x}' for x in MARKS)}, avg(lat) as lat, avg(lon) as lon, count(*) filter (where upper(source) = 'MLAT') / count(*) > 0.8 as mlat from w3 group by 1),
+ n3 as (select flight_id, {', '.join(f'count(*) filter (where {x}) as {x}' for x in MARKS)}, {sql_mean('lat')} as lat, {sql_mean('lon')} as lon, count(*) filter (where upper(source) = 'MLAT') / count(*) > 0.8 as mlat from w3 group by 1),
  f3 as (select *, round_even(lat/0.25,0)*0.25 as cell_lat, round_even(lon/0.25,0)*0.25 as cell_lon from n3 where least(20,altitude_jumps*2)+least(15,spoofed_hits*4)+least(15,speed_anomalies*3)+least(15,position_teleports*4)
   + case when mlat then 8 else 0 end + least(12,impossible_turns)+least(10,oscillations*2)+least(5,bearing_mismatches) >= 15),
  g3 as (select flight_id, dt, prev_ts as ts, prev_lat as lat, prev_lon as lon, round_even(prev_lat/0.25,0)*0.25 as cell_lat, round_even(prev_lon/0.25,0)*0.25 as cell_lon from d
@@ -391,14 +391,14 @@ S03 = MARKED + f""", e3 as (select * from e where {AWAY(5, 'e')}),
  c3 as (select *, count(*) over (partition by cell_lat, cell_lon order by ts range between 1 following and 1800 following) as later from v3),
  t3 as (select cell_lat, cell_lon, count(*) as event_count, sum(later)::bigint as correlated_events, min(ts) as first_seen, max(ts) as last_seen from c3 group by 1, 2),
  u3 as (select cell_lat, cell_lon, count(*) as m from (select cell_lat, cell_lon, flight_id from f3 union select cell_lat, cell_lon, flight_id from g3) group by 1, 2),
- s3 as (select cell_lat, cell_lon, {', '.join(f'sum({x})::bigint as {x}' for x in MARKS)}, count(*) filter (where mlat) as mlat, sum(lat) as la, sum(lon) as lo from f3 group by 1, 2),
- l3 as (select cell_lat, cell_lon, sum(dt)::bigint as gap, sum(lat) as la, sum(lon) as lo from g3 group by 1, 2),
+ s3 as (select cell_lat, cell_lon, {', '.join(f'sum({x})::bigint as {x}' for x in MARKS)}, count(*) filter (where mlat) as mlat, cast(sum({sql_fixed('lat')}) as bigint) as la, cast(sum({sql_fixed('lon')}) as bigint) as lo from f3 group by 1, 2),
+ l3 as (select cell_lat, cell_lon, sum(dt)::bigint as gap, cast(sum({sql_fixed('lat')}) as bigint) as la, cast(sum({sql_fixed('lon')}) as bigint) as lo from g3 group by 1, 2),
  o3 as (select u3.cell_lat, u3.cell_lon, m as affected_flights, {', '.join(f'coalesce({x},0) as {x}' for x in MARKS)}, coalesce(event_count,0) as event_count, coalesce(correlated_events,0) as correlated_events, first_seen, last_seen,
   coalesce(mlat,0) as mlat_only_flights, coalesce(gap,0) as gap_duration, coalesce(s3.la,0)+coalesce(l3.la,0) as la, coalesce(s3.lo,0)+coalesce(l3.lo,0) as lo
   from u3 left join t3 using (cell_lat, cell_lon) left join s3 using (cell_lat, cell_lon) left join l3 using (cell_lat, cell_lon)),
  p3 as (select *, (least(25,altitude_jumps*2+spoofed_hits*4)+least(20,speed_anomalies*2+position_teleports*3)+least(25,impossible_turns+oscillations*2+bearing_mismatches)+floor(mlat_only_flights/affected_flights*10)
   +least(10,correlated_events*2)+least(10,affected_flights*3))::bigint as score from o3)
-select * exclude (la, lo), round(case when la > 0 and lo > 0 then la/affected_flights else cell_lat end,4) as lat, round(case when la > 0 and lo > 0 then lo/affected_flights else cell_lon end,4) as lon,
+select * exclude (la, lo), round(case when la > 0 and lo > 0 then la/affected_flights/1e7 else cell_lat end,4) as lat, round(case when la > 0 and lo > 0 then lo/affected_flights/1e7 else cell_lon end,4) as lon,
  floor(gap_duration/greatest(event_count,1))::bigint as avg_gap_s, case when score >= 60 then 'HIGH' when score >= 35 then 'MEDIUM' when score >= 15 then 'LOW' else 'UNLIKELY' end as confidence from p3"""
 query("s03_interference_components", S03)(lambda t: sp.interference_components(t.tracks, t.airports, limit=None))
 
