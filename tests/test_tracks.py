@@ -1,5 +1,6 @@
 """Smoothing, runways by airport and candidates of similar flights against direct computations."""
 
+import math
 import random
 
 from tests.conftest import T0, track
@@ -59,3 +60,25 @@ def test_candidates_by_route_then_by_area(spark):
     assert ids(both, rules(("same", 4))) == ["near", "same"]                    # the target broke no rule
     nowhere = spark.createDataFrame([("Q",)], "flight_id string")
     assert it.similar_candidates(df, both, nowhere).count() == 0
+
+
+def test_similar_flights_read_the_track_plan_once_for_all_branches(spark):
+    """Same shares as by brute force, up to the far north, and a plan that no longer holds that of the tracks."""
+    r = random.Random(3)
+    rows = [{"flight_id": f"F{f}", "ts": T0 + i * 20, "lat": 79.6 + i * 0.05 + f * r.random() * 0.04, "lon": 20.0 + r.random() * f * 0.3} for f in range(12) for i in range(15)]
+    df = track(spark, rows).where("alt > -12345")
+    target = spark.createDataFrame([("F0",)], "flight_id string")
+    got = it.similar_flights(df, target, df.where("flight_id <> 'F0'").select("flight_id").distinct(), nm=5.0, share=0.2, k=99)
+    assert "12345" not in got._jdf.queryExecution().analyzed().toString()
+
+    def nm(p, q):
+        a, b, x, y = map(math.radians, (p["lat"], p["lon"], q["lat"], q["lon"]))
+        return 2 * 6371.0 * 0.539957 * math.asin(math.sqrt(math.sin((x - a) / 2) ** 2 + math.cos(a) * math.cos(x) * math.sin((y - b) / 2) ** 2))
+
+    own = [p for p in rows if p["flight_id"] == "F0"]
+    want = {}
+    for f in range(1, 12):
+        n = sum(any(nm(p, q) <= 5 for q in rows if q["flight_id"] == f"F{f}") for p in own)
+        if round(n / 15, 4) >= 0.2:
+            want[f"F{f}"] = n
+    assert len(want) > 3 and {x.flight_id: x.near_points for x in got.collect()} == want

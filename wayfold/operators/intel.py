@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from wayfold.functions import geo, keys
 from wayfold.operators.hotkeys import join_hot
 from wayfold.operators.sweep import near_swept
 from wayfold.operators.stats import military_flag, on_spine, spine
-from wayfold.operators.windows import with_neighbours
+from wayfold.operators.windows import cut, with_neighbours
 
 c = F.col
 
@@ -260,19 +262,27 @@ def similar_candidates(tracks: DataFrame, meta: DataFrame, target: DataFrame, ru
 def similar_flights(tracks: DataFrame, target: DataFrame, candidates: DataFrame, nm: float = 5.0, share: float = 0.8, k: int = 15) -> DataFrame:
     """Share of a flight's points that have a candidate's point within nm. ``target``/``candidates``: flight_id.
 
-    Points are reduced to cells first: a point whose own cell (diagonal below nm) holds a
-    candidate point is near for sure, so only the rest is compared point by point.
+    The target's points, those of one flight, are copied to the cells that they reach; a candidate's point is in one cell, and is
+    read only if it lies in the target's extent, widened by nm. Points and candidates are checkpointed, so that the plan of the
+    tracks is not repeated in each branch.
     """
     g = nm / 59.5
     wide = lambda band: g / F.cos(F.radians(F.least(F.abs(band) + 2, F.lit(88))))
-    own = tracks.join(target, "flight_id", "left_semi").select(c("ts").alias("pid"), "lat", "lon")
-    other = tracks.join(candidates, "flight_id", "left_semi").select("flight_id", c("lat").alias("blat"), c("lon").alias("blon"))
-    a = own.withColumns({"_b": F.floor("lat"), "_y": F.floor(c("lat") / g)}).withColumn("_x", F.floor(c("lon") / wide(c("_b"))))
+    own = cut(tracks.join(target, "flight_id", "left_semi").select(c("ts").alias("pid"), "lat", "lon"))
+    south, north, west, east = own.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    if south is None or west is None:
+        reached = F.lit(False)
+    else:
+        top = max(abs(south), abs(north)) + g
+        far = 1.001 * g / math.cos(math.radians(top)) if top < 86 else 360.0
+        reached = geo.in_box("lat", "lon", south - 1.001 * g, north + 1.001 * g, west - far, east + far)
+    other = tracks.where(reached).join(cut(candidates), "flight_id", "left_semi").select("flight_id", c("lat").alias("blat"), c("lon").alias("blon"))
+    b = other.withColumns({"_b": F.floor("blat"), "_y": F.floor(c("blat") / g)}).withColumn("_x", F.floor(c("blon") / wide(c("_b"))))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    b = other.withColumn("_b", F.explode(F.array_distinct(F.array(F.floor(c("blat") - g), F.floor("blat"), F.floor(c("blat") + g)))))
-    b = b.withColumn("_y", F.explode(F.transform(near, lambda d: F.floor(c("blat") / g) + d)))
-    b = b.withColumn("_x", F.explode(F.transform(near, lambda d: F.floor(c("blon") / wide(c("_b"))) + d)))
-    hit = (join_hot(a, b, ["_b", "_y", "_x"]).where(geo.haversine("lat", "lon", "blat", "blon") <= nm)
+    a = own.withColumn("_b", F.explode(F.array_distinct(F.array(F.floor(c("lat") - g), F.floor("lat"), F.floor(c("lat") + g)))))
+    a = a.withColumn("_y", F.explode(F.transform(near, lambda d: F.floor(c("lat") / g) + d)))
+    a = a.withColumn("_x", F.explode(F.transform(near, lambda d: F.floor(c("lon") / wide(c("_b"))) + d)))
+    hit = (join_hot(cut(b), a, ["_b", "_y", "_x"]).where(geo.haversine("lat", "lon", "blat", "blon") <= nm)
            .groupBy("flight_id").agg(F.count_distinct("pid").alias("near_points")))
     n = own.agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
     s = F.round(c("near_points") / c("n"), 4)

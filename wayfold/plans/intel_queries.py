@@ -8,6 +8,7 @@ from wayfold import config as C
 from wayfold.functions import geo, keys
 from wayfold.operators import forecast as fc, intel as it, marine as ma, scans, sequence as sq, spatial as sp, stats as st
 from wayfold.operators.hotkeys import join_windows
+from wayfold.operators.windows import cut
 from wayfold.plans.core_queries import T0, T1, r4
 from wayfold.plans.registry import query, sql_bearing, sql_cell, sql_date, sql_delta, sql_hav, sql_hour, sql_mean
 from wayfold.plans.sequence_queries import ICELL, P
@@ -77,7 +78,7 @@ query("s19_operator_proximity", f"with l as (select t.*, f.country from tracks t
 
 def _similar(t):
     """Against the busiest flight: same route, rules in common."""
-    target = scans.flight_list(t.tracks, limit=1).select("flight_id")
+    target = cut(scans.flight_list(t.tracks, limit=1).select("flight_id"))
     m = t.meta.select("flight_id", "origin_airport", "destination_airport")
     tm = m.join(target, "flight_id", "left_semi").select(c("origin_airport").alias("o"), c("destination_airport").alias("d"))
     cand = m.join(F.broadcast(tm), c("origin_airport").eqNullSafe(c("o")) & c("destination_airport").eqNullSafe(c("d"))).join(target, "flight_id", "left_anti")
@@ -103,7 +104,7 @@ with tg as (select flight_id from tracks group by 1 order by count(*) desc, flig
 select flight_id, near_points, round(near_points/(select own from bx),4) as similarity from h where round(near_points/(select own from bx),4) >= 0.2 order by similarity desc, flight_id limit 15""")
 def _s20_area(t):
     """The busiest flight taken as one whose route nobody knows."""
-    target = scans.flight_list(t.tracks, limit=1).select("flight_id")
+    target = cut(scans.flight_list(t.tracks, limit=1).select("flight_id"))
     blank = t.meta.select("flight_id", F.lit("UNKNOWN").alias("origin_airport"), F.lit("").alias("destination_airport"))
     cand = it.similar_candidates(t.tracks, blank, target, t.hits.select("flight_id", "rule_id"))
     return it.similar_flights(t.tracks, target, cand, nm=15.0, share=0.2)
