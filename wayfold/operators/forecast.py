@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, keys
+from wayfold.operators.history import closest_points, history_sums
 from wayfold.operators.hotkeys import join_hot
 from wayfold.operators.stats import distinct_if, in_rules
 from wayfold.operators.windows import running_sum, with_neighbours
@@ -140,26 +141,12 @@ def closest_history(queries: DataFrame, history: DataFrame, km: float = 5.0) ->
 
     ``queries``: qid, flight_id, lat, lon, ...; ``history``: flight_id, ts, lat, lon, gspeed, vspeed.
     """
-    nm = km / 1.852
-    g = nm / 59.5
-    wide = lambda band: g / F.cos(F.radians(F.least(F.abs(band) + 2, F.lit(88))))
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = queries.withColumns({"_b": F.floor("lat"), "_y": F.floor(c("lat") / g)}).withColumn("_x", F.floor(c("lon") / wide(c("_b"))))
-    b = history.select(c("flight_id").alias("h_flight"), c("ts").alias("h_ts"), c("lat").alias("hlat"), c("lon").alias("hlon"), c("gspeed").alias("h_gspeed"), c("vspeed").alias("h_vspeed"))
-    b = b.withColumn("_b", F.explode(F.array_distinct(F.array(F.floor(c("hlat") - g), F.floor("hlat"), F.floor(c("hlat") + g)))))
-    b = b.withColumn("_y", F.explode(F.transform(near, lambda d: F.floor(c("hlat") / g) + d)))
-    b = b.withColumn("_x", F.explode(F.transform(near, lambda d: F.floor(c("hlon") / wide(c("_b"))) + d)))
-    d = F.round(geo.haversine("lat", "lon", "hlat", "hlon", 6371.0), 9)
-    j = join_hot(a, b, ["_b", "_y", "_x"]).where(c("flight_id") != c("h_flight")).withColumn("km", d).where(c("km") <= km)
-    # min_by per (query, flight) is combined before the shuffle.
-    best = j.groupBy("qid", "h_flight").agg(F.min_by(F.struct("km", "h_ts", "h_gspeed", "h_vspeed"), F.struct("km", "h_ts")).alias("b"))
-    return best.select("qid", "h_flight", "b.*")
-
-
-def history_test(queries: DataFrame, closest: DataFrame, least: int = 3, z: float = 2.5758293) -> DataFrame:
-    """Speed and vertical speed against nearby historic flights: two-tailed p < 0.01, spread above 1."""
-    s = closest.groupBy("qid").agg(F.count("*").alias("tracks"), *[f(f"h_{x}").alias(f"{n}_{x}") for x in ("gspeed", "vspeed")
-                                                                    for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
+    return closest_points(queries, history, km)
+
+
+def history_test(queries: DataFrame, history: DataFrame, least: int = 3, z: float = 2.5758293) -> DataFrame:
+    """Speed and vertical speed against the closest points of nearby historic flights: two-tailed p < 0.01, spread above 1."""
+    s = history_sums(queries, history)
     j = queries.join(s, "qid", "left").withColumn("tracks", F.coalesce("tracks", F.lit(0)))
     warn = lambda x: F.when(c("tracks") >= least, F.coalesce((c(f"s_{x}") > 1) & (F.abs(c(x) - c(f"m_{x}")) / c(f"s_{x}") > z), F.lit(False)))
     return j.select("qid", "flight_id", "tracks", warn("gspeed").alias("gspeed_warning"), warn("vspeed").alias("vspeed_warning"))

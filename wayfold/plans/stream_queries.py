@@ -78,7 +78,7 @@ query("f03_latest_vessels", VL + " select mmsi, latitude, longitude from l")(_f0
 def _f04(t):
     """Tests against history for every point, then the monitor state machine over their stream."""
     q = t.tracks.select(F.concat_ws(":", "flight_id", c("ts").cast("string")).alias("qid"), "flight_id", "ts", "alt", "lat", "lon", "gspeed", "vspeed")
-    tests = fc.history_test(q.drop("ts", "alt"), fc.closest_history(q, t.tracks)).join(q.select("qid", "ts", "alt"), "qid")
+    tests = fc.history_test(q.drop("ts", "alt"), t.tracks).join(q.select("qid", "ts", "alt"), "qid")
     tests = tests.select("flight_id", "ts", "alt", "tracks", *[F.coalesce(x, F.lit(False)).alias(x) for x in ("gspeed_warning", "vspeed_warning")])
     path, schema = sj.as_files(tests, closing_s=DAY)
     return sj.drain(od.monitor(sj.stream_of(t.spark, path, schema)))
