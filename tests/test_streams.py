@@ -1,6 +1,7 @@
 """State of the streaming jobs ends with the watermark, and what was written stays right."""
 
 import datetime
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -138,3 +139,18 @@ def test_messages_are_written_once_and_keys_leave_the_state(spark):
     assert sum(seen) == 80 and max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 50
     sj.ingest(messages, table, ["mmsi", "ts", "latitude", "longitude"], delay="2 hours")      # goes on from the checkpoint
     assert spark.read.parquet(f"{table}/data").count() == 80
+
+
+def test_keys_of_a_stream_wait_on_disk(spark):
+    """Both runners use the RocksDB store, whose checkpoints are archives, whatever ran in the session before."""
+    rows = spark.createDataFrame([("a", 1704067200), ("a", 1704067200), ("b", 1704067300)], "k string, s bigint").select("k", F.timestamp_seconds("s").alias("at"))
+    path, schema = sj.as_files(rows, order="at")
+    spark.conf.unset(od.STORE)
+    table = sj.scratch(spark)
+    sj.ingest(sj.stream_of(spark, path, schema), table, ["k"], at="at")
+    assert spark.read.parquet(f"{table}/data").count() == 2
+    kept = [f for _, _, names in os.walk(f"{table}/ckpt/state".removeprefix("file:")) for f in names]
+    assert kept and not [f for f in kept if f.endswith(".delta")]
+    spark.conf.unset(od.STORE)
+    sj.drain(sj.tumbling_counts(sj.stream_of(spark, path, schema).withColumn("event_type", F.col("k"))))
+    assert spark.conf.get(od.STORE) == od.ROCKS

@@ -16,6 +16,7 @@ from wayfold.operators import marine as ma
 from wayfold.operators.windows import cut
 from wayfold.sources import sinks
 from wayfold.storage import new_path
+from wayfold.streaming.ordered import use_rocks
 
 c = F.col
 
@@ -59,6 +60,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     once. Complete mode keeps the newest folder, append and update mode all of them.
     """
     spark = stream.sparkSession
+    use_rocks(spark)        # state on disk, not in the memory of a task
     root = scratch(spark)
     last = {"id": -1}
 
@@ -170,7 +172,11 @@ def once(messages: DataFrame, keys: list[str], at: str = "ts", delay: str = "1 h
 
 
 def ingest(messages: DataFrame, table: str, keys: list[str], at: str = "ts", delay: str = "1 hour") -> None:
-    """AIS or track messages into a table, once per key over all batches; a batch owns its folder, so a re-run replaces it."""
+    """AIS or track messages into a table, once per key over all batches; a batch owns its folder, so a re-run replaces it.
+
+    Keys wait in the RocksDB store, on disk: their number grows with the messages within the delay, and no task holds them in memory.
+    """
+    use_rocks(messages.sparkSession)
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/data/batch={epoch}")
 
