@@ -17,8 +17,11 @@ def hot_keys(df: DataFrame, on: list[str], least: int = LEAST) -> DataFrame | No
 
     At most four keys for each shuffle partition can pass that line, however large the table is.
     """
-    partitions = int(df.sparkSession.conf.get(PARTS_SETTING))
-    sizes = cut(df.groupBy(*on).agg(F.count("*").alias("_rows")))
+    return _hot_of(cut(df.groupBy(*on).agg(F.count("*").alias("_rows"))), on, least)
+
+
+def _hot_of(sizes: DataFrame, on: list[str], least: int) -> DataFrame | None:
+    partitions = int(sizes.sparkSession.conf.get(PARTS_SETTING))
     total, most = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
     line = max(least, (total or 0) // (4 * partitions))
     if most is None or most <= line:
@@ -48,6 +51,16 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], least: int = LEAS
     return join_dealt(left, right, on, hot_keys(left, on, least))
 
 
+def by_place(points: DataFrame, on: list[str], find, least: int = LEAST) -> DataFrame:
+    """Inner join of points with ``find`` of their places, the distinct values of ``on``.
+
+    What depends on ``on`` alone is so worked out once for each place, however many points are there. ``find`` takes a frame
+    of ``on`` and gives back ``on`` with further columns. ``points`` are read twice; those of a crowded place are dealt over tasks.
+    """
+    sizes = cut(points.groupBy(*on).agg(F.count("*").alias("_rows")))
+    return join_dealt(points, find(sizes.drop("_rows")), on, _hot_of(sizes, on, least))
+
+
 def spread(df: DataFrame, keys: tuple = ("flight_id", "ts")) -> DataFrame:
     """Even out rows over the session's shuffle partitions before per-row geometry that costs far more than its bytes."""
     return df.repartition(int(df.sparkSession.conf.get(PARTS_SETTING)), *keys)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo
-from wayfold.operators.hotkeys import PARTS_SETTING, hot_keys, join_by_slice, join_dealt, join_hot, spread
+from wayfold.operators.hotkeys import PARTS_SETTING, by_place, hot_keys, join_by_slice, join_dealt, join_hot, spread
 from wayfold.operators.segments import nearest_line
+from wayfold.operators.shapes import in_ring, measured, near_side
 from wayfold.operators.windows import SLICE, cut, running_sum, sliced_row_number, with_neighbours, with_slice
 
 c = F.col
@@ -188,12 +189,24 @@ def nearby_corridors(points: DataFrame, paths: DataFrame, max_nm: float = 30.0,
 
 
 # -- containment
-def points_in_turn_zones(points: DataFrame, turns: DataFrame, tolerance: float = 0.0, default: float = C.LAYERS["turn_radius_nm"]) -> DataFrame:
-    """Keys of points within the radius of a turn zone, for zones of any number, by cells."""
+PLACE = ["lat", "lon"]
+
+
+def _zone_places(places: DataFrame, turns: DataFrame, tolerance: float, default: float) -> DataFrame:
     z = turns.select(F.array(F.struct("lat", "lon")).alias("_v"), c("lat").alias("_zlat"), c("lon").alias("_zlon"),
                      (F.coalesce("radius_nm", F.lit(default)) + tolerance).alias("_r"))
-    j = _by_cells(points.select("flight_id", "ts", "lat", "lon"), z, c("_v"), c("_r"))
-    return j.where(geo.haversine("lat", "lon", c("_zlat"), c("_zlon")) <= c("_r")).select("flight_id", "ts").distinct()
+    j = _by_cells(places, z, c("_v"), c("_r"))
+    return j.where(geo.haversine("lat", "lon", c("_zlat"), c("_zlon")) <= c("_r")).select(*PLACE).distinct()
+
+
+def points_in_turn_zones(points: DataFrame, turns: DataFrame, tolerance: float = 0.0, default: float = C.LAYERS["turn_radius_nm"]) -> DataFrame:
+    """Keys of points within the radius of a turn zone, for zones of any number, by cells."""
+    return _points_at(points, lambda places: _zone_places(places, turns, tolerance, default))
+
+
+def _points_at(points: DataFrame, find) -> DataFrame:
+    """Keys of the points at the places that ``find`` picks."""
+    return by_place(points.select("flight_id", "ts", "lat", "lon"), PLACE, find).select("flight_id", "ts").distinct()
 
 
 def mark_turn_zones(points: DataFrame, turns: DataFrame, name: str, tolerance: float = 0.0, default: float = C.LAYERS["turn_radius_nm"]) -> DataFrame:
@@ -217,32 +230,44 @@ def _by_cells(points: DataFrame, areas: DataFrame, verts: Column, reach_nm: Colu
     a = a.withColumn("_cy", F.explode(F.sequence(f("_s"), f("_n")))).withColumn("_cx", F.explode(F.sequence(f("_w"), f("_e"))))
     p = points.withColumns({"_cy": F.floor(c("lat") / cell), "_cx": F.floor(c("lon") / cell)})
     on = ["_cy", "_cx", *also]
-    return (join_dealt(spread(p) if even else p, a, on, hot_keys(p, on)).where(c("lat").between(c("_s"), c("_n")) & c("lon").between(c("_w"), c("_e")))
+    return (join_dealt(spread(p, tuple(p.columns)) if even else p, a, on, hot_keys(p, on)).where(c("lat").between(c("_s"), c("_n")) & c("lon").between(c("_w"), c("_e")))
             .drop("_cy", "_cx", "_s", "_n", "_w", "_e"))
 
 
+def _procedure_places(places: DataFrame, procedures: DataFrame, tolerance: float) -> DataFrame:
+    pr = procedures.where(F.size("centerline") >= 2).select("centerline", (F.coalesce("width_nm", F.lit(C.LAYERS["proc_width_nm"])) + tolerance).alias("_r"))
+    j = _by_cells(places, pr, c("centerline"), c("_r"), even=True)
+    return measured(j.select(*PLACE, "_r", "centerline")).where("d <= _r").select(*PLACE).distinct()
+
+
 def points_on_procedure(points: DataFrame, procedures: DataFrame, tolerance: float = C.LAYERS["proc_tol_nm"]) -> DataFrame:
     """Keys of points within width plus tolerance of a procedure centreline."""
-    pr = procedures.where(F.size("centerline") >= 2).select("centerline", (F.coalesce("width_nm", F.lit(C.LAYERS["proc_width_nm"])) + tolerance).alias("_r"))
-    j = _by_cells(points.select("flight_id", "ts", "lat", "lon"), pr, c("centerline"), c("_r"), even=True)
-    return j.where(geo.polyline_distance("lat", "lon", "centerline")["distance_nm"] <= c("_r")).select("flight_id", "ts").distinct()
+    return _points_at(points, lambda places: _procedure_places(places, procedures, tolerance))
 
 
-def points_in_corridors(points: DataFrame, paths: DataFrame) -> DataFrame:
-    """Keys of points inside the corridor polygon of a learned path."""
+def _corridor_places(places: DataFrame, paths: DataFrame) -> DataFrame:
     # Written once: left as an expression, the ring would be rebuilt at every use.
     ring = cut(paths.select(geo.corridor("centerline", "width_nm").alias("ring")).where("ring is not null"))
-    j = _by_cells(points.select("flight_id", "ts", "lat", "lon"), ring, c("ring"), F.lit(0.5), even=True)
-    return j.where(geo.point_in_ring("lat", "lon", "ring")).select("flight_id", "ts").distinct()
+    j = _by_cells(places, ring, c("ring"), F.lit(0.5), even=True)
+    return in_ring(j.select(*PLACE, "ring")).distinct()
+
+
+def points_in_corridors(points: DataFrame, paths: DataFrame) -> DataFrame:
+    """Keys of points inside the corridor polygon of a learned path."""
+    return _points_at(points, lambda places: _corridor_places(places, paths))
 
 
 def mark_known_places(pts: DataFrame, paths: DataFrame, procedures: DataFrame, turns: DataFrame) -> DataFrame:
     """Add in_turn (learned turn) and known_place (corridor, procedure or turn zone) for the turn rule."""
-    known = points_in_corridors(pts, paths).unionByName(points_on_procedure(pts, procedures)).distinct().withColumn("_k", F.lit(True))
-    zone = points_in_turn_zones(pts, turns, C.LAYERS["turn_tol_nm"], C.LAYERS["zone_radius_nm"])
-    known = known.unionByName(zone.withColumn("_k", F.lit(True))).distinct()
-    return (mark_turn_zones(pts, turns, "in_turn").join(known, ["flight_id", "ts"], "left")
-            .withColumn("known_place", F.coalesce("_k", F.lit(False))).drop("_k"))
+    def marked(places):
+        known = (_corridor_places(places, paths).unionByName(_procedure_places(places, procedures, C.LAYERS["proc_tol_nm"]))
+                 .unionByName(_zone_places(places, turns, C.LAYERS["turn_tol_nm"], C.LAYERS["zone_radius_nm"])).distinct())
+        turn = _zone_places(places, turns, 0.0, C.LAYERS["turn_radius_nm"])
+        flag = lambda df, name: places.join(df.withColumn(name, F.lit(True)), PLACE, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        return flag(turn, "in_turn").join(flag(known, "known_place"), PLACE)
+
+    nowhere = pts.where("lat is null or lon is null").withColumns({"in_turn": F.lit(False), "known_place": F.lit(False)})
+    return by_place(pts, PLACE, marked).select(nowhere.columns).unionByName(nowhere)
 
 
 def tube_membership(points: DataFrame, tubes: DataFrame, alt_tol: float = C.PATHS["tube_ft"],
@@ -255,18 +280,20 @@ def tube_membership(points: DataFrame, tubes: DataFrame, alt_tol: float = C.PATH
                                                 F.coalesce("max_alt_ft", F.lit(50000.0)).alias("_hi"), *also)
     alt = F.coalesce(c("alt"), F.lit(0.0))
     pts = points.select("flight_id", "ts", "lat", "lon", alt.alias("alt"), *also)
+    on = ["lat", "lon", "alt", *also]
     level = c("alt").between(c("_lo") - alt_tol, c("_hi") + alt_tol)
-    inside = _by_cells(pts, t, c("ring"), F.lit(0.5), also=also, even=True).where(level & geo.point_in_ring("lat", "lon", "ring"))
-    # Nearness is a matter of single sides: they are listed in their own, smaller cells.
-    shifted = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
-    sides = t.withColumn("_e", F.explode(F.arrays_zip(c("ring").alias("p"), shifted.alias("q")))).drop("ring")
-    sides = sides.withColumns({"p": c("_e")["p"], "q": c("_e")["q"]}).drop("_e")
-    close = _by_cells(pts, sides, F.array("p", "q"), F.lit(side_tol), cell=0.1, also=also, even=True).where(level)
-    samples = [geo.half_chord("lat", "lon", c("p.lat") + i / 10 * (c("q.lat") - c("p.lat")), c("p.lon") + i / 10 * (c("q.lon") - c("p.lon")))
-               for i in range(11)]
-    close = close.where(geo.chord_to_distance(F.least(*samples)) <= side_tol)
-    keys = ["flight_id", "ts", "tube_id"]
-    return inside.select(*keys).unionByName(close.select(*keys)).distinct()
+
+    def found(places):
+        inside = in_ring(_by_cells(places, t, c("ring"), F.lit(0.5), also=also, even=True).where(level).select(*on, "tube_id", "ring"))
+        # Nearness is a matter of single sides: they are listed in their own, smaller cells.
+        shifted = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
+        sides = t.withColumn("_e", F.explode(F.arrays_zip(c("ring").alias("p"), shifted.alias("q")))).drop("ring")
+        sides = sides.withColumns({"p": c("_e")["p"], "q": c("_e")["q"]}).drop("_e")
+        close = _by_cells(places, sides, F.array("p", "q"), F.lit(side_tol), cell=0.1, also=also, even=True).where(level)
+        close = near_side(close.select(*on, "tube_id", "p", "q"), side_tol)
+        return inside.unionByName(close).distinct()
+
+    return by_place(pts, on, found).select("flight_id", "ts", "tube_id").distinct()
 
 
 def heat_cells(tracks: DataFrame, cell: float = C.PATHS["cell_deg"]) -> DataFrame:
@@ -307,12 +334,17 @@ def off_course_points(pts: DataFrame, meta: DataFrame, tubes: DataFrame, paths:
     inside = cut(inside)
     keys = ["flight_id", "ts"]
     out = cut(use.join(inside.select(*keys), keys, "left_anti"))
-    d = geo.polyline_distance("lat", "lon", "centerline")
-    mine = out.where("own_paths")
-    routed = (join_dealt(spread(mine), cand, ["route"], hot_keys(mine, ["route"])).withColumn("_m", d)
-              .groupBy(*keys).agg(F.min(F.struct(F.coalesce(c("_m")["distance_nm"], F.lit(999.0)).alias("d"), "id", "width_nm",
-                                                 c("_m")["position"].alias("pos"))).alias("b")))
-    free = nearest_line(out.where("not own_paths"), paths, keys).select(*keys, F.struct("d", "id", "width_nm", "pos").alias("b"))
+    def on_route(places):
+        m = measured(join_dealt(spread(places, tuple(at)), cand, ["route"], hot_keys(places, ["route"])).select(*at, "id", "width_nm", "centerline"))
+        return m.groupBy(*at).agg(F.min(F.struct(F.coalesce("d", F.lit(999.0)).alias("d"), "id", "width_nm", "pos")).alias("b"))
+
+    def anywhere(places):
+        near = nearest_line(places.withColumns({"_la": c("lat"), "_lo": c("lon")}), paths, ["_la", "_lo"])
+        return near.select(c("_la").alias("lat"), c("_lo").alias("lon"), F.struct("d", "id", "width_nm", "pos").alias("b"))
+
+    at = ["route", *PLACE]
+    routed = by_place(out.where("own_paths"), at, on_route).select(*keys, "b")
+    free = by_place(out.where("not own_paths"), PLACE, anywhere).select(*keys, "b")
     near = (out.select(*keys, "lat", "lon").join(routed.unionByName(free), keys, "left")
             .withColumn("b", F.coalesce("b", F.struct(F.lit(999.0).alias("d"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("width_nm"),
                                                       F.lit(None).cast("double").alias("pos")))))
@@ -363,7 +395,7 @@ def emerging_paths(far: DataFrame, tracks: DataFrame, bucket: int = C.PATHS["buc
     # n waypoints per promoted flight: a bounded list.
     line = F.transform(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon"))), lambda s: F.struct(s["lat"].alias("lat"), s["lon"].alias("lon")))
     paths = cut(way.groupBy("flight_id").agg(line.alias("centerline")))
-    width = (own.join(paths, "flight_id").withColumn("d", geo.polyline_distance("lat", "lon", "centerline")["distance_nm"])
+    width = (measured(own.select("flight_id", "lat", "lon").join(paths, "flight_id"))
              .groupBy("flight_id").agg(F.greatest(F.stddev_pop("d"), F.lit(2.0)).alias("width_nm")))
     return paths.join(width, "flight_id").join(hits, "flight_id")
 

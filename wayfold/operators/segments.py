@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions import geo
 from wayfold.operators.hotkeys import hot_keys, join_dealt, join_hot, spread
+from wayfold.operators.shapes import measured
 from wayfold.operators.windows import cut
 
 c = F.col
@@ -62,8 +62,8 @@ def _pieces(lines: DataFrame, height: float, margin: int) -> DataFrame:
 def _nearest(pairs: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """Least (d, id, width_nm, pos) of (keys, lat, lon, id) pairs."""
     pairs = cut(pairs)
-    m = join_dealt(spread(pairs, keys), lines.select("id", "centerline", "width_nm"), ["id"], hot_keys(pairs, ["id"])).withColumn("_m", geo.polyline_distance("lat", "lon", "centerline"))
-    best = F.min(F.struct(c("_m.distance_nm").alias("d"), "id", "width_nm", c("_m.position").alias("pos"))).alias("b")
+    m = measured(join_dealt(spread(pairs, keys), lines.select("id", "centerline", "width_nm"), ["id"], hot_keys(pairs, ["id"])))
+    best = F.min(F.struct("d", "id", "width_nm", "pos")).alias("b")
     return m.groupBy(*keys).agg(best).select(*keys, "b.*")
 
 
