@@ -51,14 +51,15 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], least: int = LEAS
     return join_dealt(left, right, on, hot_keys(left, on, least))
 
 
-def by_place(points: DataFrame, on: list[str], find, least: int = LEAST) -> DataFrame:
+def by_place(points: DataFrame, on: list[str], find, least: int = LEAST, sized: bool = False) -> DataFrame:
     """Inner join of points with ``find`` of their places, the distinct values of ``on``.
 
     What depends on ``on`` alone is so worked out once for each place, however many points are there. ``find`` takes a frame
-    of ``on`` and gives back ``on`` with further columns. ``points`` are read twice; those of a crowded place are dealt over tasks.
+    of ``on``, with ``sized`` also ``_rows``, the number of points there, and gives back ``on`` with further columns. ``points``
+    are read twice; those of a crowded place are dealt over tasks.
     """
     sizes = cut(points.groupBy(*on).agg(F.count("*").alias("_rows")))
-    return join_dealt(points, find(sizes.drop("_rows")), on, _hot_of(sizes, on, least))
+    return join_dealt(points, find(sizes if sized else sizes.drop("_rows")), on, _hot_of(sizes, on, least))
 
 
 def spread(df: DataFrame, keys: tuple = ("flight_id", "ts")) -> DataFrame:

@@ -5,6 +5,9 @@ reaches, about three, as slices and cells are wide against the reach. Inside a p
 order, and a sweep looks only at what is near in time: two binary searches over all groups of a chunk at once. What a
 caller wants of the pairs (the first for each left point, the closest of each two flights) is picked there, so that pairs
 themselves are never shuffled.
+
+Points of different flights at one place and time have the same neighbours but for themselves. ``near_counts`` and ``first_near``
+sweep the distinct places alone, and set the own flight apart afterwards, so that copies in place don't multiply the pairs.
 """
 
 from __future__ import annotations
@@ -12,11 +15,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from wayfold import config as C
+from wayfold.operators.hotkeys import by_place
 from wayfold.storage import written
 
 c = F.col
@@ -24,6 +28,7 @@ HOT = 20_000            # left rows of a group above which it is split
 CHUNK = 131_072         # rows looked at together
 PAIRS = 1 << 20         # pairs in memory at once
 KEYS = ["_slice", "_y", "_x", "_salt"]
+AT = ["ts", "lat", "lon", "alt"]
 
 
 def _haversine(la1, lo1, la2, lo2):
@@ -54,7 +59,7 @@ def _grouped(left: DataFrame, right: DataFrame, nm: float, seconds: int, hot: in
         return a.withColumn("_salt", F.lit(0)), b.withColumn("_salt", F.lit(0))
     size = F.broadcast(size) if n <= C.INLINE_DIM_ROWS else size
     on = ["_slice", "_y", "_x"]
-    a = a.join(size, on, "left").withColumn("_salt", F.pmod(F.xxhash64("flight_id", "ts"), F.coalesce("_s", F.lit(1))).cast("int")).drop("_s")
+    a = a.join(size, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_s", F.lit(1))).cast("int")).drop("_s")
     b = b.join(size, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1))).drop("_s")
     return a, b
 
@@ -75,11 +80,14 @@ def near_swept(left: DataFrame, right: DataFrame, nm: float, seconds: int, feet:
     Both frames have flight_id, ts, lat, lon, with ``feet`` alt, with ``differ`` a column whose values must differ. ``ordered``
     keeps pairs whose first flight id is the smaller. ``best`` is None for all pairs, "point" for the first right point (by ts,
     then flight id) of each left row, or "flights" for candidates of the closest pair of each two flights: callers take the least of them.
+    Two more are for left rows that are places, without a flight: "weight" gives the sum ``near`` of the right column ``_rows``
+    instead of pairs, "two" the first right point and the first of another flight than that, which is then named in ``first``.
     Null flights, times and positions pair with nothing. Cells don't wrap at the 180th meridian. Left groups of more than
     ``hot`` rows are split and their right rows copied to each part.
     """
-    known = " and ".join(f"{x} is not null" for x in ("flight_id", "ts", "lat", "lon"))
-    a, b = _grouped(left.where(known), right.where(known), nm, seconds, hot)
+    known = lambda df: df.where(" and ".join(f"{x} is not null" for x in ("flight_id", "ts", "lat", "lon") if x in df.columns))
+    a, b = _grouped(known(left), known(right), nm, seconds, hot)
+    places = best in ("weight", "two")
     names = [("a", x) for x in left.columns] + [("b", x) for x in right.columns]
     packed = lambda df, side, other: df.select(*KEYS, c("ts").alias("_ts"), F.lit(side == "b").alias("_right"),
                                                F.struct(*[c(x) for x in df.columns if x not in KEYS]).alias(side),
@@ -88,6 +96,10 @@ def near_swept(left: DataFrame, right: DataFrame, nm: float, seconds: int, feet:
     both = both.repartition(*KEYS).sortWithinPartitions(*KEYS, "_ts")
     fields = [StructField(f"{side}_{x}", (left if side == "a" else right).schema[x].dataType) for side, x in names]
     out = StructType([*fields, StructField("nm", DoubleType())])
+    if best == "weight":
+        out = StructType([*fields[:len(left.columns)], StructField("near", LongType())])
+    elif best == "two":
+        out = StructType([*out.fields, StructField("first", StringType())])
     dlat = nm / 59.5
 
     def pairs_of(table: pa.Table):
@@ -104,8 +116,9 @@ def near_swept(left: DataFrame, right: DataFrame, nm: float, seconds: int, feet:
             return
         a_, b_ = table["a"].combine_chunks().take(pa.array(ia)), table["b"].combine_chunks().take(pa.array(ib))
         get = lambda x, f: x.field(f).to_numpy(zero_copy_only=False)
-        every = _ranks(pa.concat_arrays([a_.field("flight_id").cast(pa.string()), b_.field("flight_id").cast(pa.string())]))
-        fa, fb = every[:len(ia)], every[len(ia):]
+        flights = [x.field("flight_id").cast(pa.string()) for x in (a_, b_) if best != "weight" and not (places and x is a_)]
+        every = _ranks(pa.concat_arrays(flights)) if flights else None
+        fa, fb = (None, every) if places else (every[:len(ia)], every[len(ia):])
         ka, kb = key[ia], key[ib]
         lo, hi = np.searchsorted(kb, ka - seconds, "left"), np.searchsorted(kb, ka + seconds, "right")
         ends = np.cumsum(hi - lo)
@@ -117,8 +130,9 @@ def near_swept(left: DataFrame, right: DataFrame, nm: float, seconds: int, feet:
             n = hi[at:to] - lo[at:to]
             x = np.repeat(np.arange(at, to), n)
             y = np.arange(n.sum()) + np.repeat(lo[at:to] - (np.cumsum(n) - n), n)
-            on = (fa[x] < fb[y]) if ordered else (fa[x] != fb[y])
-            on &= np.abs(la[x] - lb[y]) <= dlat
+            on = np.abs(la[x] - lb[y]) <= dlat
+            if not places:
+                on &= (fa[x] < fb[y]) if ordered else (fa[x] != fb[y])
             x, y = x[on], y[on]
             if feet is not None:
                 on = np.abs(get(a_, "alt")[x] - get(b_, "alt")[y]) <= feet
@@ -129,7 +143,27 @@ def near_swept(left: DataFrame, right: DataFrame, nm: float, seconds: int, feet:
             if differ is not None and len(x):
                 on = pc.not_equal(a_.field(differ).take(pa.array(x)), b_.field(differ).take(pa.array(y))).fill_null(False).to_numpy(zero_copy_only=False)
                 x, y, d = x[on], y[on], d[on]
-            if best == "point":
+            if best == "weight":
+                near = np.zeros(to - at, np.int64)
+                np.add.at(near, x - at, get(b_, "_rows")[y])
+                some = np.flatnonzero(near)
+                if len(some):
+                    ta = a_.take(pa.array(some + at))
+                    yield pa.RecordBatch.from_arrays([*(ta.field(f) for s, f in names if s == "a"), pa.array(near[some])], out.names)
+                at = to
+                continue
+            first = None
+            if best == "two":
+                order = np.lexsort((fb[y], kb[y], x))
+                x, y, d = x[order], y[order], d[order]
+                starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+                head = np.repeat(starts, np.diff(np.append(starts, len(x))))        # where the first of each place is
+                others = np.flatnonzero(fb[y] != fb[y[head]])
+                others = others[np.concatenate([[True], x[others][1:] != x[others][:-1]])] if len(others) else others
+                first = [*[None] * len(starts), *b_.field("flight_id").cast(pa.string()).take(pa.array(y[head[others]], pa.int64())).to_pylist()]
+                order = np.concatenate([starts, others])
+                x, y, d = x[order], y[order], d[order]
+            elif best == "point":
                 order = np.lexsort((fb[y], kb[y], x))
                 order = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])] if len(order) else order
                 x, y, d = x[order], y[order], d[order]
@@ -141,7 +175,8 @@ def near_swept(left: DataFrame, right: DataFrame, nm: float, seconds: int, feet:
                 x, y, d = x[on], y[on], d[on]
             if len(x):
                 ta, tb = a_.take(pa.array(x)), b_.take(pa.array(y))
-                yield pa.RecordBatch.from_arrays([*((ta if s == "a" else tb).field(f) for s, f in names), pa.array(d)], [*(f"{s}_{f}" for s, f in names), "nm"])
+                more = [] if first is None else [pa.array(first, pa.string())]
+                yield pa.RecordBatch.from_arrays([*((ta if s == "a" else tb).field(f) for s, f in names), pa.array(d), *more], out.names)
             at = to
 
     def run(batches):
@@ -164,3 +199,44 @@ def near_swept(left: DataFrame, right: DataFrame, nm: float, seconds: int, feet:
             yield from pairs_of(pa.Table.from_batches(held))
 
     return both.mapInArrow(run, out)
+
+
+def _at_places(found: DataFrame) -> DataFrame:
+    return found.withColumnsRenamed({f"a_{x}": x for x in AT})
+
+
+def near_counts(points: DataFrame, nm: float, seconds: int, feet: float) -> DataFrame:
+    """Number of pairs with points of other flights within nm, seconds and feet: flight_id, pairs; flights with none are left out."""
+    finite = " and ".join(f"abs({x}) < double('infinity')" for x in ("lat", "lon", "alt"))
+    p = points.select("flight_id", *AT).where(f"flight_id is not null and ts is not null and {finite}")
+    swept = lambda places: _at_places(near_swept(places.drop("_rows"), places, nm, seconds, feet, best="weight"))
+    near = by_place(p, AT, swept, sized=True).groupBy("flight_id").agg(F.sum("near").alias("near"))
+    # Every pair of a flight with itself, each point's with its own place among them, by the same arithmetic.
+    width = 2 * seconds
+    a = p.withColumn("_slice", F.floor(c("ts") / width))
+    b = p.withColumnsRenamed({x: f"b_{x}" for x in AT})
+    b = b.withColumn("_slice", F.explode(F.sequence(F.floor((c("b_ts") - seconds) / width), F.floor((c("b_ts") + seconds) / width))))
+    own = a.join(b, ["flight_id", "_slice"]).where((F.abs(c("ts") - c("b_ts")) <= seconds) & (F.abs(c("alt") - c("b_alt")) <= feet))
+
+    def close(batches):
+        for batch in batches:
+            la, lo, lb, ob = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("lat", "lon", "b_lat", "b_lon"))
+            on = (np.abs(la - lb) <= nm / 59.5) & (_haversine(la, lo, lb, ob) <= nm)
+            yield batch.select(["flight_id"]).filter(pa.array(on))
+
+    own = own.select("flight_id", "lat", "lon", "b_lat", "b_lon").mapInArrow(close, own.select("flight_id").schema)
+    own = own.groupBy("flight_id").agg(F.count("*").alias("own"))
+    return near.join(own, "flight_id").select("flight_id", (c("near") - c("own")).alias("pairs")).where("pairs > 0")
+
+
+def first_near(left: DataFrame, right: DataFrame, nm: float, seconds: int, feet: float) -> DataFrame:
+    """For each left row the first right point (by ts, then flight id) of another flight: left columns, b_* columns, ``nm``.
+
+    The two least flights of a place are enough of the right side, and so are the first point and the first of another
+    flight than that for a place of the left side: one of them is the answer, whatever flight asks.
+    """
+    least = F.dense_rank().over(Window.partitionBy(*AT).orderBy("flight_id"))
+    two = right.where("flight_id is not null").withColumn("_rank", least).where("_rank <= 2").drop("_rank")
+    swept = lambda places: _at_places(near_swept(places, two, nm, seconds, feet, best="two"))
+    found = by_place(left.where("flight_id is not null"), AT, swept)
+    return found.where("case when first is null then b_flight_id <> flight_id else first = flight_id end").drop("first")

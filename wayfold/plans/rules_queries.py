@@ -8,7 +8,7 @@ from wayfold import config as C
 from wayfold.functions import geo, keys
 from wayfold.operators import clusters as cl, layers as ly, rules as ru, sequence as sq, spatial as sp, turns, zones as zo
 from wayfold.operators.paths import similar_paths
-from wayfold.operators.sweep import near_swept
+from wayfold.operators.sweep import near_counts
 from wayfold.operators.windows import first_per_key
 from wayfold.plans.core_queries import r4, ring_lit, first_zone
 from wayfold.plans.registry import query, sql_bearing, sql_cell, sql_delta, sql_fixed, sql_hav, sql_mean
@@ -62,7 +62,7 @@ from q where nm <= 4 and da <= 999 group by 1, 2""")(
 query("d07_near_in_time", """
 select a.flight_id, count(*) as pairs from tracks a join tracks b on b.ts between a.ts-5 and a.ts+5 and a.flight_id <> b.flight_id and b.lat between a.lat - 0.07 and a.lat + 0.07
 where """ + sql_hav("a.lat", "a.lon", "b.lat", "b.lon") + " <= 4 and abs(a.alt-b.alt) <= 999 group by 1")(
-    lambda t: near_swept(*[t.tracks.select("flight_id", "ts", "lat", "lon", "alt")] * 2, 4, 5, 999).groupBy(c("a_flight_id").alias("flight_id")).agg(F.count("*").alias("pairs")))
+    lambda t: near_counts(t.tracks, 4, 5, 999))
 
 # A field in the middle of the sample's departures and a second pass over it, so that the rule has something to find.
 FIELD = "select 90 as ord, 'XFLD' as code, cast(29.8 as double) as lat, cast(33.25 as double) as lon, 500 as elevation_ft"
