@@ -14,7 +14,7 @@ from wayfold import config as C
 from wayfold.functions import geo, keys
 from wayfold.operators.hotkeys import join_by_slice
 from wayfold.operators.nearest import bounded_rows, nearest_airport, near_places
-from wayfold.operators.sweep import near_swept
+from wayfold.operators.sweep import first_near
 from wayfold.operators.windows import SLICE, first_per_key, with_halo, with_neighbours
 
 c = F.col
@@ -117,10 +117,9 @@ def proximity(pts: DataFrame, tracks: DataFrame) -> DataFrame:
     p = C.PROXIMITY
     own = pts.where(~c("impossible") & (c("alt") >= p["min_alt_ft"]) & (c("ap_nm") > p["airport_nm"])).select("flight_id", "ts", "lat", "lon", "alt")
     other = tracks.where(c("alt") >= p["min_alt_ft"]).select("flight_id", "ts", "lat", "lon", "alt", "callsign")
-    found = near_swept(own, other, p["nm"], p["sync_s"], p["alt_ft"], best="point")
-    return found.select(c("a_flight_id").alias("flight_id"), c("a_ts").alias("ts"), c("a_lat").alias("lat"), c("a_lon").alias("lon"), c("a_alt").alias("alt"),
-                        c("b_flight_id").alias("other"), c("b_callsign").alias("other_callsign"), F.round("nm", 2).alias("distance_nm"),
-                        F.round(F.abs(c("a_alt") - c("b_alt")), 1).alias("altitude_diff_ft"))
+    found = first_near(own, other, p["nm"], p["sync_s"], p["alt_ft"])
+    return found.select("flight_id", "ts", "lat", "lon", "alt", c("b_flight_id").alias("other"), c("b_callsign").alias("other_callsign"),
+                        F.round("nm", 2).alias("distance_nm"), F.round(F.abs(c("alt") - c("b_alt")), 1).alias("altitude_diff_ft"))
 
 
 # -- rule 6
