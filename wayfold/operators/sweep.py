@@ -205,16 +205,25 @@ def _at_places(found: DataFrame) -> DataFrame:
     return found.withColumnsRenamed({f"a_{x}": x for x in AT})
 
 
-def near_counts(points: DataFrame, nm: float, seconds: int, feet: float) -> DataFrame:
-    """Number of pairs with points of other flights within nm, seconds and feet: flight_id, pairs; flights with none are left out."""
+def near_counts(points: DataFrame, nm: float, seconds: int, feet: float, right: DataFrame | None = None) -> DataFrame:
+    """Number of pairs with points of other flights within nm, seconds and feet: flight_id, pairs; flights with none are left out.
+
+    The others are the points of ``right``, if given, else ``points`` themselves.
+    """
     finite = " and ".join(f"abs({x}) < double('infinity')" for x in ("lat", "lon", "alt"))
-    p = points.select("flight_id", *AT).where(f"flight_id is not null and ts is not null and {finite}")
-    swept = lambda places: _at_places(near_swept(places.drop("_rows"), places, nm, seconds, feet, best="weight"))
+    usable = lambda df: df.select("flight_id", *AT).where(f"flight_id is not null and ts is not null and {finite}")
+    p = usable(points)
+    q = p if right is None else usable(right)
+
+    def swept(places):
+        others = places if right is None else q.groupBy(*AT).agg(F.count("*").alias("_rows"))
+        return _at_places(near_swept(places.drop("_rows"), others, nm, seconds, feet, best="weight"))
+
     near = by_place(p, AT, swept, sized=True).groupBy("flight_id").agg(F.sum("near").alias("near"))
     # Every pair of a flight with itself, each point's with its own place among them, by the same arithmetic.
     width = 2 * seconds
     a = p.withColumn("_slice", F.floor(c("ts") / width))
-    b = p.withColumnsRenamed({x: f"b_{x}" for x in AT})
+    b = q.withColumnsRenamed({x: f"b_{x}" for x in AT})
     b = b.withColumn("_slice", F.explode(F.sequence(F.floor((c("b_ts") - seconds) / width), F.floor((c("b_ts") + seconds) / width))))
     own = a.join(b, ["flight_id", "_slice"]).where((F.abs(c("ts") - c("b_ts")) <= seconds) & (F.abs(c("alt") - c("b_alt")) <= feet))
 
@@ -226,7 +235,8 @@ def near_counts(points: DataFrame, nm: float, seconds: int, feet: float) -> Data
 
     own = own.select("flight_id", "lat", "lon", "b_lat", "b_lon").mapInArrow(close, own.select("flight_id").schema)
     own = own.groupBy("flight_id").agg(F.count("*").alias("own"))
-    return near.join(own, "flight_id").select("flight_id", (c("near") - c("own")).alias("pairs")).where("pairs > 0")
+    others = c("near") - F.coalesce("own", F.lit(0))
+    return near.join(own, "flight_id", "left").select("flight_id", others.alias("pairs")).where("pairs > 0")
 
 
 def first_near(left: DataFrame, right: DataFrame, nm: float, seconds: int, feet: float) -> DataFrame:

@@ -102,8 +102,9 @@ query("f05_anomalies_since", f"select flight_id, ts, n_events from reports where
 
 
 def _f06(t):
-    s = _tracks(t)
-    return sj.drain(sj.proximity_stream(s(), s())).groupBy(c("a_id").alias("flight_id")).agg(F.count("*").alias("pairs"))
+    root = sj.scratch(t.spark)
+    sj.count_proximity(_tracks(t)(), root)
+    return t.spark.read.parquet(f"{root}/pairs").groupBy("flight_id").agg(F.sum("pairs").alias("pairs"))
 
 
 query("f06_live_proximity", "select a.flight_id, count(*) as pairs from tracks a join tracks b on b.ts between a.ts-5 and a.ts+5 and a.flight_id <> b.flight_id and b.lat between a.lat - 0.07 and a.lat + 0.07 where "

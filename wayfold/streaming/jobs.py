@@ -13,6 +13,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from wayfold.functions import geo
 from wayfold.operators import marine as ma
+from wayfold.operators.sweep import near_counts
 from wayfold.operators.windows import cut
 from wayfold.sources import sinks
 from wayfold.storage import new_path
@@ -161,6 +162,27 @@ def proximity_stream(left: DataFrame, right: DataFrame, nm: float = 4.0, seconds
     return a.join(b, cond).select("a_id", "a_ts", "b_id", "b_ts")
 
 
+def count_proximity(points: DataFrame, root: str, nm: float = 4.0, seconds: int = 5, ft: float = 999.0) -> None:
+    """Close pairs for each flight over a stream of points: each batch adds (flight_id, pairs) below ``root``/pairs.
+
+    A batch counts the pairs that have a point of its own: among its points, and with those of earlier batches that are near
+    in time, whose table is below ``root``/points. No pair is kept, a late point counts too, and a batch that is run again gives the same tables.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        batch.select("flight_id", "ts", "lat", "lon", "alt").write.mode("overwrite").parquet(f"{root}/points/batch={epoch}")
+        every = spark.read.parquet(f"{root}/points")
+        new = every.where(c("batch") == epoch).drop("batch")
+        first, last = new.agg(F.min("ts"), F.max("ts")).first()
+        found = near_counts(new, nm, seconds, ft)
+        if first is not None:
+            old = every.where((c("batch") < epoch) & c("ts").between(first - seconds, last + seconds)).drop("batch")
+            found = found.unionByName(near_counts(new, nm, seconds, ft, right=old)).unionByName(near_counts(old, nm, seconds, ft, right=new))
+        found.write.mode("overwrite").parquet(f"{root}/pairs/batch={epoch}")
+
+    points.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start().awaitTermination()
+
+
 def once(messages: DataFrame, keys: list[str], at: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Messages once per key, which must hold the event time. Keys are in state until the watermark has passed them.
 
