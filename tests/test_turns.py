@@ -178,3 +178,25 @@ def test_bound_keeps_all_events_and_drops_slices(spark):
     assert a == b and {x[0] for x in a} >= {"hot"} and {x[3] for x in a} >= {"orbit", "half_turn"} and len(a) > 50
     kept = turns.bounded_anchors(turns.with_halo(pts.select(*turns.COLS), 0, 900), 900, 220.0)
     assert kept.where("flight_id = 'straight'").count() == 0 and 0 < kept.where("_anchor").count() < len(rows)
+
+
+def test_slices_together_give_what_each_gives_alone():
+    r = random.Random(5)
+    parts = [frame(r, n) for n in (500, 1, 40, 500, 3, 300)]
+    starts = np.cumsum([0, *(len(p) for p in parts[:-1])])
+    t = turns._Track(pd.concat(parts, ignore_index=True), starts)
+    every = np.arange(len(t.ts))
+    alone = lambda find: [t2.row("F", *x) for t2 in map(turns._Track, parts) for x in zip(*find(t2, np.arange(len(t2.ts))))]
+    for find in (turns._holding_ends, turns._loop_ends, lambda t2, a: turns._loop_ends(t2, a, at_once=7)):
+        got = [t.row("F", *x) for x in zip(*find(t, every))]
+        assert sorted(got) == sorted(alone(find)) and got
+
+
+def test_chunks_of_the_scan_do_not_matter(spark, monkeypatch):
+    r = random.Random(8)
+    parts = [frame(r, 120).assign(flight_id=f"F{k}", _anchor=True, _slice=k) for k in range(6)]
+    table = turns.pa.Table.from_pandas(pd.concat(parts, ignore_index=True)[[*turns.COLS, "_anchor", "_slice"]], preserve_index=False)
+    rows = lambda: [tuple(x.values()) for b in turns._events(iter(table.to_batches(max_chunksize=50)), turns._holding_ends) for x in b.to_pylist()]
+    whole = rows()
+    monkeypatch.setattr(turns, "CHUNK", 130)
+    assert rows() == whole and len({x[0] for x in whole}) > 1

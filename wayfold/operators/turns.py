@@ -2,15 +2,16 @@
 
 The abrupt-turn part is plain expressions. The accumulation restarts at every point and
 carries direction and reference through glitches, which no window expresses, so it runs
-as a grouped map. Groups are time slices of a track with the look-ahead copied in, not
-whole tracks, so their size is bounded. Only slices with a point from which the heading turns
-enough reach it, and there all such points are followed at once.
+as a map over sorted slices. Slices of a track have the look-ahead copied in and no slice
+holds a whole track, so their size is bounded. Only slices with a point from which the heading
+turns enough reach it, and there the points of many slices are followed at once.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from wayfold.operators.windows import SLICE, cut, first_per_key, with_halo
 c = F.col
 OUT = ("flight_id string, ts bigint, start_ts bigint, pattern string, duration_s bigint, turn_deg double, "
        "path_nm double, displacement_nm double, lat double, lon double")
+CHUNK = 65_536          # rows of whole slices looked at together
 
 
 def abrupt_turns(pts: DataFrame) -> DataFrame:
@@ -58,9 +60,13 @@ def _signed(h1, h0):
 
 
 class _Track:
-    """Arrays of one slice, with path length and low-approach counts as prefix sums."""
+    """Arrays of one slice or, with ``starts``, of several behind one another, with path length and low-approach counts as prefix sums."""
 
-    def __init__(self, pdf: pd.DataFrame):
+    def __init__(self, pdf: pd.DataFrame, starts: np.ndarray | None = None):
+        starts = np.zeros(1, np.int64) if starts is None else starts
+        ends = np.append(starts[1:], len(pdf))
+        self.group = np.repeat(np.arange(len(starts)), ends - starts)
+        self.stop = ends[self.group]
         g = lambda name, fill: pdf[name].astype(float).fillna(fill).to_numpy()
         self.ts = pdf["ts"].to_numpy(np.int64)
         self.lat, self.lon = g("lat", 0.0), g("lon", 0.0)
@@ -70,7 +76,9 @@ class _Track:
         self.quiet = pdf["known_place"].to_numpy(bool)
         self.p_ts, self.p_spd, self.p_hdg = g("prev_ts", np.nan), g("prev_gspeed", 0.0), g("prev_track", np.nan)
         step = _hav(self.lat[:-1], self.lon[:-1], self.lat[1:], self.lon[1:]) if len(pdf) > 1 else np.array([])
-        self.cum = np.concatenate([[0.0], np.cumsum(step)])
+        self.cum = np.zeros(len(pdf))
+        for a, z in zip(starts.tolist(), ends.tolist()):    # each slice for itself: the sums must not depend on its company
+            np.cumsum(step[a:z - 1], out=self.cum[a + 1:z])
         low = (self.nm < 5.0) & (self.alt - self.elev < 2000)
         self.low = np.concatenate([[0], np.cumsum(low)])
 
@@ -89,19 +97,24 @@ def _anchors_ok(t: _Track, i: np.ndarray) -> np.ndarray:
 
 
 def _holdings(fid: str, t: _Track, anchors: np.ndarray):
+    for i, j, pattern, turn in zip(*_holding_ends(t, anchors)):
+        yield t.row(fid, i, j, pattern, turn)
+
+
+def _holding_ends(t: _Track, anchors: np.ndarray):
     """Orbits and half turns: all anchors take a step further in each round, until each has ended.
 
     An anchor follows accepted turning points while the turn keeps its direction, from a reference that starts afresh
-    behind gaps and glitches. The first end that qualifies counts.
+    behind gaps and glitches. The first end that qualifies counts. Gives starts, ends, patterns and turns.
     """
     i = anchors[_anchors_ok(t, anchors)]
-    n, most = len(t.ts), C.TURN["acc_window_s"]
+    most = C.TURN["acc_window_s"]
     end, orbit, amount = np.full(len(i), -1), np.zeros(len(i), bool), np.zeros(len(i))
-    ref, way, turned = i.copy(), np.zeros(len(i)), np.zeros(len(i))
+    ref, way, turned, done = i.copy(), np.zeros(len(i)), np.zeros(len(i)), np.zeros(len(i), bool)
     live, step = np.arange(len(i)), 0
     while len(live):
         step += 1
-        live = live[i[live] + step < n]
+        live = live[i[live] + step < t.stop[i[live]]]
         e = i[live] + step
         seen = ~t.skip[e]
         over = seen & (t.ts[e] - t.ts[i[live]] > most)
@@ -136,32 +149,49 @@ def _holdings(fid: str, t: _Track, anchors: np.ndarray):
         half = ~full & (turned[w] >= 220) & (dur >= 70) & ~t.quiet[e] & (t.nm[e] >= 6.0)
         hit = told | half
         end[w[hit]], orbit[w[hit]], amount[w[hit]] = e[hit], told[hit], turned[w[hit]]
-        live = np.setdiff1d(live, np.concatenate([ended, w[shaped | half]]), assume_unique=True)
-    for k in np.flatnonzero(end >= 0):
-        yield t.row(fid, i[k], end[k], "orbit" if orbit[k] else "half_turn", amount[k])
+        done[ended] = True
+        done[w[shaped | half]] = True
+        live = live[~done[live]]
+    k = np.flatnonzero(end >= 0)
+    return i[k], end[k], np.where(orbit[k], "orbit", "half_turn"), amount[k]
 
 
 def _loops(fid: str, t: _Track, anchors: np.ndarray, at_once: int = 512):
-    """Looser scan for one loop of 70 to 240 s: path against displacement and signed heading. The first anchor's first end counts."""
-    anchors = anchors[(t.spd[anchors] >= 80) & (t.alt[anchors] >= 1500)]
-    for a in range(0, len(anchors), at_once):
-        yielded = _first_loop(t, anchors[a:a + at_once])
-        if yielded:
-            yield t.row(fid, *yielded[:2], "loop", yielded[2])
-            return
+    for i, j, pattern, turn in zip(*_loop_ends(t, anchors, at_once)):
+        yield t.row(fid, i, j, pattern, turn)
 
 
-def _first_loop(t: _Track, i: np.ndarray) -> tuple[int, int, float] | None:
-    n = len(t.ts)
+def _loop_ends(t: _Track, anchors: np.ndarray, at_once: int = 512):
+    """Looser scan for one loop of 70 to 240 s: path against displacement and signed heading. The first anchor's first end counts in each slice.
+
+    Slices go on together, each with ``at_once`` of its anchors, until it has a loop or no more of them.
+    """
+    anchors = anchors[(t.spd[anchors] >= 80) & (t.alt[anchors] >= 1500)]
+    found, parts = np.zeros(int(t.group[-1]) + 1 if len(t.group) else 0, bool), []
+    while len(anchors):
+        g = t.group[anchors]
+        rank = np.arange(len(g)) - np.searchsorted(g, g)
+        now = rank < at_once
+        a, j, x = _first_loops(t, anchors[now])
+        parts.append((a, j, x))
+        found[t.group[a]] = True
+        anchors = anchors[~now & ~found[g]]
+    a, j, x = (np.concatenate(v) for v in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return a, j, np.full(len(a), "loop"), x
+
+
+def _first_loops(t: _Track, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    group, none = t.group[i], len(i)
+    best = np.full(int(group[-1]) + 1 if none else 0, none)       # which anchor of each slice, and its end and turn
+    end, amount = np.zeros(len(best), np.int64), np.zeros(len(best))
     zero = lambda: np.zeros(len(i))
     faults, flips, acc, last = zero(), zero(), zero(), zero()
-    live, step, best = np.arange(len(i)), 0, None
+    live, step = np.arange(len(i)), 0
     while len(live):
         step += 1
-        live = live[i[live] + step < n]
+        live = live[i[live] + step < t.stop[i[live]]]
         live = live[t.ts[i[live] + step] - t.ts[i[live]] <= 240]
-        if best:                        # only an earlier anchor can still matter
-            live = live[live < best[3]]
+        live = live[live < best[group[live]]]           # only an earlier anchor can still matter
         a, j = i[live], i[live] + step
         dt, dur = t.ts[j] - t.ts[j - 1], t.ts[j] - t.ts[a]
         dh = _signed(t.hdg[j], t.hdg[j - 1])            # NaN when a heading is missing
@@ -190,10 +220,14 @@ def _first_loop(t: _Track, i: np.ndarray) -> tuple[int, int, float] | None:
             closed = (np.abs(_signed(t.hdg[j], t.hdg[a])) <= 90) | (x >= 640)
             hit &= (x >= 320) & ~np.isnan(t.hdg[a]) & ~np.isnan(t.hdg[j]) & closed & (x / dur <= 6.0) & (np.minimum(t.nm[a], t.nm[j]) >= 6.0)
             hit &= ((ratio >= 2.0) & (disp >= 3.0)) | ~t.quiet[j]
-        if hit.any():
-            k = int(np.flatnonzero(hit)[0])
-            best = (int(a[k]), int(j[k]), float(x[k]), int(live[k]))
-    return best[:3] if best else None
+        k = np.flatnonzero(hit)
+        if len(k):
+            g = group[live[k]]
+            k = k[np.concatenate([[True], g[1:] != g[:-1]])]
+            g = group[live[k]]
+            best[g], end[g], amount[g] = live[k], j[k], x[k]
+    g = np.flatnonzero(best < none)
+    return i[best[g]], end[g], amount[g]
 
 
 COLS = ["flight_id", "ts", "lat", "lon", "alt", "gspeed", "track", "ap_nm", "ap_elev", "impossible", "known_place",
@@ -218,16 +252,45 @@ def bounded_anchors(sliced: DataFrame, ahead: int, least: float) -> DataFrame:
 
 def _scan(pts: DataFrame, finder, ahead: int, least: float, bounded: bool = True) -> DataFrame:
     sliced = with_halo(pts.select(*COLS), before=0, after=ahead)
-    # Windows and the grouped map share one partitioning. AQE would merge small tasks, although a scan costs more than its bytes.
+    # Windows and the map share one partitioning. AQE would merge small tasks, although a scan costs more than its bytes.
     sliced = sliced.repartition(int(pts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "flight_id", SLICE)
     sliced = bounded_anchors(sliced, ahead, least) if bounded else sliced.withColumn("_anchor", c("_core"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        rows = list(finder(pdf["flight_id"].iloc[0], _Track(pdf), np.flatnonzero(pdf["_anchor"].to_numpy(bool)))) if len(pdf) > 1 else []
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in OUT.split(", ")])
+    # Slices lie one after another, each in order of time.
+    return sliced.sortWithinPartitions("flight_id", SLICE, "ts").mapInArrow(lambda batches: _events(batches, finder), OUT)
+
+
+def _events(batches, finder):
+    """Events of sorted rows: whole slices go to ``finder`` together, a chunk at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK:
+            table = pa.Table.from_batches(held)
+            last = int(_starts(table)[-1])          # the last slice may go on
+            if last:
+                yield _found(table.slice(0, last), finder)
+            held, n = table.slice(last).to_batches(), len(table) - last
+    if n:
+        yield _found(pa.Table.from_batches(held), finder)
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    flight = table["flight_id"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    part = table[SLICE].to_numpy()
+    return np.flatnonzero(np.concatenate([[True], (flight[1:] != flight[:-1]) | (part[1:] != part[:-1])]))
+
 
-    return sliced.groupBy("flight_id", SLICE).applyInPandas(run, OUT)
+def _found(table: pa.Table, finder) -> pa.RecordBatch:
+    t = _Track(table.drop_columns(["flight_id", SLICE]).to_pandas(), _starts(table))
+    i, j, pattern, turn = finder(t, np.flatnonzero(table["_anchor"].to_numpy()))
+    two = lambda v: pa.array([round(x, 2) for x in v.tolist()], pa.float64())
+    disp = _hav(t.lat[i], t.lon[i], t.lat[j], t.lon[j])
+    return pa.RecordBatch.from_arrays(
+        [table["flight_id"].combine_chunks().take(pa.array(j, pa.int64())).cast(pa.string()), pa.array(t.ts[j]), pa.array(t.ts[i]), pa.array(pattern.tolist(), pa.string()),
+         pa.array(t.ts[j] - t.ts[i]), two(turn), two(t.cum[j] - t.cum[i]), two(disp), pa.array(t.lat[j]), pa.array(t.lon[j])],
+        [x.split()[0] for x in OUT.split(", ")])
 
 
 def turn_events(pts: DataFrame, bounded: bool = True) -> DataFrame:
@@ -237,9 +300,9 @@ def turn_events(pts: DataFrame, bounded: bool = True) -> DataFrame:
     """
     long_enough = pts.groupBy("flight_id").agg(F.count("*").alias("n")).where("n >= 4").select("flight_id")
     pts = cut(pts.join(long_enough, "flight_id", "left_semi"))      # three scans read it
-    found = cut(abrupt_turns(pts).unionByName(_scan(pts, _holdings, C.TURN["acc_window_s"], 220.0, bounded)))
+    found = cut(abrupt_turns(pts).unionByName(_scan(pts, _holding_ends, C.TURN["acc_window_s"], 220.0, bounded)))
     rest = pts.join(found.select("flight_id").distinct(), "flight_id", "left_anti")
-    loops = _scan(rest, _loops, 240, 320.0, bounded)
+    loops = _scan(rest, _loop_ends, 240, 320.0, bounded)
     cols = [x.split()[0] for x in OUT.split(", ")]
     first = first_per_key(loops, ["flight_id"], [c("start_ts"), c("ts")]).select(*cols)
     return found.unionByName(first)
