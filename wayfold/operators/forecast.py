@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo, keys
 from wayfold.operators.history import closest_points, history_sums
-from wayfold.operators.hotkeys import join_hot
+from wayfold.operators.hotkeys import join_balanced
 from wayfold.operators.stats import distinct_if, in_rules
 from wayfold.operators.windows import running_sum, with_neighbours
 
@@ -52,27 +52,49 @@ def severity(nm, ft, limit_nm: float = 5.0, limit_ft: float = 1000.0) -> Column:
     return F.when(within(1), "critical").when(within(2), "warning").when(within(3), "caution")
 
 
-def conflicts(plans: DataFrame, traffic: DataFrame) -> DataFrame:
-    """Planned points against predicted traffic at the same step: 5 nm / 1000 ft, 10 / 2000; critical 2.5 / 500.
-
-    ``plans``: plan_id, minutes, lat, lon, alt; ``traffic``: flight_id, minutes, lat, lon, alt.
-    """
-    nm = 10.0
+def _meeting(plans: DataFrame, traffic: DataFrame, nm: float, earlier: Column | None = None) -> DataFrame:
+    """Pairs of the same minutes within nm and 2000 ft by cells, with kind; columns of ``traffic`` are prefixed with b. ``earlier``: drop those."""
     g = nm / 59.5
     wide = lambda band: g / F.cos(F.radians(F.least(F.abs(band) + 2, F.lit(88))))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     a = plans.withColumns({"_b": F.floor("lat"), "_y": F.floor(c("lat") / g)}).withColumn("_x", F.floor(c("lon") / wide(c("_b"))))
-    b = traffic.select("flight_id", "minutes", c("lat").alias("blat"), c("lon").alias("blon"), c("alt").alias("balt"))
+    b = traffic.withColumnsRenamed({x: f"b{x}" for x in traffic.columns if x not in ("flight_id", "minutes")})
     b = b.withColumn("_b", F.explode(F.array_distinct(F.array(F.floor(c("blat") - g), F.floor("blat"), F.floor(c("blat") + g)))))
     b = b.withColumn("_y", F.explode(F.transform(near, lambda d: F.floor(c("blat") / g) + d)))
     b = b.withColumn("_x", F.explode(F.transform(near, lambda d: F.floor(c("blon") / wide(c("_b"))) + d)))
     ft = F.abs(c("alt") - c("balt"))
-    j = join_hot(a, b, ["minutes", "_b", "_y", "_x"]).where((c("plan_id") != c("flight_id")) & (ft <= 2000))
+    j = join_balanced(a, b, ["minutes", "_b", "_y", "_x"]).where((c("plan_id") != c("flight_id")) & (ft <= 2000))
     j = j.withColumns({"nm": geo.haversine("lat", "lon", "blat", "blon"), "ft": ft}).where(c("nm") <= nm)
+    if earlier is not None:
+        j = j.where(~earlier)
     kind = F.when((c("nm") <= 2.5) & (c("ft") <= 500), "critical").when((c("nm") <= 5) & (c("ft") <= 1000), "conflict").otherwise("warning")
     return j.select("plan_id", "flight_id", "minutes", "nm", "ft", kind.alias("kind"))
 
 
+def conflicts(plans: DataFrame, traffic: DataFrame) -> DataFrame:
+    """Planned points against predicted traffic at the same step: 5 nm / 1000 ft, 10 / 2000; critical 2.5 / 500.
+
+    ``plans``: plan_id, minutes, lat, lon, alt; ``traffic``: flight_id, minutes, lat, lon, alt.
+    """
+    return _meeting(plans.select("plan_id", "minutes", "lat", "lon", "alt"), traffic.select("flight_id", "minutes", "lat", "lon", "alt"), 10.0)
+
+
+def first_conflicts_of(predicted: DataFrame, step_min: int = 5, horizon_min: int = 60) -> DataFrame:
+    """``first_conflicts`` of all flights of ``dead_reckoning``, each of which keeps its altitude, without a shuffle of pairs.
+
+    Every row has the positions of its flight at earlier steps, so that a pair tells by itself whether it is its first.
+    """
+    steps = range(0, horizon_min, step_min)
+    known = lambda x, m: F.max(F.when(c("minutes") == m, c(x)))
+    past = predicted.groupBy("flight_id").agg(*[known(x, m).alias(f"{x}_{m}") for m in steps for x in ("lat", "lon")])
+    p = predicted.select("flight_id", "minutes", "lat", "lon", "alt").join(past, "flight_id")
+    p = p.withColumns({f"{x}_{m}": F.when(c("minutes") > m, c(f"{x}_{m}")) for m in steps for x in ("lat", "lon")})
+    earlier = F.lit(False)
+    for m in reversed(steps):
+        earlier = earlier | F.coalesce(geo.haversine(f"lat_{m}", f"lon_{m}", f"blat_{m}", f"blon_{m}") <= 10.0, F.lit(False))
+    return _meeting(p.withColumnRenamed("flight_id", "plan_id"), p, 10.0, earlier)
+
+
 def first_conflicts(found: DataFrame) -> DataFrame:
     """Earliest conflict of each (plan, flight), most severe first at equal time."""
     rank = F.when(c("kind") == "critical", 0).when(c("kind") == "conflict", 1).otherwise(2)
