@@ -154,3 +154,17 @@ def test_keys_of_a_stream_wait_on_disk(spark):
     spark.conf.unset(od.STORE)
     sj.drain(sj.tumbling_counts(sj.stream_of(spark, path, schema).withColumn("event_type", F.col("k"))))
     assert spark.conf.get(od.STORE) == od.ROCKS
+
+
+def test_no_task_writes_a_share_of_the_whole_stream(spark, monkeypatch):
+    """What a task sorts while the files are made is a bounded number of rows, and the files stay in order of time."""
+    monkeypatch.setattr(sj, "RANGE_ROWS", 100)
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("ts"))
+    path, schema = sj.as_files(rows)
+    ranges = spark.read.parquet(f"{path.rsplit('/', 1)[0]}/ranges")
+    assert max(r["count"] for r in ranges.groupBy("_range").count().collect()) < 400
+    files = (spark.read.schema(schema).parquet(path).groupBy(F.input_file_name()).agg(F.min("ts"), F.max("ts"), F.count("*"),
+             F.min("_metadata.file_modification_time")).collect())
+    files = sorted((r[1], r[2], r[3], r[4]) for r in files)
+    assert len(files) == 4 and sum(f[2] for f in files) == 2000
+    assert all(a[1] < b[0] and a[3] <= b[3] for a, b in zip(files, files[1:]))

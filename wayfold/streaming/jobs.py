@@ -7,6 +7,8 @@ frames are started with a processing-time trigger.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -20,6 +22,7 @@ from wayfold.storage import new_path
 from wayfold.streaming.ordered import use_rocks
 
 c = F.col
+RANGE_ROWS = 200_000        # rows that one task writes while a stream's files are made
 
 
 def scratch(spark: SparkSession) -> str:
@@ -37,7 +40,9 @@ def as_files(df: DataFrame, files: int = 4, order: str = "ts", closing_s: int |
     spark, schema = df.sparkSession, df.schema
     root = scratch(spark)
     path = f"{root}/in"
-    df.repartitionByRange(files, order).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(f"{root}/ranges")
+    df = cut(df)            # counted, sampled for its ranges, and written
+    # A writer sorts what it has by range: many narrow ranges keep that small.
+    df.repartitionByRange(max(files, math.ceil(df.count() / RANGE_ROWS)), order).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(f"{root}/ranges")
     ranges = spark.read.schema(StructType([*schema.fields, StructField("_range", IntegerType())])).parquet(f"{root}/ranges")
     n = (ranges.agg(F.max("_range")).first()[0] or 0) + 1       # a session may make more ranges than asked for
     for i in range(files):
