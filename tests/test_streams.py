@@ -168,3 +168,15 @@ def test_no_task_writes_a_share_of_the_whole_stream(spark, monkeypatch):
     files = sorted((r[1], r[2], r[3], r[4]) for r in files)
     assert len(files) == 4 and sum(f[2] for f in files) == 2000
     assert all(a[1] < b[0] and a[3] <= b[3] for a, b in zip(files, files[1:]))
+
+
+def test_silence_needs_no_python(spark):
+    """One second more than the limit is a silence, the limit itself is none, and the jobs run without a Python state processor."""
+    path = new_path(spark, "in")
+    schema = "flight_id string, ts long"
+    for part in ([("a", T0), ("b", T0)], [("a", T0 + 400), ("b", T0 + 401)], [("z", T0 + 90_000)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    job = od.expired(sj.stream_of(spark, path, schema, 1), silent_s=400)
+    assert "Python" not in job._jdf.queryExecution().logical().toString() and "InPandas" not in job._jdf.queryExecution().logical().toString()
+    got = sorted(map(tuple, sj.drain(job).collect()))
+    assert got == [("a", T0 + 400, T0 + 801), ("b", T0, T0 + 401), ("b", T0 + 401, T0 + 802)]
