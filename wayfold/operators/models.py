@@ -46,16 +46,25 @@ def evaluate(scored: DataFrame) -> DataFrame:
                       F.try_divide(hit, F.count_if(c("label") == 1)).alias("recall"), F.count("*").alias("flights"))
 
 
-def outlier_layer(features: DataFrame, contamination: float = 0.01, sigma: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Scores by isolation trees, the top share flagged. Also (flight, feature, z) above two sigma."""
-    names = [x for x in feature_names(features)]
+def outliers(features: DataFrame, contamination: float = 0.01) -> DataFrame:
+    """Scores by isolation trees, the top share flagged."""
+    return flagged(isolation_scores(features, feature_names(features)), contamination)
+
+
+def outlier_reasons(features: DataFrame, sigma: float = 2.0) -> DataFrame:
+    """(flight, feature, z) beyond ``sigma`` deviations from the mean of all flights."""
+    names = feature_names(features)
     stats = features.agg(*[F.avg(x).alias(f"m_{x}") for x in names], *[F.stddev_pop(x).alias(f"s_{x}") for x in names]).withColumn("_k", F.lit(1))
     j = features.withColumn("_k", F.lit(1)).join(F.broadcast(stats), "_k")      # one row
     z = {x: F.when(c(f"s_{x}") > 0, (c(x) - c(f"m_{x}")) / c(f"s_{x}")).otherwise(F.lit(0.0)) for x in names}
     zz = cut(j.select("flight_id", *[v.alias(k) for k, v in z.items()]))
     pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), c(x).alias("z")) for x in names]))
-    why = zz.select("flight_id", pairs.alias("p")).select("flight_id", "p.*").where(F.abs("z") > sigma)
-    return flagged(isolation_scores(features, names), contamination), why
+    return zz.select("flight_id", pairs.alias("p")).select("flight_id", "p.*").where(F.abs("z") > sigma)
+
+
+def outlier_layer(features: DataFrame, contamination: float = 0.01, sigma: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """``outliers`` and ``outlier_reasons`` of one frame."""
+    return outliers(features, contamination), outlier_reasons(features, sigma)
 
 
 def trajectory_vectors(resampled: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from wayfold import config as C
 from wayfold.storage import shared_dir
 
 SLICE = "_slice"
+GATHERED = 1 << 15      # values of one key that a task may hold in arrays
 
 
 def with_slice(df: DataFrame, ts: str = "ts", width: int = C.SLICE_S) -> DataFrame:
@@ -141,14 +142,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def exact_quantiles(df: DataFrame, key: str, cols: list[str], probs: list[float], buckets: int = 256) -> DataFrame:
+def exact_quantiles(df: DataFrame, key: str, cols: list[str], probs: list[float], buckets: int = 256, gathered: int = GATHERED) -> DataFrame:
     """Linear-interpolated quantiles per key as columns {col}_q{NN}, exact, without one task per key.
 
+    A key with at most ``gathered`` values, all columns together, is sorted as one array for each column. Values of larger
+    keys are spread over buckets. ``df`` is read twice, with larger keys about five times.
+    """
+    stat = cut(df.groupBy(key).agg(*[f(c).alias(f"{p}_{c}") for c in cols for p, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]))
+    large = stat.where(sum(F.col(f"n_{c}") for c in cols) > gathered).select(key)
+    if not large.limit(1).count():
+        return _gathered_quantiles(df, key, cols, probs)
+    small = _gathered_quantiles(df.join(large, key, "left_anti"), key, cols, probs)
+    return small.unionByName(_bucketed_quantiles(df.join(large, key, "left_semi"), stat.join(large, key, "left_semi"), key, cols, probs, buckets))
+
+
+def _gathered_quantiles(df: DataFrame, key: str, cols: list[str], probs: list[float]) -> DataFrame:
+    """``exact_quantiles`` of keys with few values."""
+    some = df.where(F.col(key).isNotNull() & F.coalesce(*[F.col(c).cast("double") for c in cols]).isNotNull())
+    held = some.groupBy(key).agg(*[F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(c) for c in cols])
+    out = []
+    for c in cols:
+        for p in probs:
+            k = (F.size(c) - 1) * p
+            a, z = F.get(c, F.floor(k).cast("int")), F.get(c, F.ceil(k).cast("int"))
+            out.append((a + (z - a) * (k - F.floor(k))).alias(f"{c}_q{round(p * 100):02d}"))
+    return held.select(key, *out)
+
+
+def _bucketed_quantiles(df: DataFrame, stat: DataFrame, key: str, cols: list[str], probs: list[float], buckets: int) -> DataFrame:
+    """``exact_quantiles`` of keys of any size; ``stat`` has the least and greatest value and the number of each column.
+
     Values are counted first, then cut into equal-width buckets between the key's least
     and greatest value. Ranks are the count of earlier buckets plus a running count
     inside the bucket, so only one bucket of one key is ever ordered in one task.
     """
-    stat = df.groupBy(key).agg(*[f(c).alias(f"{p}_{c}") for c in cols for p, f in (("lo", F.min), ("hi", F.max), ("n", F.count))])
     per = stat.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(f"lo_{c}").cast("double").alias("lo"),
                                                         F.col(f"hi_{c}").cast("double").alias("hi"), F.col(f"n_{c}").alias("n"))
                                                for i, c in enumerate(cols)])).alias("x")).select(key, "x.*")

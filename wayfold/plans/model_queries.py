@@ -10,9 +10,12 @@ from wayfold.plans.registry import query, sql_delta, sql_hav
 c = F.col
 
 
+def _per_flight(t):
+    return t.kept("features", lambda: sq.flight_features(sq.point_features(t.tracks)))
+
+
 def _features(t):
-    f = t.kept("features", lambda: sq.flight_features(sq.point_features(t.tracks)))
-    return f.join(t.reports.select("flight_id", c("is_anomaly").alias("label")), "flight_id")
+    return _per_flight(t).join(t.reports.select("flight_id", c("is_anomaly").alias("label")), "flight_id")
 
 
 def _scored(t):
@@ -34,8 +37,8 @@ def _flows(t):
 
 query("k01_classifier_scores")(lambda t: _scored(t).withColumn("score", F.round("score", 6)))
 query("k02_classifier_quality")(lambda t: mo.evaluate(_held_out(t)))
-query("k03_outliers")(lambda t: mo.outlier_layer(t.kept("features", lambda: sq.flight_features(sq.point_features(t.tracks))))[0])
-query("k03_outlier_reasons")(lambda t: mo.outlier_layer(t.kept("features", lambda: sq.flight_features(sq.point_features(t.tracks))))[1])
+query("k03_outliers")(lambda t: mo.outliers(_per_flight(t)))
+query("k03_outlier_reasons")(lambda t: mo.outlier_reasons(_per_flight(t)))
 query("s22_flow_clusters")(lambda t: _flows(t).select("flight_id", "flow"))
 query("k04_flow_reconstruction")(lambda t: mo.reconstruction(_flows(t))[0])
 query("k05_scored_with_flow")(lambda t: mo.reconstruction(_flows(t))[0].select("flight_id", "flow", "is_anomaly", F.round("severity", 6).alias("severity")))
