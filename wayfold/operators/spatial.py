@@ -124,10 +124,12 @@ def interference_components(tracks: DataFrame, airports: DataFrame, step: float
     """
     c, cell = F.col, ["cell_lat", "cell_lon"]
     on_grid = lambda lat, lon: [geo.grid(lat, step).alias("cell_lat"), geo.grid(lon, step).alias("cell_lon")]
-    steps = deltas(tracks, with_previous_turn=True)
     marks = {k: v for k, v in _flags().items() if k not in ("signal_losses", "mlat")} | {"oscillations": oscillates()}
-    d = away_from(steps, airports, airport_nm, radius=C.EARTH_NM_STATS).withColumns({k: F.coalesce(v, F.lit(False)) for k, v in marks.items()})
-    n = d.groupBy("flight_id").agg(*[F.count_if(k).alias(k) for k in marks], geo.mean("lat").alias("lat"), geo.mean("lon").alias("lon"),
+    steps = deltas(tracks, with_previous_turn=True).select("flight_id", "ts", "lat", "lon", "prev_ts", "prev_lat", "prev_lon", "dt", "source",
+                                                           *[F.coalesce(v, F.lit(False)).alias(k) for k, v in marks.items()])
+    steps = written(steps, "steps")     # read three times: by flight, for gaps, and for marks
+    away = lambda df: away_from(df, airports, airport_nm, radius=C.EARTH_NM_STATS)
+    n = away(steps).groupBy("flight_id").agg(*[F.count_if(k).alias(k) for k in marks], geo.mean("lat").alias("lat"), geo.mean("lon").alias("lon"),
                                    (F.count_if(F.upper("source") == "MLAT") / F.count("*") > 0.8).alias("mlat"))
     top = lambda most, x: F.least(F.lit(most), x)
     score = (top(20, c("altitude_jumps") * 2) + top(15, c("spoofed_hits") * 4) + top(15, c("speed_anomalies") * 3) + top(15, c("position_teleports") * 4)
@@ -138,7 +140,7 @@ def interference_components(tracks: DataFrame, airports: DataFrame, step: float
     # One flight may hold a large share of all marks, so the join is salted by time.
     salts = 16
     placed = flights.select("flight_id", *cell, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    marked = d.where(" or ".join(marks)).select("flight_id", "ts", F.pmod(c("ts"), F.lit(salts)).cast("int").alias("_salt"))
+    marked = away(steps.where(" or ".join(marks))).select("flight_id", "ts", F.pmod(c("ts"), F.lit(salts)).cast("int").alias("_salt"))
     events = marked.join(placed, ["flight_id", "_salt"]).select(*cell, "ts").unionByName(gaps.select(*cell, "ts")).distinct()
     slot = F.floor(c("ts") / within_s)
     dealt = events.withColumn("_home", slot).withColumn("_slot", F.explode(F.array(slot, slot - 1)))
