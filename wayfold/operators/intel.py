@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from wayfold import config as C
 from wayfold.functions import geo, keys
+from wayfold.operators.approaches import closest_approaches
 from wayfold.operators.hotkeys import join_hot
-from wayfold.operators.sweep import near_swept
 from wayfold.operators.stats import military_flag, on_spine, spine
 from wayfold.operators.windows import cut, with_neighbours
 
@@ -224,7 +224,7 @@ def military_patterns(tracks: DataFrame, facts: DataFrame, patterns: DataFrame)
 
 def operator_proximity(locations: DataFrame, nm: float = 50, seconds: int = 300) -> DataFrame:
     """Closest approach of flights of different countries. ``locations``: flight_id, ts, lat, lon, country."""
-    p = near_swept(locations, locations, nm, seconds, differ="country", ordered=True, best="flights")
+    p = closest_approaches(locations, nm, seconds, "country")
     p = p.withColumn("nm", geo.haversine("a_lat", "a_lon", "b_lat", "b_lon"))
     best = p.groupBy(c("a_flight_id").alias("f1"), c("b_flight_id").alias("f2")).agg(
         F.min_by(F.struct("a_country", "b_country", "nm", F.floor((c("a_ts") + c("b_ts")) / 2).alias("ts")), F.struct("nm", "a_ts", "b_ts")).alias("b"))
