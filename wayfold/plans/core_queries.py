@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import geo, keys
 from wayfold.operators import scans
 from wayfold.operators.nearest import nearest_airport, away_from
+from wayfold.operators.shapes import in_ring
 from wayfold.plans.registry import (query, sql_bearing, sql_cell, sql_date, sql_delta, sql_dow, sql_hav,
                                     sql_hour)
 
@@ -247,9 +248,14 @@ def wkt_ring(text):
 
 
 def flights_through_ring(tracks, ring, south, north, west, east):
-    """Box first (it reaches the scan), then the ray cast on what is left."""
-    return (tracks.where(geo.in_box("lat", "lon", south, north, west, east))
-            .where(geo.point_in_ring("lat", "lon", ring)).select("flight_id").distinct())
+    """Box first (it reaches the scan), then the ray cast on what is left.
+
+    The cast is no filter with a lambda: in the first query of a session, Spark's constraint inference makes of one a filter for a side
+    of the join below that lacks its columns.
+    """
+    boxed = tracks.where(geo.in_box("lat", "lon", south, north, west, east)).select("flight_id", "lat", "lon")
+    once = tracks.sparkSession.range(1).select(ring.alias("ring"))      # read once, not for each row
+    return in_ring(boxed.crossJoin(F.broadcast(once))).select("flight_id").distinct()
 
 
 def _ray_sql():
