@@ -4,6 +4,7 @@ import math
 import random
 
 import pyarrow as pa
+import pytest
 
 from tests.conftest import T0, track
 from wayfold.operators import forecast as fc, history as hi
@@ -64,3 +65,34 @@ def test_cells_and_pairs_in_small_pieces(monkeypatch):
     monkeypatch.setattr(hi, "CHUNK", 300)
     monkeypatch.setattr(hi, "PAIRS", 50)
     assert whole and found() == whole and len(whole) == 5 * len(wanted(rows))
+
+
+def test_a_place_is_worked_out_once(spark, monkeypatch):
+    """Forty flights over the same thirty places: distances between places, not between points."""
+    places = [(31.0 + 0.01 * (i % 6), 33.0 + 0.01 * (i // 6)) for i in range(30)]
+    rows = [{"flight_id": f"F{f}", "ts": T0 + 100 * f + i, "lat": la, "lon": lo, "gspeed": 200.0 + (f * i) % 90, "vspeed": 0.1 * (f % 3)} for f in range(40) for i, (la, lo) in enumerate(places)]
+    seen, km_ = [], hi._km
+    monkeypatch.setattr(hi, "_km", lambda a, *x: (seen.append(len(a)), km_(a, *x))[1])
+    at = sorted([(0, 0, 0, side, p["flight_id"], p["lat"], p["lon"], p["ts"]) for side in (False, True) for p in rows], key=lambda x: x[5])
+    table = pa.table(dict(zip([*hi.KEYS, "right", "flight_id", "lat", "lon", "ts"], map(list, zip(*at)))))
+    text = lambda name, i: table[name][int(i)].as_py()
+    got = {(text("flight_id", a), text("ts", a), text("flight_id", b)): (float(d), text("ts", b)) for x, y, z in hi._closest(table, 0.046, 5.0) for a, b, d in zip(x, y, z)}
+    assert sum(seen) <= len(places) ** 2
+    assert {(f"{a}:{t}", b): v for (a, t, b), v in got.items()} == {k: v[:2] for k, v in wanted(rows).items()}
+
+
+def test_sums_without_the_own_flight(spark):
+    """A flight whose value outweighs all others', values of few digits, unknown ones, whole ones: as summed without the own flight."""
+    r = random.Random(4)
+    value = {"whole": lambda f: float(r.randint(100, 500)), "far": lambda f: 1e9 + 0.3 if f == 3 else 200 + r.random(), "same": lambda f: 0.1, "some": lambda f: None if f % 2 else r.random()}
+    for kind, of in value.items():
+        rows = [{"flight_id": f"F{f}", "ts": T0 + 10 * f + i, "lat": 31.0 + 0.01 * i, "lon": 33.0, "gspeed": of(f), "vspeed": 1.0} for f in range(9) for i in range(3)]
+        df = track(spark, rows)
+        q = df.selectExpr("concat_ws(':', flight_id, cast(ts as string)) as qid", "flight_id", "lat", "lon", "gspeed", "vspeed")
+        best, sums = wanted(rows), {x.qid: x for x in hi.history_sums(q, df).collect()}
+        assert len(sums) == len(rows)
+        for k, x in sums.items():
+            v = [h[2] for (qid, _), h in best.items() if qid == k and h[2] is not None]
+            m = sum(v) / len(v)
+            assert x.m_gspeed == pytest.approx(m, rel=1e-12) and x.s_gspeed == pytest.approx(math.sqrt(sum((y - m) ** 2 for y in v) / len(v)), rel=1e-6, abs=1e-9)
+            assert kind != "whole" or x.s_gspeed == pytest.approx(math.sqrt(sum((y - m) ** 2 for y in v) / len(v)), rel=1e-13)
