@@ -180,3 +180,20 @@ def test_silence_needs_no_python(spark):
     assert "Python" not in job._jdf.queryExecution().logical().toString() and "InPandas" not in job._jdf.queryExecution().logical().toString()
     got = sorted(map(tuple, sj.drain(job).collect()))
     assert got == [("a", T0 + 400, T0 + 801), ("b", T0, T0 + 401), ("b", T0 + 401, T0 + 802)]
+
+
+def test_state_is_kept_by_share_not_by_flight(spark, monkeypatch):
+    """Four hundred flights of four shares: the store holds slices and keys of shares, and silent flights are not carried."""
+    monkeypatch.setattr(od, "SHARES", 4)
+    r = random.Random(5)
+    rows = [(f"f{i}", T0 + 20 * k + i % 20, 9000.0, 5, r.random() < 0.9, False) for i in range(400) for k in range(25)]
+    path, root = new_path(spark, "in"), new_path(spark, "out")
+    for part in (rows[::2], rows[1::2], [(None, T0 + 40_000, None, None, None, None)], [("f1", T0 + 80_000, 9000.0, 5, True, True)], [(None, T0 + 90_000, None, None, None, None)]):
+        spark.createDataFrame(part, TESTS).coalesce(1).write.mode("append").parquet(path)
+    q = (od.monitor(sj.stream_of(spark, path, TESTS, 1), delay="20 minutes").writeStream.outputMode("append").option("checkpointLocation", new_path(spark, "ckpt"))
+         .foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(f"{root}/batch={e}")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(root).select("flight_id", "ts", "state").collect()))
+    assert got == monitored([*rows, ("f1", T0 + 80_000, 9000.0, 5, True, True)], 6 * 3600)
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(state) <= 40 and state[-1] <= 3, state
