@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,18 @@ def severity(nm, ft, limit_nm: float = 5.0, limit_ft: float = 1000.0) -> Column:
     return F.when(within(1), "critical").when(within(2), "warning").when(within(3), "caution")
 
 
+def _beside(lat, lon, blat, blon, nm: float) -> Column:
+    """False for most positions further apart than nm, without a distance; never for nearer ones. Says nothing of longitude near the poles."""
+    g = nm / 59.5
+    wide = F.when(F.abs(lat) > 85, 400.0).otherwise(F.when(F.abs(lat) > 60, 1.01 * g / math.cos(math.radians(85 + g))).otherwise(1.01 * g / math.cos(math.radians(60 + g))))
+    return (F.abs(c(lat) - c(blat)) <= g) & (F.abs(c(lon) - c(blon)) <= wide)
+
+
+def _near(lat, lon, blat, blon, nm: float) -> Column:
+    """Whether positions are within nm. Distances of the others are not worked out: of ``x and y``, Spark first evaluates what recurs in y."""
+    return F.when(_beside(lat, lon, blat, blon, nm), geo.haversine(lat, lon, blat, blon) <= nm).otherwise(False)
+
+
 def _meeting(plans: DataFrame, traffic: DataFrame, nm: float, earlier: Column | None = None) -> DataFrame:
     """Pairs of the same minutes within nm and 2000 ft by cells, with kind; columns of ``traffic`` are prefixed with b. ``earlier``: drop those."""
     g = nm / 59.5
@@ -63,8 +77,8 @@ def _meeting(plans: DataFrame, traffic: DataFrame, nm: float, earlier: Column |
     b = b.withColumn("_y", F.explode(F.transform(near, lambda d: F.floor(c("blat") / g) + d)))
     b = b.withColumn("_x", F.explode(F.transform(near, lambda d: F.floor(c("blon") / wide(c("_b"))) + d)))
     ft = F.abs(c("alt") - c("balt"))
-    j = join_balanced(a, b, ["minutes", "_b", "_y", "_x"]).where((c("plan_id") != c("flight_id")) & (ft <= 2000))
-    j = j.withColumns({"nm": geo.haversine("lat", "lon", "blat", "blon"), "ft": ft}).where(c("nm") <= nm)
+    j = join_balanced(a, b, ["minutes", "_b", "_y", "_x"]).where((c("plan_id") != c("flight_id")) & (ft <= 2000) & _near("lat", "lon", "blat", "blon", nm))
+    j = j.withColumns({"nm": geo.haversine("lat", "lon", "blat", "blon"), "ft": ft})
     if earlier is not None:
         j = j.where(~earlier)
     kind = F.when((c("nm") <= 2.5) & (c("ft") <= 500), "critical").when((c("nm") <= 5) & (c("ft") <= 1000), "conflict").otherwise("warning")
@@ -91,7 +105,7 @@ def first_conflicts_of(predicted: DataFrame, step_min: int = 5, horizon_min: int
     p = p.withColumns({f"{x}_{m}": F.when(c("minutes") > m, c(f"{x}_{m}")) for m in steps for x in ("lat", "lon")})
     earlier = F.lit(False)
     for m in reversed(steps):
-        earlier = earlier | F.coalesce(geo.haversine(f"lat_{m}", f"lon_{m}", f"blat_{m}", f"blon_{m}") <= 10.0, F.lit(False))
+        earlier = earlier | F.coalesce(_near(f"lat_{m}", f"lon_{m}", f"blat_{m}", f"blon_{m}", 10.0), F.lit(False))
     return _meeting(p.withColumnRenamed("flight_id", "plan_id"), p, 10.0, earlier)
 
 
